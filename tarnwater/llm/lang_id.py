@@ -100,6 +100,8 @@ class Model:
 def fit(texts: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES) -> Model:
     """Count contexts, choose nodes, and table PPM code lengths with frozen statistics."""
     langs = sorted(texts)
+    if not langs:
+        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     seen = np.zeros(256, bool)
     for own in texts.values():
         for t in own:
@@ -120,8 +122,8 @@ def fit(texts: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TA
     limit = max(2, table_bytes // (size * max(1, len(langs)) * 4))
     contexts: list[tuple[int, int]] = [(0, 0)]
     for k in range(1, order + 1):
-        keys = np.concatenate([grams[lang, k][0] // size for lang in langs]) if langs else np.empty(0, np.int64)
-        weight = np.concatenate([grams[lang, k][1] for lang in langs]) if langs else keys
+        keys = np.concatenate([grams[lang, k][0] // size for lang in langs])
+        weight = np.concatenate([grams[lang, k][1] for lang in langs])
         unique, inverse = np.unique(keys, return_inverse=True)
         count = np.bincount(inverse, weight) if len(keys) else np.empty(0)
         ranked = sorted(zip((-count).tolist(), unique.tolist(), strict=True))
