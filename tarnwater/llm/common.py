@@ -43,9 +43,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished jobs before the next large exchange."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass frees the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def text_column(docs: DataFrame, name: str = "text") -> F.Column:

@@ -28,11 +28,15 @@ WINDOW, MINI = 13, 3
 HOT_PARTS, HOT_LIMIT = 24, 20_000
 #: Text bytes a bucket is planned for.
 BUCKET_BYTES = 12 << 20
-#: Row of a packed super-k-mer: doc_id, text key, first word, windows, bytes of text, minimiser.
-HEAD = "<qqiiiQ"
+#: A packed block: counts of super-k-mers and documents, then columns: document (its place in the block's own list),
+#: first word, windows, bytes, minimiser (32 bits of it tell groups of a bucket apart), then the documents' ids and text
+#: keys, then the text.
+COLUMNS, DOCUMENTS = (("doc", "<i4"), ("first", "<i4"), ("n", "<i2"), ("size", "<i4"), ("mini", "<u4")), (("id", "<i8"), ("key", "<i8"))
 NULL_ID = -(1 << 63)
 #: Bytes of a line whose words are hashed at once.
 SPAN = 1 << 18
+#: Windows of one super-k-mer at most (a text of one repeated word has one minimiser throughout).
+LONGEST = 1 << 12
 
 
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -98,9 +102,11 @@ def minimisers(hashes: np.ndarray, window: int = WINDOW, mini: int = MINI) -> np
 
 
 def super_kmers(mins: np.ndarray, usable: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last + 1) windows of each run of equal minimisers; runs also end where windows are not usable."""
+    """(first, last + 1) windows of each run of equal minimisers; runs also end where
+    windows are not usable, and at every LONGEST-th window, which changes no window."""
     n = len(mins)
     breaks = mins[1:] != mins[:-1]
+    breaks[LONGEST - 1 :: LONGEST] = True
     if usable is not None:
         breaks |= usable[1:] != usable[:-1]
     cut = np.flatnonzero(breaks) + 1
@@ -193,23 +199,22 @@ def pack(texts: DataFrame, buckets: int, hot: dict[bytes, int], window: int = WI
     def make():
         import zstandard
 
-        squeeze, head = zstandard.ZstdCompressor(level=1).compress, struct.Struct(HEAD).pack
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         marks = _marks(sent.value, window)
 
         def step(batch: pa.RecordBatch):
-            out: list[list[bytes]] = [[] for _ in range(buckets)]
-            heads: list[list[bytes]] = [[] for _ in range(buckets)]
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             settled: list[tuple[int, int, int, int]] = []
-            for doc, t, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            texts, parts, at = [], [], 0
+            for row, t in enumerate(utf8(batch.column(1))):
                 line = b" ".join((t or b"").split())
                 if line.count(b" ") < window - 1:
                     continue
                 hashes, starts, ends = hashed(line)
                 usable = None
                 if len(marks):
-                    spots = np.flatnonzero(np.isin(rolling(hashes, window), marks)).tolist()
-                    mine = []
-                    for i in spots:
+                    doc, mine = int(ids[row]), []
+                    for i in np.flatnonzero(np.isin(rolling(hashes, window), marks)).tolist():
                         least = sent.value.get(line[starts[i] : ends[i + window - 1]])
                         if least is not None:
                             usable = np.ones(len(hashes) - window + 1, bool) if usable is None else usable
@@ -217,14 +222,26 @@ def pack(texts: DataFrame, buckets: int, hot: dict[bytes, int], window: int = WI
                             if least < doc:
                                 mine.append(i)
                     if mine:
-                        settled += [(doc, key, lo, hi) for lo, hi in _runs(np.array(mine), window)]
+                        settled += [(doc, int(keys[row]), lo, hi) for lo, hi in _runs(np.array(mine), window)]
                 mins = minimisers(hashes, window, mini)
                 first, last = super_kmers(mins, usable)
-                to = ((mins[first] >> np.uint64(20)) % np.uint64(buckets)).tolist()
-                for b, m, i, j, s, e in zip(to, mins[first].tolist(), first.tolist(), last.tolist(), starts[first].tolist(), ends[last + window - 2].tolist(), strict=True):
-                    heads[b].append(head(doc, key, i, j - i, e - s, m))
-                    out[b].append(line[s:e])
-            rows = [(b, squeeze(struct.pack("<I", len(heads[b])) + b"".join(heads[b]) + b"".join(out[b])), None, None, None, None) for b in range(buckets) if heads[b]]
+                parts.append((np.full(len(first), row), first, last - first, starts[first] + at, ends[last + window - 2] + at, mins[first]))
+                texts.append(line)
+                at += len(line)
+            rows = []
+            if parts:
+                doc, first, n, start, end, mins = (np.concatenate(c) for c in zip(*parts, strict=True))
+                line = b"".join(texts)
+                bucket = (mins >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                doc, first, n, start, end, mins, bucket = (c[order] for c in (doc, first, n, start, end, mins, bucket))
+                cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    members, place = np.unique(doc[i:j], return_inverse=True)
+                    columns = dict(zip([c for c, _ in COLUMNS], (place, first[i:j], n[i:j], end[i:j] - start[i:j], mins[i:j] & np.uint64(0xFFFFFFFF)), strict=True))
+                    raw = [struct.pack("<II", j - i, len(members)), *[columns[c].astype(k).tobytes() for c, k in COLUMNS], ids[members].astype("<i8").tobytes(), keys[members].astype("<i8").tobytes()]
+                    raw += [line[a:b] for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)]
+                    rows.append((int(bucket[i]), squeeze(b"".join(raw)), None, None, None, None))
             rows += [(None, None, *x) for x in settled]
             for at in range(0, len(rows), 4096):
                 yield dict(zip(("bucket", "blob", "doc_id", "text_key", "lo", "hi"), map(list, zip(*rows[at : at + 4096], strict=True)), strict=True))
@@ -234,34 +251,40 @@ def pack(texts: DataFrame, buckets: int, hot: dict[bytes, int], window: int = WI
     return over_batches(texts, make, PACKED)
 
 
-def unpack(blobs: list[bytes]):
-    """(heads as a structured array, text offsets, text) of a bucket."""
+def unpack(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], bytes]:
+    """(columns doc_id, key, first, n, offset, size, mini; text) of a bucket."""
     import zstandard
 
-    kind = np.dtype([("doc", "<i8"), ("key", "<i8"), ("first", "<i4"), ("n", "<i4"), ("size", "<i4"), ("mini", "<u8")])
-    heads, texts = [], []
+    parts, texts, at = [], [], 0
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
-        n = struct.unpack_from("<I", raw)[0]
-        heads.append(np.frombuffer(raw, kind, n, 4))
-        texts.append(raw[4 + n * kind.itemsize :])
-    head = np.concatenate(heads)
-    return head, np.cumsum(head["size"]) - head["size"], b"".join(texts)
+        n, n_docs = struct.unpack_from("<II", raw)
+        pos, column = 8, {}
+        for (name, kind), many in [(c, n) for c in COLUMNS] + [(c, n_docs) for c in DOCUMENTS]:
+            column[name] = np.frombuffer(raw, kind, many, pos)
+            pos += column[name].nbytes
+        column["offset"] = np.cumsum(column["size"], dtype=np.int64) - column["size"] + at
+        column["id"], column["key"] = column["id"][column["doc"]], column["key"][column["doc"]]
+        texts.append(raw[pos:])
+        at += len(texts[-1])
+        parts.append(column)
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k != "doc"}, b"".join(texts)
 
 
 def repeated(blobs: list[bytes], window: int = WINDOW):
     """(doc, text key, window start) of windows whose words also start in a smaller document, in one bucket."""
-    head, offset, text = unpack(blobs)
-    order = np.lexsort((head["first"], head["doc"], head["mini"]))
-    mini, doc = head["mini"][order], head["doc"][order]
+    head, text = unpack(blobs)
+    order = np.lexsort((head["first"], head["id"], head["mini"]))
+    mini, doc = head["mini"][order], head["id"][order]
     cut = np.concatenate(([0], np.flatnonzero(mini[1:] != mini[:-1]) + 1, [len(order)]))
     several = doc[cut[:-1]] != doc[cut[1:] - 1]  # a minimiser of one document cannot repeat in another
     hits = []
     for s, e in zip(cut[:-1][several].tolist(), cut[1:][several].tolist(), strict=True):
         windows = []
         for r in order[s:e].tolist():
-            words = text[offset[r] : offset[r] + head["size"][r]].split(b" ")
-            d, k, i = int(head["doc"][r]), int(head["key"][r]), int(head["first"][r])
+            at = int(head["offset"][r])
+            words = text[at : at + int(head["size"][r])].split(b" ")
+            d, k, i = int(head["id"][r]), int(head["key"][r]), int(head["first"][r])
             windows += [(b" ".join(words[w : w + window]), d, k, i + w) for w in range(int(head["n"][r]))]
         windows.sort()
         before, least = None, 0
@@ -277,7 +300,7 @@ def removed_ranges(texts: DataFrame, buckets: int, window: int = WINDOW, mini: i
     """(doc_id, text_key, lo, hi): word ranges to remove from texts (doc_id not null, text, text_key)."""
     hot = hot_windows(texts, window) if hot is None else hot
     packed = pack(texts, buckets, hot, window, mini)
-    dealt = packed.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).repartition(buckets, "to").sortWithinPartitions(F.col("bucket").asc_nulls_first())
+    dealt = packed.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).repartitionById(buckets, F.col("to")).sortWithinPartitions(F.col("bucket").asc_nulls_first())
 
     def run(batches):
         bucket, blobs = None, []
