@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import uuid5
 from .sparse import small
@@ -38,6 +42,33 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str = "emb
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: str = "index_text", key: str = "chunk_id", batch: int = 16) -> DataFrame:
+    """(doc, embedding): vectors of texts from a provider, which workers call with batches of texts.
+
+    The provider is built where it is called (pass a function that connects lazily); a batch that fails is tried text by
+    text, and a text that still fails gets null, so one bad row costs no others.
+    """
+    schema = T.StructType([T.StructField("doc", rows.schema[key].dataType), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def one(s: str) -> list[float] | None:
+        try:
+            return provider([s])[0]
+        except Exception:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts, out = [s or "" for s in part.column(1).to_pylist()], []
+            for i in range(0, len(texts), batch):
+                try:
+                    out += provider(texts[i : i + batch])
+                except Exception:
+                    out += [one(s) for s in texts[i : i + batch]]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.float32()))], names=["doc", "embedding"])
+
+    return rows.select(key, text).mapInArrow(run, schema)
+
+
 def same_dimension(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """Dimensions in use and their counts: an index is sound if this has one row."""
     return vectors.groupBy(F.size(vector).alias("dimension")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import BOTH_SIDE
 from ..operators import dense, fusion, routing, sparse
 from ..operators.answers import answer
 
@@ -24,24 +25,40 @@ class Corpus:
     vectors: DataFrame | None = None
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None = None, filters: dict[str, object] | None = None, scorer: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None = None, filters: dict[str, object] | None = None, scorer: Callable[[Column, Column], Column] | None = None, mode: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(routed, ranked): all queries with their route; the final rows of those that are to be answered.
 
-    Rejected and ambiguous queries leave before any index is read.
+    Rejected and ambiguous queries leave before any index is read.  Official and upload queries search their own side;
+    queries to both search each side for a few rows and fuse the lists.  mode names the column that says which;
+    without it all are official, and the corpus is taken as one side.
     """
-    routed = routing.route(queries)
+    routed = routing.route(queries, mode=mode)
     ask = routed.filter("route = 'retrieval'")
-    allowed = routing.metadata_filter(corpus.chunks, filters or {}).select(F.col("chunk_id").alias("doc")) if filters else None
-    lists = [("bm25", fusion.cut(sparse.search(corpus.sparse, ask, MOST, allowed), ask, "bm25_top_k", MOST))]
-    if corpus.vectors is not None and query_vectors is not None:
-        near = dense.search(corpus.vectors, query_vectors.join(ask.select("qid"), "qid", "left_semi"), MOST)
-        lists.insert(0, ("dense", fusion.cut(near, ask, "dense_top_k", MOST)))
+    chunks = routing.metadata_filter(corpus.chunks, filters or {})
+    if mode is None:
+        lists = _side(ask, corpus, chunks if filters else None, query_vectors, "")
+    else:
+        lists = []
+        for side, kind in (("official", "official_website"), ("uploads", "user_upload")):
+            own = ask.filter(F.col("source_mode").isin(side, "both")).withColumns({c: F.when(F.col("source_mode") == "both", BOTH_SIDE).otherwise(F.col(c)) for c in ("bm25_top_k", "dense_top_k")})
+            lists += _side(own, corpus, chunks.filter(F.col("source_type") == kind), query_vectors, f"{side}_")
     fused = fusion.fuse(lists).join(corpus.chunks.withColumnRenamed("chunk_id", "doc"), "doc").withColumn("chunk_id", F.col("doc")).join(ask.select("qid", "query", "rerank_top_k", "final_top_k"), "qid")
     boosted = fusion.boost(fused).filter(F.col("rank") <= F.col("rerank_top_k"))
     ranked = fusion.rerank(boosted, None, scorer).filter(F.col("rank") <= F.col("final_top_k"))
     return routed, ranked
 
 
+def _side(asked: DataFrame, corpus: Corpus, chunks: DataFrame | None, query_vectors: DataFrame | None, name: str) -> list[tuple[str, DataFrame]]:
+    """Ranked lists of one side: vectors first where there are any, then words."""
+    allowed = None if chunks is None else chunks.select(F.col("chunk_id").alias("doc"))
+    lists = [(f"{name}bm25", fusion.cut(sparse.search(corpus.sparse, asked, MOST, allowed), asked, "bm25_top_k", MOST))]
+    if corpus.vectors is not None and query_vectors is not None:
+        vectors = corpus.vectors if allowed is None else corpus.vectors.join(allowed, "doc", "left_semi")
+        near = dense.search(vectors, query_vectors.join(asked.select("qid"), "qid", "left_semi"), MOST)
+        lists.insert(0, (f"{name}dense", fusion.cut(near, asked, "dense_top_k", MOST)))
+    return lists
+
+
 def answers(queries: DataFrame, corpus: Corpus, generated: DataFrame | None = None, threshold: float = 0.35, **how) -> DataFrame:
     routed, ranked = retrieve(queries, corpus, **how)
     return answer(routed, ranked, generated, threshold)

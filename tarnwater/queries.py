@@ -504,6 +504,100 @@ def event_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.histogram(t(spark, sf_dir, "events"))
 
 
+# --- More text, set and window operators ----------------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), {lit(X.LINE_END)}), lambda x: {squeeze('x')}), lambda x: x <> ''), chr(10))) AS cleaned,
+  sha256({squeeze("replace(replace(replace(replace(replace(lower(coalesce(text, '')), ',', ''), 'egp', 'le'), 'جنيه', 'le'), 'قروش', 'pt'), '#550*', '*550#')")}) AS match_text, sha256(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9._-]+', '_', 'g')) AS file_name FROM documents""")
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(X.clean_text(c), 256).alias("cleaned"), F.sha2(X.match_text(c), 256).alias("match_text"), F.sha2(X.file_name(c), 256).alias("file_name"))
+
+
+_TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {_TOK} AS ws FROM conversations)
+SELECT conv_id, turn, array_to_string(list_sort(list_filter(ws, lambda x: x IN ('the', 'of', 'and', 'in', 'to'))), ',') AS common, len(list_filter(ws, lambda x: x NOT IN ('the', 'of', 'and', 'in', 'to')))::INT AS others, len(list_filter(ws, lambda x: x NOT IN ('the', 'of', 'and', 'in', 'to'))) = 0 AS within FROM c""")
+def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection, difference and subset of small sets."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    few = F.array(*map(F.lit, ("the", "of", "and", "in", "to")))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_intersect(words, few)), ",").alias("common"), F.size(F.array_except(words, few)).alias("others"), dedupe.subset(words, few).alias("within"))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, '[' || turn || '] ' || role || chr(10) || text AS block FROM conversations),
+u AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b)
+SELECT conv_id AS qid, sha256(string_agg(substr(block, 1, (600 - used)::INT), chr(10) || chr(10) ORDER BY turn)) AS context FROM u WHERE used < 600 GROUP BY conv_id""")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered blocks under a running character budget, the last one cut."""
+    rows = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("source_id"), F.col("role").alias("citation_label"), F.col("text").alias("content"))
+    return answers.context(rows, 600).select("qid", F.sha2("context", 256).alias("context"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, i, ls[i] AS line, {key('ls[i]')} AS k FROM l), p AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)
+SELECT doc_id, count(*)::INT AS n_kept, sha256(string_agg(line, chr(10) ORDER BY i)) AS kept FROM p WHERE before IS NULL OR before <> k GROUP BY doc_id""")
+def drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines equal (by key) to the one before go."""
+    kept = dedupe.drop_repeats(F.split(X.text(F.col("text")), "\n"))
+    return t(spark, sf_dir, "documents").select("doc_id", kept.alias("k")).select("doc_id", F.size("k").alias("n_kept"), F.sha2(F.array_join("k", "\n"), 256).alias("kept"))
+
+
+@query("SELECT vec_id AS doc FROM embeddings WHERE NOT (vec_id % 2 = 0 AND label % 3 = 1)")
+def delete_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but one session's uploads."""
+    rows = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.when(F.col("vec_id") % 2 == 0, "user_upload").otherwise("official_website").alias("source_type"), (F.col("label") % 3).cast("string").alias("upload_session_id"))
+    return dense.delete_session(rows, "1").select("doc")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), ' ') AS ws FROM conversations),
+c AS (SELECT *, unnest(range(0, len(ws), 40)) AS i FROM p)
+SELECT 'conv-' || conv_id AS document_id, turn::INT AS page_number, count(*) AS n FROM c GROUP BY ALL""")
+def upload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as uploaded documents of one page a turn: chunks a page, the index running on across pages."""
+    words = F.filter(F.split(X.squeeze(F.col("text")), " "), lambda w: w != "")
+    rows = t(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("document_id"), F.col("turn").cast("int").alias("page_number"), F.explode(chunking.word_windows(F.array_join(words, " "), 40)).alias("chunk"))
+    return rows.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def upload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("page_number"), "text"))).alias("pages"))
+    docs = turns.select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("document_id"), F.lit("Talk").alias("title"), F.lit("talk.txt").alias("file_name"), F.lit("txt").alias("file_type"), F.lit("").alias("text"), "pages")
+    return chunking.chunk_uploads(docs, 64, 8).select("chunk_id", "document_id", "page_number", "chunk_index", "total_chunks")
+
+
+@query()
+def page_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.downloads(html.parsed(t(spark, sf_dir, "pages"))).select("page_id", "url", "kind")
+
+
+@query()
+def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.cards(html.parsed(t(spark, sf_dir, "pages")), facts=False)
+
+
+@query()
+def page_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.people(html.parsed(t(spark, sf_dir, "pages")))
+
+
+@query()
+def event_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observe.quantiles(t(spark, sf_dir, "events"))
+
+
+@query()
+def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to official pages and uploads together: each side's list is its own, and all are fused."""
+    whole = corpus(spark, sf_dir)
+    side = F.when(F.col("category").isin("src0", "src1", "src2"), "user_upload").otherwise("official_website")
+    split = ask.Corpus(whole.chunks.withColumn("source_type", side), whole.sparse)
+    _, found = ask.retrieve(items(spark, sf_dir).withColumn("mode", F.lit("both")), split, mode="mode")
+    return found.select("qid", "chunk_id", "rank", "source_type", F.round("final_score", 6).alias("final_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
