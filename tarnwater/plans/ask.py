@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import BOTH_SIDE
 from ..operators import dense, fusion, routing, sparse
 from ..operators.answers import answer
+from ..sources.shared import stored
 
 MOST = 50
 
@@ -42,10 +43,11 @@ def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None
         for side, kind in (("official", "official_website"), ("uploads", "user_upload")):
             own = ask.filter(F.col("source_mode").isin(side, "both")).withColumns({c: F.when(F.col("source_mode") == "both", BOTH_SIDE).otherwise(F.col(c)) for c in ("bm25_top_k", "dense_top_k")})
             lists += _side(own, corpus, chunks.filter(F.col("source_type") == kind), query_vectors, f"{side}_")
-    fused = fusion.fuse(lists).join(corpus.chunks.withColumnRenamed("chunk_id", "doc"), "doc").withColumn("chunk_id", F.col("doc")).join(ask.select("qid", "query", "rerank_top_k", "final_top_k"), "qid")
+    # Lists are at most 50 rows a query; stored once, they meet the chunks' texts only as survivors.
+    fused = stored(fusion.fuse(lists), "fused").join(corpus.chunks.withColumnRenamed("chunk_id", "doc"), "doc").withColumn("chunk_id", F.col("doc")).join(ask.select("qid", "query", "rerank_top_k", "final_top_k"), "qid")
     boosted = fusion.boost(fused).filter(F.col("rank") <= F.col("rerank_top_k"))
     ranked = fusion.rerank(boosted, None, scorer).filter(F.col("rank") <= F.col("final_top_k"))
-    return routed, ranked
+    return routed, stored(ranked, "ranked")
 
 
 def _side(asked: DataFrame, corpus: Corpus, chunks: DataFrame | None, query_vectors: DataFrame | None, name: str) -> list[tuple[str, DataFrame]]:

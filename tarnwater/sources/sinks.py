@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..operators.sparse import SparseIndex
+
 
 def jsonl(df: DataFrame, path: str, sort_keys: bool = True, gzip: bool = False, mode: str = "overwrite") -> None:
     """One JSON object a line, keys in order of name or of columns; non-ASCII text as it is."""
@@ -28,13 +33,13 @@ def table(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def sparse_index(index, path: str) -> None:
+def sparse_index(index: SparseIndex, path: str) -> None:
     """An index' four tables under one folder."""
     for name in ("postings", "docs", "terms", "totals"):
         table(getattr(index, name), f"{path}/{name}")
 
 
-def load_sparse_index(spark: SparkSession, path: str):
+def load_sparse_index(spark: SparkSession, path: str) -> SparseIndex:
     from ..operators.sparse import SparseIndex
 
     return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "totals")])
