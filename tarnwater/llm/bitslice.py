@@ -8,14 +8,16 @@ radius are abandoned between groups of planes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
 import numpy as np
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A bucket above this size is searched breadth first, so that a dense group costs about one pass a member.
-BREADTH_FIRST = 1024
+BREADTH_FIRST = 512
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -28,37 +30,40 @@ def planes_of(values: np.ndarray) -> np.ndarray:
 
 
 def within(planes: np.ndarray, queries: np.ndarray, words: np.ndarray, valid: np.ndarray, radius: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes within radius (up to 6) for each unit (query value, word): (unit numbers, lane masks) of units with any.
+    """Lanes within radius for each unit (query value, word): (unit numbers, lane masks) of units with any.
 
-    valid: lanes of each unit that count.  skip: mask of planes known to be equal.
+    valid: lanes of each unit that count.  skip: mask of planes known to be equal.  The counters have as many planes as
+    the radius has bits; a carry out of the last one is kept in `over`.
     """
     unit, q, w, over = np.arange(len(queries)), queries, words, ~valid
-    ones = twos = fours = np.zeros(len(queries), np.uint64)
+    counters = [np.zeros(len(queries), np.uint64) for _ in range(max(1, radius.bit_length()))]
     todo = [p for p in range(64) if not skip >> p & 1]
     for step in range(0, len(todo), 8):
         for p in todo[step : step + 8]:
-            flip = np.where((q >> np.uint64(p)) & np.uint64(1), ALL, np.uint64(0))
-            carry = planes[w, p] ^ flip
-            ones, carry = ones ^ carry, ones & carry
-            twos, carry = twos ^ carry, twos & carry
-            fours, carry = fours ^ carry, fours & carry
+            carry = planes[w, p] ^ np.where((q >> np.uint64(p)) & np.uint64(1), ALL, np.uint64(0))
+            for k, c in enumerate(counters):
+                counters[k], carry = c ^ carry, c & carry
             over = over | carry
-        far = over | _above(ones, twos, fours, radius)
-        alive = far != ALL
+        alive = (over | _above(counters, radius)) != ALL
         if not alive.all():
-            unit, q, w, over, ones, twos, fours, far = (x[alive] for x in (unit, q, w, over, ones, twos, fours, far))
+            unit, q, w, over, *counters = (x[alive] for x in (unit, q, w, over, *counters))
             if not len(unit):
                 break
-    if not len(unit):
-        return unit, over
-    near = ~(over | _above(ones, twos, fours, radius))
+    near = ~(over | _above(counters, radius))
     some = near != 0
     return unit[some], near[some]
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count exceeds radius."""
-    return {0: ones | twos | fours, 1: twos | fours, 2: fours | (twos & ones), 3: fours, 4: fours & (ones | twos), 5: fours & twos, 6: fours & twos & ones}[radius]
+def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count (counters[k] holds bit k) exceeds radius, compared from the highest bit down."""
+    more, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal = equal & counters[k]
+        else:
+            more = more | (equal & counters[k])
+            equal = equal & ~counters[k]
+    return more
 
 
 def lanes(units: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +73,11 @@ def lanes(units: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return units[row], lane
 
 
-def small_buckets(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j), i < j, within radius inside each of the buckets [start, end) of values, compared together."""
+def small_buckets(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, skip: int, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j), i < j, within radius inside each of the buckets [start, end) of values, compared together.
+
+    near(i, j) may test the pairs further.
+    """
     sizes = ends - starts
     starts, ends, sizes = starts[sizes > 1], ends[sizes > 1], sizes[sizes > 1]
     if not len(sizes):
@@ -101,12 +109,16 @@ def small_buckets(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radi
     for at in range(0, len(query), 1 << 18):
         part = slice(at, at + (1 << 18))
         unit, lane = lanes(*within(planes, values[source[query[part]]], word[part], valid[part], radius, skip))
-        out_i.append(source[query[part][unit]])
-        out_j.append(back[word[part][unit] * 64 + lane])
+        i, j = source[query[part][unit]], back[word[part][unit] * 64 + lane]
+        if near is not None:
+            kept = near(i, j)
+            i, j = i[kept], j[kept]
+        out_i.append(i)
+        out_j.append(j)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def large_bucket(values: np.ndarray, radius: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+def large_bucket(values: np.ndarray, radius: int, skip: int, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of links within radius: breadth first over the fingerprints not reached yet."""
     n = len(values)
     planes, left = planes_of(values), np.full((n + 63) // 64, ALL)
@@ -127,8 +139,11 @@ def large_bucket(values: np.ndarray, radius: int, skip: int) -> tuple[np.ndarray
             live = np.flatnonzero(left)
             unit, mask = within(planes, np.repeat(values[batch], len(live)), np.tile(live, len(batch)), np.tile(left[live], len(batch)), radius, skip)
             u, lane = lanes(unit, mask)
+            spot = live[u % len(live)] * 64 + lane
+            if near is not None and len(u):
+                kept = near(batch[u // len(live)], order[spot])
+                u, spot = u[kept], spot[kept]
             if len(u):
-                spot = live[u % len(live)] * 64 + lane
                 spot, first = np.unique(spot, return_index=True)
                 reached = order[spot]
                 out_i.append(batch[u[first] // len(live)])
@@ -147,6 +162,48 @@ def large_bucket(values: np.ndarray, radius: int, skip: int) -> tuple[np.ndarray
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each member of a connected group of pairs (i, j) to the group's smallest: at most one a member."""
+    nodes, flat = np.unique(np.concatenate((i, j)), return_inverse=True)
+    a, b = flat[: len(i)], flat[len(i) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]
+
+
+def thinned(i: np.ndarray, j: np.ndarray, bucket: np.ndarray, members: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of each bucket (numbers of sorted buckets, with their members), where there are at most `most` a member;
+    of denser buckets a spanning forest of the pairs themselves."""
+    count = np.bincount(bucket, minlength=len(members))
+    dense = (count > most * members)[bucket]
+    if not dense.any():
+        return i, j
+    root: dict[int, int] = {}
+    kept = []
+    for at in np.flatnonzero(dense).tolist():
+        a, b = int(i[at]), int(j[at])
+        while (up := root.setdefault(a, a)) != a:
+            root[a] = a = root.setdefault(up, up)
+        while (up := root.setdefault(b, b)) != b:
+            root[b] = b = root.setdefault(up, up)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(at)
+    chosen = np.concatenate((np.flatnonzero(~dense), np.array(kept, np.int64)))
+    return i[chosen], j[chosen]
+
+
 def block_masks(blocks: int, radius: int) -> list[int]:
     """Masks of the bit groups of which at least one is equal for any two fingerprints within radius.
 

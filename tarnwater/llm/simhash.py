@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bitslice import BREADTH_FIRST, block_masks, blocks_for, large_bucket, small_buckets
+from .bitslice import BREADTH_FIRST, block_masks, blocks_for, large_bucket, small_buckets, spanning, thinned
 from .common import LOWER, columns_of, hot_join, keep_documents, over_batches, stored, utf8
 from .components import connected_components
 
@@ -71,55 +73,76 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return over_batches(keyed, make, schema)
 
 
+EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def buckets(batches, columns: int):
+    """(t, starts, ends, columns) of runs of whole buckets from batches sorted by (t, key); a bucket is never cut."""
+    held: list[np.ndarray] = []
+
+    def whole(rows: np.ndarray):
+        t, key = rows[:2]
+        cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+        return t, np.concatenate(([0], cut)), np.concatenate((cut, [len(t)])), rows[2:]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(columns + 2)]))
+        if sum(x.shape[1] for x in held) < 1 << 17:
+            continue
+        rows = np.concatenate(held, axis=1)
+        end = int(np.argmax((rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])))  # the last bucket may go on
+        held = [rows[:, end:]]
+        if end:
+            yield whole(rows[:, :end])
+    if held:
+        yield whole(np.concatenate(held, axis=1))
+
+
+def bucket_links(dealt: DataFrame, radius: int, masks: list[int] | None = None, limit: int | None = None, pairs: bool = False) -> DataFrame:
+    """Links (a, b) that span the groups of each bucket of dealt (t, key, rep, fp, more fingerprint words), sorted by (t, key).
+
+    Members are compared bit-sliced on fp, up to radius; with more words, a link's words together must differ in at
+    most `limit` bits.  Each member gets at most one link a bucket, so a dense group never turns into all pairs.
+    masks: for each table t the planes that its key fixes, which need no comparing.  pairs: give pairs as found, for a later
+    check; of a dense bucket those of a spanning forest.
+    """
+    many = len(dealt.columns) - 2
+
+    def run(batches):
+        for t, starts, ends, (rep, *words) in buckets(batches, many):
+            wide = np.stack(words).view(np.uint64)
+            test = None if limit is None else lambda i, j, wide=wide: np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(axis=0, dtype=np.int64) <= limit
+            for table in np.unique(t[starts]):
+                skip = masks[table] if masks else 0
+                mine = t[starts] == table
+                big = mine & (ends - starts > BREADTH_FIRST)
+                from_, to = starts[mine & ~big], ends[mine & ~big]
+                i, j = small_buckets(wide[0], from_, to, radius, skip, test)
+                parts = [thinned(i, j, np.searchsorted(from_, i, "right") - 1, to - from_) if pairs and len(i) else (i, j)]
+                for s, e in zip(starts[big].tolist(), ends[big].tolist(), strict=True):
+                    near = None if test is None else lambda i, j, s=s, test=test: test(i + s, j + s)
+                    i, j = large_bucket(wide[0][s:e], radius, skip, near)
+                    parts.append((i + s, j + s))
+                for i, j in parts:
+                    if len(i):
+                        a, b = (i, j) if pairs else spanning(i, j)
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, EDGES)
+
+
 def linked(classes: DataFrame, n: int, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Links (a, b) of representatives that span the groups of classes (fp, rep) within radius of each other.
 
-    Every pair within radius agrees on some choice of blocks and so meets in a bucket; there all members are
-    compared, bit-sliced.  A bucket's links form a spanning set of its own groups, never all pairs of a dense one.
+    Every pair within radius agrees on some choice of blocks and so meets in a bucket.
     """
     masks = block_masks(blocks or blocks_for(n, radius), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
-    dealt = classes.select("fp", "rep", F.explode(tables).alias("k")).select("k.t", "k.key", "fp", "rep")
-    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def run(batches):
-        held: list[np.ndarray] = []
-
-        def flush(rows: np.ndarray):
-            t, key, fp, rep = rows
-            values = fp.view(np.uint64)
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(t)]))
-            for table in np.unique(t):
-                mine = t[starts] == table
-                big = mine & (ends - starts > BREADTH_FIRST)
-                i, j = small_buckets(values, starts[mine & ~big], ends[mine & ~big], radius, masks[table])
-                parts = [(rep[i], rep[j])]
-                for s, e in zip(starts[big], ends[big], strict=True):
-                    i, j = large_bucket(values[s:e], radius, masks[table])
-                    parts.append((rep[s:e][i], rep[s:e][j]))
-                for a, b in parts:
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)]))
-            if sum(x.shape[1] for x in held) < 1 << 17:
-                continue
-            rows = np.concatenate(held, axis=1)
-            same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
-            end = int(np.argmax(same))  # the last bucket may go on
-            held = [rows[:, end:]]
-            if end:
-                yield from flush(rows[:, :end])
-        if held:
-            yield from flush(np.concatenate(held, axis=1))
-
-    return dealt.mapInArrow(run, schema)
+    dealt = classes.select("fp", "rep", F.explode(tables).alias("k")).select("k.t", "k.key", "rep", "fp")
+    return bucket_links(dealt.repartition("t", "key").sortWithinPartitions("t", "key"), radius, masks)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -142,7 +165,106 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """docs with the smallest doc_id of each group alone, all columns."""
-    found = near_duplicates(docs, shingle, radius)
+#: Words of a wide fingerprint, whose bits estimate the similarity of two texts' shingles: those that buckets compare,
+#: and those by which a link is checked.
+WIDE, CHECKED = 4, 16
+#: Chance with which a pair at the similarity asked for meets in some table.
+RECALL = 0.99
+#: Mean members of a bucket that the tables' key width aims at.
+PER_BUCKET = 64
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: bytes, shingle: int, words: int = CHECKED) -> np.ndarray:
+    """Majority bits of the distinct shingles' hashes and of further mixes of them; zeros without words.
+
+    Where as many hashes have a bit as not, the smallest hash decides: short texts would else look alike.
+    """
+    import xxhash
+
+    tokens = text.translate(LOWER).split()
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in tokens])
+    spans = zip([0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist(), strict=True) if len(tokens) > shingle else [(0, len(joined))]
+    hashes = np.unique(np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64))
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        twice = _ones(hashes) * 2
+        first = np.unpackbits(hashes[:1].view(np.uint8), bitorder="little").astype(bool)
+        out[k] = np.packbits((twice > len(hashes)) | ((twice == len(hashes)) & first), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def tables_for(n: int, similarity: float, words: int = WIDE) -> list[list[int]]:
+    """The bits that each table samples from a wide fingerprint: enough tables that a pair at the similarity meets in one
+    of them with probability RECALL, keys just wide enough for buckets of PER_BUCKET on average."""
+    width = min(24, max(8, int(math.log2(max(2, n) / PER_BUCKET))))
+    meet = (1 - differing(similarity)) ** width
+    many = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+    rng = np.random.default_rng(20240607)
+    return [sorted(rng.choice(64 * words, width, replace=False).tolist()) for _ in range(many)]
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id of its group), text_key.
+
+    Texts are linked when their wide fingerprints differ in no more bits than texts at this Jaccard similarity of word shingles
+    would, two standard deviations allowed.  Tables of sampled bits bring such pairs together; inside a bucket
+    fingerprints are compared bit-sliced on their first word and survivors on WIDE words; pairs found in any bucket are
+    then held against each other on CHECKED words.  Nulls, empty texts,
+    repeated rows and null ids are treated as by `near_duplicates`.
+    """
+    names = [f"w{i}" for i in range(CHECKED)]
+    keyed = columns_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), *[T.StructField(n, T.LongType()) for n in names]])
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            wide = np.stack([wide_fingerprint(t or b"", shingle) for t in utf8(batch.column(1))]).view(np.int64)
+            yield {"doc_id": batch.column(0), "text_key": batch.column(2)} | {n: pa.array(np.ascontiguousarray(wide[:, i])) for i, n in enumerate(names)}
+
+        return step
+
+    rows = stored(over_batches(keyed, make, schema), "similar-rows")
+    classes = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id())
+    classes = stored(classes, "similar-classes")
+    tables = tables_for(classes.count(), similarity)
+    share = differing(similarity)
+    slack = lambda bits: int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    dealt_schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("key", T.IntegerType()), T.StructField("rep", T.LongType()), *[T.StructField(n, T.LongType()) for n in names[:WIDE]]])
+
+    def deal():
+        def step(batch: pa.RecordBatch):
+            wide = np.ascontiguousarray(np.stack([batch.column(n).to_numpy() for n in names[:WIDE]], axis=1))
+            bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(np.int32)
+            for t, picked in enumerate(tables):
+                key = bits[:, picked] @ (1 << np.arange(len(picked), dtype=np.int32))
+                yield {"t": np.full(len(key), t, np.int32), "key": key.astype(np.int32), "rep": batch.column("rep"), **{n: batch.column(n) for n in names[:WIDE]}}
+
+        return step
+
+    dealt = over_batches(classes.select("rep", *names[:WIDE]), deal, dealt_schema).repartition("t", "key").sortWithinPartitions("t", "key")
+    near = stored(bucket_links(dealt, slack(64), None, slack(64 * WIDE), pairs=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    side = lambda c: classes.select(F.col("rep").alias(c), F.array(*names).alias(f"f{c}"))
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    links = near.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED)).select("a", "b")
+    groups = connected_components(links)
+    member = stored(classes.join(groups, classes["rep"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "rep"), "similar-members")
+    smallest = stored(member.groupBy("component").agg(F.min("least").alias("component_id"), F.lit(1).alias("w")), "similar-groups")
+    named = stored(hot_join(member, smallest, ["component"], "w", "inner").select(*names, "component_id", "n"), "similar-names")
+    return hot_join(rows, named, names, "n", "inner").select("doc_id", "component_id", "text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with the smallest doc_id of each group of similar texts alone, all columns."""
+    found = similar_documents(docs, shingle, similarity)
     return keep_documents(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key"))
