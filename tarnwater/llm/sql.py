@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express on small tables."""
 
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = """
@@ -85,4 +87,26 @@ run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY
 SELECT doc_id, domain, lang, source, n_tokens, CASE WHEN n_tokens > 0 THEN whole + CASE WHEN start < rest THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS copies FROM run
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op3_warc": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_decontam": OP7}
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_WORDS = r"regexp_extract_all(LOWER, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.replace('LOWER', _LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+ph(label, pw) AS (VALUES {', '.join(f"('{label}', {_list(p.split())})" for p, label in PHRASES.items())}),
+hit AS (SELECT r, label, i - 1 AS place FROM (SELECT r, ws, label, pw, unnest(range(1, len(ws) - len(pw) + 2)) AS i FROM d, ph WHERE len(ws) >= len(pw)) WHERE list_slice(ws, i, i + len(pw) - 1) = pw),
+base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r),
+tm(label, tw) AS (VALUES {', '.join(f"('{k}', {_list(sorted(w.decode() for w in v))})" for k, v in template_words(TEMPLATES).items())}),
+paras AS (SELECT r, unnest(string_split_regex(t, '\n[\x20\x09\x0b-\x0d]*\n')) AS p FROM d),
+bl AS (SELECT r, {_WORDS.replace('LOWER', _LOWER.format("b"))} AS bs FROM (SELECT r, p AS b FROM paras UNION ALL SELECT r, unnest(string_split(p, chr(10))) FROM paras)),
+met AS (SELECT r, label, max(share) AS share FROM (SELECT r, label, len(list_intersect(list_distinct(bs), tw))::DOUBLE / len(tw) AS share FROM bl, tm) WHERE share >= {THRESHOLD} - 1e-12 GROUP BY ALL),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hit UNION ALL SELECT r, label FROM met) GROUP BY r),
+best AS (SELECT r, max(share) AS share FROM met GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word, base.z::BIGINT AS last_word, coalesce(base.labels, '') AS base_labels,
+  coalesce(every.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op3_warc": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_decontam": OP7, "op10_license": OP10}
