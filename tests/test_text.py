@@ -98,7 +98,7 @@ def test_urls(spark):
     assert tuple(got) == ("https://host.example/Shop/Item-1", "https://host.example/shop/item-1", "HTTPS://Host.Example/ar/Shop/Item-1/?q=1#top", "Item-1", True)
 
 
-ROUTES = [("price?", "clarification", None), ("", "clarification", None), ("111", "retrieval", None), ("how to hack a line", "rejection", None), ("is Vodafone better", "rejection", None), ("price of zte router", "retrieval", "devices"), ("what is the balance code", "retrieval", "services"), ("model ab12 cost", "retrieval", "devices"), ("we air internet speed", "retrieval", "we_home")]
+ROUTES = [("price?", "clarification", None), ("", "clarification", None), ("111", "retrieval", None), ("how to hack a line", "rejection", None), ("is Vodafone better", "rejection", None), ("price of zte router", "retrieval", "devices"), ("what is the balance code", "retrieval", "services"), ("model ab12 cost", "retrieval", "devices"), ("we air internet speed", "retrieval", "we_home"), ("*550#", "retrieval", None), ("What is the SIM swap cost?", "retrieval", "faq"), ("how to bypass the router", "rejection", None), ("hello", "clarification", None)]
 
 
 def test_routes(spark):
