@@ -37,6 +37,8 @@ NULL_ID = -(1 << 63)
 SPAN = 1 << 18
 #: Windows of one super-k-mer at most (a text of one repeated word has one minimiser throughout).
 LONGEST = 1 << 12
+#: Text bytes packed at a time.
+BLOCK_BYTES = 12 << 20
 
 
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -202,10 +204,28 @@ def pack(texts: DataFrame, buckets: int, hot: dict[bytes, int], window: int = WI
         squeeze = zstandard.ZstdCompressor(level=3).compress
         marks = _marks(sent.value, window)
 
+        def blocks(parts: list, texts: list[bytes], ids: np.ndarray, keys: np.ndarray):
+            if not parts:
+                return
+            doc, first, n, start, end, mins = (np.concatenate(c) for c in zip(*parts, strict=True))
+            if not len(doc):
+                return
+            line = b"".join(texts)
+            bucket = (mins >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            doc, first, n, start, end, mins, bucket = (c[order] for c in (doc, first, n, start, end, mins, bucket))
+            cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                members, place = np.unique(doc[i:j], return_inverse=True)
+                columns = dict(zip([c for c, _ in COLUMNS], (place, first[i:j], n[i:j], end[i:j] - start[i:j], mins[i:j] & np.uint64(0xFFFFFFFF)), strict=True))
+                raw = [struct.pack("<II", j - i, len(members)), *[columns[c].astype(k).tobytes() for c, k in COLUMNS], ids[members].astype("<i8").tobytes(), keys[members].astype("<i8").tobytes()]
+                raw += [line[a:b] for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)]
+                yield int(bucket[i]), squeeze(b"".join(raw)), None, None, None, None
+
         def step(batch: pa.RecordBatch):
             ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             settled: list[tuple[int, int, int, int]] = []
-            texts, parts, at = [], [], 0
+            texts, parts, at, rows = [], [], 0, []
             for row, t in enumerate(utf8(batch.column(1))):
                 line = b" ".join((t or b"").split())
                 if line.count(b" ") < window - 1:
@@ -228,20 +248,10 @@ def pack(texts: DataFrame, buckets: int, hot: dict[bytes, int], window: int = WI
                 parts.append((np.full(len(first), row), first, last - first, starts[first] + at, ends[last + window - 2] + at, mins[first]))
                 texts.append(line)
                 at += len(line)
-            rows = []
-            if parts:
-                doc, first, n, start, end, mins = (np.concatenate(c) for c in zip(*parts, strict=True))
-                line = b"".join(texts)
-                bucket = (mins >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                doc, first, n, start, end, mins, bucket = (c[order] for c in (doc, first, n, start, end, mins, bucket))
-                cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    members, place = np.unique(doc[i:j], return_inverse=True)
-                    columns = dict(zip([c for c, _ in COLUMNS], (place, first[i:j], n[i:j], end[i:j] - start[i:j], mins[i:j] & np.uint64(0xFFFFFFFF)), strict=True))
-                    raw = [struct.pack("<II", j - i, len(members)), *[columns[c].astype(k).tobytes() for c, k in COLUMNS], ids[members].astype("<i8").tobytes(), keys[members].astype("<i8").tobytes()]
-                    raw += [line[a:b] for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)]
-                    rows.append((int(bucket[i]), squeeze(b"".join(raw)), None, None, None, None))
+                if at >= BLOCK_BYTES:
+                    rows += blocks(parts, texts, ids, keys)
+                    texts, parts, at = [], [], 0
+            rows += blocks(parts, texts, ids, keys)
             rows += [(None, None, *x) for x in settled]
             for at in range(0, len(rows), 4096):
                 yield dict(zip(("bucket", "blob", "doc_id", "text_key", "lo", "hi"), map(list, zip(*rows[at : at + 4096], strict=True)), strict=True))
