@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,35 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_dir, stored
+
+__all__ = ["ALNUM", "HOT_ROWS", "HOT_SHARE", "LOWER", "columns_of", "hot_join", "input_parts", "keep_documents", "over_batches", "per_worker", "release_shuffles", "shared_dir", "stored", "text_column", "text_udf", "utf8"]
+
 #: A key is hot when it holds more than this share of all rows, so at most 1/HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1024
 #: Keys with fewer rows than this are never worth a path of their own.
 HOT_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's checkpoint folder; local sessions without one get a temporary folder."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tarnwater-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, empty tables included."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished jobs before the next large exchange."""
     import gc
