@@ -18,6 +18,8 @@ from .components import connected_components
 SHINGLE, RADIUS = 4, 4
 #: Shingle hashes whose bits are counted at a time.
 CHUNK = 1 << 16
+#: The same for wide fingerprints.
+WIDE_CHUNK = 1 << 13
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -193,15 +195,20 @@ def wide_fingerprint(text: bytes, shingle: int, words: int = CHECKED) -> np.ndar
     ends = np.cumsum([len(w) + 1 for w in tokens])
     spans = zip([0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist(), strict=True) if len(tokens) > shingle else [(0, len(joined))]
     hashes = np.unique(np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64))
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        if k:
-            hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-            hashes ^= hashes >> np.uint64(29)
-        twice = _ones(hashes) * 2
-        first = np.unpackbits(hashes[:1].view(np.uint8), bitorder="little").astype(bool)
-        out[k] = np.packbits((twice > len(hashes)) | ((twice == len(hashes)) & first), bitorder="little").view(np.uint64)[0]
-    return out
+    twice, first = np.zeros((words, 64), np.int64), None
+    for at in range(0, len(hashes), WIDE_CHUNK):
+        mixed = np.empty((words, len(hashes[at : at + WIDE_CHUNK])), np.uint64)
+        mixed[0] = hashes[at : at + WIDE_CHUNK]
+        for k in range(1, words):
+            mixed[k] = (mixed[k - 1] ^ (mixed[k - 1] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            mixed[k] ^= mixed[k] >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(words, -1, 8), axis=2, bitorder="little")
+        first = bits[:, 0].astype(bool) if first is None else first
+        # Eight bytes of counts are added at a time; no byte sums more than 255.
+        sums = np.add.reduceat(bits.view(np.uint64), np.arange(0, bits.shape[1], 255), axis=1)
+        twice += 2 * sums.view(np.uint8).sum(axis=1, dtype=np.int64)
+    chosen = (twice > len(hashes)) | ((twice == len(hashes)) & first)
+    return np.packbits(chosen, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def tables_for(n: int, similarity: float, words: int = WIDE) -> list[list[int]]:
