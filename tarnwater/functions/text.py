@@ -104,13 +104,11 @@ def token_count(c: Column) -> Column:
 def unique(values: Column) -> Column:
     """Squeezed, blanks dropped, first of each key kept."""
     cleaned = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), squeeze), lambda x: x != "")
+    # Keys are made once for each value, before the fold compares them.
+    keyed = F.transform(F.transform(cleaned, lambda x: F.struct(x.alias("x"), key(x).alias("k"))), lambda e: F.struct(e["x"].alias("x"), F.when(e["k"] == "", F.lower(e["x"])).otherwise(e["k"]).alias("k")))
     start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        k = F.when(key(x) == "", F.lower(x)).otherwise(key(x))
-        return F.when(F.array_contains(acc["keys"], k), acc).otherwise(F.struct(F.array_append(acc["keys"], k).alias("keys"), F.array_append(acc["out"], x).alias("out")))
-
-    return F.aggregate(cleaned, start, step, lambda acc: acc["out"])
+    step = lambda acc, e: F.when(F.array_contains(acc["keys"], e["k"]), acc).otherwise(F.struct(F.array_append(acc["keys"], e["k"]).alias("keys"), F.array_append(acc["out"], e["x"]).alias("out")))
+    return F.aggregate(keyed, start, step, lambda acc: acc["out"])
 
 
 def language_any(c: Column) -> Column:

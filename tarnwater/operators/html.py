@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions import lexicon as L
 from ..functions import parsing as P
 from ..functions.text import clean_line, key, language_any, squeeze, text, unique
+from ..sources.shared import spread
 from .dedupe import content_key, first_wins
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,7 +184,7 @@ def page_struct(html: Column, url: Column) -> Column:
 
 def parsed(pages: DataFrame) -> DataFrame:
     """pages with `page`, `lines` (noise and repeats dropped), `title`, `description` and `language`."""
-    df = pages.withColumn("page", page_struct(F.col("html"), F.col("url")))
+    df = spread(pages).withColumn("page", page_struct(F.col("html"), F.col("url")))
     kept = F.filter(F.transform(F.col("page.lines"), clean_line), lambda x: ~P.is_noise(x))
     df = df.withColumn("lines", F.slice(unique(kept), 1, MAX_LINES))
     some = lambda c: F.when(squeeze(c) != "", squeeze(c))
@@ -258,7 +259,8 @@ def page_records(df: DataFrame, category: Column, useful: int = 0) -> DataFrame:
     whole = F.struct(F.lit("page").alias("kind"), F.lit(0).alias("at"), F.col("title").alias("title"), body.alias("content"), F.when(F.col("page.terms").isNotNull(), unique(F.col("page.terms"))).alias("terms"))
     rows = F.transform(F.filter(F.col("page.rows"), lambda r: (F.size(r["cells"]) >= 2) & ~((r["row_index"] == 0) & r["header"])), lambda r, i: F.struct(F.lit("row").alias("kind"), (i + 1000).alias("at"), F.get(r["cells"], F.lit(0)).alias("title"), F.array_join(r["cells"], " | ").alias("content"), none.cast("array<string>").alias("terms")))
     shown = lambda c: F.array_join(F.slice(unique(F.filter(F.transform(c["lines"], clean_line), lambda x: ~P.is_noise(x))), 1, 40), "\n")
-    blocks = F.transform(F.filter(F.col("page.cards"), lambda c: F.length(shown(c)).between(50, 2500)), lambda c, i: F.struct(F.lit("card").alias("kind"), (i + 100000).alias("at"), F.coalesce(F.nullif(squeeze(c["title"]), F.lit("")), F.col("title")).alias("title"), shown(c).alias("content"), none.cast("array<string>").alias("terms")))
+    blocks = F.transform(F.col("page.cards"), lambda c, i: F.struct(F.lit("card").alias("kind"), (i + 100000).alias("at"), F.coalesce(F.nullif(squeeze(c["title"]), F.lit("")), F.col("title")).alias("title"), shown(c).alias("content"), none.cast("array<string>").alias("terms")))
+    blocks = F.filter(blocks, lambda x: F.length(x["content"]).between(50, 2500))
     every = F.concat(F.when((F.col("mobile_category") != "unknown") & (F.length(body) >= useful), F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0)), rows, blocks)
     out = df.select(*same, F.explode(every).alias("x")).select(*["page_id", "citation_url", "mobile_category", "description", "language"], "x.*")
     once = out.filter("kind = 'card'")
