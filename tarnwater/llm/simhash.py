@@ -259,7 +259,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
         return step
 
-    dealt = over_batches(classes.select("rep", *names[:WIDE]), deal, dealt_schema).repartition("t", "key").sortWithinPartitions("t", "key")
+    dealt = over_batches(classes.select("rep", *names[:WIDE]), deal, dealt_schema).repartition("t", "key").sortWithinPartitions("t", "key", *names[:WIDE])
     near = stored(bucket_links(dealt, slack(64), None, slack(64 * WIDE), pairs=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
     side = lambda c: classes.select(F.col("rep").alias(c), F.array(*names).alias(f"f{c}"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
