@@ -234,3 +234,29 @@ def test_line_fingerprints_in_bulk_equal_single_ones():
     rng = random.Random(2)
     norms = [line_dedup.normalised(prose(rng, n).encode()) for n in (1, 2, 3, 4, 5, 30, 200)] + [b"a", b"ab", b"abc", b"x x x x x x", b"x"]
     assert line_dedup.fingerprints(norms).tolist() == [int(line_dedup.fingerprints([n])[0]) for n in norms]
+
+
+def test_line_dedup_recall_against_all_pairs(table):
+    """Lines of 5 to 40 words and copies with words replaced, added or dropped or letters changed, against brute-force edit similarity."""
+    rng = random.Random(11)
+    lines = []
+    for i in range(240):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range((5, 8, 10, 15, 25, 40)[i % 6])]
+        copy, at = list(words), rng.randrange(len(words))
+        if i // 6 % 4 == 0:
+            copy[at] = "other"
+        elif i // 6 % 4 == 1:
+            copy.insert(at, "more")
+        elif i // 6 % 4 == 2:
+            del copy[at]
+        else:
+            for k in rng.sample(range(len(words)), len(words) // 4):
+                copy[k] = copy[k][:-1] + "Q"
+        lines += [" ".join(words), " ".join(copy)]
+    norms = [line_dedup.normalised(x.encode()).decode() for x in lines]
+    close = lambda a, b: line_dedup.within_edits(norms[a], norms[b], int(0.2 * max(len(norms[a]), len(norms[b])) + 1e-9))
+    want = brute_components(list(range(len(lines))), close)
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
+    linked = [i for i in range(len(lines)) if want[i] != i]
+    assert len(linked) > 200 and sum(got[i] for i in linked) >= 0.97 * len(linked)
+    assert all(want[i] != i for i in got if got[i])
