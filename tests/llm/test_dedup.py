@@ -260,3 +260,23 @@ def test_line_dedup_recall_against_all_pairs(table):
     linked = [i for i in range(len(lines)) if want[i] != i]
     assert len(linked) > 200 and sum(got[i] for i in linked) >= 0.97 * len(linked)
     assert all(want[i] != i for i in got if got[i])
+
+
+@pytest.mark.parametrize("together", [line_dedup.TOGETHER, 100], ids=["one group", "parts"])
+def test_line_dedup_verifies_crowded_buckets(table, monkeypatch, together):
+    """A bucket of lines over one template, most of them unlike in edits, loses none of the close pairs among them."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    template, lines = [word() for _ in range(14)], []
+    for _ in range(120):
+        words = template + [word() for _ in range(6)]
+        copy = list(words)
+        copy[-1] = word()
+        lines += [" ".join(words), " ".join(copy)]
+    rng.shuffle(lines)
+    close = lambda a, b: line_dedup.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
+    want = brute_components(list(range(len(lines))), close)
+    assert len(set(want)) == 120
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
+    assert got == {i: int(want[i] != i) for i in range(len(lines))}
