@@ -280,3 +280,20 @@ def test_line_dedup_verifies_crowded_buckets(table, monkeypatch, together):
     assert len(set(want)) == 120
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
     assert got == {i: int(want[i] != i) for i in range(len(lines))}
+
+
+def test_line_dedup_same_fingerprint_beyond_64_lines(table):
+    """Over one set of words in many orders, lines that are close to each other but unlike the first are linked."""
+    rng = random.Random(13)
+    words, lines = "amber basil cedar delta ember flint grove hazel".split(), []
+    for _ in range(60):
+        order = rng.sample(words, 8) + rng.sample(words, 8)
+        lines += [" ".join(order), " ".join([*order, order[-1]])]
+    norms = [x.encode() for x in lines]
+    assert len(set(line_dedup.fingerprints(norms).tolist())) == 1 and len(set(norms)) > 64
+    close = lambda a, b: line_dedup.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
+    want = brute_components(list(range(len(lines))), close)
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
+    linked = [i for i in range(len(lines)) if want[i] != i]
+    assert len(linked) >= 60 and sum(got[i] for i in linked) >= 0.97 * len(linked)
+    assert all(want[i] != i for i in got if got[i])
