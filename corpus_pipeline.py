@@ -8,7 +8,10 @@ from tarnwater.llm import common, decontam, exact_dedup, lang_id, mixing, simhas
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; those without a letter or far from every language go."""
+    """Documents that one learned language explains clearly better than the others; those without a letter or undecided go.
+
+    A text far from every language stays if one of them is clearly the least far.
+    """
     return lang_id.keep_identified(docs)
 
 
