@@ -182,6 +182,41 @@ def spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
+def forest(i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Mask of the pairs (i, j) that make a least spanning forest when pairs weigh by their place in `order`.
+
+    Every tree takes its lightest pair to another tree, all trees at once, until none is left.
+    """
+    chosen = np.zeros(len(i), bool)
+    nodes, flat = np.unique(np.concatenate((i, j)), return_inverse=True)
+    weight = np.empty(len(i), np.int64)
+    weight[order] = np.arange(len(i))
+    label, live = np.arange(len(nodes)), np.arange(len(i))
+    a, b = flat[: len(i)], flat[len(i) :]
+    while len(live):
+        x, y, w = label[a[live]], label[b[live]], weight[live]
+        apart = x != y
+        live, x, y, w = live[apart], x[apart], y[apart], w[apart]
+        least = np.full(len(nodes), len(i))
+        np.minimum.at(least, x, w)
+        np.minimum.at(least, y, w)
+        picked = order[np.unique(least[least < len(i)])]
+        chosen[picked] = True
+        # Trees joined by picked pairs get one label: the smallest, passed on until nothing changes.
+        u, v = label[a[picked]], label[b[picked]]
+        up = np.arange(len(nodes))
+        while len(u):
+            low = np.minimum(up[u], up[v])
+            before = up.copy()
+            np.minimum.at(up, u, low)
+            np.minimum.at(up, v, low)
+            up = up[up]
+            if (up == before).all():
+                break
+        label = up[label]
+    return chosen
+
+
 def thinned(i: np.ndarray, j: np.ndarray, bucket: np.ndarray, members: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of each bucket (numbers of sorted buckets, with their members), where there are at most `most` a member;
     of denser buckets a spanning forest of the pairs themselves."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import shared_dir, stored
 
-__all__ = ["ALNUM", "HOT_ROWS", "HOT_SHARE", "LOWER", "columns_of", "hot_join", "input_parts", "keep_documents", "over_batches", "per_worker", "release_shuffles", "shared_dir", "stored", "text_column", "text_udf", "utf8"]
+__all__ = ["ALNUM", "HOT_ROWS", "HOT_SHARE", "LOWER", "columns_of", "hot_join", "input_parts", "keep_documents", "over_batches", "per_worker", "release_shuffles", "shared_dir", "stored", "text_column", "text_udf", "utf8", "whole_groups"]
 
 #: A key is hot when it holds more than this share of all rows, so at most 1/HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1024
@@ -27,7 +28,7 @@ def release_shuffles(spark: SparkSession) -> None:
     for _ in range(2):  # the first pass frees the plans, the second what they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+        time.sleep(0.3)
 
 
 def text_column(docs: DataFrame, name: str = "text") -> F.Column:
@@ -111,6 +112,40 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, columns) of runs of whole groups, from batches of whole numbers sorted by their first columns, the keys.
+
+    A group is never cut.  Rows of a long group are held as they come and put together once.
+    """
+    held: list[np.ndarray] = []
+    total = safe = 0
+
+    def cut_points(part: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((part[:keys, 1:] != part[:keys, :-1]).any(axis=0)) + 1
+
+    def split(part: np.ndarray):
+        cut = cut_points(part)
+        return np.concatenate(([0], cut)), np.concatenate((cut, [part.shape[1]])), part
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        cut = cut_points(part)
+        if len(cut):
+            safe = total + int(cut[-1])
+        elif held and (held[-1][:keys, -1] != part[:keys, 0]).any():
+            safe = total
+        held.append(part)
+        total += part.shape[1]
+        if safe >= rows:
+            every = np.concatenate(held, axis=1)
+            yield split(every[:, :safe])
+            held, total, safe = [every[:, safe:]], total - safe, 0
+    if held:
+        yield split(np.concatenate(held, axis=1))
+
+
 def per_worker(key: str, build: Callable[[], object]) -> object:
     """Build once in each Python worker process and keep it for later tasks of the same session."""
     import sys

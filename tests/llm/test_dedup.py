@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnwater.llm import bitslice, components, exact_dedup, line_dedup, simhash, substring_dedup
+from tarnwater.llm import bitslice, common, components, edits, exact_dedup, line_dedup, simhash, substring_dedup
 
 from .conftest import LONG, ODD
 
@@ -219,21 +219,92 @@ def test_line_dedup(table):
     lines = [prose(rng, 25) for _ in range(6)]
     near = lines[0].split()
     near[3] = near[3] + "x"
-    rows = [(1, "\n".join([lines[0], "", lines[1], lines[1].upper() + " !"])), (2, " ".join(near) + "\n" + lines[2] + "\n\n"), (3, lines[2] + "\n" + lines[3]), (4, None), (4, ""), (None, lines[4]), (5, lines[4] + "\n" + lines[5]), (5, lines[5])]
+    near = " ".join(near)
+    rows = [(1, "\n".join([lines[0], "", lines[1], lines[1].upper() + " !"])), (2, near + "\n" + lines[2] + "\n\n"), (3, lines[2] + "\n" + lines[3]), (4, None), (4, ""), (None, lines[4]), (5, lines[4] + "\n" + lines[5]), (5, lines[5])]
     got = sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(table(rows)).collect())
-    want = [("1", 4, 1, "\n".join([lines[0], "", lines[1]])), ("2", 4, None, None), ("3", 2, 1, lines[3]), ("4", 1, 0, ""), ("4", 1, 0, ""), ("5", 2, 1, None), ("5", 1, None, None), ("None", 1, 0, lines[4])]
-    assert [g[:2] for g in got] == sorted(w[:2] for w in want)
-    by = {g[0]: g for g in got}
-    assert by["1"] == want[0] and by["3"] == want[2] and by["None"] == want[7]
-    linked = (int(line_dedup.fingerprints([line_dedup.normalised(lines[0].encode())])[0]) ^ int(line_dedup.fingerprints([line_dedup.normalised(" ".join(near).encode())])[0])).bit_count() <= line_dedup.RADIUS
-    assert by["2"][2] == int(linked)
-    assert sum(g[2] for g in got if g[0] == "5") == 2  # one copy of line 4, one of line 5
+    by = {g[0]: g for g in got if g[0] != "5"}
+    assert by == {"1": ("1", 4, 1, "\n".join([lines[0], "", lines[1]])), "2": ("2", 4, 1, lines[2] + "\n\n"), "3": ("3", 2, 1, lines[3]), "4": ("4", 1, 0, ""), "None": ("None", 1, 0, lines[4])}
+    assert sorted(g[1] for g in got if g[0] == "5") == [1, 2] and sum(g[2] for g in got if g[0] == "5") == 2  # a copy of line 4, one of line 5
 
 
-def test_line_fingerprints_in_bulk_equal_single_ones():
+def test_line_dedup_of_odd_rows(table):
+    """Nulls, blanks, ties, repeated rows and a very long line: repeated rows lose the same lines."""
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in line_dedup.line_dedup(table(ODD), keep_text=False).collect())
+    want = [("1", 1, 0), ("2", 1, 0), ("2", 1, 0), ("3", 2, 0), ("None", 1, 0), ("None", 1, 0), ("5", 1, 1), ("5", 1, 1), ("6", 1, 0), ("7", 1, 1), ("8", 1, 0)]
+    assert got == sorted(want)
+
+
+def test_numbers_tell_lines_apart(table):
+    rows = [(1, "Total sum of this bill here: 5"), (2, "Total sum of this bill here: 81234567890"), (3, "Total sum of this bill here: 6")]
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(rows)).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_line_features_in_bulk_equal_single_ones():
     rng = random.Random(2)
-    norms = [line_dedup.normalised(prose(rng, n).encode()) for n in (1, 2, 3, 4, 5, 30, 200)] + [b"a", b"ab", b"abc", b"x x x x x x", b"x"]
-    assert line_dedup.fingerprints(norms).tolist() == [int(line_dedup.fingerprints([n])[0]) for n in norms]
+    norms = [line_dedup.normalised(prose(rng, n).encode()) for n in (1, 2, 3, 4, 5, 6, 7, 30, 300)] + [b"a", b"ab", b"abc", b"x x x x x x", b"x", b"a b c d e f g"]
+    prints, keys, many = line_dedup.features(norms)
+    at = np.cumsum(many) - many
+    for k, n in enumerate(norms):
+        one = line_dedup.features([n])
+        assert (one[0][0] == prints[k]).all() and (one[1] == keys[at[k] : at[k] + many[k]]).all()
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("lanes", [0, 10**6], ids=["side by side", "one at a time"])
+def test_edit_distances(monkeypatch, lanes):
+    monkeypatch.setattr(edits, "LANES", lanes)
+    rng = random.Random(1)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcé漢") for _ in range(rng.choice([0, 1, 3, 10, 63, 64, 65, 100, 130])))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 3))):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", "\U0001f600"])
+        pairs.append((a, "".join(b)))
+    limits = [int(0.2 * max(len(a), len(b))) for a, b in pairs]
+    want = [levenshtein(a, b) <= k for (a, b), k in zip(pairs, limits, strict=True)]
+    assert edits.within_many([a for a, _ in pairs], [b for _, b in pairs], limits).tolist() == want and 50 < sum(want) < 350
+    assert [edits.within_edits(a, b, k) for (a, b), k in zip(pairs, limits, strict=True)] == want
+
+
+def test_least_spanning_forest():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        i, j = rng.integers(0, 40, 90), rng.integers(0, 40, 90)
+        i, j = i[i != j], j[i != j]
+        order = rng.permutation(len(i))
+        up, want = list(range(40)), np.zeros(len(i), bool)
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for e in order.tolist():
+            if root(i[e]) != root(j[e]):
+                up[root(i[e])], want[e] = root(j[e]), True
+        assert (bitslice.forest(i, j, order) == want).all()
+
+
+def test_whole_groups_are_never_cut():
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(2).integers(0, 60, 5000))
+    keys[1000:3500] = keys[1000]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 37]), pa.array(np.arange(a, min(a + 37, 5000)))], names=["k", "v"]) for a in range(0, 5000, 37)]
+    groups = [(part[0, s], part[1, s], e - s) for starts, ends, part in common.whole_groups(iter(batches), 1, 100) for s, e in zip(starts, ends, strict=True)]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    assert [(k, v, n) for k, v, n in groups] == [(keys[c], c, n) for c, n in zip(cut, np.diff(np.concatenate((cut, [5000]))), strict=True)]
 
 
 def test_line_dedup_recall_against_all_pairs(table):
@@ -254,7 +325,7 @@ def test_line_dedup_recall_against_all_pairs(table):
                 copy[k] = copy[k][:-1] + "Q"
         lines += [" ".join(words), " ".join(copy)]
     norms = [line_dedup.normalised(x.encode()).decode() for x in lines]
-    close = lambda a, b: line_dedup.within_edits(norms[a], norms[b], int(0.2 * max(len(norms[a]), len(norms[b])) + 1e-9))
+    close = lambda a, b: edits.within_edits(norms[a], norms[b], int(0.2 * max(len(norms[a]), len(norms[b])) + 1e-9))
     want = brute_components(list(range(len(lines))), close)
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
     linked = [i for i in range(len(lines)) if want[i] != i]
@@ -262,10 +333,32 @@ def test_line_dedup_recall_against_all_pairs(table):
     assert all(want[i] != i for i in got if got[i])
 
 
-@pytest.mark.parametrize("together", [line_dedup.TOGETHER, 100], ids=["one group", "parts"])
-def test_line_dedup_verifies_crowded_buckets(table, monkeypatch, together):
+@pytest.mark.parametrize("few", [1, 2, 3])
+@pytest.mark.parametrize("crowd", [line_dedup.CROWD, 20], ids=["buckets", "crowded buckets"])
+def test_line_dedup_recall_by_words_replaced(table, few, crowd):
+    """Lines of 8 to 40 words with one, two or three words replaced by letters of equal length; each begins with a common pair
+    of words, so that a small limit makes its bucket a crowded one."""
+    rng = random.Random(20 + few)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, n = [], 0
+    for _ in range(220):
+        words = ["international", "organisation"] + [rng.choice(WORDS) if rng.random() < 0.4 else word(rng.randint(3, 10)) for _ in range(rng.randint(6, 38))]
+        copy = list(words)
+        for k in rng.sample(range(len(words)), few):
+            copy[k] = word(len(copy[k]))
+        if line_dedup.similar(" ".join(words), " ".join(copy)):
+            rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(copy))]
+            n += 1
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(rows), crowd=crowd, judged=1).collect()}
+    assert n > 150 and sum(got[2 * k + 1] for k in range(n)) >= 0.95 * n
+    assert not any(got[2 * k] for k in range(n))
+
+
+@pytest.mark.parametrize(("together", "dense"), [(line_dedup.TOGETHER, line_dedup.DENSE), (100, 1), (line_dedup.TOGETHER, 10**6)], ids=["one group", "parts", "pairs"])
+def test_line_dedup_verifies_crowded_buckets(table, monkeypatch, together, dense):
     """A bucket of lines over one template, most of them unlike in edits, loses none of the close pairs among them."""
     monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    monkeypatch.setattr(line_dedup, "DENSE", dense)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     template, lines = [word() for _ in range(14)], []
@@ -275,7 +368,7 @@ def test_line_dedup_verifies_crowded_buckets(table, monkeypatch, together):
         copy[-1] = word()
         lines += [" ".join(words), " ".join(copy)]
     rng.shuffle(lines)
-    close = lambda a, b: line_dedup.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
+    close = lambda a, b: edits.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
     want = brute_components(list(range(len(lines))), close)
     assert len(set(want)) == 120
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
@@ -290,8 +383,8 @@ def test_line_dedup_same_fingerprint_beyond_64_lines(table):
         order = rng.sample(words, 8) + rng.sample(words, 8)
         lines += [" ".join(order), " ".join([*order, order[-1]])]
     norms = [x.encode() for x in lines]
-    assert len(set(line_dedup.fingerprints(norms).tolist())) == 1 and len(set(norms)) > 64
-    close = lambda a, b: line_dedup.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
+    assert len(set(line_dedup.features(norms)[0][:, 0].tolist())) == 1 and len(set(norms)) > 64
+    close = lambda a, b: edits.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
     want = brute_components(list(range(len(lines))), close)
     got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
     linked = [i for i in range(len(lines)) if want[i] != i]
