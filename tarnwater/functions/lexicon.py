@@ -63,18 +63,29 @@ INDEX_LABELS = {
     "billing_cycle": "Billing cycle", "validity": "Validity", "renewal_type": "Renewal type", "price_includes_vat": "Price includes VAT", "vat_note": "VAT note", "payment_channels": "Payment channels", "search_aliases": "Aliases", "features": "Features", "benefits": "Benefits", "terms_and_conditions": "Terms and conditions",
 }
 CHUNK_INDEX_FIELDS = ("service_name", "product_name", "package_name", "brand", "product_family", "tier", "quota", "quota_gb", "quota_tb", "speed", "download_speed", "upload_speed", "subscription_code", "ussd_codes", "price", "price_numeric", "price_egp", "monthly_fee", "monthly_fee_egp", "yearly_fee", "yearly_fee_egp", "fee", "fee_notes", "search_aliases")
-ATOMIC_TYPES = ("faq", "product", "service_detail", "service_code", "service_fee", "subscription_method", "package", "yearly_package", "add_on", "payment_channels", "salefny_rule", "renewal_rule", "early_renewal_rule", "hardware", "table_row")
+ATOMIC_TYPES = ("faq", "product", "service_code", "service_fee", "package", "package_tier", "package_price", "yearly_package", "add_on", "payment_channels", "salefny_rule", "renewal_rule", "early_renewal_rule", "hardware", "table_row")
 MOBILE_CATEGORIES = ("prepaid", "control_plans", "postpaid", "mobile_internet", "value_added_services")
 MOBILE_TYPES = ("plan", "package", "add_on", "service_code", "service_detail", "service_fee", "terms", "benefit", "faq_like", "detail")
 
 # --- Fixed values: noise ------------------------------------------------------------------------------------
 NOISE_PHRASES = (
     "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "return to top", "mobile services details page", "personal", "home", "menu", "close", "next", "previous", "back", "add", "add products", "add product", "add another product", "clear all", "recharge now", "mobile", "control", "bundle services", "choose your plan", "recommended", "recommanded", "visit", "sorry. there are no products to compare",
-    "حذف", "حذف الكل", "أضف للمقارنة", "اضف للمقارنة", "إضافة للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكثر", "تفاصيل أكثر", "الرجوع الى الأعلى", "الرجوع الي الأعلي", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "رجوع", "أضف منتج", "أضف منتج آخر", "المقارنة",
+    "حذف", "حذف الكل", "أضف للمقارنة", "اضف للمقارنة", "إضافة للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى", "الرجوع الي الأعلي", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "رجوع", "أضف منتج", "أضف منتج آخر", "المقارنة",
 )
-FACT_HINT = r"(?i)(\d|egp|l\.e|le|pt|gb|mb|kix|\*|#|code|valid|bundle|quota|minute|sms|جنيه|قرش|ميجا|جيجا|كيكس|كود|دقيقة|صلاحية|باقة)"
-NOISE_TAGS = ("script", "style", "noscript", "nav", "header", "footer", "svg", "iframe", "form", "button")
-NOISE_CLASSES = ("modal", "breadcrumb", "cookie", "navbar", "sidebar")
+#: Lines that are navigation on pages of each section, and in cleaned content of mobile records.
+MOBILE_NOISE = ("home", "personal", "business", "about us", "contact us", "search", "login", "my account", "back to top", "facebook", "twitter", "instagram", "youtube", "english", "العربية")
+MOBILE_NOISE_STARTS = ("copyright", "all rights reserved")
+PUBLIC_NOISE = ("home", "personal", "business", "about us", "contact us", "search", "login", "my account", "english", "العربية", "facebook", "twitter", "instagram", "youtube", "linkedin")
+BUSINESS_NOISE = (
+    "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "business", "personal", "menu", "close", "next", "previous", "home", "login", "search", "english",
+    "العربية", "حذف", "أضف للمقارنة", "اضف للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "الرئيسية",
+)
+SECTION_NOISE = (
+    "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "business", "personal", "menu", "close", "next", "previous", "home", "products comparison", "compare products", "all rights reserved", "login", "search", "english",
+    "العربية", "حذف", "أضف للمقارنة", "اضف للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "الرئيسية", "مقارنة المنتجات", "جميع الحقوق محفوظة",
+)
+GENERIC_NOISE = ("remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "business", "personal", "menu", "close", "next", "previous", "home")
+NAVIGATION_HINTS = ("home", "personal", "business", "contact us", "login", "my account", "search", "back to top")
 LABEL_PREFIXES = ("title:", "category:", "record type:", "language:", "source:", "content:", "metadata:", "source type:", "source_name:", "retriever:")
 TYPE_WORDS = ("service_detail", "eligibility", "service_fee", "subscription_method")
 NOT_FOUND_SIGNALS = (
@@ -84,20 +95,66 @@ NOT_FOUND_SIGNALS = (
 # --- Fixed values: amounts ----------------------------------------------------------------------------------
 PRICE_UNIT = r"EGP|LE|L\.E|جنيه|ج\.م|جم|PT|قرش|قروش"
 SUBUNITS = ("pt", "قرش", "قروش")
-MOBILE_PRICE = rf"(?i)([0-9]+(?:[.,][0-9]+)?)[ \t\r\n]*({PRICE_UNIT})"
-BUSINESS_PRICE = rf"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)[ \t\r\n]*({PRICE_UNIT})"
-MOBILE_QUOTA = r"(?i)([0-9]+(?:[.,][0-9]+)?)[ \t\r\n]*(GB|G\.B|MB|M\.B|جيجابايت|جيجا|ميجابايت|ميجا)"
+MOBILE_PRICE = rf"(?i)(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?)[ \t\r\n]*({PRICE_UNIT})"
+BUSINESS_PRICE = rf"(?i)(\p{{Nd}}[\p{{Nd}},]*(?:\.\p{{Nd}}+)?)[ \t\r\n]*({PRICE_UNIT})"
+MOBILE_QUOTA = r"(?i)(\p{Nd}+(?:[.,]\p{Nd}+)?)[ \t\r\n]*(GB|G\.B|MB|M\.B|جيجابايت|جيجا|ميجابايت|ميجا)"
 GIGABYTES = ("gb", "g.b", "جيجابايت", "جيجا")
-BUSINESS_QUOTA = r"(?i)([0-9][0-9,]*(?:\.[0-9]+)?)[ \t\r\n]*(GB|G\.B|MB|M\.B|SMS|units?|minutes?|sessions?|channels?|SIMs?|invoices?|rack units?|RU|bandwidth|domains?)"
-USSD = r"(?U)(?<!\w)(?:\*[0-9]{2,6}(?:\*[0-9]{1,6})*#?|#[0-9]{2,6}\*?)(?!\w)"
+BUSINESS_QUOTA = r"(?i)(\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?)[ \t\r\n]*(GB|G\.B|MB|M\.B|SMS|units?|minutes?|sessions?|channels?|SIMs?|invoices?|rack units?|RU|bandwidth|domains?)"
+USSD = r"(?U)(?<!\w)(?:\*\p{Nd}{2,6}(?:\*\p{Nd}{1,6})*#?|#\p{Nd}{2,6}\*?)(?!\w)"
 MOBILE_CODE = r"(?U)(?<!\w)(?:[#*][0-9][0-9#*]{1,18}[#*]?)(?!\w)"
-KIX_UNITS = r"(?i)([0-9]{1,3}(?:,[0-9]{3})+|[0-9]{3,6})[ \t\r\n]*(?:Kix|كيكس)"
-CONSUMPTION = r"(?i)(?:^|\s)(?:[0-9]+\s*)?(?:Kix|كيكس)\s*=\s*.+"
-VALID_DAYS = r"([0-9]+)[ \t\r\n]*(day|days|يوم|أيام|ايام)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+?[0-9][0-9 ()-]{6,}[0-9])"
-DATE = r"\b(?:[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|(?:19|20)[0-9]{2})\b"
-IMPORTANT = r"(?i)(\*[0-9]+[#*]?|#[0-9]+\*?|[0-9][0-9,]*(?:\.[0-9]+)?|egp|le|gb|mbps|جنيه|قرش|قروش)"
-VALUE = r"(?i)[0-9][0-9,]*(?:\.[0-9]+)?[ \t\r\n]*(?:egp|le|pt|gb|mbps|جنيه|قرش|قروش)"
-SOURCE_CODE = r"(?U)\*\s*[0-9]+(?:\s*\*\s*[\w؀-ۿ]+)*\s*#?"
+PUBLIC_QUOTA = r"(?i)\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?\s*(?:GB|G\.B|MB|M\.B|جيجابايت|جيجا|ميجابايت|ميجا)"
+KIX_UNITS = r"(?i)(\p{Nd}{1,3}(?:,\p{Nd}{3})+|\p{Nd}{3,6})[ \t\r\n]*(?:Kix|كيكس)"
+CONSUMPTION = r"(?i)(?:^|\s)(?:\p{Nd}+\s*)?(?:Kix|كيكس)\s*=\s*.+"
+VALID_DAYS = r"(\p{Nd}+)[ \t\r\n]*(day|days|يوم|أيام|ايام)"
+EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+PHONE = r"(?U)(?<!\w)(?:\+?20)?\s?\p{Nd}{2,4}[\s-]?\p{Nd}{3,4}[\s-]?\p{Nd}{3,4}(?!\w)"
+DATE = r"(?iU)\b(?:19|20)\p{Nd}{2}\b|\b\p{Nd}{1,2}[/-]\p{Nd}{1,2}[/-](?:19|20)?\p{Nd}{2}\b|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\p{Nd}{1,2},?\s+\p{Nd}{4}\b"
+IMPORTANT = r"(?i)(\*\p{Nd}+[#*]?|#\p{Nd}+\*?|\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?|egp|le|gb|mbps|جنيه|قرش|قروش)"
+VALUE = r"(?i)\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?[ \t\r\n]*(?:egp|le|pt|gb|mbps|جنيه|قرش|قروش)"
+SOURCE_CODE = r"(?U)\*\s*\p{Nd}+(?:\s*\*\s*[\w؀-ۿ]+)*\s*#?"
 LOW_RELEVANCE = 0.35
+
+# --- Fixed values: pages ------------------------------------------------------------------------------------
+#: Last part of a business page's address: its category and the heading above it.
+BUSINESS_PAGES = {
+    ("business_mobile_services", "Mobile Rate Plans & solutions"): ("we-business", "we-buissnes-value", "we-business-prepaid", "we-buissnes-internet", "we-data-hub", "m2m-shared-data", "smart-meters", "we-business-sms", "fleet-tracking-service", "we-air-business"),
+    ("business_data_connectivity", "Enterprise Infrastructure Transit & Media"): ("business-adsl", "ip-transit", "ip-vpn", "transmission-media"),
+    ("business_voice_services", "Fixed Line & Corporate Telephony routing"): ("business-landline", "voice-plans", "short-number", "toll-free-numbers", "voice-service-0900", "pri-circuit", "sip-trunk-service", "marketing-calls"),
+    ("business_hosting_data_center", "Data Infrastructure, VPS & Racks"): ("data-center-co-location", "dedicated-hosting", "virtual-private-servers", "shared-hosting"),
+    ("business_digital_solutions", "Managed ICT, Cloud Platforms & Security"): ("we-access", "ddos-protection", "hosted-call-center", "managed-ip-telephony", "video-conferencing-meet-me", "smart-solutions", "e-invoice", "we-cloud-erp", "we-fintech"),
+    ("business_wholesale", "Carrier Solutions & Peering"): ("wholesale",),
+}
+BUSINESS_DEFAULT = ("business", "WE Business")
+#: Labels of built content: Arabic, English.
+LABELS = {
+    "plan": ("الخدمة/الباقة", "Plan or service"), "service": ("الخدمة", "Service"), "category": ("الفئة", "Category"), "description": ("الوصف", "Description"), "price": ("السعر", "Price"), "quota": ("السعة", "Quota"), "allowance": ("السعة", "Quota or allowance"), "codes": ("الأكواد", "Codes"),
+    "benefits": ("المميزات", "Benefits"), "features": ("المميزات", "Features"), "terms": ("الشروط والأحكام", "Terms and conditions"), "details": ("التفاصيل", "Details"), "section": ("القسم", "Section"), "topic": ("الموضوع", "Topic"), "title": ("العنوان", "Title"),
+}
+#: Topics of section pages: the first whose words stand in title or address.
+SUSTAINABILITY = "corporate_sustainability"
+ABOUT = "about_te"
+SUSTAINABILITY_TOPICS = ((("climate",), "Climate Change"), (("quality", "iso", "esms"), "Corporate Quality"), (("sustainability",), "Sustainability"))
+SUSTAINABILITY_TOPIC = "Corporate Sustainability"
+ABOUT_TOPICS = ((("board",), "Board of Directors"), (("management",), "Management Team"), (("museum",), "TE Museum"), (("history",), "History"), (("award",), "Awards"), (("strategy",), "Corporate Strategy"), (("press",), "Press Releases"), (("tv",), "TV Ads"), (("career", "training"), "Careers and Training"), (("contact",), "Contact Information"))
+ABOUT_TOPIC = "About TE"
+SPECIAL_CARDS = ("history_milestone", "award", "press_release", "tv_ad")
+#: Categories of public pages: the first whose words stand in the address.
+PUBLIC_CATEGORIES = ((("/business",), "business"), (("/support", "/help"), "support"), (("/offer",), "offers"), (("/branch", "stores"), "branches"), (("/mobile",), "mobile"), (("/devices", "/w/"), "public_site"), (("/personal",), "personal"))
+PUBLIC_CATEGORY, PUBLIC_UNTITLED = "public_site", "Untitled public page"
+#: What a business record's title adds to its aliases.
+BUSINESS_ALIASES = (
+    (("business value",), ("WE Business Value", "business value plan", "corporate value plan")), (("we business",), ("WE Business", "business mobile plan", "corporate mobile plan", "business control plan")), (("sms",), ("WE Business SMS", "business bulk SMS", "corporate SMS package")),
+    (("data hub",), ("WE Data Hub", "shared corporate data pool", "corporate shared data SIMs")), (("air", "fwa"), ("WE Air Business", "Business FWA", "Fixed Wireless Access business")), (("sip",), ("SIP Trunk",)), (("pri",), ("PRI Circuit",)), (("toll free",), ("Toll Free Numbers",)), (("0900",), ("0900 service",)),
+    (("hosting",), ("Shared Hosting", "Linux cPanel hosting", "Windows Plesk hosting")), (("vps", "virtual private"), ("VPS", "IaaS", "virtual server")), (("ddos",), ("DDoS Protection",)), (("invoice",), ("E-Invoice", "Egyptian Tax Authority e-invoice")),
+)
+#: What a mobile record's name adds to its aliases; {} is the number behind the name, with a space before it, if there is one.
+MOBILE_ALIASES = (
+    ("super kix", r"(?i)super\s*kix\s*(\p{Nd}+)", ("Super Kix{}", "Super Kix", "سوبر كيكس{}", "سوبر كيكس", "WE Super Kix", "كود Super Kix{}", "باقة Super Kix{}")),
+    ("nitro", None, ("Nitro", "نيترو")),
+    ("nitro prime", None, ("Nitro Prime",)),
+    ("nitro extra", None, ("Nitro Extra",)),
+    ("nitro mifi", None, ("Nitro MiFi",)),
+    ("we gold", r"(?i)we\s*gold\s*(\p{Nd}+)", ("WE Gold{}", "وي جولد{}")),
+)
+#: Sources of the knowledge base where no registry names others.
+DEFAULT_SOURCES = (("faq", "data/processed/faq/faq_post_processed.jsonl"), ("devices", "data/processed/devices/devices_post_processed_v2.jsonl"), ("services", "data/processed/services/services_post_processed_v3.jsonl"), ("we_home", "data/processed/we_home/we_home.jsonl"))

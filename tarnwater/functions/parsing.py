@@ -20,6 +20,11 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text(c).rlike(pattern), F.regexp_extract(text(c), pattern, group))
 
 
+def ascii_digits(c: Column) -> Column:
+    """Arabic-Indic and Persian digits as ASCII ones, which casts read."""
+    return F.translate(c, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+
+
 def ussd_codes(c: Column) -> Column:
     """Star and hash codes, first seen first."""
     return F.array_distinct(matches(c, L.USSD))
@@ -44,7 +49,7 @@ def value_signature(c: Column) -> Column:
 
 
 def _amount(number: Column, unit: Column) -> Column:
-    value = number.try_cast("double")
+    value = ascii_digits(number).try_cast("double")
     return F.when(F.lower(unit).isin(*L.SUBUNITS), F.round(value / 100, 3)).otherwise(value)
 
 
@@ -64,7 +69,7 @@ def prices_business(c: Column) -> Column:
 
 def quota_mobile(c: Column) -> Column:
     """(text, mb, gb) of the first data quota."""
-    value, unit = F.translate(found(c, L.MOBILE_QUOTA, 1), ",", ".").try_cast("double"), F.lower(found(c, L.MOBILE_QUOTA, 2))
+    value, unit = ascii_digits(F.translate(found(c, L.MOBILE_QUOTA, 1), ",", ".")).try_cast("double"), F.lower(found(c, L.MOBILE_QUOTA, 2))
     giga = unit.isin(*L.GIGABYTES)
     return F.struct(found(c, L.MOBILE_QUOTA).alias("text"), F.when(giga, F.round(value * 1024, 3)).otherwise(value).alias("mb"), F.when(giga, value).otherwise(F.round(value / 1024, 3)).alias("gb"))
 
@@ -79,13 +84,13 @@ def validity(c: Column) -> Column:
     has = lambda *terms: t.rlike("|".join(terms))
     days = found(t, L.VALID_DAYS)
     label = F.coalesce(days, F.when(has("month", "شهر"), "monthly").when(has("week", "أسبوع", "اسبوع"), "weekly").when(has("24 hours", "24 ساعة"), "24 hours"))
-    number = F.coalesce(found(t, L.VALID_DAYS, 1).try_cast("int"), F.when(label == "monthly", 30).when(label == "weekly", 7).when(label == "24 hours", 1))
+    number = F.coalesce(ascii_digits(found(t, L.VALID_DAYS, 1)).try_cast("int"), F.when(label == "monthly", 30).when(label == "weekly", 7).when(label == "24 hours", 1))
     return F.struct(label.alias("text"), number.alias("days"))
 
 
 def allowance(c: Column, unit: str) -> Column:
     """Whole number before a unit such as units?, minutes? or SMS."""
-    return F.translate(found(c, rf"(?i)([0-9][0-9,]*)\s*{unit}", 1), ",", "").try_cast("int")
+    return ascii_digits(F.translate(found(c, rf"(?i)(\p{{Nd}}[\p{{Nd}},]*)\s*{unit}", 1), ",", "")).try_cast("int")
 
 
 def fee_if(c: Column, pattern: str, price: Column) -> Column:
@@ -98,7 +103,7 @@ def kix_units(c: Column, title: Column) -> Column:
     t, number = F.lower(text(c)), found(title, r"(?i)super\s*kix\s*([0-9]+)", 1)
     at = F.instr(t, F.concat(F.lit("super kix "), number))
     rest = F.when(F.coalesce(at, F.lit(0)) > 0, F.substring(text(c), at, F.length(text(c)))).otherwise(text(c))
-    first = lambda x: F.get(F.filter(F.transform(matches(x, L.KIX_UNITS, 1), lambda v: F.translate(v, ",", "").cast("int")), lambda v: v >= 100), F.lit(0))
+    first = lambda x: F.get(F.filter(F.transform(matches(x, L.KIX_UNITS, 1), lambda v: ascii_digits(F.translate(v, ",", "")).cast("int")), lambda v: v >= 100), F.lit(0))
     return F.coalesce(first(rest), first(c))
 
 
@@ -121,10 +126,20 @@ def dates(c: Column) -> Column:
 # --- Lines ---------------------------------------------------------------------------------------------------
 
 
-def is_noise(line: Column) -> Column:
-    """A navigation phrase, or a line of at most two characters without a digit."""
-    k = key(line)
-    return k.isin(*[" ".join("".join(ch if ch.isascii() and ch.isalnum() or "؀" <= ch <= "ۿ" else " " for ch in p.lower()).split()) for p in L.NOISE_PHRASES]) | ((F.length(squeeze(line)) <= 2) & ~line.rlike("[0-9]"))
+def _keys(phrases: tuple[str, ...]) -> list[str]:
+    """The phrases as `key` makes them, for comparison with keys of lines."""
+    return [" ".join("".join(ch if ch.isascii() and ch.isalnum() or "؀" <= ch <= "ۿ" else " " for ch in p.lower()).split()) for p in phrases]
+
+
+def is_noise(line: Column, kind: str = "cleanup") -> Column:
+    """Whether a line is navigation.  kind: of pages mobile, business, section, public or generic; of content cleanup."""
+    k, low = key(line), F.lower(F.trim(line))
+    if kind in ("mobile", "public"):
+        listed = low.isin("", *(L.MOBILE_NOISE if kind == "mobile" else L.PUBLIC_NOISE)) | ((F.length(low) <= 2) & ~low.rlike(r"^\p{Nd}+$"))
+        return listed | low.startswith(L.MOBILE_NOISE_STARTS[0]) | low.startswith(L.MOBILE_NOISE_STARTS[1]) if kind == "mobile" else listed
+    phrases = {"business": L.BUSINESS_NOISE, "section": L.SECTION_NOISE, "generic": L.GENERIC_NOISE, "cleanup": L.NOISE_PHRASES, "navigation": L.NAVIGATION_HINTS, "": ()}[kind]
+    noise = k.isin("", *_keys(phrases))
+    return noise | ((F.length(k) <= 2) & ~k.rlike(r"\p{Nd}")) if kind in ("business", "section") else noise
 
 
 def without_noise(c: Column) -> Column:
@@ -135,6 +150,6 @@ def without_noise(c: Column) -> Column:
     return F.array_join(F.aggregate(kept, start, step, lambda acc: acc["out"]), "\n")
 
 
-def unique_lines(c: Column, most: int = 1 << 20) -> Column:
+def unique_lines(c: Column, most: int = 1 << 20, kind: str = "cleanup") -> Column:
     """Lines squeezed, noise dropped, the first of each key kept, at most `most`."""
-    return F.slice(unique(F.filter(F.transform(lines(c), squeeze), lambda x: (x != "") & ~is_noise(x))), 1, most)
+    return F.slice(unique(F.filter(F.transform(lines(c), squeeze), lambda x: (x != "") & ~is_noise(x, kind))), 1, most)

@@ -138,11 +138,20 @@ def language_threshold(c: Column, least: int = 30, span: int = 4000) -> Column:
     return F.when(ar & en, "mixed").when(ar, "ar").when(en, "en")
 
 
-def language_expected(c: Column, expected: Column, least: int = 100, strong: int = 200) -> Column:
-    """The expected language unless the other one clearly prevails (three times as many, and many)."""
-    ar, en = count_of(c, r"\x{600}-\x{6ff}"), count_of(c, "A-Za-z")
-    other = F.when((expected == "ar") & (en >= strong) & (en > ar * 3), "en").when((expected == "en") & (ar >= strong) & (ar > en * 3), "ar")
-    return F.coalesce(other, F.when(expected.isin("ar", "en"), expected), F.when((ar >= least) & (en >= least), "mixed").when(ar > en, "ar").when(en > 0, "en"))
+def language_public(c: Column, url: Column, least: int = 30, span: int = 4000) -> Column:
+    """The language that the URL names, else the one whose letters prevail among the first characters, else unknown."""
+    head = F.substring(text(c), 1, span)
+    ar, en = count_of(head, r"\x{600}-\x{6ff}"), count_of(head, "A-Za-z")
+    return F.when(text(url).contains("/ar/"), "ar").when(text(url).contains("/en/"), "en").when(ar > F.greatest(F.lit(least), en), "ar").when(en > least, "en").otherwise("unknown")
+
+
+def language_expected(c: Column, expected: Column, least: int = 100, strong: int = 200, span: int = 4000) -> Column:
+    """The expected language unless the other one prevails among the first characters: Arabic over English from `least`
+    letters, English over Arabic from `strong` and three times as many."""
+    head = F.substring(text(c), 1, span)
+    ar, en = count_of(head, r"\x{600}-\x{6ff}"), count_of(head, "A-Za-z")
+    open_ = F.when(ar > F.greatest(F.lit(30), en), "ar").when(en > 30, "en").otherwise(expected)
+    return F.when(expected == "en", F.when(ar > F.greatest(F.lit(least), en), "ar").otherwise("en")).when(expected == "ar", F.when(en > F.greatest(F.lit(strong), ar * 3), "en").otherwise("ar")).otherwise(open_)
 
 
 # --- Ids ---------------------------------------------------------------------------------------------------

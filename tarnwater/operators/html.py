@@ -7,12 +7,15 @@ next sibling, and an unmatched end tag is ignored.  Each text run is a line; cel
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,178 +23,242 @@ from ..functions import lexicon as L
 from ..functions import parsing as P
 from ..functions.text import clean_line, key, language_any, squeeze, text, unique
 from ..sources.shared import spread
-from .dedupe import content_key, first_wins
+from .dedupe import first_wins
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": "p div ul ol table h1 h2 h3 h4 h5 h6 section article".split(), "li": ["li"], "tr": ["tr", "tbody"], "td": ["td", "th", "tr"], "th": ["td", "th", "tr"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "option": ["option"]}
-MAX_LINES, MAX_CARDS = 260, 60
-CARD_TAGS, CARD_CLASSES = ("article",), ("card", "package", "plan", "offer", "member", "award", "timeline", "news")
-TERM_HINTS = ("terms", "conditions", "rules", "الشروط")
+HEADINGS = ("h1", "h2", "h3", "h4")
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How pages of one section are read: noise elements and lines, where the title and description come from, cards."""
+
+    noise_classes: frozenset[str] = frozenset({"navbar", "breadcrumb", "breadcrumbs", "social", "cookie", "modal"})
+    hidden: bool = False
+    noise: str = "mobile"
+    max_lines: int = 260
+    #: A title that is a noise line is passed over; the first of the title elements in the page's order counts.
+    checked_title: bool = False
+    first_title: bool = False
+    #: The description's stand-in: the first line of so many characters, from this line on (0: none).
+    long_line: int = 30
+    line_from: int = 1
+    card_classes: tuple[str, ...] = ("package", "plan", "offer")
+    card_chars: tuple[int, int] = (50, 2500)
+    card_lines: int = 40
+    card_limit: int = 40
+    #: What a card must hold: "facts" (price, quota or code), "amounts" (price, quota or four lines), or "".
+    card_gate: str = "facts"
+    terms: str = "terms|conditions|rules|الشروط"
+    term_lines: int = 30
+    quiet_cells: bool = False
+
+
+KINDS = {
+    "mobile": Kind(),
+    "business": Kind(noise="business", max_lines=320, checked_title=True, long_line=40, card_classes=("package", "plan", "service", "offer"), card_chars=(50, 3000), card_lines=50, card_limit=60, card_gate="amounts", terms="terms|conditions|rules|الشروط|الأحكام", term_lines=50, quiet_cells=True),
+    "section": Kind(hidden=True, noise="section", max_lines=360, checked_title=True, long_line=40, card_classes=("card", "member", "award", "timeline", "news"), card_chars=(40, 2500), card_lines=45, card_limit=80, card_gate="", quiet_cells=True),
+    "public": Kind(hidden=True, noise="public", max_lines=240, long_line=40, line_from=0),
+    "generic": Kind(noise_classes=frozenset({"cookie", "modal"}), noise="generic", max_lines=300, first_title=True, long_line=0),
+}
+NOISE_TAGS = frozenset(("script", "style", "noscript", "svg", "header", "footer", "nav"))
 TITLE_HINTS = ("chairman", "chief", "officer", "director", "ceo", "cfo", "cto", "رئيس", "عضو", "مدير", "تنفيذي")
-DOWNLOADS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".zip")
+DOWNLOADS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx")
 
 
-class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+class Element:
+    """An element by its places: its text runs are [first, last), its descendants the elements up to `end`."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("attrs", "classes", "end", "first", "hidden", "last", "parent", "tag")
 
-    def walk(self) -> Iterator[Node]:
-        todo = [self]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    def __init__(self, tag: str, attrs: dict[str, str], parent: int, first: int, hidden: bool):
+        self.tag, self.attrs, self.parent, self.first, self.hidden = tag, attrs, parent, first, hidden
+        self.classes = attrs.get("class", "").lower()
+        self.last = self.end = -1
 
-    def runs(self) -> Iterator[str]:
-        todo: list = [self]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, str):
-                if node.strip():
-                    yield node.strip()
-            else:
-                todo += reversed(node.children)
 
-    def joined(self) -> str:
-        return " ".join(" ".join(self.runs()).split())
+class Page(HTMLParser):
+    """A page's elements and text runs in order, from one pass; noise elements are marked, not cut out."""
 
-    def has_class(self, *parts: str) -> bool:
-        return any(p in self.attrs.get("class", "").lower() for p in parts)
-
-
-class Tree(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, kind: Kind) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-        self.depth = 0
+        self.kind, self.elements, self.runs, self.shown = kind, [Element("", {}, -1, 0, False)], [], []
+        self.at = 0
+
+    def _open(self, tag: str, attrs: list) -> None:
+        named = {k: v or "" for k, v in attrs}
+        noise = tag in NOISE_TAGS or not self.kind.noise_classes.isdisjoint(named.get("class", "").lower().split()) or (self.kind.hidden and named.get("aria-hidden") == "true")
+        self.elements.append(Element(tag, named, self.at, len(self.runs), noise or self.elements[self.at].hidden))
+
+    def _leave(self, upto: int) -> None:
+        while self.at != upto:
+            node = self.elements[self.at]
+            node.last, node.end = len(self.runs), len(self.elements)
+            self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.at.tag in CLOSED_BY and tag in CLOSED_BY[self.at.tag]:
-            self.at = self.at.parent or self.root
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+        if tag in CLOSED_BY.get(self.elements[self.at].tag, ()):
+            self._leave(self.elements[self.at].parent)
+        self._open(tag, attrs)
+        if tag in VOID:
+            self.handle_void()
+        else:
+            self.at = len(self.elements) - 1
+
+    def handle_void(self) -> None:
+        self.elements[-1].last, self.elements[-1].end = len(self.runs), len(self.elements)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self._open(tag, attrs)
+        self.handle_void()
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        while node > 0 and self.elements[node].tag != tag:
+            node = self.elements[node].parent
+        if node > 0:
+            self._leave(self.elements[node].parent)
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
+        if data := data.strip():
+            self.runs.append(data)
+            self.shown.append(not self.elements[self.at].hidden)
 
-def tree(html: str) -> Node:
-    parser = Tree()
-    parser.feed(html)
-    parser.close()
-    return parser.root
+    def close(self) -> None:
+        super().close()
+        self._leave(0)
+        self.elements[0].last, self.elements[0].end = len(self.runs), len(self.elements)
 
+    def text(self, node: Element, noise: bool = False) -> str:
+        return " ".join(" ".join(x for x, shown in zip(self.runs[node.first : node.last], self.shown[node.first : node.last], strict=True) if shown or noise).split())
 
-def remove_noise(root: Node) -> None:
-    """Scripts, navigation, page frames and pop-ups go."""
-    for node in list(root.walk()):
-        node.children = [c for c in node.children if isinstance(c, str) or not (c.tag in L.NOISE_TAGS or c.has_class(*L.NOISE_CLASSES))]
+    def lines(self, node: Element) -> list[str]:
+        own = zip(self.runs[node.first : node.last], self.shown[node.first : node.last], strict=True)
+        return [squeezed for x, shown in own if shown for part in x.splitlines() if (squeezed := " ".join(part.split()))]
 
+    def after(self, number: int) -> Iterator[Element]:
+        """The elements behind this one that have the same parent."""
+        parent, i = self.elements[number].parent, self.elements[number].end
+        while i < len(self.elements) and self.elements[i].parent == parent:
+            yield self.elements[i]
+            i = self.elements[i].end
 
-def first(root: Node, *tags: str) -> Node | None:
-    return next((n for n in root.walk() if n.tag in tags), None)
 
-
-def meta_content(root: Node, **wanted: str) -> str:
-    for n in root.walk():
-        if n.tag == "meta" and any(n.attrs.get(k) == v for k, v in wanted.items()) and n.attrs.get("content", "").strip():
-            return " ".join(n.attrs["content"].split())
-    return ""
+def read(html: str, kind: Kind | None = None) -> Page:
+    page = Page(kind or KINDS["mobile"])
+    page.feed(html)
+    page.close()
+    return page
 
 
+TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
 PAGE = T.StructType([
-    T.StructField("h1", T.StringType()), T.StructField("og_title", T.StringType()), T.StructField("title_tag", T.StringType()), T.StructField("h2", T.StringType()), T.StructField("description", T.StringType()),
-    T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("list_items", T.ArrayType(T.StringType())), T.StructField("terms", T.ArrayType(T.StringType())),
-    T.StructField("links", T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]))),
-    T.StructField("rows", T.ArrayType(T.StructType([T.StructField("table_index", T.IntegerType()), T.StructField("row_index", T.IntegerType()), T.StructField("header", T.BooleanType()), T.StructField("cells", T.ArrayType(T.StringType()))]))),
-    T.StructField("cards", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("lines", T.ArrayType(T.StringType()))]))),
-    T.StructField("error", T.StringType()),
+    T.StructField("titles", T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("text", TEXT)]))),
+    T.StructField("description", TEXT), T.StructField("lines", TEXTS), T.StructField("list_items", TEXTS), T.StructField("lists", T.ArrayType(TEXTS)), T.StructField("terms", T.ArrayType(TEXTS)),
+    T.StructField("links", T.ArrayType(T.StructType([T.StructField("url", TEXT), T.StructField("text", TEXT), T.StructField("shown", T.BooleanType())]))),
+    T.StructField("rows", T.ArrayType(T.StructType([T.StructField("table_index", T.IntegerType()), T.StructField("row_index", T.IntegerType()), T.StructField("header", T.BooleanType()), T.StructField("cells", TEXTS)]))),
+    T.StructField("cards", T.ArrayType(T.StructType([T.StructField("title", TEXT), T.StructField("lines", TEXTS)]))),
+    T.StructField("error", TEXT),
 ])
 
 
-def parse_page(html: str | None, base: str | None) -> dict:
-    """A page's parts; a page that cannot be parsed gives empty parts and its error, never an exception."""
+def parse_page(html: str | None, base: str | None, kind: Kind | None = None) -> dict:
+    """A page's parts; a page that cannot be parsed gives empty parts and its error, never an exception.
+
+    titles holds the first h1, og:title, title and h2 (rank 0 to 3) with their places in the page.
+    """
+    kind = kind or KINDS["mobile"]
     out: dict = {f.name: [] if isinstance(f.dataType, T.ArrayType) else None for f in PAGE.fields}
     try:
-        root = tree(html or "")
-        links = []
-        for n in root.walk():
-            href = n.attrs.get("href", "").strip() if n.tag == "a" else ""
-            if href and not href.startswith("#"):
+        page = read(html or "", kind)
+        nodes = page.elements
+        main = role = body = None
+        tables, terms = -1, re.compile(kind.terms, re.IGNORECASE)
+        found: dict[int, tuple[int, str]] = {}
+        for i, n in enumerate(nodes):
+            if n.tag == "a" and (href := " ".join(n.attrs.get("href", "").split())) and not href.startswith("#"):
                 url = urljoin(base or "", href).split("#", 1)[0]
-                links.append({"url": url, "text": n.joined() or urlsplit(url).path.rsplit("/", 1)[-1]})
-        out["links"] = links
-        for name, node in (("h1", first(root, "h1")), ("title_tag", first(root, "title")), ("h2", first(root, "h2"))):
-            out[name] = node.joined() if node else ""
-        out["og_title"] = meta_content(root, property="og:title")
-        out["description"] = meta_content(root, name="description") or meta_content(root, property="og:description")
-        remove_noise(root)
-        body = first(root, "main") or next((n for n in root.walk() if n.attrs.get("role") == "main"), None) or first(root, "body") or root
-        out["lines"] = [" ".join(x.split()) for x in body.runs() if body is not root or x]
-        out["list_items"] = [n.joined() for n in root.walk() if n.tag == "li"]
-        rows = []
-        for i, table in enumerate(n for n in root.walk() if n.tag == "table"):
-            for j, tr in enumerate(n for n in table.walk() if n.tag == "tr"):
-                cells = [n for n in tr.walk() if n.tag in ("td", "th")]
-                rows.append({"table_index": i, "row_index": j, "header": any(n.tag == "th" for n in cells), "cells": [c for n in cells if (c := n.joined())]})
-        out["rows"] = rows
-        cards = []
-        for n in root.walk():
-            if n.tag in CARD_TAGS or n.has_class(*CARD_CLASSES):
-                heading = next((h for h in n.walk() if h.tag in ("h1", "h2", "h3", "h4") or h is not n and h.has_class("title")), None)
-                cards.append({"title": heading.joined() if heading else "", "lines": [" ".join(x.split()) for x in n.runs()]})
-        out["cards"] = cards
-        terms: list[str] = []
-        for n in root.walk():
-            if n.tag in ("h2", "h3", "h4") and any(t in n.joined().lower() for t in TERM_HINTS) and n.parent is not None:
-                after = n.parent.children[n.parent.children.index(n) + 1 :]
-                for s in after:
-                    if isinstance(s, Node):
-                        if s.tag in ("h1", "h2", "h3"):
-                            break
-                        terms += s.runs()
-        out["terms"] = terms
+                out["links"].append({"url": url, "text": page.text(n, True) or urlsplit(url).path.rsplit("/", 1)[-1], "shown": not n.hidden})
+            if n.hidden:
+                continue
+            if n.tag == "meta":
+                content = " ".join(n.attrs.get("content", "").split())
+                if n.attrs.get("property") == "og:title" and 1 not in found:
+                    found[1] = i, content
+                if out["description"] is None and (n.attrs.get("name") == "description" or n.attrs.get("property") == "og:description"):
+                    out["description"] = content
+                continue
+            rank = {"h1": 0, "title": 2, "h2": 3}.get(n.tag)
+            if rank is not None and rank not in found:
+                found[rank] = i, page.text(n)
+            main = n if main is None and n.tag == "main" else main
+            role = n if role is None and n.attrs.get("role") == "main" else role
+            body = n if body is None and n.tag == "body" else body
+            inside = nodes[i + 1 : n.end]
+            if n.tag == "li":
+                out["list_items"].append(page.text(n))
+            elif n.tag in ("ul", "ol"):
+                items = [x for c in inside if c.tag == "li" and not c.hidden and (x := page.text(c))]
+                out["lists"] += [items] if items else []
+            elif n.tag == "table":
+                tables += 1
+                for j, (k, tr) in enumerate((k, c) for k, c in enumerate(inside, i + 1) if c.tag == "tr" and not c.hidden):
+                    cells = [c for c in nodes[k + 1 : tr.end] if c.tag in ("td", "th") and not c.hidden]
+                    out["rows"].append({"table_index": tables, "row_index": j, "header": any(c.tag == "th" for c in cells), "cells": [x for c in cells if (x := page.text(c))]})
+            if n.tag == "article" or any(c in n.classes for c in kind.card_classes) or "card" in n.classes.split():
+                heading = next((c for c in inside if not c.hidden and (c.tag in HEADINGS or "title" in c.classes)), None)
+                out["cards"].append({"title": page.text(heading) if heading else "", "lines": page.lines(n)})
+            if n.tag in HEADINGS[1:] and terms.search(page.text(n)):
+                for s in page.after(i):
+                    if s.tag in HEADINGS[:3]:
+                        break
+                    if not s.hidden:
+                        out["terms"].append(page.lines(s))
+        out["lines"] = page.lines(main or role or body or nodes[0])
+        out["titles"] = [{"place": place, "rank": rank, "text": x} for rank, (place, x) in sorted(found.items())]
     except Exception as e:
         out["error"] = f"{type(e).__name__}: {e}"
     return out
 
 
-def page_struct(html: Column, url: Column) -> Column:
+def page_struct(html: Column, url: Column, kind: str = "mobile") -> Column:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = to_arrow_type(PAGE)
+    arrow, how = to_arrow_type(PAGE), KINDS[kind]
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for pages, urls in batches:
-            yield pa.array([parse_page(h, u) for h, u in zip(pages.to_pylist(), urls.to_pylist(), strict=True)], arrow)
+            yield pa.array([parse_page(h, u, how) for h, u in zip(pages.to_pylist(), urls.to_pylist(), strict=True)], arrow)
 
     return F.arrow_udf(run, PAGE)(html, url)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """pages with `page`, `lines` (noise and repeats dropped), `title`, `description` and `language`."""
-    df = spread(pages).withColumn("page", page_struct(F.col("html"), F.col("url")))
-    kept = F.filter(F.transform(F.col("page.lines"), clean_line), lambda x: ~P.is_noise(x))
-    df = df.withColumn("lines", F.slice(unique(kept), 1, MAX_LINES))
-    some = lambda c: F.when(squeeze(c) != "", squeeze(c))
-    title = F.coalesce(some(F.col("page.h1")), some(F.col("page.og_title")), some(F.col("page.title_tag")), some(F.col("page.h2")), F.get("lines", F.lit(0)), F.lit(""))
-    df = df.withColumn("title", title)
-    long = F.get(F.filter(F.slice("lines", 2, MAX_LINES), lambda x: F.length(x) >= 30), F.lit(0))
-    return df.withColumn("description", F.coalesce(some(F.col("page.description")), long, F.lit(""))).withColumn("language", language_any(F.array_join("lines", "\n")))
+def shown_lines(lines: Column, kind: str, most: int) -> Column:
+    """Lines without marks and noise, the first of each key, at most so many."""
+    return F.slice(unique(F.filter(F.transform(lines, clean_line), lambda x: ~P.is_noise(x, KINDS[kind].noise))), 1, most)
+
+
+def parsed(pages: DataFrame, kind: str = "mobile", brand: str | None = None) -> DataFrame:
+    """pages with `page`, `lines` (noise and repeats dropped), `title`, `description` and `language`.
+
+    brand: a site's name that its titles end with, after a dash; it goes from titles.
+    """
+    how = KINDS[kind]
+    df = spread(pages).withColumn("page", page_struct(F.col("html"), F.col("url"), kind))
+    df = df.withColumn("lines", shown_lines(F.col("page.lines"), kind, how.max_lines))
+    bare = (lambda c: F.regexp_replace(c, rf"(?i)\s*-\s*{re.escape(brand)}\s*$", "")) if brand else (lambda c: c)
+    usable = lambda t: (bare(t["text"]) != "") & (~P.is_noise(bare(t["text"]), how.noise) if how.checked_title else F.lit(True))
+    if how.first_title:
+        # The first title element of the page decides, also when it is empty.
+        nearest = F.array_sort(F.transform("page.titles", lambda t: F.struct(t["place"].alias("place"), t["text"].alias("text"))))
+        title = F.nullif(F.get(nearest, F.lit(0))["text"], F.lit(""))
+    else:
+        title = bare(F.get(F.filter("page.titles", usable), F.lit(0))["text"])
+    df = df.withColumn("title", F.coalesce(title, F.get("lines", F.lit(0)), F.lit("")))
+    stand_in = F.get(F.filter(F.slice("lines", how.line_from + 1, how.max_lines), lambda x: F.length(x) >= how.long_line), F.lit(0)) if how.long_line else F.lit("")
+    df = df.withColumn("description", F.coalesce(F.nullif(F.col("page.description"), F.lit("")), stand_in, F.lit("")))
+    return df.withColumn("language", language_any(F.array_join("lines", "\n")))
 
 
 def is_useful(least: int = 200) -> Column:
@@ -199,30 +266,59 @@ def is_useful(least: int = 200) -> Column:
     return F.length(F.array_join("lines", "\n")) >= least
 
 
-def table_rows(df: DataFrame) -> DataFrame:
-    """(page_id, table_index, row_index, data map, row_text): rows of two cells or more, named by a first header row that
-    has as many cells, else column_1, column_2 and so on."""
-    rows = df.select("page_id", F.explode("page.rows").alias("r")).filter(F.size("r.cells") >= 2).select("page_id", "r.*")
-    head = F.first(F.when((F.col("row_index") == 0) & F.col("header"), F.col("cells")), True).over(Window.partitionBy("page_id", "table_index"))
-    rows = rows.withColumn("head", head).filter(~((F.col("row_index") == 0) & F.col("header")))
-    names = F.when(F.size("head") == F.size("cells"), F.col("head")).otherwise(F.transform(F.sequence(F.lit(1), F.size("cells")), lambda i: F.concat(F.lit("column_"), i.cast("string"))))
-    # Equal headers: the last cell wins, as in a mapping.
-    rows = rows.withColumn("names", names)
-    last = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.array_contains(F.slice("names", i + 2, F.size("names")), F.get("names", i)))
-    data = F.map_from_arrays(F.transform(last, lambda i: F.get("names", i)), F.transform(last, lambda i: F.get("cells", i)))
-    return rows.select("page_id", "table_index", "row_index", data.alias("data"), F.array_join("cells", " | ").alias("row_text"))
-
-
-def cards(df: DataFrame, least: int = 50, most: int = 2500, facts: bool = True, limit: int = MAX_CARDS) -> DataFrame:
-    """(page_id, card_no, card_title, card_text): blocks of a fitting length, with a price, quota or code if facts, once each."""
-    rows = df.select("page_id", "title", F.posexplode("page.cards").alias("card_no", "c"))
-    shown = F.slice(unique(F.filter(F.transform(F.col("c.lines"), clean_line), lambda x: ~P.is_noise(x))), 1, 40)
-    rows = rows.withColumn("shown", shown).withColumn("card_text", F.array_join("shown", "\n")).filter(F.length("card_text").between(least, most))
-    if facts:
-        rows = rows.filter(F.col("card_text").rlike(L.MOBILE_PRICE) | F.col("card_text").rlike(L.MOBILE_QUOTA) | F.col("card_text").rlike(L.USSD))
-    rows = first_wins(rows, [F.col("page_id"), content_key(F.col("card_text"))], ["card_no"])
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("card_no"))).filter(F.col("n") <= limit)
-    return rows.select("page_id", "card_no", F.coalesce(F.nullif(squeeze(F.col("c.title")), F.lit("")), F.get("shown", F.lit(0)), F.col("title")).alias("card_title"), "card_text")
+def row_structs(kind: str = "mobile") -> Column:
+    """array<struct<table_index, row_index, data map, row_text, first>>: rows of two cells or more, named by a first header
+    row that has as many cells, else column_1, column_2 and so on.  Of equal names the last cell counts."""
+    quiet = KINDS[kind].quiet_cells
+    cells = lambda r: F.filter(F.transform(r["cells"], clean_line), lambda c: (c != "") & (~P.is_noise(c, KINDS[kind].noise) if quiet else F.lit(True)))
+    rows = F.filter(F.transform("page.rows", lambda r: F.struct(r["table_index"].alias("t"), r["row_index"].alias("i"), r["header"].alias("h"), cells(r).alias("c"))), lambda r: F.size(r["c"]) >= 2)
+    heads = lambda r: F.get(F.filter(rows, lambda x: (x["t"] == r["t"]) & (x["i"] == 0) & x["h"]), F.lit(0))["c"]
+
+    def named(r: Column) -> Column:
+        names = F.when(F.size(heads(r)) == F.size(r["c"]), heads(r)).otherwise(F.transform(F.sequence(F.lit(1), F.size(r["c"])), lambda i: F.concat(F.lit("column_"), i.cast("string"))))
+        last = F.filter(F.sequence(F.lit(0), F.size(names) - 1), lambda i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.get(names, i)))
+        data = F.map_from_arrays(F.transform(last, lambda i: F.get(names, i)), F.transform(last, lambda i: F.get(r["c"], i)))
+        # The first value is that of the first name, wherever the name stands last.
+        first = F.element_at(data, F.get(names, F.lit(0)))
+        return F.struct(r["t"].alias("table_index"), r["i"].alias("row_index"), data.alias("data"), F.array_join(r["c"], " | ").alias("row_text"), first.alias("first"))
+
+    return F.transform(F.filter(rows, lambda r: ~((r["i"] == 0) & r["h"])), named)
+
+
+def table_rows(df: DataFrame, kind: str = "mobile") -> DataFrame:
+    """(page_id, table_index, row_index, data map, row_text) of each table row."""
+    return df.select("page_id", F.explode(row_structs(kind)).alias("r")).select("page_id", "r.table_index", "r.row_index", "r.data", "r.row_text")
+
+
+def card_structs(kind: str = "mobile") -> Column:
+    """array<struct<card_no, title, lines, text>>: blocks of a fitting length that hold what the kind asks for, once each."""
+    how = KINDS[kind]
+    cards = F.transform("page.cards", lambda c, i: F.struct(i.alias("card_no"), squeeze(c["title"]).alias("title"), shown_lines(c["lines"], kind, how.card_lines).alias("lines")))
+    cards = F.transform(cards, lambda c: F.struct(c["card_no"].alias("card_no"), c["title"].alias("title"), c["lines"].alias("lines"), F.array_join(c["lines"], "\n").alias("text")))
+    price, quota = (L.MOBILE_PRICE, L.MOBILE_QUOTA) if how.card_gate == "facts" else (L.BUSINESS_PRICE, L.BUSINESS_QUOTA)
+    gate = {"facts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | c["text"].rlike(L.USSD), "amounts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | (F.size(c["lines"]) >= 4), "": lambda c: F.lit(True)}[how.card_gate]
+    fitting = F.filter(cards, lambda c: F.length(c["text"]).between(*how.card_chars) & gate(c))
+    once = F.filter(fitting, lambda c: ~F.exists(fitting, lambda o: (o["card_no"] < c["card_no"]) & (key(o["text"]) == key(c["text"]))))
+    titled = F.transform(once, lambda c: F.struct(c["card_no"].alias("card_no"), F.coalesce(F.nullif(c["title"], F.lit("")), F.get(c["lines"], F.lit(0))).alias("title"), c["lines"].alias("lines"), c["text"].alias("text")))
+    return F.slice(titled, 1, how.card_limit)
+
+
+def cards(df: DataFrame, kind: str = "mobile") -> DataFrame:
+    """(page_id, card_no, card_title, card_text) of each card."""
+    return df.select("page_id", F.explode(card_structs(kind)).alias("c")).select("page_id", "c.card_no", F.col("c.title").alias("card_title"), F.col("c.text").alias("card_text"))
+
+
+def term_lines(kind: str = "mobile") -> Column:
+    """Lines behind a heading that names terms, up to the next heading; 40 at most."""
+    how = KINDS[kind]
+    return F.slice(unique(F.flatten(F.transform("page.terms", lambda t: shown_lines(t, kind, how.term_lines)))), 1, 40)
+
+
+def link_structs(shown: bool = False) -> Column:
+    """array<struct<url, text>>: each target once, first seen first; of the page without its noise, if shown."""
+    every = F.filter("page.links", lambda x: x["shown"]) if shown else F.col("page.links")
+    start = F.array().cast("array<struct<url:string,text:string>>")
+    return F.aggregate(every, start, lambda acc, x: F.when(F.exists(acc, lambda o: o["url"] == x["url"]), acc).otherwise(F.array_append(acc, F.struct(x["url"].alias("url"), x["text"].alias("text")))))
 
 
 def links(df: DataFrame) -> DataFrame:
@@ -231,46 +327,31 @@ def links(df: DataFrame) -> DataFrame:
     return first_wins(rows, [F.col("page_id"), F.col("url")], ["position"])
 
 
+def download_structs() -> Column:
+    """array<struct<url, text, kind>>: links to files or named as such; kind is certificate, report or other."""
+    path = lambda x: F.lower(F.regexp_replace(x["url"], r"[?#].*$", ""))
+    files = F.filter(link_structs(True), lambda x: reduce(lambda a, b: a | b, [path(x).endswith(e) for e in DOWNLOADS]) | x["text"].rlike("(?i)report|certificate|download|pdf|تقرير|شهادة|تحميل"))
+    both = lambda x: F.concat_ws(" ", x["text"], x["url"])
+    return F.transform(files, lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"), F.when(both(x).rlike("(?i)certificate|iso|شهادة"), "certificate").when(both(x).rlike("(?i)report|تقرير"), "report").otherwise("other").alias("kind")))
+
+
 def downloads(df: DataFrame) -> DataFrame:
-    """Links to files or named as such, with `kind`: certificate, report or other."""
-    path = F.lower(F.regexp_replace("url", r"[?#].*$", ""))
-    rows = links(df).filter(path.rlike("(" + "|".join(x.replace(".", r"\.") for x in DOWNLOADS) + ")$") | F.col("link_text").rlike("(?i)report|certificate|download|pdf|تقرير|شهادة|تحميل"))
-    both = F.concat_ws(" ", "link_text", "url")
-    return rows.withColumn("kind", F.when(both.rlike("(?i)certificate|iso|شهادة"), "certificate").when(both.rlike("(?i)report|تقرير"), "report").otherwise("other"))
+    return df.select("page_id", F.explode(download_structs()).alias("d")).select("page_id", "d.url", F.col("d.text").alias("link_text"), "d.kind")
 
 
-def people(df: DataFrame, limit: int = 40) -> DataFrame:
-    """(page_id, name, role): short lines that hold an office or stand before one; the next line is the role."""
-    rows = df.select("page_id", F.posexplode("lines").alias("line_no", "line"))
-    rows = rows.withColumn("next", F.coalesce(F.lead("line").over(Window.partitionBy("page_id").orderBy("line_no")), F.lit("")))
+def people_structs(limit: int = 40) -> Column:
+    """array<struct<name, title>>: short lines that hold an office or stand before one; the next line is the title."""
     hint = "|".join(TITLE_HINTS)
-    hit = rows.filter((F.length("line") <= 90) & F.col("line").rlike(r"[A-Za-z\x{600}-\x{6ff}]{3,}") & (F.lower("next").rlike(hint) | F.lower("line").rlike(hint)))
-    once = first_wins(hit, [F.col("page_id"), key(F.concat_ws(" ", "line", "next"))], ["line_no"])
-    return once.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("line_no"))).filter(F.col("n") <= limit).select("page_id", F.col("line").alias("name"), F.col("next").alias("role"))
-
-
-def page_records(df: DataFrame, category: Column, useful: int = 0) -> DataFrame:
-    """Raw records of pages: one for the page (if its category is known and its text long enough), each table row, each card."""
-    df = df.withColumn("mobile_category", category)
-    body = F.array_join(F.filter("lines", lambda x: (x != F.col("title")) & (x != F.col("description"))), "\n")
-    same = ["page_id", F.col("url").alias("citation_url"), "mobile_category", "description", "language"]
-    # The page's fields travel with its children, so the three kinds are one parse and no join.
-    none = F.lit(None)
-    whole = F.struct(F.lit("page").alias("kind"), F.lit(0).alias("at"), F.col("title").alias("title"), body.alias("content"), F.when(F.col("page.terms").isNotNull(), unique(F.col("page.terms"))).alias("terms"))
-    rows = F.transform(F.filter(F.col("page.rows"), lambda r: (F.size(r["cells"]) >= 2) & ~((r["row_index"] == 0) & r["header"])), lambda r, i: F.struct(F.lit("row").alias("kind"), (i + 1000).alias("at"), F.get(r["cells"], F.lit(0)).alias("title"), F.array_join(r["cells"], " | ").alias("content"), none.cast("array<string>").alias("terms")))
-    shown = lambda c: F.array_join(F.slice(unique(F.filter(F.transform(c["lines"], clean_line), lambda x: ~P.is_noise(x))), 1, 40), "\n")
-    blocks = F.transform(F.col("page.cards"), lambda c, i: F.struct(F.lit("card").alias("kind"), (i + 100000).alias("at"), F.coalesce(F.nullif(squeeze(c["title"]), F.lit("")), F.col("title")).alias("title"), shown(c).alias("content"), none.cast("array<string>").alias("terms")))
-    blocks = F.filter(blocks, lambda x: F.length(x["content"]).between(50, 2500))
-    every = F.concat(F.when((F.col("mobile_category") != "unknown") & (F.length(body) >= useful), F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0)), rows, blocks)
-    out = df.select(*same, F.explode(every).alias("x")).select(*["page_id", "citation_url", "mobile_category", "description", "language"], "x.*")
-    once = out.filter("kind = 'card'")
-    once = first_wins(once, [F.col("page_id"), content_key(F.col("content"))], ["at"])
-    return out.filter("kind <> 'card'").unionByName(once).withColumn("src_ord", F.struct("page_id", "at"))
-
-
-def error_records(df: DataFrame) -> DataFrame:
-    """One record for each page that could not be parsed."""
-    return df.filter(F.col("page.error").isNotNull()).select("page_id", F.col("url").alias("citation_url"), F.lit("error").alias("kind"), F.col("page.error").alias("content"))
+    pairs = F.transform(F.col("lines"), lambda x, i: F.struct(x.alias("name"), F.coalesce(F.get(F.col("lines"), i + 1), F.lit("")).alias("title")))
+    hits = F.filter(pairs, lambda p: (F.length(p["name"]) <= 90) & p["name"].rlike(r"[A-Za-z\x{600}-\x{6ff}]{3,}") & (F.lower(p["title"]).rlike(hint) | F.lower(p["name"]).rlike(hint)))
+    same = lambda a, b: key(F.concat_ws("|", a["name"], a["title"])) == key(F.concat_ws("|", b["name"], b["title"]))
+    start = F.array().cast("array<struct<name:string,title:string>>")
+    return F.slice(F.aggregate(hits, start, lambda acc, p: F.when(F.exists(acc, lambda o: same(o, p)), acc).otherwise(F.array_append(acc, p))), 1, limit)
+
+
+def people(df: DataFrame, limit: int = 40) -> DataFrame:
+    """(page_id, name, role)."""
+    return df.select("page_id", F.explode(people_structs(limit)).alias("p")).select("page_id", F.col("p.name").alias("name"), F.col("p.title").alias("role"))
 
 
 def document_text(html: Column) -> Column:
@@ -278,6 +359,6 @@ def document_text(html: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array(["\n".join(tree(h or "").runs()) for h in column.to_pylist()], pa.string())
+            yield pa.array(["\n".join(x for run in read(h or "").runs for x in run.splitlines() if x.strip()) for h in column.to_pylist()], pa.string())
 
     return F.arrow_udf(run, T.StringType())(text(html))

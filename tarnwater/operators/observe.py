@@ -28,6 +28,15 @@ def rates(events: DataFrame, width: str = "5 minutes", seconds: int = 300) -> Da
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round(F.col("n") / seconds, 6).alias("per_second"), F.round(F.col("s") / F.col("n"), 6).alias("mean_value"))
 
 
-def quantiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """(event_type, p50, p90, p99 ...): approximate, in bounded memory for any number of rows."""
-    return events.groupBy("event_type").agg(*[F.percentile_approx("value", p, 10_000).alias(f"p{round(p * 100)}") for p in points])
+def quantiles(events: DataFrame, points: tuple[float, ...] = (0.5, 0.9, 0.99), exact: bool = False) -> DataFrame:
+    """(event_type, p50, p90, p99 ...): approximate, in bounded memory for any number of rows; exact ones interpolate and keep
+    a count for each distinct value of a type."""
+    at = (lambda p: F.percentile("value", p)) if exact else (lambda p: F.percentile_approx("value", p, 10_000))
+    return events.groupBy("event_type").agg(*[at(p).alias(f"p{round(p * 100)}") for p in points])
+
+
+def pipeline_totals(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of a run's totals from its pages (section, failed) and records (section, is_accepted)."""
+    fetched = pages.agg(F.count_if(~F.col("failed")).alias("pages_fetched"), F.count_if("failed").alias("failed_urls"), F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"))
+    made = records.agg(F.count(F.lit(1)).alias("records_extracted"), F.count_if(F.coalesce("is_accepted", F.lit(False))).alias("records_accepted"), F.count_if(~F.coalesce("is_accepted", F.lit(False))).alias("records_rejected"))
+    return fetched.crossJoin(F.broadcast(made))

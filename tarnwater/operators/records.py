@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import parsing as P
-from ..functions.text import joined_hash, key, squeeze, text, unique, url_slug
+from ..functions.text import any_of, joined_hash, key, squeeze, text, unique, url_slug
 
 ARRAY = "array<string>"
 
@@ -50,7 +50,7 @@ def filled(c: Column) -> Column:
 def normalize_mobile(records: DataFrame) -> DataFrame:
     """Facts from title, description and content where the record has none; ids; score, flags, acceptance."""
     df = with_defaults(records, RECORD)
-    df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "content": P.without_noise(F.col("content"))})
+    df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "content": F.array_join(P.unique_lines(F.col("content"), kind="navigation"), "\n")})
     body = F.concat_ws("\n", "title", "description", "content")
     df = df.withColumn("__p", P.price_mobile(body)).withColumn("__q", P.quota_mobile(body)).withColumn("__v", P.validity(body))
     df = df.withColumns({"record_type": F.coalesce(F.nullif(F.replace(key(F.col("record_type")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("detail")), "mobile_category": F.replace(key(F.col("mobile_category")), F.lit(" "), F.lit("_")), "ussd_codes": unique(F.concat(F.coalesce("ussd_codes", F.array().cast(ARRAY)), P.ussd_codes(body))), "price": F.coalesce(some(F.col("price")), F.col("__p.text")), "price_egp": F.coalesce("price_egp", "__p.value"), "quota": F.coalesce(some(F.col("quota")), F.col("__q.text")), "quota_mb": F.coalesce("quota_mb", "__q.mb"), "quota_gb": F.coalesce("quota_gb", "__q.gb"), "validity": F.coalesce(some(F.col("validity")), F.col("__v.text")), "validity_days": F.coalesce("validity_days", "__v.days")}).drop("__p", "__q", "__v")
@@ -101,6 +101,7 @@ def cleanup_mobile(records: DataFrame) -> DataFrame:
         df = df.withColumn(f"__{name}", F.when(~F.coalesce(reset, F.lit(False)), F.col(name)))
     df = df.drop("quota", "quota_mb", "quota_gb").withColumnsRenamed({"__quota": "quota", "__quota_mb": "quota_mb", "__quota_gb": "quota_gb"})
     df = df.withColumns({"ussd_codes": F.when(found, F.col("__codes")).otherwise(F.col("ussd_codes")), "subscription_code": F.when(found, F.get("__codes", F.lit(0))).otherwise(F.col("subscription_code")), "dial_code": F.when(found, F.get("__codes", F.lit(0))).otherwise(F.col("dial_code"))})
+    df = df.withColumn("search_aliases", mobile_aliases())
     df = df.withColumn("content", rebuilt_content()).withColumn("index_text", F.concat_ws("\n", "title", "plan_name", "service_name", F.array_join("search_aliases", "\n"), "content", "subscription_code", F.array_join("ussd_codes", " "), "price", "monthly_fee", F.concat(F.col("kix_units").cast("string"), F.lit(" Kix"))))
     return mobile_ids(score_cleanup(df)).drop("__all", "__noisy", "__codes", "__partial")
 
@@ -120,7 +121,7 @@ def rebuilt_content() -> Column:
 
 def score_cleanup(df: DataFrame) -> DataFrame:
     size, cited = F.length("content"), some(F.col("citation_url")).isNotNull()
-    noise = F.exists(F.split("content", "\n"), P.is_noise)
+    noise = F.exists(F.split("content", "\n"), lambda x: P.is_noise(x))
     issue = F.when(~cited, "no citation URL").when(F.length(key(F.col("content"))) < 50, "missing useful content").when(noise, "possible UI noise remaining").otherwise("")
     fact = F.col("price_egp").isNotNull() | F.col("monthly_fee_egp").isNotNull() | filled(F.col("ussd_codes")) | F.col("kix_units").isNotNull() | some(F.col("quota")).isNotNull() | filled(F.col("benefits")) | filled(F.col("terms_and_conditions"))
     score = F.lit(0.55) + points((cited, 0.1), (some(F.col("title")).isNotNull(), 0.1), (size >= 160, 0.08), (fact, 0.12), (~noise, 0.05), (issue != "", -0.08))
@@ -129,22 +130,34 @@ def score_cleanup(df: DataFrame) -> DataFrame:
     return df.withColumns({"quality_score": F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(0.98))), 2), "rejection_reason": F.when(bad, F.col("possible_issue")).otherwise(""), "is_accepted": ~bad, "quality_flags": flags(F.col("quality_flags"), (~cited, "no_citation_url"), (~F.col("language").eqNullSafe(F.col("expected_language")), "language_mismatch"), (noise, "possible_ui_noise_remaining"), (F.exists("ussd_codes", lambda c: c.rlike(r"^[#*][0-9]{2,3}$")), "possible_partial_code"), (bad, "rejected_low_quality"))})
 
 
-#: What a title's words add to a business record's aliases.  Fixed values.
-BUSINESS_ALIASES = (("business value", ("business value plan", "corporate value plan")), ("sms", ("business bulk SMS", "corporate SMS package")), ("data hub", ("shared corporate data pool", "corporate shared data SIMs")), ("sip", ("SIP Trunk",)), ("pri", ("PRI Circuit",)), ("toll free", ("Toll Free Numbers",)), ("0900", ("0900 service",)), ("hosting", ("Shared Hosting", "Linux cPanel hosting", "Windows Plesk hosting")), ("vps", ("VPS", "IaaS", "virtual server")), ("ddos", ("DDoS Protection",)), ("invoice", ("E-Invoice",)))
+def business_aliases(title_key: Column) -> Column:
+    """Title and names, what the title's words stand for, the category's name, and the record's own aliases; 30 at most."""
+    extra = F.flatten(F.array(*[F.when(any_of(title_key, words), F.array(*map(F.lit, more))).otherwise(F.array().cast(ARRAY)) for words, more in L.BUSINESS_ALIASES]))
+    category = F.replace(F.replace(F.col("business_category"), F.lit("business_"), F.lit("")), F.lit("_"), F.lit(" "))
+    return F.slice(unique(F.concat(F.array("title", "service_name", "plan_name"), extra, F.array(category), F.coalesce("search_aliases", F.array().cast(ARRAY)))), 1, 30)
+
+
+def mobile_aliases() -> Column:
+    """The record's names, what its name's words stand for, and its own aliases; 20 at most."""
+    name = F.coalesce(*[F.when((text(F.col(n)) != "") & ~P.is_noise(text(F.col(n))), F.col(n)) for n in ("title", "plan_name", "service_name")], F.lit(""))
+    low, extra = F.lower(name), []
+    for words, number, more in L.MOBILE_ALIASES:
+        suffix = F.coalesce(F.concat(F.lit(" "), P.found(name, number, 1)), F.lit("")) if number else F.lit("")
+        extra.append(F.when(low.contains(words), F.array(*[F.replace(F.lit(x), F.lit("{}"), suffix) for x in more])).otherwise(F.array().cast(ARRAY)))
+    return F.slice(unique(F.concat(F.array(name, "title", "plan_name", "service_name"), F.flatten(F.array(*extra)), F.coalesce("search_aliases", F.array().cast(ARRAY)))), 1, 20)
 
 
 def normalize_business(records: DataFrame, categories: tuple[str, ...] = ()) -> DataFrame:
     """As for mobile records, with thousands commas, allowances and the four fees; accepted unless there is a reason."""
     df = with_defaults(records, RECORD)
-    cleaned = F.array_join(P.unique_lines(F.col("content")), "\n")
+    cleaned = F.array_join(P.unique_lines(F.col("content"), kind="business"), "\n")
     df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "__noise": cleaned != text(F.col("content")), "content": cleaned, "record_type": F.coalesce(F.nullif(F.replace(key(F.col("record_type")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("detail")), "business_category": F.coalesce(F.nullif(F.replace(key(F.col("business_category")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("business"))})
     body = F.concat_ws("\n", "title", "description", "content")
     df = df.withColumn("__p", P.price_business(body)).withColumns({"price": F.coalesce(some(F.col("price")), F.col("__p.text")), "price_egp": F.coalesce("price_egp", "__p.value")}).drop("__p")
     fee = lambda n, pattern: F.coalesce(F.col(n), P.fee_if(body, pattern, F.col("price_egp")))
     df = df.withColumns({"monthly_fee_egp": fee("monthly_fee_egp", "month|شهر"), "annual_fee_egp": fee("annual_fee_egp", "annual|year|سنو"), "installation_fee_egp": fee("installation_fee_egp", "install|تركيب"), "implementation_fee_egp": fee("implementation_fee_egp", "implementation|setup"), "quota": F.coalesce(some(F.col("quota")), P.quota_business(body)), "units": F.coalesce("units", P.allowance(body, "units?")), "minutes": F.coalesce("minutes", P.allowance(body, "minutes?")), "sms": F.coalesce("sms", P.allowance(body, "SMS"))})
     k = key(F.col("title"))
-    extra = F.flatten(F.array(*[F.when(k.contains(w), F.array(*map(F.lit, more))).otherwise(F.array().cast(ARRAY)) for w, more in BUSINESS_ALIASES]))
-    df = df.withColumn("search_aliases", F.slice(unique(F.concat(F.array("title", "service_name", "plan_name"), extra, F.coalesce("search_aliases", F.array().cast(ARRAY)))), 1, 30))
+    df = df.withColumn("search_aliases", business_aliases(k))
     df = df.withColumn("index_text", F.concat_ws("\n", some(F.col("title")), some(F.col("service_name")), some(F.col("plan_name")), F.array_join("search_aliases", "\n"), "price", "quota", F.col("units").cast("string"), F.col("minutes").cast("string"), F.col("sms").cast("string"), "content"))
     size, useful = F.length("content"), some(F.col("price")).isNotNull() | F.col("price_egp").isNotNull() | some(F.col("quota")).isNotNull() | F.coalesce("units", "minutes", "sms").isNotNull() | filled(F.col("features")) | filled(F.col("benefits")) | filled(F.col("terms_and_conditions")) | some(F.col("description")).isNotNull()
     score = points((F.col("title") != "", 0.18), (some(F.col("citation_url")).isNotNull(), 0.12), (size >= 160, 0.28), (size.between(70, 159), 0.14), (useful, 0.24), (filled(F.col("search_aliases")), 0.05))
@@ -160,7 +173,7 @@ def normalize_business(records: DataFrame, categories: tuple[str, ...] = ()) ->
 def normalize_section(records: DataFrame, least: int = 80) -> DataFrame:
     """Section pages: a score of 1 less what is missing."""
     df = with_defaults(records, RECORD | {"people": ARRAY, "dates": ARRAY, "report_links": ARRAY, "download_links": ARRAY, "certificate_links": ARRAY})
-    cleaned = F.array_join(P.unique_lines(F.col("content")), "\n")
+    cleaned = F.array_join(P.unique_lines(F.col("content"), kind=""), "\n")
     df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "__noise": cleaned != text(F.col("content")), "content": cleaned, "dates": F.when(filled(F.col("dates")), F.col("dates")).otherwise(P.dates(F.col("content")))})
     df = df.withColumn("search_aliases", unique(F.concat(F.array("title", "section", "topic"), F.coalesce("search_aliases", F.array().cast(ARRAY)))))
     df = df.withColumn("index_text", F.concat_ws("\n", *[some(F.col(n)) for n in ("title", "section", "topic", "record_type")], F.array_join("search_aliases", " "), F.array_join("dates", " "), F.array_join("people", " "), "content"))
@@ -193,11 +206,26 @@ def business_type(category: Column, title: Column, body: Column, table_row: Colu
 
 def mobile_type(category: Column, title: Column, body: Column, table_row: Column) -> Column:
     """The record type of a mobile page, row or card."""
-    low = F.lower(F.concat_ws(" ", title, body))
-    return F.when(body.rlike(L.USSD) & (category == "value_added_services"), "service_code").when(low.rlike("add-on|addon|إضاف"), "add_on").when(body.rlike(L.MOBILE_PRICE) & (body.rlike(L.MOBILE_QUOTA) | table_row), "package").when(category.isin("prepaid", "control_plans", "postpaid"), "plan").when(category == "value_added_services", "service_detail").otherwise("detail")
+    low, priced = F.lower(F.concat_ws(" ", title, body)), table_row | body.rlike(L.MOBILE_PRICE)
+    return (
+        F.when(any_of(low, ("terms", "conditions", "rules", "الشروط")), "terms")
+        .when(category == "value_added_services", F.when(body.rlike(L.USSD), "service_code").otherwise("service_detail"))
+        .when(any_of(low, ("benefit", "مميزات")), "benefit")
+        .when(category == "mobile_internet", F.when(priced, "package").otherwise("detail"))
+        .when(category.isin("control_plans", "postpaid"), "plan")
+        .when(category == "prepaid", F.when(priced, "package").otherwise("plan"))
+        .otherwise("detail")
+    )
 
 
 def mobile_category(url: Column) -> Column:
-    """From the URL's words."""
+    """From the address' words."""
     u = F.lower(text(url))
-    return F.when(u.rlike("control|kix"), "control_plans").when(u.rlike("gold|postpaid"), "postpaid").when(u.rlike("internet|nitro|mifi|data"), "mobile_internet").when(u.rlike("prepaid|club|tazbeet"), "prepaid").when(u.rlike("service|call|roaming"), "value_added_services").otherwise("unknown")
+    return (
+        F.when(u.contains("mobile-call-services"), "value_added_services")
+        .when(any_of(u, ("nitro", "mifi")), "mobile_internet")
+        .when(any_of(u, ("we-gold", "postpaid")), "postpaid")
+        .when(any_of(u, ("control", "super-kix", "tazbeet", "we-club")), "control_plans")
+        .when(any_of(u, ("prepaid", "12pt", "agda3")), "prepaid")
+        .otherwise("unknown")
+    )

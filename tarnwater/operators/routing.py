@@ -93,9 +93,3 @@ def metadata_filter(rows: DataFrame, wanted: dict[str, object], fallback: bool =
             own = F.coalesce(own, F.col("metadata")[name].cast("string"))
         rows = rows.filter(F.coalesce(own, F.lit("None")).isin(values) if fallback else own.isin(values))
     return rows
-
-
-def retry_unfiltered(filtered: DataFrame, unfiltered: DataFrame, queries: DataFrame) -> DataFrame:
-    """filtered, plus the unfiltered rows of queries for which the filter left nothing."""
-    empty = queries.select("qid").distinct().join(filtered.select("qid").distinct(), "qid", "left_anti")
-    return filtered.unionByName(unfiltered.join(empty, "qid", "left_semi"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import BOTH_SIDE
+from ..functions.lexicon import BOTH_SIDE, CATEGORY_TERMS
 from ..operators import dense, fusion, routing, sparse
 from ..operators.answers import answer
 from ..sources.shared import stored
@@ -37,7 +37,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None
     ask = routed.filter("route = 'retrieval'")
     chunks = routing.metadata_filter(corpus.chunks, filters or {})
     if mode is None:
-        lists = _side(ask, corpus, chunks if filters else None, query_vectors, "")
+        lists = _by_category(ask, corpus, chunks, bool(filters), query_vectors)
     else:
         lists = []
         for side, kind in (("official", "official_website"), ("uploads", "user_upload")):
@@ -50,6 +50,21 @@ def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None
     return routed, stored(ranked, "ranked")
 
 
+def _by_category(asked: DataFrame, corpus: Corpus, chunks: DataFrame, filtered: bool, query_vectors: DataFrame | None) -> list[tuple[str, DataFrame]]:
+    """Ranked lists of queries, each within its routed category.
+
+    A sparse list is empty only if no chunk passes the filter, since documents without a common term fill it; then the query
+    is searched again without the category.  So a category counts if the corpus has chunks of it: four names at most.
+    """
+    known = sorted(r[0] for r in chunks.filter(F.col("category").isin(*CATEGORY_TERMS)).select("category").distinct().collect())
+    open_ = asked.filter(F.col("category_filter").isNull() | ~F.col("category_filter").isin(*known)) if known else asked
+    lists = _side(open_, corpus, chunks if filtered else None, query_vectors, "")
+    for name in known:
+        own = _side(asked.filter(F.col("category_filter") == name), corpus, chunks.filter(F.col("category") == name), query_vectors, "")
+        lists = [(label, a.unionByName(b)) for (label, a), (_, b) in zip(lists, own, strict=True)]
+    return lists
+
+
 def _side(asked: DataFrame, corpus: Corpus, chunks: DataFrame | None, query_vectors: DataFrame | None, name: str) -> list[tuple[str, DataFrame]]:
     """Ranked lists of one side: vectors first where there are any, then words."""
     allowed = None if chunks is None else chunks.select(F.col("chunk_id").alias("doc"))

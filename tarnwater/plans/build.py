@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import chunking, dedupe, html, kb, records, sparse
+from ..operators import pages as page_records
 from ..sources import readers
 
 
@@ -24,11 +25,16 @@ def build(spark: SparkSession, configs: list[dict], kb_version: str = "kb_v1") -
     return Built(rows, chunks, sparse.build_index(chunks, "chunk_id", "index_text"))
 
 
-def scrape(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) to cleaned, scored and deduplicated mobile records."""
-    from pyspark.sql import functions as F
+def scrape(pages: DataFrame, kind: str = "mobile", section: str = "", brand: str | None = None) -> DataFrame:
+    """Pages (page_id, url, html) to cleaned, scored and deduplicated records of their section.
 
-    parsed = html.parsed(pages)
-    raw = html.page_records(parsed, records.mobile_category(F.col("url")))
-    raw = raw.withColumn("record_type", records.mobile_type(F.col("mobile_category"), F.col("title"), F.col("content"), F.col("kind") == "row")).withColumnRenamed("terms", "terms_and_conditions")
-    return dedupe.dedupe_records(records.normalize_mobile(raw), "mobile")
+    kind is mobile, business, section (with the section's name), public or generic (with a name for the category).
+    """
+    parsed = html.parsed(pages, kind, brand)
+    if kind == "mobile":
+        return dedupe.dedupe_records(records.normalize_mobile(page_records.mobile(parsed)), "mobile")
+    if kind == "business":
+        return dedupe.dedupe_records(records.normalize_business(page_records.business(parsed)), "business")
+    if kind == "section":
+        return dedupe.dedupe_records(records.normalize_section(page_records.section(parsed, section)), "section")
+    return page_records.public(parsed) if kind == "public" else page_records.post_process_generic(page_records.generic(parsed, section))

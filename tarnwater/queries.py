@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import lexicon as L
 from .functions import parsing as P
 from .functions import text as X
-from .operators import answers, chunking, dedupe, dense, evaluate, fusion, html, kb, observe, quality, records, routing, sparse
+from . import page_queries
+from .operators import answers, chunking, dedupe, dense, evaluate, fusion, html, kb, observe, quality, records, results, routing, sparse
 from .plans import ask, build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,7 +185,7 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, nullif(regexp_extract(text, {lit(L.BUSINESS_PRICE)}), '') AS price, try_cast(replace(nullif(regexp_extract(text, {lit(L.BUSINESS_PRICE)}, 1), ''), ',', '') AS DOUBLE) / CASE WHEN lower(regexp_extract(text, {lit(L.BUSINESS_PRICE)}, 2)) IN ('pt', 'قرش', 'قروش') THEN 100 ELSE 1 END AS price_egp,
-  nullif(regexp_extract(text, {lit(L.MOBILE_QUOTA)}), '') AS quota, nullif(regexp_extract(lower(text), {lit(L.VALID_DAYS)}), '') AS valid_days, len(list_distinct(regexp_extract_all(text, {lit(L.EMAIL)})))::INT AS n_emails FROM documents""")
+  nullif(regexp_extract(text, {lit(L.MOBILE_QUOTA)}), '') AS quota, nullif(regexp_extract(lower(text), {lit(L.VALID_DAYS)}), '') AS valid_days, len(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{M}}\\p{{N}}_-]+(?:\\.[\\p{{L}}\\p{{M}}\\p{{N}}_-]+)+')))::INT AS n_emails FROM documents""")
 def extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return t(spark, sf_dir, "documents").select("doc_id", P.price_business(c)["text"].alias("price"), P.price_business(c)["value"].alias("price_egp"), P.quota_mobile(c)["text"].alias("quota"), P.found(F.lower(c), L.VALID_DAYS).alias("valid_days"), F.size(P.emails(c)).alias("n_emails"))
@@ -194,7 +195,7 @@ def extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_codes_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-around patterns, which the other engine lacks; tests hold them against plain Python."""
     c = F.col("text")
-    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(P.ussd_codes(c), ",").alias("ussd"), F.array_join(P.mobile_codes(c), ",").alias("mobile"), F.size(X.query_entities(F.substring(c, 1, 2000))).alias("n_entities"), F.size(P.value_signature(c)).alias("n_values"), P.validity(c)["days"].alias("validity_days"), F.array_join(P.dates(c), ",").alias("dates"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(P.ussd_codes(c), ",").alias("ussd"), F.array_join(P.mobile_codes(c), ",").alias("mobile"), F.size(X.query_entities(c)).alias("n_entities"), F.size(P.value_signature(c)).alias("n_values"), P.validity(c)["days"].alias("validity_days"), F.array_join(P.dates(c), ",").alias("dates"))
 
 
 @query(f"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, '')), '[?#].*$', ''), '/+$', '') AS u FROM pages),
@@ -245,7 +246,11 @@ def vector_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.same_dimension(t(spark, sf_dir, "embeddings"))
 
 
-@query()
+_H = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(vec_id::VARCHAR))"
+
+
+@query(f"""WITH h AS (SELECT vec_id, {_H} AS h FROM embeddings)
+SELECT vec_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1)::INT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version-5 ids; tests hold them against Python's uuid."""
     return t(spark, sf_dir, "embeddings").select("vec_id", X.uuid5(F.col("vec_id").cast("string")).alias("point_id"))
@@ -316,7 +321,12 @@ def kb_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.distributions(kb.accepted(kb.normalize(raw_records(t(spark, sf_dir, "documents")))))
 
 
-@query()
+_CLEANED = f"array_to_string(list_filter(list_transform(string_split_regex(CASE WHEN doc_id % 17 <> 9 AND doc_id % 7 <> 3 THEN coalesce(text, '') ELSE '' END, {lit(X.LINE_END)}), lambda x: {squeeze('x')}), lambda x: x <> ''), chr(10))"
+
+
+@query(f"""WITH {KB}, f AS (SELECT doc_id, {_CLEANED} AS content, CASE WHEN doc_id % 17 <> 9 AND doc_id % 11 <> 5 THEN 'Title ' || doc_id ELSE 'Untitled Record' END AS title, CASE WHEN doc_id % 17 <> 9 AND doc_id % 13 <> 7 THEN 'https://example.com/' || doc_id END AS url FROM documents)
+SELECT source_file, sha256(category || chr(10) || title || chr(10) || content || chr(10) || coalesce(url, '')) AS record_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, category, record_type, language, title, length(content)::INT AS content_length, url AS citation_url,
+  NULL::DOUBLE AS quality_score, coalesce(reason, '') AS rejection_reason, CASE WHEN record_type = 'unknown' THEN 'missing_record_type' ELSE '' END AS warnings, CASE WHEN url IS NOT NULL THEN 'source_url' ELSE '' END AS metadata_keys FROM kb JOIN f USING (doc_id)""")
 def kb_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.report(kb.normalize(raw_records(t(spark, sf_dir, "documents"))))
 
@@ -391,9 +401,11 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.parsed(t(spark, sf_dir, "pages")).select("page_id", "title", "description", "language", F.size("lines").alias("n_lines"), F.size("page.links").alias("n_links"), html.is_useful().alias("useful"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, url, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS i, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS link_text FROM pages),
+l AS (SELECT page_id, (i - 1)::INT AS position, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]+') || href ELSE href END AS url, link_text FROM a)
+SELECT page_id, url, link_text, position FROM l QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY position) = 1""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.links(html.parsed(t(spark, sf_dir, "pages")))
+    return html.links(html.parsed(t(spark, sf_dir, "pages"))).select("page_id", "url", "link_text", "position")
 
 
 @query()
@@ -403,7 +415,8 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.scrape(t(spark, sf_dir, "pages")).select("page_id", "kind", "title", "record_type", "quality_score", "is_accepted", "record_id")
+    """Public pages: one scored record each."""
+    return build.scrape(t(spark, sf_dir, "pages"), "public").select("page_id", "title", "category", "record_type", "language", "quality_score", "is_accepted", "record_id")
 
 
 # --- Answers and evaluation --------------------------------------------------------------------------------------
@@ -417,7 +430,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> ask.Corpus:
 @query()
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route to cited answer for every benchmark item."""
-    return ask.answers(items(spark, sf_dir), corpus(spark, sf_dir), threshold=0.0).select("qid", "status", F.substring("answer", 1, 200).alias("answer"), "n_sources", "valid", "reason", "model_tier")
+    return ask.answers(items(spark, sf_dir), corpus(spark, sf_dir), threshold=0.0).select("qid", "status", "answer", "n_sources", "valid", "reason", "model_tier")
 
 
 @query()
@@ -575,7 +588,8 @@ def page_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.cards(html.parsed(t(spark, sf_dir, "pages")), facts=False)
+    """Cards of any content, as corporate sections take them."""
+    return html.cards(html.parsed(t(spark, sf_dir, "pages"), "section"), "section")
 
 
 @query()
@@ -583,9 +597,10 @@ def page_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.people(html.parsed(t(spark, sf_dir, "pages")))
 
 
-@query()
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def event_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.quantiles(t(spark, sf_dir, "events"))
+    """The exact form; dashboards over large tables take the approximate one."""
+    return observe.quantiles(t(spark, sf_dir, "events"), exact=True).select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
 @query()
@@ -598,6 +613,70 @@ def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "chunk_id", "rank", "source_type", F.round("final_score", 6).alias("final_score"))
 
 
+_TYPES = ("faq", "product", "service_detail", "service_code", "service_fee", "subscription_method", "package", "package_tier", "package_price", "yearly_package", "add_on", "payment_channels", "salefny_rule", "renewal_rule", "early_renewal_rule", "hardware", "table_row")
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_\\x{600}-\\x{6ff}]+|[*#][\\p{L}\\p{N}_*#]+|[\\p{L}\\p{N}_*]+#')) <= 100 OR doc_id % 17 NOT IN (2, 5) AS atomic FROM documents""")
+def atomic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short records and those of 15 types are never split; `service_detail` and `subscription_method` are."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("doc_id") % 17 + 1).cast("int"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", X.text(F.col("text")).alias("content"), F.lit("note").alias("category"), kind.alias("record_type"))
+    return rows.select("doc_id", chunking.is_atomic(100).alias("atomic"))
+
+
+@query("""SELECT doc_id, (len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\\*\\s*\\p{Nd}+(?:\\s*\\*\\s*[\\p{L}\\p{M}\\p{N}_\\x{600}-\\x{6ff}]+)*\\s*#?'), lambda x: regexp_replace(x, '\\s+', '', 'g')), lambda x: x LIKE '%#')))
+  + len(regexp_extract_all(coalesce(text, ''), '(?i)\\p{Nd}[\\p{Nd},]*(?:\\.\\p{Nd}+)?[ \\t\\r\\n]*(?:egp|le|pt|gb|mbps|جنيه|قرش|قروش)')))::INT AS n_values,
+  CASE WHEN regexp_matches(lower(text), '\\p{Nd}+[ \\t\\r\\n]*(day|days|يوم|أيام|ايام)') THEN regexp_extract(lower(text), '(\\p{Nd}+)[ \\t\\r\\n]*(day|days|يوم|أيام|ايام)', 1)::INT WHEN regexp_matches(lower(text), 'month|شهر') THEN 30 WHEN regexp_matches(lower(text), 'week|أسبوع|اسبوع') THEN 7 WHEN regexp_matches(lower(text), '24 hours|24 ساعة') THEN 1 END AS validity_days FROM documents""")
+def value_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(P.value_signature(c)).alias("n_values"), P.validity(c)["days"].alias("validity_days"))
+
+
+@query("""SELECT conv_id AS qid, turn::INT AS rank, '' AS chunk_id, role AS title, text AS content, '' AS citation_url, 'talk.txt' AS file_name, CASE WHEN turn % 2 = 0 THEN 'Talk' END AS citation_label, 'official_website' AS source_type, 'Official website' AS source_name, 0 AS chunk_index, 1 AS total_chunks, 'bm25' AS retriever, turn::DOUBLE AS bm25_score, NULL::DOUBLE AS dense_score, 0.0::DOUBLE AS final_score FROM conversations""")
+def normalized_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as rows of a ranked list, in the shape that all retrievers share."""
+    meta = F.create_map(F.lit("file_name"), F.lit("talk.txt"))
+    rows = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.col("turn").cast("double").alias("score"), F.col("role").alias("title"), F.col("text").alias("content"), F.lit("").alias("file_name"), F.when(F.col("turn") % 2 == 0, "Talk").otherwise("").alias("citation_label"), meta.alias("metadata"))
+    return results.normalize(rows, "bm25").select("qid", "rank", "chunk_id", "title", "content", "citation_url", "file_name", "citation_label", "source_type", "source_name", "chunk_index", "total_chunks", "retriever", "bm25_score", "dense_score", "final_score")
+
+
+@query("""WITH g AS (SELECT item_id AS qid, regexp_extract(lower(text), '[a-z]{6,}') AS word FROM benchmark), a AS (SELECT doc_id AS qid, coalesce(text, '') AS answer FROM documents),
+s AS (SELECT g.qid, a.qid IS NOT NULL AND g.qid % 2 = 0 AS valid, contains(replace(lower(coalesce(answer, '')), ',', ''), word) AS hit, g.qid % 5 <> 0 OR a.qid % 3 = 0 AS cited, coalesce(a.qid % 3 = 0, false) AS fallback FROM g LEFT JOIN a USING (qid))
+SELECT count(*) AS total, round(avg(valid::INT), 6) AS valid, round(avg(hit::INT), 6) AS text_hit, round(avg(coalesce(cited, false)::INT), 6) AS citation_hit, count(*) FILTER (fallback) AS fallbacks FROM s""")
+def eval_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers to the benchmark items of their number; every third is a fallback with its source listed."""
+    i = F.col("item_id")
+    golden = t(spark, sf_dir, "benchmark").select(i.alias("qid"), F.array(F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0)).alias("expected_contains_any"), F.when(i % 5 == 0, "example.com").alias("expected_citation_contains"))
+    d = F.col("doc_id")
+    made = t(spark, sf_dir, "documents").select(d.alias("qid"), F.coalesce("text", F.lit("")).alias("answer"), F.when(d % 3 == 0, "fallback").otherwise("generated").alias("status"), (d % 2 == 0).alias("valid"), F.when(d % 3 == 0, "Sources: https://example.com").otherwise("").alias("answer_with_sources"))
+    return evaluate.generation_metrics(evaluate.score_generation(golden, made))
+
+
+@query("SELECT 'document count ' || count(*) || ', manifest 1' AS warning FROM documents UNION ALL SELECT 'tokenizer v1, manifest v2'")
+def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index held against a manifest that promises something else."""
+    return sparse.check_manifest(sparse.build_index(t(spark, sf_dir, "documents")), 1, "v1", "v2")
+
+
+@query("SELECT page_id, 'p' || page_id || ['.pdf', '.TXT', '.exe', ''][(page_id % 4 + 1)::INT] AS path, page_id * 1000000 AS length FROM pages WHERE page_id % 4 IN (0, 1) AND page_id * 1000000 <= 26214400")
+def upload_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an allowed type and of 25 MB at most."""
+    i = F.col("page_id")
+    ending = F.element_at(F.array(*map(F.lit, (".pdf", ".TXT", ".exe", ""))), (i % 4 + 1).cast("int"))
+    return chunking.admit(t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), i, ending).alias("path"), (i * 1000000).alias("length")))
+
+
+@query("SELECT count(*) FILTER (doc_id % 9 <> 0) AS pages_fetched, count(*) FILTER (doc_id % 9 = 0) AS failed_urls, string_agg(DISTINCT source, ',' ORDER BY source) AS sections, count(*) AS records_extracted, count(*) FILTER (doc_id % 4 <> 1) AS records_accepted, count(*) FILTER (doc_id % 4 = 1) AS records_rejected FROM documents")
+def pipeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    docs = t(spark, sf_dir, "documents")
+    return observe.pipeline_totals(docs.select(F.col("source").alias("section"), (d % 9 == 0).alias("failed")), docs.select("source", F.when(d % 4 != 1, True).alias("is_accepted")))
+
+
+for _name, (_f, _sql) in page_queries.QUERIES.items():
+    query(_sql)(_f)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lexicon as L
 from ..functions.text import url_plain
 
 
@@ -43,14 +44,40 @@ def jsonl_strict(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def registry(config: list[dict] | None, defaults: list[dict] | None = None) -> list[dict]:
-    """Source configs (path, category, enabled); the defaults when there is no config; ValueError for anything but a list of mappings."""
-    rows = defaults or [] if config is None else config
+def registry(config: list[dict] | str | None, defaults: list[dict] | None = None) -> list[dict]:
+    """Source configs (path, category, enabled, description) from a list or from a YAML file with a list `sources`.
+
+    Without a config, or where the file does not exist, the defaults: those given, else the lexicon's four.  ValueError for
+    anything but a list of mappings.
+    """
+    if isinstance(config, str):
+        if Path(config).exists():
+            import yaml
+
+            held = yaml.safe_load(Path(config).read_text(encoding="utf-8")) or {}
+            config = held.get("sources") if isinstance(held, dict) else held
+            if config is None:
+                raise ValueError("sources must be a list of mappings")
+        else:
+            config = None
+    rows = ([{"category": c, "path": p} for c, p in L.DEFAULT_SOURCES] if defaults is None else defaults) if config is None else config
     if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
         raise ValueError("sources must be a list of mappings")
     return [{"path": r["path"], "category": r.get("category", ""), "enabled": bool(r.get("enabled", True)), "description": r.get("description", "")} for r in rows]
 
 
+def merge_sections(configs: list[dict], sections: list[dict]) -> list[dict]:
+    """Source configs with those of built sections (name, path, enabled) put in: a section takes over the configs of its
+    category, path and switch, and keeps their description; an enabled section without a config is appended."""
+    built = {s["name"]: s for s in sections}
+    out = []
+    for c in configs:
+        s = built.get(c["category"])
+        out.append(c if s is None else {**c, "path": s["path"], "enabled": bool(s.get("enabled", True)), "description": c.get("description") or f"{s['name']} records"})
+    known = {c["category"] for c in configs}
+    return out + [{"path": s["path"], "category": s["name"], "enabled": True, "description": f"{s['name']} records"} for s in sections if s.get("enabled", True) and s["name"] not in known]
+
+
 def sources(spark: SparkSession, configs: list[dict]) -> DataFrame:
     """Raw rows of all enabled sources, with category_hint; disabled ones are never opened."""
     parts = [jsonl(spark, c["path"]).withColumn("category_hint", F.lit(c["category"])) for c in configs if c["enabled"]]
