@@ -8,7 +8,7 @@ radius are abandoned between groups of planes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -73,15 +73,16 @@ def lanes(units: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return units[row], lane
 
 
-def small_buckets(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, skip: int, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j), i < j, within radius inside each of the buckets [start, end) of values, compared together.
+def bucket_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, skip: int, near: Near | None = None, units: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j, within radius inside each of the buckets [start, end) of values, some at a time.
 
-    near(i, j) may test the pairs further.
+    Buckets are compared together, whatever their sizes; about `units` comparisons of a value with a word are made at
+    once.  near(i, j) may test the pairs further.
     """
     sizes = ends - starts
     starts, ends, sizes = starts[sizes > 1], ends[sizes > 1], sizes[sizes > 1]
     if not len(sizes):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     n_words = (sizes + 63) // 64
     # Lay the buckets out so that each begins with a new word.
     first_word = np.concatenate(([0], np.cumsum(n_words)[:-1]))
@@ -95,27 +96,34 @@ def small_buckets(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radi
     used[slot] = True
     filled = np.packbits(used.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).ravel()
     planes = planes_of(padded)
-    # A query meets its own word (later lanes only) and the later words of its bucket.
-    ahead = n_words[bucket] - place // 64
-    query = np.repeat(np.arange(len(source)), ahead)
-    step = np.arange(ahead.sum()) - np.repeat(np.cumsum(ahead) - ahead, ahead)
-    word = slot[query] // 64 + step
-    own = (slot[query] % 64).astype(np.uint64)
-    later = np.where(own == 63, np.uint64(0), ALL << (own + np.uint64(1)) % np.uint64(64))
-    valid = np.where(step == 0, filled[word] & later, filled[word])
     back = np.zeros(len(padded), np.int64)
     back[slot] = source
-    out_i, out_j = [], []
-    for at in range(0, len(query), 1 << 18):
-        part = slice(at, at + (1 << 18))
-        unit, lane = lanes(*within(planes, values[source[query[part]]], word[part], valid[part], radius, skip))
-        i, j = source[query[part][unit]], back[word[part][unit] * 64 + lane]
+    # A query meets its own word (later lanes only) and the later words of its bucket.
+    ahead = n_words[bucket] - place // 64
+    done = np.concatenate(([0], np.cumsum(ahead)))
+    at = 0
+    while at < len(source):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + units, "right")) - 1)
+        query = np.repeat(np.arange(at, to), ahead[at:to])
+        step = np.arange(len(query)) - np.repeat(done[at:to] - done[at], ahead[at:to])
+        word = slot[query] // 64 + step
+        own = (slot[query] % 64).astype(np.uint64)
+        later = np.where(own == 63, np.uint64(0), ALL << (own + np.uint64(1)) % np.uint64(64))
+        valid = np.where(step == 0, filled[word] & later, filled[word])
+        unit, lane = lanes(*within(planes, values[source[query]], word, valid, radius, skip))
+        i, j = source[query[unit]], back[word[unit] * 64 + lane]
         if near is not None:
             kept = near(i, j)
             i, j = i[kept], j[kept]
-        out_i.append(i)
-        out_j.append(j)
-    return np.concatenate(out_i), np.concatenate(out_j)
+        if len(i):
+            yield i, j
+        at = to
+
+
+def small_buckets(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int, skip: int, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of bucket_pairs at once."""
+    found = list(bucket_pairs(values, starts, ends, radius, skip, near))
+    return (np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def large_bucket(values: np.ndarray, radius: int, skip: int, near: Near | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -217,28 +225,6 @@ def forest(i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def thinned(i: np.ndarray, j: np.ndarray, bucket: np.ndarray, members: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of each bucket (numbers of sorted buckets, with their members), where there are at most `most` a member;
-    of denser buckets a spanning forest of the pairs themselves."""
-    count = np.bincount(bucket, minlength=len(members))
-    dense = (count > most * members)[bucket]
-    if not dense.any():
-        return i, j
-    root: dict[int, int] = {}
-    kept = []
-    for at in np.flatnonzero(dense).tolist():
-        a, b = int(i[at]), int(j[at])
-        while (up := root.setdefault(a, a)) != a:
-            root[a] = a = root.setdefault(up, up)
-        while (up := root.setdefault(b, b)) != b:
-            root[b] = b = root.setdefault(up, up)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            kept.append(at)
-    chosen = np.concatenate((np.flatnonzero(~dense), np.array(kept, np.int64)))
-    return i[chosen], j[chosen]
-
-
 def block_masks(blocks: int, radius: int) -> list[int]:
     """Masks of the bit groups of which at least one is equal for any two fingerprints within radius.
 

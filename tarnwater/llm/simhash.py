@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bitslice import BREADTH_FIRST, block_masks, blocks_for, large_bucket, small_buckets, spanning, thinned
-from .common import LOWER, columns_of, hot_join, keep_documents, over_batches, stored, utf8
+from .bitslice import BREADTH_FIRST, block_masks, blocks_for, bucket_pairs, large_bucket, small_buckets, spanning
+from .candidates import EDGES, bucket_candidates, found_schema, links_in_rounds
+from .common import LOWER, columns_of, hot_join, keep_documents, over_batches, stored, utf8, whole_groups
 from .components import connected_components
 
 #: Words a shingle, and bits in which linked fingerprints may differ.
@@ -75,61 +76,27 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return over_batches(keyed, make, schema)
 
 
-EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def bucket_links(dealt: DataFrame, radius: int, masks: list[int]) -> DataFrame:
+    """Links (a, b) that span the groups of each bucket of dealt (t, key, rep, fp), sorted by (t, key).
 
-
-def buckets(batches, columns: int):
-    """(t, starts, ends, columns) of runs of whole buckets from batches sorted by (t, key); a bucket is never cut."""
-    held: list[np.ndarray] = []
-
-    def whole(rows: np.ndarray):
-        t, key = rows[:2]
-        cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-        return t, np.concatenate(([0], cut)), np.concatenate((cut, [len(t)])), rows[2:]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(columns + 2)]))
-        if sum(x.shape[1] for x in held) < 1 << 17:
-            continue
-        rows = np.concatenate(held, axis=1)
-        end = int(np.argmax((rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])))  # the last bucket may go on
-        held = [rows[:, end:]]
-        if end:
-            yield whole(rows[:, :end])
-    if held:
-        yield whole(np.concatenate(held, axis=1))
-
-
-def bucket_links(dealt: DataFrame, radius: int, masks: list[int] | None = None, limit: int | None = None, pairs: bool = False) -> DataFrame:
-    """Links (a, b) that span the groups of each bucket of dealt (t, key, rep, fp, more fingerprint words), sorted by (t, key).
-
-    Members are compared bit-sliced on fp, up to radius; with more words, a link's words together must differ in at
-    most `limit` bits.  Each member gets at most one link a bucket, so a dense group never turns into all pairs.
-    masks: for each table t the planes that its key fixes, which need no comparing.  pairs: give pairs as found, for a later
-    check; of a dense bucket those of a spanning forest.
+    Members are compared bit-sliced on fp; masks holds for each table t the planes that its key fixes, which need no
+    comparing.  A link within radius is final, so each member gets at most one link a bucket, and a dense group never
+    turns into all pairs.
     """
-    many = len(dealt.columns) - 2
 
     def run(batches):
-        for t, starts, ends, (rep, *words) in buckets(batches, many):
-            wide = np.stack(words).view(np.uint64)
-            test = None if limit is None else lambda i, j, wide=wide: np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(axis=0, dtype=np.int64) <= limit
+        for starts, ends, (t, _, rep, fp) in whole_groups(batches, 2):
+            values = fp.view(np.uint64)
             for table in np.unique(t[starts]):
-                skip = masks[table] if masks else 0
                 mine = t[starts] == table
                 big = mine & (ends - starts > BREADTH_FIRST)
-                from_, to = starts[mine & ~big], ends[mine & ~big]
-                i, j = small_buckets(wide[0], from_, to, radius, skip, test)
-                parts = [thinned(i, j, np.searchsorted(from_, i, "right") - 1, to - from_) if pairs and len(i) else (i, j)]
+                parts = [small_buckets(values, starts[mine & ~big], ends[mine & ~big], radius, masks[table])]
                 for s, e in zip(starts[big].tolist(), ends[big].tolist(), strict=True):
-                    near = None if test is None else lambda i, j, s=s, test=test: test(i + s, j + s)
-                    i, j = large_bucket(wide[0][s:e], radius, skip, near)
+                    i, j = large_bucket(values[s:e], radius, masks[table])
                     parts.append((i + s, j + s))
                 for i, j in parts:
                     if len(i):
-                        a, b = (i, j) if pairs else spanning(i, j)
+                        a, b = spanning(i, j)
                         yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
 
     return dealt.mapInArrow(run, EDGES)
@@ -226,8 +193,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Texts are linked when their wide fingerprints differ in no more bits than texts at this Jaccard similarity of word shingles
     would, two standard deviations allowed.  Tables of sampled bits bring such pairs together; inside a bucket
-    fingerprints are compared bit-sliced on their first word and survivors on WIDE words; pairs found in any bucket are
-    then held against each other on CHECKED words.  Nulls, empty texts,
+    fingerprints are compared bit-sliced on their first word and survivors on WIDE words; what is found is held against each
+    other on CHECKED words in rounds (see candidates), so that a refused pair never stands for another.  Nulls, empty texts,
     repeated rows and null ids are treated as by `near_duplicates`.
     """
     names = [f"w{i}" for i in range(CHECKED)]
@@ -260,10 +227,22 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         return step
 
     dealt = over_batches(classes.select("rep", *names[:WIDE]), deal, dealt_schema).repartition("t", "key").sortWithinPartitions("t", "key", *names[:WIDE])
-    near = stored(bucket_links(dealt, slack(64), None, slack(64 * WIDE), pairs=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+
+    def near(wide: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        apart = lambda i, j: np.bitwise_count(wide[:, i] ^ wide[:, j]).sum(axis=0, dtype=np.int64)
+        for i, j in bucket_pairs(wide[0], starts, ends, slack(64), 0, lambda i, j: apart(i, j) <= slack(64 * WIDE)):
+            yield i, j, apart(i, j)
+
+    def run(batches):
+        for starts, ends, (_, _, rep, *words) in whole_groups(batches, 2):
+            yield from bucket_candidates(near(np.stack(words).view(np.uint64), starts, ends), rep, words, names[:WIDE], starts, ends)
+
+    both = stored(dealt.mapInArrow(run, found_schema(names[:WIDE])).distinct(), "similar-pairs")
     side = lambda c: classes.select(F.col("rep").alias(c), F.array(*names).alias(f"f{c}"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    links = near.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED)).select("a", "b")
+    checked = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED)).select("a", "b")
+    group = lambda words: (np.arange(len(words[0])), near(np.stack(words).view(np.uint64), np.array([0]), np.array([len(words[0])])))
+    links = links_in_rounds(both, names[:WIDE], checked, group)
     groups = connected_components(links)
     member = stored(classes.join(groups, classes["rep"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "rep"), "similar-members")
     smallest = stored(member.groupBy("component").agg(F.min("least").alias("component_id"), F.lit(1).alias("w")), "similar-groups")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnwater.llm import bitslice, common, components, edits, exact_dedup, line_dedup, simhash, substring_dedup
+from tarnwater.llm import bitslice, candidates, common, components, edits, exact_dedup, line_dedup, simhash, substring_dedup
 
 from .conftest import LONG, ODD
 
@@ -354,11 +354,11 @@ def test_line_dedup_recall_by_words_replaced(table, few, crowd):
     assert not any(got[2 * k] for k in range(n))
 
 
-@pytest.mark.parametrize(("together", "dense"), [(line_dedup.TOGETHER, line_dedup.DENSE), (100, 1), (line_dedup.TOGETHER, 10**6)], ids=["one group", "parts", "pairs"])
+@pytest.mark.parametrize(("together", "dense"), [(candidates.TOGETHER, candidates.DENSE), (100, 1), (candidates.TOGETHER, 10**6)], ids=["one group", "parts", "pairs"])
 def test_line_dedup_verifies_crowded_buckets(table, monkeypatch, together, dense):
     """A bucket of lines over one template, most of them unlike in edits, loses none of the close pairs among them."""
-    monkeypatch.setattr(line_dedup, "TOGETHER", together)
-    monkeypatch.setattr(line_dedup, "DENSE", dense)
+    monkeypatch.setattr(candidates, "TOGETHER", together)
+    monkeypatch.setattr(candidates, "DENSE", dense)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     template, lines = [word() for _ in range(14)], []
