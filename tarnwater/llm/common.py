@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import shared_dir, stored
 
-__all__ = ["ALNUM", "HOT_ROWS", "HOT_SHARE", "LOWER", "columns_of", "hot_join", "input_parts", "keep_documents", "over_batches", "per_worker", "release_shuffles", "shared_dir", "stored", "text_column", "text_udf", "utf8", "whole_groups"]
+__all__ = ["ALNUM", "HOT_ROWS", "HOT_SHARE", "LOWER", "columns_of", "hot_join", "input_parts", "keep_documents", "over_batches", "partitions_at_least", "per_worker", "release_shuffles", "shared_dir", "stored", "text_column", "text_udf", "utf8", "whole_groups"]
 
 #: A key is hot when it holds more than this share of all rows, so at most 1/HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1024
@@ -39,6 +40,19 @@ def input_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def partitions_at_least(spark: SparkSession, n: int) -> Iterator[None]:
+    """Plans made inside have so many shuffle partitions at least; the session's own number is put back."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if n > int(before):
+        spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
     """Join rows with table (one row per key, weight = rows it will meet).
 

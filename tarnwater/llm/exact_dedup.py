@@ -2,35 +2,45 @@
 
 A key is a 64-bit hash of the whole text.  The directory maps the key's first bits to buckets: it starts
 with one bucket and doubles while a bucket's distinct bytes exceed its capacity, splitting only overfull
-buckets.  Buckets are key ranges; the task that owns one compares texts byte by byte (it groups by the
-text itself) and chains different texts of equal hash.  Index and directory are Parquet in the shared
-folder; a lost executor only costs the tasks it ran.
+buckets.  Buckets are key ranges.  Texts are grouped byte by byte by bucket, hash and text itself: equal ones meet on
+the map side first, so that copies do not travel, and a hot text is one row a task.  The bucket's owner then chains
+different texts of equal hash.  Index and directory are Parquet in the shared folder; a lost executor only costs the
+tasks it ran.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, hot_join, keep_documents, stored, text_column
+from .common import hot_join, keep_documents, partitions_at_least, stored, text_column
 
 #: Directory entries are at most 2**MAX_DEPTH, whatever the input; this bounds what is broadcast.
-MAX_DEPTH = 16
+MAX_DEPTH = 20
+#: Doublings that are allowed beyond those that evenly spread keys would need.
+SLACK_DEPTH = 4
 #: Distinct text bytes a bucket may hold before it is split.
 BUCKET_BYTES = 32 << 20
 
 
+def depth_for(total: int, capacity: int) -> int:
+    """The most doublings of a directory for so many distinct bytes."""
+    return min(MAX_DEPTH, SLACK_DEPTH + max(0, math.ceil(math.log2(max(1.0, total / capacity)))))
+
+
 def directory(keys: DataFrame, capacity: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(slot, depth, bucket) for each used slot of max_depth bits, from keys (h, bytes).
 
-    A slot's bucket is its shortest prefix whose load fits the capacity; at max_depth it stays overfull.
+    A slot's bucket is its shortest prefix whose load fits the capacity; at max_depth it stays overfull.  Loads are summed
+    on the map side; the prefixes that fit are at most twice the slots, and are broadcast.
     """
     slots = keys.groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("slot")).agg(F.sum("bytes").alias("load"))
     levels = slots.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth)))).withColumn("prefix", F.expr(f"shiftright(slot, {max_depth} - depth)"))
     fits = levels.groupBy("depth", "prefix").agg(F.sum("load").alias("load")).filter((F.col("load") <= capacity) | (F.col("depth") == max_depth)).select("depth", "prefix")
-    local = levels.join(fits, ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    local = levels.join(F.broadcast(fits), ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
     return local.withColumn("bucket", F.expr(f"shiftleft(1L, depth) + shiftright(slot, {max_depth} - depth)"))
 
 
@@ -40,24 +50,16 @@ def build_index(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, c
     text = text_column(docs)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).withColumn("h", key(F.col("text")).cast("long"))
     rows = stored(docs.select("doc_id", "h", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("bytes")), "exact-rows")
-    keys = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "exact-keys")
-    slots = stored(directory(keys, capacity), "exact-directory")
-    n_buckets, total = slots.agg(F.countDistinct("bucket")).first()[0], keys.agg(F.sum("n")).first()[0] or 0
-    limit = max(HOT_ROWS, int(total * HOT_SHARE))
-    hot = keys.filter(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
-    routed = docs.withColumn("slot", F.shiftrightunsigned("h", 64 - MAX_DEPTH)).join(F.broadcast(slots.select("slot", "bucket")), "slot")
-    if hot.head(1):
-        # Hot keys are at most 1/HOT_SHARE; their rows are dealt over several tasks and their partial entries met again.
-        routed = routed.join(F.broadcast(hot), "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "ways"), F.lit(0)))
-        owned = routed.repartition(max(1, n_buckets), "bucket", "salt").groupBy("bucket", "salt", "h", "ways", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
-        owned = owned.withColumn("sha", F.unhex(F.sha2("text", 256)))
-        # One partial entry per salt and text is left; the digest stands for bytes that an owner has compared.
-        entries = owned.groupBy("bucket", "h", "sha").agg(F.sum("n").alias("n"), F.max("keep_id").alias("keep_id"))
-    else:
-        owned = routed.repartition(max(1, n_buckets), "bucket").groupBy("bucket", "h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
-        entries = owned.select("bucket", "h", F.unhex(F.sha2("text", 256)).alias("sha"), "n", "keep_id")
+    keys = stored(rows.groupBy("h").agg(F.max("bytes").alias("bytes")), "exact-keys")
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    depth = depth_for(total, capacity)
+    slots = stored(directory(keys, capacity, depth), "exact-directory")
+    routed = docs.withColumn("slot", F.shiftrightunsigned("h", 64 - depth)).join(F.broadcast(slots.select("slot", "bucket")), "slot")
+    owned = routed.groupBy("bucket", "h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
+    entries = owned.select("bucket", "h", F.unhex(F.sha2("text", 256)).alias("sha"), "n", "keep_id")
     chained = entries.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
-    return rows, stored(chained.select("bucket", "h", "chain", "sha", "n", "keep_id"), "exact-index")
+    with partitions_at_least(docs.sparkSession, math.ceil(total / capacity)):
+        return rows, stored(chained.select("bucket", "h", "chain", "sha", "n", "keep_id"), "exact-index")
 
 
 def exact_dedup(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = BUCKET_BYTES) -> DataFrame:
