@@ -16,8 +16,11 @@ from .common import ALNUM, columns_of, over_batches, per_worker, stored, text_ud
 
 #: Consecutive item words that count as a leak.
 WINDOW = 10
-#: Normalised benchmark bytes one automaton may hold; larger benchmarks are scanned in several passes.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of windows one automaton may hold (a node takes about 40 bytes of a worker's memory); benchmarks with more are
+#: scanned in several passes.
+AUTOMATON_BYTES = 8 << 20
+#: Words of an item that stay in one pass; longer items are cut into pieces that overlap by a window less a word.
+PIECE = 2000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -82,11 +85,26 @@ def source_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, in
     return [(len(raw[:s].decode("utf-8", "ignore")), len(raw[:e].decode("utf-8", "ignore"))) for s, e in at]
 
 
-def benchmark_shards(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list[DataFrame]:
-    """The benchmark's items in parts of at most about `limit` text bytes each; one part for a usual benchmark."""
+def pieces(benchmark: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(item_id, text, bytes): items cut into pieces of at most `piece` words that have the item's windows between them,
+    with the bytes of their windows."""
     items = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(-(-size // limit)) or 1
+    words = items.select("item_id", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)).alias("words"))
+    step, last = piece - window + 1, F.greatest(F.size("words") - window, F.lit(0))
+    parts = words.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.slice("words", i + 1, piece))).alias("words"))
+    parts = parts.withColumn("text", F.array_join("words", " ")).withColumn("n", F.size("words"))
+    size = F.octet_length("text") + 2
+    return parts.select("item_id", "text", F.when(F.col("n") <= window, size).otherwise(F.ceil((F.col("n") - window + 1) * (size / F.col("n") * window))).cast("long").alias("bytes"))
+
+
+def benchmark_shards(benchmark: DataFrame, limit: int = AUTOMATON_BYTES, window: int = WINDOW) -> list[DataFrame]:
+    """The benchmark's pieces in parts of about `limit` bytes of windows at most; one part for a usual benchmark.
+
+    A part is twice as full as the mean at most if pieces are small beside the limit; parts are made for half of it.
+    """
+    items = stored(pieces(benchmark, window), "benchmark-pieces")
+    size = items.agg(F.sum("bytes")).first()[0] or 0
+    parts = 1 if size <= limit else int(-(-2 * size // limit))
     return [items] if parts == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) for p in range(parts)]
 
 
@@ -96,12 +114,12 @@ RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_w
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
     """(doc_id, n_words, ranges of hit words, items, text_key), one row per document.
 
-    The benchmark is measured first.  Up to `limit` bytes it is one automaton sent to every worker; beyond that
+    The benchmark's windows are measured first.  Up to `limit` bytes they are one automaton sent to every worker; beyond that
     the documents are scanned once per part and the parts' findings are merged by document.
     """
     spark = docs.sparkSession
     keyed = columns_of(docs).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    shards = benchmark_shards(benchmark, limit)
+    shards = benchmark_shards(benchmark, limit, window)
     if len(shards) > 1:
         # Several scans must agree on which row is which, also when rows repeat.
         keyed = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "leak-rows")
@@ -159,7 +177,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     All columns stay, clean rows are untouched, repeated rows are all kept.
     """
-    for shard in benchmark_shards(benchmark, limit):
+    for shard in benchmark_shards(benchmark, limit, window):
         sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in shard.toLocalIterator()])
         docs = docs.filter(~text_udf(_finder(sent, window), T.BooleanType())(docs["text"].cast("string")))
     return docs
