@@ -20,6 +20,8 @@ from .common import columns_of, over_batches, per_worker, text_udf, utf8
 
 #: The sample: so many documents a language, and so many bytes of all languages together.
 SAMPLE_DOCS, SAMPLE_BYTES = 256, 8 << 20
+#: Languages learned at most: those with the most rows; names that are longer are no languages.
+LANGUAGES, NAME_CHARS = 256, 64
 #: Longest context, and bytes the tables of all nodes may take.
 ORDER, TABLE_BYTES = 3, 96 << 20
 #: Learned document folds are those other than HELD_OUT of FOLDS.
@@ -38,16 +40,19 @@ def fold(doc_id: F.Column) -> F.Column:
 def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
     """Texts by language: rows of the learned folds with a language and a text, the smallest by a hash of doc_id.
 
-    At most docs_per_language rows of each language are chosen from (doc_id, lang) alone; then their texts are
-    read and taken in hash order until the language's share of max_bytes is full (one text at least).
+    At most docs_per_language rows of each of the LANGUAGES most frequent languages are chosen from (doc_id, lang) alone;
+    then their texts are read and taken in hash order while they fit the language's share of max_bytes.  Of a language whose
+    first text is larger than that, the text's first bytes are learned.
     """
     usable = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).filter("lang is not null and text is not null and doc_id is not null").filter(fold(F.col("doc_id")) != HELD_OUT)
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = usable.filter(F.length("lang") <= NAME_CHARS)
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
     # A hash limit leaves about four times the rows wanted, so that the ranking below sees few.
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (4.0 * docs_per_language + 64) / n)))])
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # A language that is not learned has no share, and its rows go.
     near = usable.select("doc_id", "lang", spread.alias("h")).filter(F.col("h") <= share[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = {(r["lang"], r["doc_id"]): r["k"] for r in near.withColumn("k", rank).filter(F.col("k") <= docs_per_language).collect()}
@@ -62,29 +67,34 @@ def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, max_b
             taken[lang] += size
             picks.append((lang, doc))
     both = set(picks)
-    for r in usable.filter(F.col("doc_id").isin(sorted({i for _, i in picks}))).orderBy("doc_id", "text").toLocalIterator():
+    # No more than the share of any text is sent to the driver; a character may be cut, which costs one context.
+    head = F.substring(F.encode("text", "utf-8"), 1, limit)
+    for r in usable.filter(F.col("doc_id").isin(sorted({i for _, i in picks}))).select("lang", "doc_id", head.alias("head")).orderBy("doc_id", "head").toLocalIterator():
         if (r["lang"], r["doc_id"]) in both:
-            texts[r["lang"]].append(r["text"].encode())
+            texts[r["lang"]].append(bytes(r["head"]))
     return {k: v for k, v in texts.items() if v}
 
 
 class Model:
-    """Tabled code lengths.  symbol: byte to symbol (0: unseen); node: last three symbols to context node;
+    """Tabled code lengths.  symbol: byte to symbol (0: unseen); node: last `order` symbols to context node;
     bits: (nodes * symbols, languages) code lengths in bits."""
 
-    def __init__(self, langs: list[str], symbol: np.ndarray, node: np.ndarray, bits: np.ndarray):
-        self.langs, self.symbol, self.node, self.bits, self.size = langs, symbol, node, bits, int(symbol.max()) + 1
+    def __init__(self, langs: list[str], symbol: np.ndarray, node: np.ndarray, bits: np.ndarray, order: int = ORDER):
+        self.langs, self.symbol, self.node, self.bits, self.size, self.order = langs, symbol, node, bits, int(symbol.max()) + 1, order
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length of the whole text under each language, in bits."""
-        total, past = np.zeros(len(self.langs)), np.zeros(ORDER, np.int32)
+        total, past = np.zeros(len(self.langs)), np.zeros(self.order, np.int32)
         raw = np.frombuffer(text, np.uint8)
         for at in range(0, len(raw), CHUNK):
             s = np.concatenate((past, self.symbol[raw[at : at + CHUNK]]))
-            context = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
-            rows = self.node[context] * np.int32(self.size) + s[3:]
+            n = len(s) - self.order
+            context = np.zeros(n, np.int32)
+            for back in range(self.order):
+                context = context * np.int32(self.size) + s[back : back + n]
+            rows = self.node[context] * np.int32(self.size) + s[self.order :]
             total += self.bits[rows].sum(axis=0, dtype=np.float64)
-            past = s[-3:]
+            past = s[n:]
         return total
 
     def predict(self, text: bytes) -> tuple[str, float]:
@@ -161,7 +171,7 @@ def fit(texts: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TA
         if k:
             view = node.reshape(-1, size**k)
             view[:, c] = number[k, c]
-    return Model(langs, symbol, node, np.ascontiguousarray(bits.reshape(-1, len(langs))))
+    return Model(langs, symbol, node, np.ascontiguousarray(bits.reshape(-1, len(langs))), order)
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("text_key", T.LongType())])
