@@ -39,6 +39,10 @@ SPAN = 1 << 18
 LONGEST = 1 << 12
 #: Text bytes packed at a time.
 BLOCK_BYTES = 12 << 20
+#: Windows of one minimiser that are held as strings at once; more are compared in parts by a second hash of the window.
+HELD_WINDOWS = 400_000
+#: Shuffle partitions at most; beyond, a partition holds several buckets and reads them one after the other.
+MAX_PARTS = 1 << 16
 
 
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -290,19 +294,24 @@ def repeated(blobs: list[bytes], window: int = WINDOW):
     several = doc[cut[:-1]] != doc[cut[1:] - 1]  # a minimiser of one document cannot repeat in another
     hits = []
     for s, e in zip(cut[:-1][several].tolist(), cut[1:][several].tolist(), strict=True):
-        windows = []
-        for r in order[s:e].tolist():
-            at = int(head["offset"][r])
-            words = text[at : at + int(head["size"][r])].split(b" ")
-            d, k, i = int(head["id"][r]), int(head["key"][r]), int(head["first"][r])
-            windows += [(b" ".join(words[w : w + window]), d, k, i + w) for w in range(int(head["n"][r]))]
-        windows.sort()
-        before, least = None, 0
-        for w, d, k, i in windows:
-            if w != before:
-                before, least = w, d
-            elif least < d:
-                hits.append((d, k, i))
+        own = order[s:e]
+        parts = int(-(-int(head["n"][own].sum()) // HELD_WINDOWS))
+        for part in range(parts):
+            windows = []
+            for r in own.tolist():
+                at, size, n = int(head["offset"][r]), int(head["size"][r]), int(head["n"][r])
+                line = text[at : at + size]
+                words = line.split(b" ")
+                chosen = range(n) if parts == 1 else np.flatnonzero(rolling(hashed(line)[0], window)[:n] % np.uint64(parts) == part).tolist()
+                d, k, i = int(head["id"][r]), int(head["key"][r]), int(head["first"][r])
+                windows += [(b" ".join(words[w : w + window]), d, k, i + w) for w in chosen]
+            windows.sort()
+            before, least = None, 0
+            for w, d, k, i in windows:
+                if w != before:
+                    before, least = w, d
+                elif least < d:
+                    hits.append((d, k, i))
     return hits
 
 
@@ -310,7 +319,9 @@ def removed_ranges(texts: DataFrame, buckets: int, window: int = WINDOW, mini: i
     """(doc_id, text_key, lo, hi): word ranges to remove from texts (doc_id not null, text, text_key)."""
     hot = hot_windows(texts, window) if hot is None else hot
     packed = pack(texts, buckets, hot, window, mini)
-    dealt = packed.withColumn("to", F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))).repartitionById(buckets, F.col("to")).sortWithinPartitions(F.col("bucket").asc_nulls_first())
+    parts = min(buckets, MAX_PARTS)
+    place = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    dealt = packed.withColumn("to", F.pmod(place, F.lit(parts)).cast("int")).repartitionById(parts, F.col("to")).sortWithinPartitions(F.col("bucket").asc_nulls_first())
 
     def run(batches):
         bucket, blobs = None, []

@@ -39,8 +39,11 @@ def test_exact_directory_splits_only_overfull_buckets(spark):
     assert exact_dedup.directory(keys, capacity=10**6, max_depth=6).agg(F.max("depth")).first()[0] == 0
 
 
+def test_exact_directory_depth_follows_the_bytes():
+    assert exact_dedup.depth_for(0, 32) == 4 and exact_dedup.depth_for(33, 32) == 5 and exact_dedup.depth_for(10**14, 32 << 20) == exact_dedup.MAX_DEPTH
+
+
 def test_exact_hot_key(table, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5)
     monkeypatch.setattr("tarnwater.llm.common.HOT_ROWS", 5)
     rows = [(i, "hot") for i in range(40)] + [(100 + i, f"cold {i}") for i in range(20)]
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(table(rows)).collect()}
@@ -178,8 +181,10 @@ def brute_spans(rows, window=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [None, {}], ids=["hot windows", "buckets alone"])
-def test_substring_dedup(table, hot):
+@pytest.mark.parametrize(("hot", "held", "most"), [(None, 400_000, 1 << 16), ({}, 20, 3)], ids=["hot windows", "buckets alone, over budget"])
+def test_substring_dedup(table, monkeypatch, hot, held, most):
+    monkeypatch.setattr(substring_dedup, "HELD_WINDOWS", held)
+    monkeypatch.setattr(substring_dedup, "MAX_PARTS", most)
     rng = random.Random(4)
     passage, rows = prose(rng, 30), [r for r in ODD if r[0] not in (6, 7)]
     for i in range(80):
