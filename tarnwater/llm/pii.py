@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import columns_of, over_batches
+from .common import ALNUM, columns_of, over_batches
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -28,17 +27,44 @@ DIGIT = re.compile(r"[0-9]")
 HOMOGLYPHS = dict(zip("асеорхуіјѕԁһԛԝАВЕЅІЈКМНОРСТХУΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρ﹫。․", "aceopxyijsdhqwABESIJKMHOPCTXYABEZHIKMNOPTYXoavp@..", strict=True))
 HOMOGLYPHS |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 INVISIBLE = frozenset("​‌‍⁠﻿­")
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits in English, German, French and Spanish.  Fixed values.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words for the signs in addresses and numbers, in the same languages.  Fixed values.
+AT_WORDS, DOT_WORDS, PLUS_WORDS, BRACKET_AT, BRACKET_DOT = ("at", "ät", "arroba", "arobase"), ("dot", "punkt", "point", "punto"), ("plus", "más"), ("a", "@"), ("d", ".", "p")
+
+#: Endings that may follow a spelled dot: `dot` stands before any two letters, the other words, which prose uses, before
+#: endings that are no words.  Fixed values.
+GENERIC_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "app", "dev", "io", "co")
+COUNTRY_ENDS = ("de", "fr", "es", "uk", "eu", "ru", "nl", "pl", "ch", "se", "dk", "fi", "cz", "pt", "br", "cn", "jp", "kr", "ca", "au", "nz", "mx", "gr", "hu", "ro", "ua", "tr")
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
 ODD = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "".join(INVISIBLE) + "]")
-WORD_DIGITS = re.compile(r"(?i)(?<![a-z0-9])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[\x20-]{1,2}(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]+)){3,}(?![a-z0-9])")
-ONE_WORD = re.compile(r"(?i)(zero|oh|one|two|three|four|five|six|seven|eight|nine)|([0-9])|([\x20-]+)")
-# Bracketed signs are disguises wherever they stand between name characters; bare words only as name at name dot name.
-AT = re.compile(r"(?i)(?<=[a-z0-9])\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?(?=[a-z0-9])")
-DOT = re.compile(r"(?i)(?<=[a-z0-9])\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?(?=[a-z0-9])")
-BARE = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]{1,64}(?:(?:\.|\x20dot\x20)[a-z0-9_%+-]{1,64}){0,4}(\x20at\x20)[a-z0-9-]{1,63}(?:(?:\.|\x20dot\x20)[a-z0-9-]{1,63}){0,4}\x20dot\x20(?:com|org|net|edu|gov|io|co|info|de|fr|es|uk|eu)(?![a-z0-9])")
-BARE_PART = re.compile(r"(?i)\x20(at|dot)\x20")
-BRACKETS = re.compile(r"(?i)[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]")
-BARE_HINT = re.compile(r"(?i)\x20dot\x20")
+_DIGIT, _PART, _EDGE = _any(SPELLED), r"[\x20-]{1,2}", r"(?![^\W_])"
+# A run of spelled and written digits, four at least; dots between them may be spelled, and a plus before them.
+WORD_DIGITS = re.compile(rf"(?i)(?<![^\W_])(?:{_any(PLUS_WORDS)}[\x20-]+)?{_DIGIT}(?:(?:{_PART}{_any(DOT_WORDS)})?{_PART}(?:{_DIGIT}|[0-9]+)){{3,}}{_EDGE}")
+ONE_WORD = re.compile(rf"(?i)({_DIGIT}){_EDGE}|([0-9]+)|({_any(DOT_WORDS)}){_EDGE}|({_any(PLUS_WORDS)}){_EDGE}|([\x20-]+)")
+# Bracketed signs are disguises wherever they stand between name characters.
+AT = re.compile(rf"(?i)(?<=[a-z0-9])\x20?[\[({{<]\x20?{_any(AT_WORDS + BRACKET_AT)}\x20?[\])}}>]\x20?(?=[a-z0-9])")
+DOT = re.compile(rf"(?i)(?<=[a-z0-9])\x20?[\[({{<]\x20?{_any(DOT_WORDS + BRACKET_DOT)}\x20?[\])}}>]\x20?(?=[a-z0-9])")
+# Bare words only as name at name dot ending; the dot may be written where the sign is spelled, and the other way round.
+_NAME, _SIGN = r"[a-z0-9_%+-]{1,64}", rf"(?:\.|\x20{_any(DOT_WORDS)}\x20)"
+BARE_AT = re.compile(rf"(?i)\x20{_any(AT_WORDS)}\x20|\x20?@\x20?")
+BARE_HOST = re.compile(rf"(?i)[a-z0-9-]{{1,63}}(?:{_SIGN}[a-z0-9-]{{1,63}}){{0,4}}(?:\.[a-z]{{2,24}}|\x20dot\x20(?:[a-z]{{2}}|{_any(GENERIC_ENDS)})|\x20{_any(DOT_WORDS[1:])}\x20{_any(GENERIC_ENDS + COUNTRY_ENDS)})(?![a-z0-9])")
+BARE_NAME = re.compile(rf"(?i)(?<![a-z0-9._%+-]){_NAME}(?:{_SIGN}{_NAME}){{0,4}}\Z")
+#: Characters before a sign in which its name may stand.
+NAME_SPAN = 400
+BARE_PART = re.compile(rf"(?i)\x20{_any(DOT_WORDS)}\x20")
+BRACKETS = re.compile(r"(?i)[\[({<]\x20?(?:[a-zäá]{1,8}|@|\.)\x20?[\])}>]")
+DIGIT_WORDS, SIGN_WORDS = frozenset(w.encode() for w in SPELLED), frozenset(w.encode() for w in AT_WORDS + DOT_WORDS)
 
 
 def luhn(digits: str) -> bool:
@@ -144,25 +170,43 @@ def homoglyphs(t: Traced) -> Traced:
 
 
 def spelled_digits(t: Traced) -> Traced:
-    """Runs of four or more spelled or written digits to digits; a run keeps no separators."""
+    """Runs of four or more spelled or written digits to digits; a run keeps no separators but spelled dots and a plus."""
     edits = []
     for m in WORD_DIGITS.finditer(t.text):
-        digits = "".join(SPELLED[w.lower()] if w else d for w, d, _ in ONE_WORD.findall(m.group()))
+        digits = "".join(SPELLED[w.lower()] if w else d or ("." if dot else "+" if plus else "") for w, d, dot, plus, _ in ONE_WORD.findall(m.group()))
         edits.append((m.start(), m.end(), digits))
     return t.rewrite(edits)
 
 
-def signs(t: Traced) -> Traced:
-    """at and dot disguises to @ and dots."""
+def signs(t: Traced, bare: bool = True) -> Traced:
+    """at and dot disguises to @ and dots; bare ones too, if there are such words."""
     if BRACKETS.search(t.text):
         t = t.rewrite(sorted([(*m.span(), "@") for m in AT.finditer(t.text)] + [(*m.span(), ".") for m in DOT.finditer(t.text)]))
-    if BARE_HINT.search(t.text):
-        edits = []
-        for m in BARE.finditer(t.text):
-            for p in BARE_PART.finditer(t.text, m.start(), m.end()):
-                edits.append((*p.span(), "@" if p.start() == m.start(1) else "."))
-        t = t.rewrite(edits)
-    return t
+    edits, free = [], 0
+    for m in BARE_AT.finditer(t.text) if bare else ():
+        # The host decides; the name before the sign is looked for only where a host stands behind it.
+        if m.start() >= free and (host := BARE_HOST.match(t.text, m.end())):
+            lo = max(free, m.start() - NAME_SPAN)
+            name = BARE_NAME.search(t.text[lo : m.start()])
+            if name:
+                edits += [(*p.span(), ".") for p in BARE_PART.finditer(t.text, lo + name.start(), m.start())]
+                edits += [(*m.span(), "@"), *[(*p.span(), ".") for p in BARE_PART.finditer(t.text, m.end(), host.end())]]
+                free = host.end()
+    return t.rewrite(edits)
+
+
+def apart(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of the found spans, sorted by start, that no base span of their kind overlaps: one pass over both."""
+    own = {k: [x for x in base if x[2] == k] for k in KINDS}
+    at, out = dict.fromkeys(KINDS, 0), []
+    for a, b, kind in found:
+        spans_, i = own[kind], at[kind]
+        while i < len(spans_) and spans_[i][1] <= a:
+            i += 1
+        at[kind] = i
+        if i == len(spans_) or spans_[i][0] >= b:
+            out.append((a, b, kind))
+    return out
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -171,16 +215,14 @@ def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, s
     traced = Traced(text)
     if not text.isascii() and ODD.search(text):
         traced = homoglyphs(traced)
-    if WORD_DIGITS.search(traced.text):
+    # Words tell which transducers have work.
+    words = frozenset(traced.text.lower().encode("utf-8", "surrogatepass").translate(ALNUM).split())
+    if not DIGIT_WORDS.isdisjoint(words):
         traced = spelled_digits(traced)
-    traced = signs(traced)
+    traced = signs(traced, not SIGN_WORDS.isdisjoint(words))
     if traced.text is text or traced.text == text:
         return base, base
-    extra = []
-    for s, e, kind in find(traced.text):
-        a, b = traced.source(s, e)
-        if not any(k == kind and x < b and a < y for x, y, k in base):
-            extra.append((a, b, kind))
+    extra = apart([(*traced.source(s, e), kind) for s, e, kind in find(traced.text)], base)
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -277,3 +277,75 @@ def test_pipeline_stages_survive_odd_rows(table, spark):
     empty = table([(1, "x")]).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("write to max at firma dot at now", "email", "max at firma dot at"), ("joe at mail dot ru", "email", "joe at mail dot ru"), ("jane at example.com!", "email", "jane at example.com"), ("x at y dot nl", "email", "x at y dot nl"),
+        ("max AT firma PUNKT de", "email", "max AT firma PUNKT de"), ("john (a) example (d) com", "email", "john (a) example (d) com"), ("ana arroba casa punto es", "email", "ana arroba casa punto es"),
+        ("call plus four nine three zero one two three four five six", "phone", "plus four nine three zero one two three four five six"), ("ruf plus vier neun drei null eins zwei drei vier fünf sechs an", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs"),
+        ("host one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+    ],
+)
+def test_disguises_in_four_languages(text, kind, part):
+    base, every = pii.spans(text)
+    assert not base and [(k, text[s:e]) for s, e, k in every] == [(kind, part)]
+
+
+@pytest.mark.parametrize("text", ["we look at this point and go", "un deux trois soleil", "three four five", "he is at home. com is no word", "at noon dot your eyes", "at dot at dot", "meet at ten"])
+def test_plain_words_are_no_disguise(text):
+    assert pii.spans(text) == ([], [])
+
+
+def test_rewriting_keeps_places():
+    """Every rewritten character points at the source characters it stands for, over several rewritings."""
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))
+        traced, spans = pii.Traced(text), [(c, i, i + 1) for i, c in enumerate(text)]
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(traced.text) + 1), min(4, len(traced.text) + 1)))
+            edits = [(a, b, rng.choice(["", "X", "YZ"])) for a, b in zip(cuts[::2], cuts[1::2], strict=False) if a < b]
+            out, at = [], 0
+            for a, b, new in edits:
+                out += spans[at:a] + [(c, spans[a][1], spans[b - 1][2]) for c in new]
+                at = b
+            spans = out + spans[at:]
+            traced = traced.rewrite(edits)
+        assert traced.text == "".join(c for c, _, _ in spans)
+        assert [traced.source(i, i + 1) for i in range(len(spans))] == [(a, b) for _, a, b in spans]
+
+
+def test_many_spans_take_one_pass():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"a{i}@b.de c{i} [at] d dot fr" for i in range(n))
+        start = time.perf_counter()
+        base, every = pii.spans(text)
+        assert len(base) == n and len(every) == 2 * n
+        return time.perf_counter() - start
+
+    seconds(200)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.05)
+
+
+def test_language_model_of_lower_order_and_many_names(table):
+    model = lang_id.fit({"a": [b"some training text of words"], "b": [b"zzz yyy xxx zzz"]}, order=2)
+    assert model.predict(b"zzz yyy")[0] == "b" and model.predict(b"text of words")[0] == "a"
+    rows = [(i, f"text number {i}", f"l{i % 700}", "s") for i in range(1500)] + [(5000 + i, "die und der das ist", "de", "s") for i in range(40)] + [(6000, "x", "n" * 500, "s")]
+    sample = lang_id.training_sample(table(rows))
+    assert len(sample) <= lang_id.LANGUAGES and "de" in sample and all(len(k) <= lang_id.NAME_CHARS for k in sample)
+    long = lang_id.training_sample(table([(i, "word " * 5000, "en", "s") for i in range(20)]), max_bytes=1000)
+    assert sum(map(len, long["en"])) <= 1000
+
+
+def test_long_items_are_cut_into_pieces(spark):
+    words = [f"w{i}" for i in range(95)]
+    bench = spark.createDataFrame([("a", " ".join(words)), ("b", "x, Y"), ("c", None)], "item_id string, text string")
+    got = [(r.item_id, r.text) for r in decontam.pieces(bench, 10, 30).collect()]
+    whole = {tuple(words[i : i + 10]) for i in range(86)}
+    assert {tuple(t.split()[i : i + 10]) for k, t in got if k == "a" for i in range(len(t.split()) - 9)} == whole
+    assert all(len(t.split()) <= 30 for _, t in got) and ("b", "x Y") in got
+    assert len(decontam.benchmark_shards(bench, 200)) > 1
