@@ -22,13 +22,28 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables written by each application, for `drop_stored`.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, empty tables included."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this application has stored, once no result is read from them any more; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions than half of them (a small table in one file); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

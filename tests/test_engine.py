@@ -256,6 +256,15 @@ def test_sinks(spark, tmp_path):
     assert sinks.checksums(spark, f"{tmp_path}/c").count() >= 1 and sinks.drop(spark, f"{tmp_path}/c")
 
 
+def test_stored_tables_are_dropped(spark, tmp_path_factory):
+    from pathlib import Path
+
+    from tarnwater.sources import shared
+
+    path = Path(shared.stored(spark.range(3), "dropped").inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and shared.drop_stored(spark) >= 1 and not path.exists() and shared.drop_stored(spark) == 0
+
+
 def test_streams(spark, tmp_path):
     schema = "record_id string, title string, content string, record_type string, category string, language string, metadata map<string,string>"
     folder = tmp_path / "in"
