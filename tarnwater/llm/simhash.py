@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Words of a wide fingerprint, whose bits estimate the similarity of two texts' shingles: those that buckets compare,
 #: and those by which a link is checked.
 WIDE, CHECKED = 4, 16
-#: Chance with which a pair at the similarity asked for meets in some table.
+#: Chance with which a pair at the similarity asked for meets in some table; the slack of the comparisons comes on top.
 RECALL = 0.99
 #: Mean members of a bucket that the tables' key width aims at.
 PER_BUCKET = 64
@@ -192,7 +192,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """One row per document: doc_id, component_id (smallest doc_id of its group), text_key.
 
     Texts are linked when their wide fingerprints differ in no more bits than texts at this Jaccard similarity of word shingles
-    would, two standard deviations allowed.  Tables of sampled bits bring such pairs together; inside a bucket
+    would, two standard deviations allowed.  This estimates the similarity: some pairs just below it are linked and a few
+    just above it are not (see the README for how many).  Tables of sampled bits bring such pairs together; inside a bucket
     fingerprints are compared bit-sliced on their first word and survivors on WIDE words; what is found is held against each
     other on CHECKED words in rounds (see candidates), so that a refused pair never stands for another.  Nulls, empty texts,
     repeated rows and null ids are treated as by `near_duplicates`.

@@ -395,3 +395,28 @@ def test_line_dedup_same_fingerprint_beyond_64_lines(table):
     linked = [i for i in range(len(lines)) if want[i] != i]
     assert len(linked) >= 60 and sum(got[i] for i in linked) >= 0.97 * len(linked)
     assert all(want[i] != i for i in got if got[i])
+
+
+@pytest.mark.parametrize("n", [6_000, 236_000, 14_000_000], ids=str)
+def test_near_pairs_meet_in_tables_of_any_corpus_size(n):
+    """Pairs at Jaccard .8 or more meet in the tables that a corpus of n texts gets, and pass the slack of the comparisons."""
+    rng, share = random.Random(3), simhash.differing(0.8)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    pairs = []
+    while len(pairs) < 300:
+        words = prose(rng, rng.choice([60, 120, 250, 500])).split()
+        words = [w + rng.choice("abcdefgh") for w in words]
+        copy = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 40))):
+            copy[rng.randrange(len(copy))] = "".join(rng.choice("abcdefgh") for _ in range(7))
+        a, b = shingles(words), shingles(copy)
+        if 0.8 <= len(a & b) / len(a | b) < 1:
+            pairs.append([simhash.wide_fingerprint(" ".join(w).encode(), 5) for w in (words, copy)])
+    apart = np.array([a ^ b for a, b in pairs])
+    passed = np.ones(len(pairs), bool)
+    for words in (1, simhash.WIDE, simhash.CHECKED):
+        bits = 64 * words
+        passed &= np.bitwise_count(apart[:, :words]).sum(axis=1) <= bits * share + 2 * np.sqrt(bits * share * (1 - share))
+    differ = np.unpackbits(np.ascontiguousarray(apart[:, : simhash.WIDE]).view(np.uint8), axis=1, bitorder="little")
+    met = np.any([~differ[:, picked].any(axis=1) for picked in simhash.tables_for(n, 0.8)], axis=0)
+    assert (met & passed).mean() >= 0.95
