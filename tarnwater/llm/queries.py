@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, lang_id, licenses, line_dedup, mixing, pii, simhash, substring_dedup, warc
+from . import decontam, exact_dedup, lang_id, licenses, line_dedup, mixing, pii, simhash, spelling, substring_dedup, warc
 from .sql import ORACLES
 
 
@@ -54,8 +54,12 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_pii, op3_warc, op4_mixing, op5_substring_dedup, op6_simhash, op7_decontam, op8_lang_id, op9_line_dedup, op10_license)
+    own = (op1_exact_dedup, op2_pii, op3_warc, op4_mixing, op5_substring_dedup, op6_simhash, op7_decontam, op8_lang_id, op9_line_dedup, op10_license, op11_spelling_variants)
     return {f.__name__: f for f in own}
 
 

@@ -109,4 +109,32 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base
 FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op3_warc": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_decontam": OP7, "op10_license": OP10}
+#: Unsigned CRC-32 of the string {0}, byte by byte over the 256 remainders that the reversed polynomial gives.
+_CRC = """xor(list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::INT, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, [REMAINDERS][(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def _remainder(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+_CRC = _CRC.replace("REMAINDERS", ", ".join(f"{_remainder(i)}::BIGINT" for i in range(256)))
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC.format("s")} AS h FROM runs),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)::INT[]) AS i FROM v)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON c.rest = v.word UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON c.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_max(other, (other_n, -o)) AS other, max(other_n) AS other_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other) AS o FROM near) GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS last, form AS further FROM f UNION ALL SELECT steps.word, f.word, f.form FROM steps JOIN f ON steps.further = f.word)
+SELECT word, f.form, last AS root, n, n_near, form_n FROM f JOIN steps USING (word) WHERE further IS NULL
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op3_warc": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_decontam": OP7, "op10_license": OP10, "op11_spelling_variants": OP11}
