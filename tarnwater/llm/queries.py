@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, lang_id, licenses, line_dedup, mixing, pii, simhash, spelling, substring_dedup, warc
+from . import decontam, exact_dedup, lang_id, lexicon_bpe, licenses, line_dedup, mixing, periodic, pii, simhash, spelling, substring_dedup, warc
 from .sql import ORACLES
 
 
@@ -58,8 +58,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return lexicon_bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_pii, op3_warc, op4_mixing, op5_substring_dedup, op6_simhash, op7_decontam, op8_lang_id, op9_line_dedup, op10_license, op11_spelling_variants)
+    own = (op1_exact_dedup, op2_pii, op3_warc, op4_mixing, op5_substring_dedup, op6_simhash, op7_decontam, op8_lang_id, op9_line_dedup, op10_license, op11_spelling_variants, op12_periodic_runs, op13_bpe)
     return {f.__name__: f for f in own}
 
 

@@ -1,14 +1,13 @@
 """Spelling variants: words of a corpus that one inserted, deleted or replaced letter tells apart, each led to its commonest form.
 
-A positional q-gram inverted index finds the pairs.  One edit destroys at most q grams of a word and moves the others by at
-most one place, so of the q + 1 grams that are rarest in the vocabulary two near words share one, at a place that the edit
-allows.  Words are dealt by such a gram, the length of the shorter word and the gram's place in it.  Within a deal, words build
-the index gram by gram; each next word heap-merges the postings of its own grams at the places allowed and keeps the words
-that at least `overlap bound` of its postings name; those are verified letter by letter.  Of all deals in which a pair meets,
-the first gram's alone reports it.
-
-What is broadcast is one rank for each possible gram, a number that the alphabet of 90 letters bounds.  A deal that too many
-words share is cut into slices, and words of one slice visit the later ones.  Everything else is shuffled by word or by deal.
+A positional q-gram inverted index finds the pairs.  It is dealt out in shards: a word is cut into three parts, of which one edit
+changes one, so near words share two; they meet in the shard of those two parts and of the shorter word's length.  Within a
+shard, each word heap-merges the postings of its own grams at the places that one edit allows, keeps the words that at least
+as many of its grams name as one edit must leave, and verifies those letter by letter.  Of all shards in which a pair meets, the
+first alone reports it.
+
+A shard that too many words share is cut into slices, and words of one slice visit the later ones.  Nothing is broadcast or
+collected; everything is shuffled by word or by shard.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,20 +23,12 @@ from pyspark.sql import functions as F
 from .common import stored, text_column
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Letters of words: a to z and the Latin-1 block from C0 on.
-LETTERS = 26 + 64
-#: Letters of a gram, and how many of a word's grams deal it out.
-Q = 3
-PREFIX = Q + 1
+#: Letters of a gram.  One edit changes at most Q grams of a word, so words need 2 * Q letters.
+Q = 2
 #: A word whose run's checksum this divides has lost a letter.
 LOSS = 31
-#: Words of one deal that are indexed together; more are cut into slices.
-DEAL_WORDS = 20_000
-
-#: Latin-1 byte to letter number.
-_LETTER = np.zeros(256, np.int64)
-_LETTER[97:123] = np.arange(26)
-_LETTER[192:] = np.arange(26, LETTERS)
+#: Words of one shard that are indexed together; more are cut into slices.
+SHARD_WORDS = 20_000
 
 
 def observed(run: Column, doc_id: Column, loss: int = LOSS) -> Column:
@@ -56,85 +46,42 @@ def vocabulary(docs: DataFrame, shortest: int = 7, fewest: int = 2, loss: int =
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest)
 
 
-def grams_of(words: list[str], q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, place, word number) of every gram of the words, in order."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    letters = _LETTER[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
-    counts = np.maximum(sizes - q + 1, 0)
-    owner = np.repeat(np.arange(len(words)), counts)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(np.cumsum(sizes) - sizes, counts) + place
-    gram = np.zeros(len(at), np.int64)
-    for k in range(q):
-        gram = gram * LETTERS + letters[at + k]
-    return gram, place, owner
+def shards(vocab: DataFrame) -> DataFrame:
+    """(size, kind, parts, role, word, n): a word in every shard where a near one may meet it.
 
+    Role 0: a word of `size` letters.  Role 1: a word of one letter more, of whose parts the one that kind names takes the letter.
+    kind 0, 1, 2: all but the last, the middle, the first third of the letters.
+    """
+    word = F.col("word")
 
-def gram_ranks(vocab: DataFrame, q: int = Q) -> np.ndarray:
-    """The place of each possible gram in the order from rare to frequent, over the whole vocabulary; LETTERS ** q numbers at most."""
+    def shard(size: Column, role: int) -> list[Column]:
+        a, b = F.floor(size / 3).cast("int"), F.floor(size * 2 / 3).cast("int")
+        cut = lambda start, length: F.substring(word, start + 1, length)
+        parts = (cut(F.lit(0), b), F.concat(cut(F.lit(0), a), cut(b + role, size - b)), cut(a + role, size - a))
+        return [F.struct(size.alias("size"), F.lit(k).alias("kind"), p.alias("parts"), F.lit(role).alias("role")) for k, p in enumerate(parts)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LETTERS**q, np.int64)
-        for batch in batches:
-            total += np.bincount(grams_of(batch.column(0).to_pylist(), q)[0], minlength=len(total))
-        gram = np.flatnonzero(total)
-        if len(gram):
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(total[gram])], ["gram", "n"])
+    size = F.length(word)
+    return vocab.select(F.explode(F.array(*shard(size, 0), *shard(size - 1, 1))).alias("s"), "word", "n").select("s.*", "word", "n")
 
-    total = np.zeros(LETTERS**q, np.int64)
-    for gram, n in vocab.select("word").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-        total[gram] = n
-    ranks = np.empty(len(total), np.int32)
-    ranks[np.argsort(total, kind="stable")] = np.arange(len(total))
-    return ranks
 
+def parts_of(word: str, size: int) -> tuple[str, str, str]:
+    """What `shards` takes of a word for each kind."""
+    a, b, role = size // 3, size * 2 // 3, len(word) - size
+    return word[:b], word[:a] + word[b + role :], word[a + role :]
 
-def deals(vocab: DataFrame, ranks: np.ndarray, q: int = Q) -> DataFrame:
-    """(gram, size, place, role, word, n, marks): a word in every deal where a near one may meet it.
 
-    Role 0: a word of `size` letters with the gram at the place.  Role 1: a word of one letter more, with the gram there or one
-    place later.  marks are the word's dealing grams and places, rarest first.
-    """
-    shared = vocab.sparkSession.sparkContext.broadcast(ranks)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(0).to_pylist()
-            gram, place, owner = grams_of(words, q)
-            order = np.lexsort((place, rank[gram], owner))
-            first = np.searchsorted(owner, np.arange(len(words)))
-            order = order[np.arange(len(order)) - first[owner] < q + 1]
-            gram, place, owner = gram[order], place[order], owner[order]
-            ends = np.searchsorted(owner, np.arange(len(words) + 1))
-            marks = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gram << 32 | place))
-            size = np.fromiter(map(len, words), np.int64, len(words))[owner]
-            # a gram twice in a row would deal the longer word out twice to one place
-            seen = set(zip(owner.tolist(), gram.tolist(), place.tolist()))
-            later = np.array([p > 0 and (o, g, p - 1) not in seen for o, g, p in zip(owner.tolist(), gram.tolist(), place.tolist())], bool)
-            parts = [(owner, gram, size, place, 0), (owner, gram, size - 1, place, 1), (owner[later], gram[later], size[later] - 1, place[later] - 1, 1)]
-            take = pa.array(np.concatenate([p[0] for p in parts]))
-            whole = [pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)]
-            role = pa.array(np.concatenate([np.full(len(p[0]), p[4], np.int32) for p in parts]))
-            yield pa.RecordBatch.from_arrays([*whole, role, pa.array(words).take(take), batch.column(1).take(take), marks.take(take)], ["gram", "size", "place", "role", "word", "n", "marks"])
-
-    return vocab.select("word", "n").mapInArrow(deal, "gram long, size long, place long, role int, word string, n long, marks array<long>")
-
-
-def sliced(rows: DataFrame, limit: int = DEAL_WORDS) -> DataFrame:
-    """rows with a slice: deals that over `limit` words share are cut by word; other words visit all slices, those of a slice the later ones (role 2)."""
-    deal = ["gram", "size", "place"]
-    crowded = rows.filter("role = 0").groupBy(*deal).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > limit)
-    crowded = stored(crowded.select(*deal, F.ceil(F.col("held") / limit).cast("int").alias("slices")), "spelling-crowded")
+def sliced(rows: DataFrame, limit: int = SHARD_WORDS) -> DataFrame:
+    """rows with a slice: shards of over `limit` words are cut by word; longer words visit all slices, those of a slice the later ones (role 2)."""
+    shard = ["size", "kind", "parts"]
+    crowded = rows.filter("role = 0").groupBy(*shard).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > limit)
+    crowded = stored(crowded.select(*shard, F.ceil(F.col("held") / limit).cast("int").alias("slices")), "spelling-crowded")
     if not crowded.head(1):
         return rows.withColumn("slice", F.lit(0))
     own = F.pmod(F.xxhash64("word"), F.col("slices")).cast("int")
-    visits = F.when(F.col("role") == 1, F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.sequence(own, F.col("slices") - 1))
-    known = rows.join(crowded, deal, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    visits = F.sequence(F.when(F.col("role") == 1, 0).otherwise(own), F.col("slices") - 1)
+    known = rows.join(crowded, shard, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     role = F.when((F.col("role") == 0) & (F.col("slice") != own), 2).otherwise(F.col("role")).alias("role")
-    return known.withColumn("slice", F.explode(visits)).select(*deal, role, "word", "n", "marks", "slice")
+    return known.withColumn("slice", F.explode(visits)).select(*shard, role, "word", "n", "slice")
 
 
 def heap_merge(postings: list[list[int]], bound: int) -> list[int]:
@@ -174,60 +121,62 @@ def one_edit(a: str, b: str) -> bool:
 class PositionalIndex:
     """Words of one length, by their grams and places."""
 
-    def __init__(self, q: int) -> None:
+    def __init__(self, q: int = Q) -> None:
         self.q, self.postings, self.words = q, {}, []
 
-    def grams(self, word: str) -> list[tuple[str, int]]:
-        return [(word[i : i + self.q], i) for i in range(len(word) - self.q + 1)]
+    def grams(self, word: str) -> list[tuple[int, str]]:
+        return [(i, word[i : i + self.q]) for i in range(len(word) - self.q + 1)]
 
-    def add(self, word: str, n: int, marks: list[int]) -> None:
+    def add(self, word: str, n: int) -> None:
         for key in self.grams(word):
             self.postings.setdefault(key, []).append(len(self.words))
-        self.words.append((word, n, marks))
-
-    def near(self, word: str) -> Iterator[tuple[str, int, list[int]]]:
-        """The words held that are one edit from this one: verified candidates above the overlap bound."""
-        longer = bool(self.words) and len(word) > len(self.words[0][0])
-        lists = [p for g, i in self.grams(word) for k in ((i, i - 1) if longer else (i,)) if (p := self.postings.get((g, k)))]
-        for i in heap_merge(lists, len(word) - 2 * self.q + 1):
+        self.words.append((word, n))
+
+    def near(self, word: str) -> Iterator[tuple[str, int]]:
+        """The words held that are one edit from this one, which is as long or one letter longer: verified candidates above the overlap bound."""
+        held = self.postings
+        keys = self.grams(word)
+        if len(word) > len(self.words[0][0]):
+            keys += [(i - 1, g) for i, g in keys if i]
+        for i in heap_merge([held[k] for k in keys if k in held], len(word) - 2 * self.q + 1):
             if one_edit(self.words[i][0], word):
                 yield self.words[i]
 
 
-def first_shared(short: list[int], other: list[int], longer: bool) -> int | None:
-    """The first mark of the shorter word that the other one has too, at the place or, if it is longer, one place later."""
-    marks = set(other)
-    return next((m for m in short if m in marks or (longer and m + 1 in marks)), None)
+def first_shared(a: str, b: str) -> int | None:
+    """The first kind of shard in which the words meet; a is not the longer one."""
+    return next((k for k, (x, y) in enumerate(zip(parts_of(a, len(a)), parts_of(b, len(a)))) if x == y), None)
 
 
 def near_pairs(rows: DataFrame, q: int = Q) -> DataFrame:
     """(word, n, near, near_n): every pair of near words, both ways round and once each; rows as `sliced` gives them."""
-    deal = ["gram", "size", "place", "slice"]
+    shard = ["size", "kind", "parts", "slice"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal_now, waiting, index = None, None, None
+        now, waiting, index = None, None, None
         for batch in batches:
             out: list[tuple[str, int, str, int]] = []
             columns = batch.to_pydict()
-            for gram, size, place, part, role, word, n, marks in zip(*(columns[c] for c in (*deal, "role", "word", "n", "marks"))):
-                if (gram, size, place, part) != deal_now:
-                    deal_now, waiting, index = (gram, size, place, part), None, None
-                if waiting is None and index is None:
-                    waiting = (word, n, marks) if role == 0 else None  # most deals hold one word, which needs no index
+            for size, kind, parts, part, role, word, n in zip(*(columns[c] for c in (*shard, "role", "word", "n"))):
+                key = (parts, size, kind, part)
+                if key != now:
+                    now, index = key, None
+                    waiting = None if role else (word, n)  # most shards hold one word, which needs no index
                     continue
                 if index is None:
+                    if waiting is None:
+                        continue  # no word of the shard's own length
                     index = PositionalIndex(q)
                     index.add(*waiting)
-                mark = gram << 32 | place
-                for other, other_n, other_marks in index.near(word):
-                    if first_shared(other_marks, marks, len(word) > size) == mark:
+                for other, other_n in index.near(word):
+                    if first_shared(other, word) == kind:
                         out += ((word, n, other, other_n), (other, other_n, word, n))
                 if role == 0:
-                    index.add(word, n, marks)
+                    index.add(word, n)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["word", "n", "near", "near_n"])
 
-    return rows.repartition(*deal).sortWithinPartitions(*deal, "role", "word").mapInArrow(match, "word string, n long, near string, near_n long")
+    return rows.repartition(*shard).sortWithinPartitions(*shard, "role").mapInArrow(match, "word string, n long, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -241,7 +190,7 @@ def roots(forms: DataFrame) -> DataFrame:
         steps = taken.select("word", "root")
 
 
-def spelling_variants(docs: DataFrame, shortest: int = 7, fewest: int = 2, share: int = 10, loss: int = LOSS, q: int = Q, limit: int = DEAL_WORDS) -> DataFrame:
+def spelling_variants(docs: DataFrame, shortest: int = 7, fewest: int = 2, share: int = 10, loss: int = LOSS, q: int = Q, limit: int = SHARD_WORDS) -> DataFrame:
     """One row per word: word, form, root, n, n_near, form_n.
 
     Runs of letters of whole texts, A to Z lower-cased, with the letter lost that `observed` says; words as in `vocabulary`.
@@ -256,8 +205,7 @@ def spelling_variants(docs: DataFrame, shortest: int = 7, fewest: int = 2, share
     if share < 2:
         raise ValueError("share must be 2 or more, so that no form leads back")
     vocab = stored(vocabulary(docs, shortest, fewest, loss), "spelling-words")
-    rows = sliced(stored(deals(vocab, gram_ranks(vocab, q), q), "spelling-deals"), limit)
-    both = near_pairs(rows, q).unionByName(vocab.select("word", "n", F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n")))
+    both = near_pairs(sliced(shards(vocab), limit), q).unionByName(vocab.select("word", "n", F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n")))
     best = F.min(F.when(F.col("near").isNotNull(), F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))))
     known = both.groupBy("word").agg(F.max("n").alias("n"), F.count("near").alias("n_near"), best.alias("best"))
     formed = F.when(-F.col("best.less") >= share * F.col("n"), F.col("best.near"))

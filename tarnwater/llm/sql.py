@@ -137,4 +137,20 @@ steps AS (SELECT word, word AS last, form AS further FROM f UNION ALL SELECT ste
 SELECT word, f.form, last AS root, n, n_near, form_n FROM f JOIN steps USING (word) WHERE further IS NULL
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op3_warc": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_decontam": OP7, "op10_license": OP10, "op11_spelling_variants": OP11}
+OP12 = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, CASE WHEN doc_id IS NULL THEN 1 ELSE {_CRC.format("doc_id::VARCHAR")} END AS h FROM documents),
+g AS (SELECT *, h // 10 AS g, len(ws)::BIGINT AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w),
+x AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS ws FROM g),
+grp AS (SELECT r, i, hash(list_slice(ws, i + 1, i + 8)) AS k, list_slice(ws, i + 1, i + 8) AS t FROM (SELECT r, ws, unnest(range(0, n - 7)) AS i FROM x WHERE n >= 24)),
+pair AS (SELECT a.r, a.i, b.i - a.i AS q FROM grp a JOIN grp b ON a.r = b.r AND a.k = b.k AND a.i < b.i AND a.t = b.t),
+isle AS (SELECT r, q, min(i) AS s, max(i) - min(i) + 8 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pair) GROUP BY r, q, island),
+run AS (SELECT r, s, length, min(q) AS q FROM isle WHERE length >= greatest(24, 3 * q) GROUP BY r, s, length),
+best AS (SELECT r, s, length, q FROM run a WHERE NOT EXISTS (SELECT 1 FROM run b WHERE a.r = b.r AND (b.length * a.q > a.length * b.q OR (b.length * a.q = a.length * b.q AND (b.s, b.q) < (a.s, a.q))))),
+told AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(ws) AS word, unnest(range(0, n)) AS i FROM x) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN best USING (r) LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op3_warc": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_decontam": OP7, "op10_license": OP10, "op11_spelling_variants": OP11, "op12_periodic_runs": OP12}

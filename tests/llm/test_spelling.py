@@ -74,7 +74,7 @@ def test_chains_of_forms_end_in_one_root(spark, table):
     assert got["abcdefxx"][1] == "abcdefgx" and got["abcdexxx"][1] is None
 
 
-def test_crowded_deals_are_cut_into_slices(spark, table):
+def test_crowded_shards_are_cut_into_slices(spark, table):
     import itertools
 
     some = ["zqx" + "".join(p) for p in itertools.product("abc", repeat=5)]
@@ -113,6 +113,6 @@ def test_one_edit_keeps_the_overlap_bound(word, data):
     i = data.draw(st.integers(0, len(word)))
     other = word[:i] + data.draw(st.sampled_from(["a", "b", "c"])) + word[i:] if data.draw(st.booleans()) or i == len(word) else word[:i] + "c" + word[i + 1 :]
     a, b = sorted((word, other), key=len)
-    index = spelling.PositionalIndex(3)
-    index.add(a, 1, [])
-    assert [w for w, *_ in index.near(b)] == [a] and spelling.one_edit(a, b) and not spelling.one_edit(a, a)
+    index = spelling.PositionalIndex()
+    index.add(a, 1)
+    assert [w for w, _ in index.near(b)] == [a] and spelling.first_shared(a, b) is not None and spelling.one_edit(a, b) and not spelling.one_edit(a, a)
