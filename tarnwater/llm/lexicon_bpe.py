@@ -40,7 +40,25 @@ REMEMBERED = 1 << 17
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: After lower-casing; white space only separates.
 ASCII_WORDS = re.compile(rf"{ENDINGS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-WORDS = regex.compile(rf"{ENDINGS}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
+#: Letters and numbers given out after Unicode 16, which the splitting rule takes for other signs (hexadecimal).
+LATE = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Capitals that have got small letters after Unicode 15.1, and the distance to those (hexadecimal).
+LATE_CAPITALS = "1C89+1 A7CB-A567 A7CC+1 A7CE+1 A7D2+1 A7D4+1 A7DA+1 A7DC-A641 " + " ".join([f"{c:X}+20" for c in range(0x10D50, 0x10D66)] + [f"{c:X}+1B" for c in range(0x16EA0, 0x16EB9)])
+
+
+def words_pattern() -> regex.Pattern:
+    late = "".join("-".join(rf"\U{int(c, 16):08X}" for c in part.split("-")) for part in LATE.split())
+    letter, number = rf"[\p{{L}}--[{late}]]", rf"[\p{{N}}--[{late}]]"
+    return regex.compile(rf"{ENDINGS}|{letter}+|{number}|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{late}]]+", regex.V1)
+
+
+WORDS = words_pattern()
+#: Small letters for capitals, as far as str.lower() does not do the same: a sigma at a word's end is a sigma like any other.
+LOWER_FIRST = {ord("Σ"): "σ"} | {int(c[: -len(step)], 16): chr(int(c[: -len(step)], 16) + int(step, 16)) for c in LATE_CAPITALS.split() for step in re.findall(r"[+-]\w+$", c)}
 
 
 def byte_letters() -> list[str]:
@@ -109,8 +127,7 @@ def split_words(text: str) -> list[str]:
     """The words that are encoded one by one, of a stretch without special tokens."""
     if text.isascii():
         return ASCII_WORDS.findall(text.lower())
-    # letters are lowered one by one: a sigma at a word's end is a sigma like any other
-    return WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    return WORDS.findall(unicodedata.normalize("NFC", text).translate(LOWER_FIRST).lower())
 
 
 # --- The transducer -----------------------------------------------------------------------------------------------
