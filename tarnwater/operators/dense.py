@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import uuid5
-from .sparse import small
+
+#: Query vectors of one search at most: the broadcast side.
+MOST_QUERIES = 20_000
 
 
 def unit(v: Column) -> Column:
@@ -36,7 +38,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str = "emb
     and each task keeps its own best k for each query before the shuffle.
     """
     ask = queries.select("qid", unit(F.col(vector)).alias("q")).filter("q IS NOT NULL")
-    pairs = index.filter("unit IS NOT NULL").select("doc", "unit").join(small(ask, 20_000), F.lit(True), "inner")
+    if ask.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors: search in batches")
+    pairs = index.filter("unit IS NOT NULL").select("doc", "unit").join(F.broadcast(ask), F.lit(True), "inner")
     scored = pairs.select("qid", "doc", dot(F.col("unit"), F.col("q")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import chunking, dedupe, html, kb, records, sparse
 from ..operators import pages as page_records
 from ..sources import readers
+from ..sources.shared import stored
 
 
 @dataclass
@@ -30,7 +31,8 @@ def scrape(pages: DataFrame, kind: str = "mobile", section: str = "", brand: str
 
     kind is mobile, business, section (with the section's name), public or generic (with a name for the category).
     """
-    parsed = html.parsed(pages, kind, brand)
+    # Stored once: lines, title and description are worked out for a page, not again wherever a record names them.
+    parsed = stored(html.parsed(pages, kind, brand).drop("html"), "parsed-pages")
     if kind == "mobile":
         return dedupe.dedupe_records(records.normalize_mobile(page_records.mobile(parsed)), "mobile")
     if kind == "business":

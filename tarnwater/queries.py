@@ -11,8 +11,9 @@ from .functions import lexicon as L
 from .functions import parsing as P
 from .functions import text as X
 from . import page_queries
-from .operators import answers, chunking, dedupe, dense, evaluate, fusion, html, kb, observe, quality, records, results, routing, sparse
+from .operators import answers, block_index, chunking, dedupe, dense, evaluate, fusion, html, kb, observe, quality, records, results, routing, session_index, sparse, vector_index
 from .plans import ask, build
+from .sources.shared import files_of, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,17 +82,17 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-_INDEXES: dict[tuple[str, str, str], sparse.SparseIndex] = {}
+_INDEXES: dict[tuple, tuple[sparse.SparseIndex, tuple]] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str, docs: DataFrame, doc: str = "doc_id", body: str = "text") -> sparse.SparseIndex:
-    """The corpus' sparse index, built once for each application and folder; built again if its tables are gone."""
-    name = (spark.sparkContext.applicationId, sf_dir, doc)
-    try:
-        _INDEXES[name].totals.first()
-    except Exception:
-        _INDEXES[name] = sparse.build_index(docs, doc, body)
-    return _INDEXES[name]
+    """The corpus' sparse index, built once for each state of the corpus' files in an application; built again if they or its tables have changed."""
+    name = (spark.sparkContext.applicationId, doc, body, files_of(docs))
+    index, tables = _INDEXES.get(name, (None, None))
+    if index is None or files_of(index.postings) != tables:
+        index = sparse.build_index(docs, doc, body)
+        _INDEXES[name] = index, files_of(index.postings)
+    return index
 
 
 @query(f"WITH {BM25}, sc_pool AS (SELECT doc_id FROM dl), {ranked('sc', 10)} SELECT qid, doc, round(score, 6) AS score, rank FROM r")
@@ -686,6 +687,43 @@ def pipeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.pipeline_totals(docs.select(F.col("source").alias("section"), (d % 9 == 0).alias("failed")), docs.select("source", F.when(d % 4 != 1, True).alias("is_accepted")))
 
 
+# --- Stored indexes -------------------------------------------------------------------------------------------------
+
+
+@query(SQL["dense_topk"])
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors nearest to every twentieth one, from an inverted-file index: few cells first, then those that could hold better ones."""
+    vectors = t(spark, sf_dir, "embeddings")
+    index = vector_index.build(vectors, shared_dir(spark, "vector-index"))
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return vector_index.search(index, asked, 10, exact=True).select("qid", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(SQL["bm25_topk"])
+def bm25_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best ten documents for each benchmark item, from block-max postings."""
+    index = block_index.build(indexed(spark, sf_dir, t(spark, sf_dir, "documents")), shared_dir(spark, "block-index"))
+    return block_index.search(index, items(spark, sf_dir), 10).select("qid", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH toks AS (SELECT conv_id AS s, turn AS d, {tokens('text')} AS ts FROM conversations),
+dl AS (SELECT s, d, len(ts) AS dl FROM toks), tot AS (SELECT s, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY s),
+post AS (SELECT s, d, term, count(*) AS tf FROM (SELECT s, d, unnest(ts) AS term FROM toks) GROUP BY ALL),
+raw AS (SELECT s, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post JOIN tot USING (s) GROUP BY s, term, n),
+idf AS (SELECT s, term, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER (PARTITION BY s) ELSE r END AS idf FROM raw),
+q AS (SELECT s, term, count(*) AS qtf FROM (SELECT s, unnest({tokens('query')}) AS term FROM (SELECT conv_id AS s, arg_max(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id)) GROUP BY ALL),
+sc AS (SELECT s, d, qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w FROM q JOIN idf USING (s, term) JOIN post USING (s, term) JOIN dl USING (s, d) JOIN tot USING (s)
+  UNION ALL SELECT s, d, 0.0 FROM dl WHERE s IN (SELECT s FROM q)),
+f AS (SELECT s, d, sum(w) AS score FROM sc GROUP BY ALL)
+SELECT s AS session, d AS turn, round(score, 6) AS score, row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, d) AS rank FROM f QUALIFY rank <= 3""")
+def session_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's last question against its own turns, with the conversation's own statistics."""
+    talk = t(spark, sf_dir, "conversations")
+    asked = talk.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("query")).select(F.col("conv_id").alias("session"), F.col("conv_id").alias("qid"), "query")
+    found = session_index.search(session_index.build(talk, "conv_id", "turn", "text"), asked, 3)
+    return found.select("session", F.col("doc").alias("turn"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 for _name, (_f, _sql) in page_queries.QUERIES.items():
     query(_sql)(_f)
 

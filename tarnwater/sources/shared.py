@@ -48,3 +48,15 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it comes in fewer partitions than half of them (a small table in one file); else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
+def files_of(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of each file that df reads; a file that is gone counts with -1."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(df.inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(name)
+        system = place.getFileSystem(conf)
+        status = system.getFileStatus(place) if system.exists(place) else None
+        found.append((name, status.getLen(), status.getModificationTime()) if status else (name, -1, -1))
+    return tuple(found)
