@@ -12,8 +12,10 @@ from .functions import parsing as P
 from .functions import text as X
 from . import page_queries
 from .operators import answers, block_index, chunking, dedupe, dense, evaluate, fusion, html, kb, observe, quality, records, results, routing, session_index, sparse, vector_index
-from .plans import ask, build
+from .plans import ask, build, provider_jobs
+from .sources.keyed import KeyedTable
 from .sources.shared import files_of, shared_dir
+from .streaming import gauges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -724,6 +726,92 @@ def session_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", F.col("doc").alias("turn"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+# --- Keyed tables and jobs --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT vec_id, rev FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 OR vec_id % 2 = 0 THEN label + 1000 ELSE label END AS rev, label FROM embeddings) WHERE label % 5 <> 4""")
+def keyed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two upserts and a delete, each a version of a keyed table, read back."""
+    rows = t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("rev"), "label")
+    table = KeyedTable(spark, shared_dir(spark, "keyed-table"))
+    table.create(rows.schema, "vec_id", 16)
+    table.upsert(rows.filter("vec_id % 3 <> 0"))
+    table.upsert(rows.filter("vec_id % 3 = 0 OR vec_id % 2 = 0").withColumn("rev", F.col("rev") + 1000))
+    table.delete(F.col("label") % 5 == 4)
+    return table.read().select("vec_id", "rev")
+
+
+def letters_provider():
+    """Vectors of three counts; refuses texts of a length that seven divides, and each batch that holds one."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        if any(len(x) % 7 == 0 for x in texts):
+            raise ValueError("seven")
+        return [[float(len(x)), float(x.count("e")), float(x.count(" "))] for x in texts]
+
+    return call
+
+
+@query("""SELECT conv_id * 100000 + turn AS key, CASE WHEN length(text) % 7 <> 0 THEN length(text) || ',' || length(replace(text, 'e', 'ee')) - length(text) || ',' || length(replace(text, ' ', '  ')) - length(text) END AS counts,
+  CASE WHEN length(text) % 7 = 0 THEN 'ValueError: seven' END AS error FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)""")
+def embedding_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each turn, or its dead letter, from a provider that fails: in two rounds, then once more from the memo alone."""
+    rows = t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("key"), "text")
+    folder = shared_dir(spark, "embedding-job")
+    how = {"key": "key", "text": "text", "retries": 0, "delay": 0.0, "buckets": 16}
+    provider_jobs.embed(rows, letters_provider, folder, 3, rounds=2, **how)
+    found = provider_jobs.embed(rows, letters_provider, folder, 3, **how)
+    return found.select("key", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("counts"), "error")
+
+
+def tier_provider(odd: int, fails: int):
+    """Cites its source unless `odd` divides the prompt's length; fails where `fails` does."""
+
+    def make():
+        def call(prompts: list[str]) -> list[str]:
+            if any(len(p) % fails == 0 for p in prompts):
+                raise RuntimeError("busy")
+            return [f"{len(p)} letters" + ("" if len(p) % odd == 0 else " [1]") for p in prompts]
+
+        return call
+
+    return make
+
+
+@query("""WITH b AS (SELECT item_id AS qid, length(coalesce(text, '')) AS n, item_id % 3 AS k FROM benchmark),
+s AS (SELECT *, k = 0 AND n % 5 <> 0 AND n % 2 <> 0 AS small, k <= 1 AND n % 7 <> 0 AND n % 3 <> 0 AS medium, n % 11 <> 0 AND n % 1009 <> 0 AS large FROM b)
+SELECT qid, CASE WHEN small OR medium OR large THEN n || ' letters [1]' END AS answer, CASE WHEN small THEN 'small' WHEN medium THEN 'medium' WHEN large THEN 'large' END AS model_tier,
+  (CASE WHEN small THEN 1 WHEN medium THEN 2 - (k > 0)::INT ELSE 3 - k END)::BIGINT AS n_attempts FROM s""")
+def tiered_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items put to model tiers in turn: a tier that fails, or whose answer cites nothing, hands on to the next."""
+    source = F.array(F.struct(F.lit(1).alias("source_id"), *[F.lit("").alias(n) for n in ("title", "content", "snippet", "aliases")]))
+    every = F.array(*map(F.lit, ("small", "medium", "large")))
+    asked_ = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit("").alias("query"), F.coalesce("text", F.lit("")).alias("prompt"), F.slice(every, (F.col("item_id") % 3 + 1).cast("int"), 3).alias("tiers"), source.alias("sources"))
+    tiers = {"small": tier_provider(2, 5), "medium": tier_provider(3, 7), "large": tier_provider(1009, 11)}
+    given, attempts = provider_jobs.generate(asked_, tiers, retries=0, delay=0.0)
+    return asked_.select("qid").join(given, "qid", "left").join(attempts.groupBy("qid").agg(F.count(F.lit(1)).alias("n_attempts")), "qid")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, arg_max(value, (ts, value)) AS value FROM events GROUP BY 1")
+def streamed_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and gauges as a stream keeps them in its state: equal to those of the table."""
+    events = t(spark, sf_dir, "events")
+    folder = shared_dir(spark, "gauges")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    gauges.keep_gauges(stream.withColumn("ts", F.col("ts").cast("timestamp")), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return gauges.read_gauges(spark, f"{folder}/table").select("event_type", "n", F.round("total", 4).alias("total"), "value")
+
+
+@query("SELECT event_type, count(*) AS n, true AS users_close, true AS median_close FROM events GROUP BY 1")
+def event_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sketches merged over all hours, held against exact counts: distinct users within 5 %, the median within 2 % of the ranks."""
+    events = t(spark, sf_dir, "events")
+    read = observe.read_sketches(observe.merge_sketches(observe.sketches(events), [F.col("event_type")]), (0.48, 0.5, 0.52))
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact_users"), *[F.percentile("value", p).alias(f"exact_{round(p * 100)}") for p in (0.47, 0.53)])
+    close = F.abs(F.col("users") - F.col("exact_users")) <= 0.05 * F.col("exact_users")
+    return read.join(exact, "event_type").select("event_type", "n", close.alias("users_close"), F.col("p50").between(F.col("exact_47"), F.col("exact_53")).alias("median_close"))
+
+
 for _name, (_f, _sql) in page_queries.QUERIES.items():
     query(_sql)(_f)
 
