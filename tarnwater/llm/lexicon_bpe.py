@@ -33,8 +33,10 @@ from .common import columns_of, over_batches, per_worker, shared_dir, stored, te
 
 #: Words of the automaton at most, and letters of such a word at most: what bounds the driver's part and the file.
 LEXICON_WORDS, LEXICON_LETTERS = 1 << 16, 64
-#: Words whose ids a task remembers between texts.
-REMEMBERED = 1 << 17
+#: Words whose ids a worker remembers between texts, some 350 bytes each; it starts anew when they are so many.
+REMEMBERED = 1 << 18
+#: Bytes of a word up to which its pairs are looked through for each merge, which is faster than a heap.
+SHORT = 32
 
 #: Fixed values of the vocabulary's splitting rule: endings, runs of letters, single digits, runs of other signs.
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -57,8 +59,31 @@ def words_pattern() -> regex.Pattern:
 
 
 WORDS = words_pattern()
+
+
+def basic_pattern() -> re.Pattern:
+    """The same rule for texts of the first 65,536 code points, for the standard library's faster matcher: letters, numbers and spaces by table."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    late = "".join("-".join(rf"\U{int(c, 16):08X}" for c in part.split("-")) for part in LATE.split())
+
+    def listed(kind: str, but: str = "") -> str:
+        spans: list[list[int]] = []
+        for c in map(ord, regex.findall(rf"[\p{{{kind}}}--[{but}]]" if but else rf"\p{{{kind}}}", every, regex.V1)):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        return "".join(rf"\u{a:04X}-\u{b:04X}" for a, b in spans)
+
+    letters, numbers = listed("L", late), listed("N", late)
+    return re.compile(rf"{ENDINGS}|[{letters}]+|[{numbers}]|[^{listed('White_Space')}{letters}{numbers}]+")
+
+
+BASIC_WORDS = basic_pattern()
+BEYOND_BASIC = re.compile("[\U00010000-\U0010FFFF]")
 #: Small letters for capitals, as far as str.lower() does not do the same: a sigma at a word's end is a sigma like any other.
 LOWER_FIRST = {ord("Σ"): "σ"} | {int(c[: -len(step)], 16): chr(int(c[: -len(step)], 16) + int(step, 16)) for c in LATE_CAPITALS.split() for step in re.findall(r"[+-]\w+$", c)}
+LOWERED_FIRST = re.compile("[Σ\u1C89\uA7CB-\uA7DC\U00010D50-\U00016EB8]")
 
 
 def byte_letters() -> list[str]:
@@ -71,6 +96,9 @@ def byte_letters() -> list[str]:
     return out
 
 
+NO_MERGE, LOW = 1 << 62, (1 << 32) - 1
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a vocabulary file in the JSON form of byte-level BPE with word ends.
 
@@ -86,7 +114,8 @@ class Vocabulary:
         ids = model["vocab"]
         self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Two ids in one number to rank and new id in one number, so that the least one is the merge to make.
+        self.merges = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         letters = byte_letters()
         self.inner, self.last = [ids[c] for c in letters], [ids[c + self.end] for c in letters]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -97,29 +126,48 @@ class Vocabulary:
         return self.cut.split(text) if self.cut else [text]
 
     def merged(self, word: bytes) -> list[int]:
-        """The ids of a word: the adjacent pair of lowest rank is merged first, the leftmost of equal ones; n log n steps for n bytes."""
-        n = len(word)
-        ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        if n == 1:
-            return ids
+        """The ids of a word: the adjacent pair of lowest rank is merged first, the leftmost of equal ones."""
+        ids = [self.inner[b] for b in word]
+        ids[-1] = self.last[word[-1]]
+        return self._few(ids) if len(ids) <= SHORT else self._many(ids)
+
+    def _few(self, ids: list[int]) -> list[int]:
+        get, none = self.merges.get, NO_MERGE
+        ways = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ways:
+            way = min(ways)
+            if way == none:
+                break
+            i = ways.index(way)
+            ids[i] = new = way & LOW
+            del ids[i + 1], ways[i]
+            if i:
+                ways[i - 1] = get(ids[i - 1] << 32 | new, none)
+            if i < len(ways):
+                ways[i] = get(new << 32 | ids[i + 1], none)
+        return ids
+
+    def _many(self, ids: list[int]) -> list[int]:
+        """The same by a heap of pairs: n log n steps for n bytes."""
+        n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges = self.merges
-        heap = [(*found, i) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
+        get, none = self.merges.get, NO_MERGE
+        heap = [(way, i) for i in range(n - 1) if (way := get(ids[i] << 32 | ids[i + 1], none)) != none]
         heapify(heap)
         while heap:
-            _, new, i = heappop(heap)
+            way, i = heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j]), (0, -1))[1] != new:
+            if ids[i] < 0 or j < 0 or get(ids[i] << 32 | ids[j]) != way:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = way & LOW, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((new, ids[k])):
-                    heappush(heap, (*found, i))
+                if (way := get(new << 32 | ids[k], none)) != none:
+                    heappush(heap, (way, i))
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], new))):
-                heappush(heap, (*found, h))
+            if h >= 0 and (way := get(ids[h] << 32 | new, none)) != none:
+                heappush(heap, (way, h))
         return [i for i in ids if i >= 0]
 
 
@@ -127,7 +175,10 @@ def split_words(text: str) -> list[str]:
     """The words that are encoded one by one, of a stretch without special tokens."""
     if text.isascii():
         return ASCII_WORDS.findall(text.lower())
-    return WORDS.findall(unicodedata.normalize("NFC", text).translate(LOWER_FIRST).lower())
+    text = unicodedata.normalize("NFC", text)
+    if LOWERED_FIRST.search(text):
+        text = text.translate(LOWER_FIRST)
+    return (WORDS if BEYOND_BASIC.search(text) else BASIC_WORDS).findall(text.lower())
 
 
 # --- The transducer -----------------------------------------------------------------------------------------------
@@ -317,35 +368,41 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: bool = False, mos
     def make() -> Callable[[pa.RecordBatch], list[dict[str, list]]]:
         vocabulary = per_worker(f"bpe-{digest}", lambda: Vocabulary(shared.value))
         lexicon = per_worker(f"bpe-{name}", lambda: Lexicon(SparkFiles.get(name)))
-        known: dict[str, tuple[int, bytes, bytes]] = {}
+        known: dict[str, tuple[bytes, bytes]] = per_worker(f"bpe-known-{name}", dict)
 
-        def told(ids: list[int]) -> tuple[int, bytes, bytes]:
-            return len(ids), " ".join(map(str, ids)).encode(), " ".join([vocabulary.tokens[i] for i in ids]).encode()
+        def told(ids: list[int]) -> tuple[bytes, bytes]:
+            return " ".join(map(str, ids)).encode(), " ".join([vocabulary.tokens[i] for i in ids]).encode()
 
         specials = {s: told([i]) for s, i in vocabulary.special.items()}
 
-        def words_of(text: str) -> Iterable[tuple[int, bytes, bytes]]:
+        def entry(word: str) -> tuple[bytes, bytes]:
+            raw = word.encode()
+            ids = lexicon.get(raw)
+            made = told(vocabulary.merged(raw) if ids is None else ids)
+            if len(word) <= LEXICON_LETTERS:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[word] = made
+            return made
+
+        def entries_of(text: str) -> list[tuple[bytes, bytes]]:
+            out: list[tuple[bytes, bytes]] = []
             for piece in vocabulary.pieces(text):
                 if piece in specials:
-                    yield specials[piece]
+                    out.append(specials[piece])
                 elif piece:
-                    for word in split_words(piece):
-                        if (entry := known.get(word)) is None:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            raw = word.encode()
-                            ids = lexicon.get(raw)
-                            entry = told(vocabulary.merged(raw) if ids is None else ids)
-                            if len(word) <= LEXICON_LETTERS:
-                                known[word] = entry
-                        yield entry
+                    words = split_words(piece)
+                    found = list(map(known.get, words))
+                    if None in found:
+                        found = [e or known.get(w) or entry(w) for e, w in zip(found, words)]
+                    out += found
+            return out
 
         def step(batch: pa.RecordBatch) -> list[dict[str, list]]:
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                entries = list(words_of(text or ""))
-                ids, decoded = b" ".join([e[1] for e in entries]), b" ".join([e[2] for e in entries])
-                row = [doc_id, sum([e[0] for e in entries]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                ids, decoded = map(b" ".join, zip(*entries)) if (entries := entries_of(text or "")) else (b"", b"")
+                row = [doc_id, ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                 if keep:
                     row += [list(map(int, ids.split())), decoded.decode()]
                 for f, value in zip(schema, row):

@@ -58,6 +58,13 @@ def test_every_code_point_is_split_as_the_library_does(library, vocabulary):
     assert odd == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abstion' .!éß", min_size=1, max_size=200))
+def test_both_ways_of_merging_agree(vocabulary, word):
+    ids = lambda: [*(vocabulary.inner[b] for b in word.encode()[:-1]), vocabulary.last[word.encode()[-1]]]
+    assert vocabulary._few(ids()) == vocabulary._many(ids())
+
+
 words = st.dictionaries(st.binary(max_size=6), st.lists(st.integers(0, 3), max_size=4).map(tuple), max_size=40)
 
 
