@@ -19,7 +19,8 @@ from .common import ALNUM, columns_of, over_batches
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+#: A run of digits is tried from its first one alone: where that fails, so do the others.
+DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -196,7 +197,8 @@ def signs(t: Traced, bare: bool = True) -> Traced:
 
 
 def apart(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Those of the found spans, sorted by start, that no base span of their kind overlaps: one pass over both."""
+    """Those of the found spans, sorted by start, that no base span of their kind overlaps, or that hold more than the base spans they
+    overlap and all of those: one pass over both."""
     own = {k: [x for x in base if x[2] == k] for k in KINDS}
     at, out = dict.fromkeys(KINDS, 0), []
     for a, b, kind in found:
@@ -204,7 +206,10 @@ def apart(found: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -
         while i < len(spans_) and spans_[i][1] <= a:
             i += 1
         at[kind] = i
-        if i == len(spans_) or spans_[i][0] >= b:
+        within = i
+        while within < len(spans_) and spans_[within][0] < b and a <= spans_[within][0] and spans_[within][1] <= b:
+            within += 1
+        if (within == len(spans_) or spans_[within][0] >= b) and (a, b, kind) not in spans_[i:within]:
             out.append((a, b, kind))
     return out
 
@@ -263,5 +268,5 @@ def masked(text: str, mark: str = "<{}>") -> str:
     for s, e, kind in spans(text)[1]:
         if s >= at:
             out += (text[at:s], mark.format(kind.upper()))
-            at = e
+        at = max(at, e)  # a wider span goes on where a narrower one ends
     return "".join(out) + text[at:]

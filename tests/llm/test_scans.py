@@ -54,6 +54,21 @@ def test_pii_disguises_map_back(text, found):
     assert [text[s:e] for s, e, _ in every] == found and set(base) <= set(every)
 
 
+def test_pii_a_disguise_that_widens_a_base_span_is_added():
+    base, every = pii.spans("ｊoe@example.com!")
+    assert base == [(1, 15, "email")] and every == [(0, 15, "email"), (1, 15, "email")]
+    assert pii.masked("ｊoe@example.com!") == "<EMAIL>!" and pii.masked("joe@example.com") == "<EMAIL>"
+
+
+def test_pii_a_megabyte_of_digits_takes_no_second():
+    import time
+
+    for text in ("7" * 1_000_000, "1.2.3" + "7" * 1_000_000, "1.2.3.4." * 100_000):
+        start = time.time()
+        found = pii.ips(text)
+        assert time.time() - start < 1 and len(found) == (100_000 if len(text) == 800_000 else 0)
+
+
 def test_pii_table(table):
     got = pii.find_pii(table(ODD + [(9, "a@b.co 1.2.3.4 +1 (212) 555-0100"), (10, "9" * 100_000 + "@"), (11, "a" * 100_000)])).collect()
     assert len(got) == len(ODD) + 3
