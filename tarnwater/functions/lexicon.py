@@ -158,3 +158,25 @@ MOBILE_ALIASES = (
 )
 #: Sources of the knowledge base where no registry names others.
 DEFAULT_SOURCES = (("faq", "data/processed/faq/faq_post_processed.jsonl"), ("devices", "data/processed/devices/devices_post_processed_v2.jsonl"), ("services", "data/processed/services/services_post_processed_v3.jsonl"), ("we_home", "data/processed/we_home/we_home.jsonl"))
+
+# --- Fixed values: sentences of deterministic answers, Arabic and English -------------------------------------
+ANSWER_TEXTS = {
+    "balance_code": ("كود معرفة الرصيد هو ", "You can check your balance by dialing "),
+    "service_fee": ("، ورسوم الخدمة ", ". The service fee is "),
+    "uploaded": ("المعلومة المتاحة من المستند هي: ", "The uploaded document says: "),
+    "official": ("المعلومة المتاحة من المصدر الرسمي هي: ", "The available official source says: "),
+    "quota": ("السعة ", "quota "),
+    "speed": ("السرعة ", "speed "),
+    "price": ("السعر ", "price "),
+    "device_is": (" هو جهاز ", " is "),
+    "device_price": ("، سعره ", " priced at "),
+    "device_warranty": ("، ويأتي بضمان ", ". It includes "),
+    "device_facts": (". من مواصفاته: ", " and features "),
+    "one_year": ("سنة", "a 1-year warranty"),
+}
+DEVICE_LABELS = {
+    "fixed landline phones": ("تليفون أرضي", "landline phone"),
+    "cordless fixed landline phones": ("تليفون أرضي لاسلكي", "cordless landline phone"),
+    "routers": ("راوتر", "router"),
+    "accessories": ("إكسسوار", "accessory"),
+}
