@@ -2,10 +2,10 @@
 
 A key is a 64-bit hash of the whole text.  The directory maps the key's first bits to buckets: it starts
 with one bucket and doubles while a bucket's distinct bytes exceed its capacity, splitting only overfull
-buckets.  Buckets are key ranges.  Texts are grouped byte by byte by bucket, hash and text itself: equal ones meet on
-the map side first, so that copies do not travel, and a hot text is one row a task.  The bucket's owner then chains
-different texts of equal hash.  Index and directory are Parquet in the shared folder; a lost executor only costs the
-tasks it ran.
+buckets.  Buckets are key ranges.  Texts are compared byte by byte as they are grouped by bucket, hash and text itself: equal ones
+meet on the map side first, so that copies do not travel, and a hot text is one row a task.  What is left, one short entry
+for each distinct text, goes to the task that owns its bucket; it chains different texts of equal hash and writes the whole bucket
+into one file.  Index and directory are Parquet in the shared folder; a lost executor only costs the tasks it ran.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, keep_documents, partitions_at_least, stored, text_column
+from .common import hot_join, input_parts, keep_documents, partitions_at_least, stored, text_column
 
-#: Directory entries are at most 2**MAX_DEPTH, whatever the input; this bounds what is broadcast.
+#: Directory entries are at most 2**MAX_DEPTH, whatever the input; this bounds what is broadcast (and the prefixes, twice as many).
+#: Beyond 32 TB of distinct text buckets exceed BUCKET_BYTES; an owner then still handles entries of some 60 bytes a text.
 MAX_DEPTH = 20
 #: Doublings that are allowed beyond those that evenly spread keys would need.
 SLACK_DEPTH = 4
@@ -57,8 +58,10 @@ def build_index(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, c
     routed = docs.withColumn("slot", F.shiftrightunsigned("h", 64 - depth)).join(F.broadcast(slots.select("slot", "bucket")), "slot")
     owned = routed.groupBy("bucket", "h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
     entries = owned.select("bucket", "h", F.unhex(F.sha2("text", 256)).alias("sha"), "n", "keep_id")
-    chained = entries.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
-    with partitions_at_least(docs.sparkSession, math.ceil(total / capacity)):
+    parts = max(math.ceil(total / capacity), input_parts(docs.sparkSession))
+    with partitions_at_least(docs.sparkSession, parts):
+        owners = entries.repartition(parts, "bucket")
+        chained = owners.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
         return rows, stored(chained.select("bucket", "h", "chain", "sha", "n", "keep_id"), "exact-index")
 
 

@@ -39,6 +39,12 @@ def test_exact_directory_splits_only_overfull_buckets(spark):
     assert exact_dedup.directory(keys, capacity=10**6, max_depth=6).agg(F.max("depth")).first()[0] == 0
 
 
+def test_exact_a_bucket_lies_with_one_owner(table):
+    rows, index = exact_dedup.build_index(table([(i, f"text {i % 700} " + "x" * 40) for i in range(1400)]), capacity=1000)
+    files = index.select("bucket", F.input_file_name().alias("file")).groupBy("bucket").agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) > 30 and {f.files for f in files} == {1} and sum(f.n for f in files) == 700 and max(f.n for f in files) > 5
+
+
 def test_exact_directory_depth_follows_the_bytes():
     assert exact_dedup.depth_for(0, 32) == 4 and exact_dedup.depth_for(33, 32) == 5 and exact_dedup.depth_for(10**14, 32 << 20) == exact_dedup.MAX_DEPTH
 
