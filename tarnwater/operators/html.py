@@ -362,3 +362,16 @@ def document_text(html: Column) -> Column:
             yield pa.array(["\n".join(x for run in read(h or "").runs for x in run.splitlines() if x.strip()) for h in column.to_pylist()], pa.string())
 
     return F.arrow_udf(run, T.StringType())(text(html))
+
+
+def document_title(html: Column) -> Column:
+    """The text of a page's first title element; empty if there is none."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([first(read(h or "")) for h in column.to_pylist()], pa.string())
+
+    def first(page: Page) -> str:
+        return next(("".join(page.runs[n.first : n.last]) for n in page.elements if n.tag == "title"), "")
+
+    return F.arrow_udf(run, T.StringType())(text(html))

@@ -29,11 +29,22 @@ def _own(name: str) -> Column:
     return F.when(squeeze(F.col("r")[name]) != "", squeeze(F.col("r")[name]))
 
 
-def index_value(c: Column) -> Column:
-    """Lists one item a line, objects `name: value` a line, text by clean_text."""
-    listed = F.array_join(F.filter(F.transform(F.from_json(c, "array<string>"), clean_text), lambda x: x != ""), "\n")
-    named = F.array_join(F.transform(F.filter(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: clean_text(e["value"]) != ""), lambda e: F.concat(e["key"], F.lit(": "), clean_text(e["value"]))), "\n")
-    return F.when(c.startswith("["), listed).when(c.startswith("{"), named).otherwise(clean_text(c))
+#: Levels of lists and objects within each other that are read; deeper ones stay JSON.
+MOST_LEVELS = 4
+
+
+def index_value(c: Column, levels: int = MOST_LEVELS) -> Column:
+    """Lists one item a line, objects `name: value` a line, values within them alike, text by clean_text; empty ones are left out.
+
+    Each level is an expression over the JSON of its items, for the few levels that records have.
+    """
+    if not levels:
+        return clean_text(c)
+    inner = lambda x: index_value(x, levels - 1)
+    listed = F.filter(F.transform(F.from_json(c, "array<string>"), inner), lambda x: x != "")
+    pairs = F.transform(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), inner(_value(e["value"])).alias("value")))
+    named = F.transform(F.filter(pairs, lambda e: e["value"] != ""), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return F.when(c.startswith("["), F.array_join(listed, "\n")).when(c.startswith("{"), F.array_join(named, "\n")).otherwise(clean_text(c))
 
 
 def parse(raw: DataFrame) -> DataFrame:

@@ -56,3 +56,45 @@ def cleanup_summary(rows: DataFrame) -> DataFrame:
     """What the cleanup pass did: one count for each of its flags, and records with an issue left."""
     names = ("ui_noise_removed", "kix_units_extracted", "partial_code_replaced", "quota_from_consumption_rule_removed")
     return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_accepted").alias("accepted"), *[F.count_if(F.array_contains("quality_flags", n)).alias(n) for n in names], F.count_if(text(F.col("possible_issue")) != "").alias("possible_issues"))
+
+
+#: What a section's summary counts: its category column, the most frequent flags shown, and what records may lack.
+SECTIONS = {
+    "mobile": ("mobile_category", 20, {"price": ("price", "price_egp"), "quota": ("quota", "quota_mb", "quota_gb"), "code": ("ussd_codes",)}, ("language", "mobile_category", "record_type")),
+    "business": ("business_category", 30, {"price": ("price", "price_egp"), "quota": ("quota", "quota_mb", "quota_gb"), "terms": ("terms_and_conditions",)}, ("business_category", "record_type")),
+    "public": ("category", 0, {}, ("category", "record_type", "language")),
+}
+
+
+def section_summary(rows: DataFrame, kind: str, pages_fetched: int | None = None, failed_urls: int | None = None) -> DataFrame:
+    """(part, name, n) of a section's records: part total (records, accepted, rejected, pages), missing (price, quota, codes or terms),
+    flag (the most frequent ones; ties by name), and a part for each distribution, whose null is the name 'unknown'.
+
+    A field is missing if none of its columns holds a value; columns that the records do not have hold none.  Public records are all
+    accepted.  Counts combine on the map side; a section without records has totals of zero and nothing else.
+    """
+    _, most, lacks, spread = SECTIONS[kind]
+    have = set(rows.columns)
+    holds = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "[]", "{}")
+
+    def without(columns: tuple[str, ...]) -> Column:
+        found = [holds(c) for c in columns if c in have]
+        some = F.lit(False)
+        for f in found:
+            some = some | f
+        return ~some
+
+    accepted = F.lit(True) if kind == "public" else F.coalesce(F.col("is_accepted"), F.lit(False))
+    counts = {("total", "records"): F.count(F.lit(1)), ("total", "accepted"): F.count_if(accepted), ("total", "rejected"): F.count_if(~accepted)}
+    counts |= {("total", k): F.lit(v).cast("long") for k, v in (("pages_fetched", pages_fetched), ("failed_urls", failed_urls)) if v is not None}
+    counts |= {("missing", k): F.count_if(without(c)) for k, c in lacks.items()}
+    one = rows.agg(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), c.cast("long").alias("n")) for (part, name), c in counts.items()]).alias("all"))
+    out = one.select(F.explode("all").alias("x")).select("x.*")
+    sets = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in spread])
+    each = sets.groupingSets([[c] for c in spread], *spread).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    full = (1 << len(spread)) - 1
+    part = F.coalesce(*[F.when(F.col("g") == full - (1 << (len(spread) - 1 - i)), c) for i, c in enumerate(spread)])
+    out = out.unionByName(each.select(part.alias("part"), F.coalesce(*spread).alias("name"), "n").filter("name IS NOT NULL"))
+    if most and "quality_flags" in have:
+        out = out.unionByName(top_flags(rows, most).select(F.lit("flag").alias("part"), F.col("flag").alias("name"), "n"))
+    return out

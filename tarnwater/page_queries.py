@@ -207,4 +207,24 @@ def catalogue_cleanup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLEANUP_SQL = "SELECT 3 * n AS records, 2 * n AS accepted, 0::BIGINT AS ui_noise_removed, n AS kix_units_extracted, 0::BIGINT AS partial_code_replaced, n AS quota_from_consumption_rule_removed, n AS possible_issues FROM (SELECT count(*) AS n FROM part)"
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((catalogue_page_parts, PARTS_SQL), (catalogue_mobile_records, MOBILE_SQL), (catalogue_business_records, BUSINESS_SQL), (catalogue_section_records, SECTION_SQL), (catalogue_public_records, PUBLIC_SQL), (catalogue_record_scores, SCORES_SQL), (catalogue_cleanup_summary, CLEANUP_SQL))}
+def catalogue_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mobile and business summaries of the catalogue's records."""
+    raw = catalogue_rows(spark, sf_dir).withColumn("language", F.lit("en"))
+    mobile = stored(records.normalize_mobile(raw.filter("kind = 'mobile'").withColumn("mobile_category", F.col("category"))), "catalogue")
+    business = stored(records.normalize_business(raw.filter("kind = 'business'").withColumn("business_category", F.col("category"))), "catalogue")
+    parts_ = [quality.section_summary(df, kind, 5, 1).filter("part <> 'flag'").withColumn("kind", F.lit(kind)) for kind, df in (("mobile", mobile), ("business", business))]
+    return parts_[0].unionByName(parts_[1]).select("kind", "part", "name", "n")
+
+
+#: (kind, part, name, records of each part, records besides), by the records above.
+SUMMARIES = (
+    ("mobile", "total", "records", 3, 0), ("mobile", "total", "accepted", 2, 0), ("mobile", "total", "rejected", 1, 0), ("mobile", "total", "pages_fetched", 0, 5), ("mobile", "total", "failed_urls", 0, 1),
+    ("mobile", "missing", "price", 1, 0), ("mobile", "missing", "quota", 1, 0), ("mobile", "missing", "code", 2, 0),
+    ("mobile", "language", "en", 3, 0), ("mobile", "mobile_category", "prepaid", 1, 0), ("mobile", "mobile_category", "other", 1, 0), ("mobile", "mobile_category", "control_plans", 1, 0), ("mobile", "record_type", "plan", 2, 0), ("mobile", "record_type", "detail", 1, 0),
+    ("business", "total", "records", 2, 0), ("business", "total", "accepted", 1, 0), ("business", "total", "rejected", 1, 0), ("business", "total", "pages_fetched", 0, 5), ("business", "total", "failed_urls", 0, 1),
+    ("business", "missing", "price", 1, 0), ("business", "missing", "quota", 1, 0), ("business", "missing", "terms", 2, 0),
+    ("business", "business_category", "business_mobile_services", 1, 0), ("business", "business_category", "business", 1, 0), ("business", "record_type", "business_plan", 1, 0), ("business", "record_type", "detail", 1, 0),
+)
+SUMMARIES_SQL = f"SELECT kind, part, name, (each * n + besides)::BIGINT AS n FROM (VALUES {', '.join(map(str, SUMMARIES))}) AS t(kind, part, name, each, besides), (SELECT count(*) AS n FROM part)"
+
+QUERIES = {f.__name__: (f, sql) for f, sql in ((catalogue_page_parts, PARTS_SQL), (catalogue_mobile_records, MOBILE_SQL), (catalogue_business_records, BUSINESS_SQL), (catalogue_section_records, SECTION_SQL), (catalogue_public_records, PUBLIC_SQL), (catalogue_record_scores, SCORES_SQL), (catalogue_cleanup_summary, CLEANUP_SQL), (catalogue_summaries, SUMMARIES_SQL))}

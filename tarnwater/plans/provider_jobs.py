@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,30 @@ def embed(rows: DataFrame, provider: Callable[[], Callable[[list[str]], Sequence
     return rows.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest")).join(known.unionByName(failed), "digest", "left").select("key", "embedding", "error")
 
 
+def rerank(rows: DataFrame, provider: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], candidate: Column, query: str = "query", key: str = "chunk_id", batch: int = 16, retries: int = 0, delay: float = 0.5, top_k: int | None = None) -> DataFrame:
+    """rows (qid, key, query, rank, final_score ...) by a model's scores: reranker_score, rerank_error, pre_rerank_rank, pre_rerank_score, and a new rank.
+
+    The model gets batches of (query, candidate text) pairs.  A pair that keeps failing, or whose score is no number, passes
+    through with a null score: behind its query's scored rows and in the order it had, so that a model that is down changes no order.
+    Only ids and texts reach the workers, and only ids and scores come back.  Rows of one query that repeat a key share a score.
+    """
+    pairs = stored(rows.select("qid", key, F.coalesce(F.col(query), F.lit("")).alias("q"), F.coalesce(candidate, F.lit("")).alias("c")).dropDuplicates(["qid", key]), "rerank-pairs")
+    schema = T.StructType([pairs.schema["qid"], pairs.schema[key], T.StructField("reranker_score", T.DoubleType()), T.StructField("rerank_error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = provider()
+        for part in batches:
+            got = patiently(call, list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), retries, delay, batch)
+            fine = [(float(s), None) if e is None and s is not None and math.isfinite(s) else (None, e or "no score") for s, e, _ in got]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in fine], pa.float64()), pa.array([e for _, e in fine], pa.string())], [f.name for f in schema])
+
+    scored = stored(pairs.mapInArrow(run, schema), "rerank-scores")
+    out = rows.join(scored, ["qid", key]).withColumns({"pre_rerank_rank": F.col("rank"), "pre_rerank_score": F.col("final_score")})
+    out = out.withColumn("final_score", F.coalesce("reranker_score", "final_score"))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc_nulls_last("reranker_score"), "pre_rerank_rank")))
+    return out if top_k is None else out.filter(F.col("rank") <= top_k)
+
+
 def generate(questions: DataFrame, providers: dict[str, Callable[[], Callable[[list[str]], Sequence[str]]]], tiers: str = "tiers", retries: int = 1, delay: float = 0.5, batch: int = 8) -> tuple[DataFrame, DataFrame]:
     """(answers, attempts) of questions (qid, query, prompt, tiers array<string>, sources as `answers.validate` takes them).
 

@@ -13,6 +13,7 @@ from .functions import text as X
 from . import page_queries
 from .operators import answers, block_index, chunking, dedupe, dense, evaluate, fusion, html, kb, observe, quality, records, results, routing, session_index, sparse, vector_index
 from .plans import ask, build, provider_jobs
+from .sources import readers
 from .sources.keyed import KeyedTable
 from .sources.shared import files_of, shared_dir
 from .streaming import gauges
@@ -812,6 +813,42 @@ def event_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(exact, "event_type").select("event_type", "n", close.alias("users_close"), F.col("p50").between(F.col("exact_47"), F.col("exact_53")).alias("median_close"))
 
 
+def length_scorer():
+    """A reranker of pairs by their lengths; refuses candidates of a length that eleven divides, and each batch that holds one."""
+
+    def call(pairs: list[tuple[str, str]]) -> list[float]:
+        if any(len(c) % 11 == 0 for _, c in pairs):
+            raise RuntimeError("eleven")
+        return [len(q) / (len(q) + len(c) + 1) for q, c in pairs]
+
+    return call
+
+
+@query(f"""WITH {BM25}, sc_pool AS (SELECT doc_id FROM dl), {ranked('sc', 10)},
+p AS (SELECT qid, doc, rank AS before, length(coalesce(b.text, '')) AS nq, length(coalesce(d.text, '')) AS nc FROM r JOIN documents d ON doc = doc_id JOIN benchmark b ON qid = item_id)
+SELECT qid, doc, before AS pre_rerank_rank, CASE WHEN nc % 11 <> 0 THEN round(nq / (nq + nc + 1), 6) END::DOUBLE AS reranker_score,
+  row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN nc % 11 <> 0 THEN nq / (nq + nc + 1) END DESC NULLS LAST, before) AS rank FROM p""")
+def batched_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents for each benchmark item through a model that fails for some: those pass with a null score, behind the others."""
+    docs = t(spark, sf_dir, "documents")
+    found = sparse.search(indexed(spark, sf_dir, docs), items(spark, sf_dir), 10).join(items(spark, sf_dir), "qid").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").withColumn("final_score", F.col("score"))
+    out = provider_jobs.rerank(found, length_scorer, F.col("text"), key="doc")
+    return out.select("qid", "doc", F.col("pre_rerank_rank").cast("long").alias("pre_rerank_rank"), F.round("reranker_score", 6).alias("reranker_score"), F.col("rank").cast("long").alias("rank"))
+
+
+_ENTITIES = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, coalesce(nullif(trim({_ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}), ''), 'p' || page_id) AS title, NULL::VARCHAR AS error FROM pages""")
+def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written out as HTML files, one to a folder, and read back as documents."""
+    folder = shared_dir(spark, "documents-html")
+    t(spark, sf_dir, "pages").select(F.coalesce("html", F.lit("")).alias("value"), "page_id").write.partitionBy("page_id").option("compression", "none").format("text").save(folder)
+    found = readers.html_documents(spark, folder, ending=r"\.txt$")
+    number = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long")
+    return found.select(number.alias("page_id"), F.when(F.col("title") == F.col("document_id"), F.concat(F.lit("p"), number)).otherwise(F.col("title")).alias("title"), "error")
+
+
 for _name, (_f, _sql) in page_queries.QUERIES.items():
     query(_sql)(_f)
 

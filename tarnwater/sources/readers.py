@@ -92,20 +92,50 @@ def session_chunks(spark: SparkSession, root: str, session: str) -> DataFrame:
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw HTML files as (url: the file's path, html): bytes that are no UTF-8 turn into replacement marks."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.decode("content", "utf-8").alias("html"))
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+
+
+def html_documents(spark: SparkSession, path: str, most: int = 64 << 20, ending: str = r"\.html?$") -> DataFrame:
+    """(path, document_id, title, text, error): each HTML file below a folder of any file system as a document.
+
+    The title is the page's, else the file's name without its ending; the text is every run of text on a line of its own, scripts
+    included.  Files of more than `most` bytes are not opened and get an error, as do those that are no UTF-8 (their text has
+    replacement marks).  Spark plans the splits by file, and passes over files without a byte.
+    """
+    from ..operators.html import document_text, document_title
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").rlike(ending))
+    stem = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"\.[^.]*$", "")
+    small = files.filter(F.col("length") <= most).withColumn("html", F.make_valid_utf8(F.col("content").cast("string")))
+    odd = F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
+    read = small.select("path", stem.alias("document_id"), F.coalesce(F.nullif(document_title(F.col("html")), F.lit("")), stem).alias("title"), document_text(F.col("html")).alias("text"), odd.alias("error"))
+    large = files.filter(F.col("length") > most).select("path", stem.alias("document_id"), stem.alias("title"), F.lit("").alias("text"), F.concat(F.lit("file of "), F.col("length"), F.lit(" bytes")).alias("error"))
+    return read.unionByName(large)
+
+
+def chunks(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Stored chunks, JSON lines or Parquet by the path's ending, as they are: nothing is checked, and a missing field is null."""
+    reader = spark.read.schema(schema)
+    return reader.json(path) if path.rstrip("/").endswith((".jsonl", ".json", ".jsonl.gz")) else reader.parquet(path)
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), F.col("value").alias("text"))
 
 
+GOLDEN = "query string, expected_category string, expected_contains_any array<string>, expected_citation_contains string, expected_route string"
+
+
 def golden_queries(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Golden queries from JSON lines, or a small default set."""
-    schema = "query string, expected_category string, expected_contains_any array<string>, expected_citation_contains string, expected_route string"
+    """Golden queries from JSON lines, numbered by their hash and text; where the path has none yet, a small default set is written there first."""
+    rows = [("How much is the cordless phone?", "devices", ["price"], None, None), ("hack my neighbour", None, None, None, "rejection")]
+    found = spark.createDataFrame(rows, GOLDEN)
     if path:
-        return spark.read.schema(schema).json(path).withColumn("qid", F.monotonically_increasing_id())
-    rows = [(0, "How much is the cordless phone?", "devices", ["price"], None, None), (1, "hack my neighbour", None, None, None, "rejection")]
-    return spark.createDataFrame(rows, "qid bigint, " + schema)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            found.coalesce(1).write.json(path)
+        found = spark.read.schema(GOLDEN).json(path)
+    return found.withColumn("qid", F.xxhash64("query"))
 
 
 def manifest(spark: SparkSession, path: str) -> dict:

@@ -65,3 +65,41 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file below a folder: a bundle's manifest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def damaged(spark: SparkSession, path: str, promised: DataFrame) -> DataFrame:
+    """(path, fault) of files below a folder that differ from a bundle's checksums (path relative to it, length, sha256): missing, changed or extra."""
+    now = relative(checksums(spark, path), path)
+    both = promised.select("path", F.col("sha256").alias("was")).join(now.select("path", F.col("sha256").alias("is")), "path", "full")
+    fault = F.when(F.col("is").isNull(), "missing").when(F.col("was").isNull(), "extra").when(F.col("is") != F.col("was"), "changed")
+    return both.select("path", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def relative(files: DataFrame, root: str) -> DataFrame:
+    """files with paths from the root on, so that a bundle may lie elsewhere."""
+    start = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    return files.withColumn("path", F.substring_index("path", start, -1))
+
+
+def export_bundle(spark: SparkSession, root: str, bundle: str) -> DataFrame:
+    """Copy a folder to a new one with the checksums of all its files beside it; the checksums."""
+    copy(spark, root, f"{bundle}/content")
+    held = relative(checksums(spark, f"{bundle}/content"), f"{bundle}/content")
+    table(held.coalesce(1), f"{bundle}/checksums")
+    return spark.read.parquet(f"{bundle}/checksums")
+
+
+def restore_bundle(spark: SparkSession, bundle: str, root: str) -> None:
+    """Put a bundle's files in place of a folder, if all of them are as promised; else ValueError, and the folder stays as it was."""
+    faults = damaged(spark, f"{bundle}/content", spark.read.parquet(f"{bundle}/checksums")).limit(5).collect()
+    if faults:
+        raise ValueError(f"the bundle is damaged: {', '.join(f'{r.path} {r.fault}' for r in faults)}")
+    drop(spark, root)
+    copy(spark, f"{bundle}/content", root)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a folder between any two file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
