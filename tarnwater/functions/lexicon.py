@@ -180,3 +180,13 @@ DEVICE_LABELS = {
     "routers": ("راوتر", "router"),
     "accessories": ("إكسسوار", "accessory"),
 }
+
+# --- Fixed values: names of mobile categories, English and Arabic, and slugs that name no page ----------------
+MOBILE_LABELS = {
+    "prepaid": ("Prepaid", "باقات مدفوعة مقدما"),
+    "control_plans": ("Control Plans", "باقات كنترول"),
+    "postpaid": ("Postpaid / WE Gold", "باقات وي جولد"),
+    "mobile_internet": ("Mobile Internet", "إنترنت الموبايل"),
+    "value_added_services": ("Value Added Services", "خدمات إضافية"),
+}
+EMPTY_SLUGS, UPPER_SLUGS = ("w", "guest", "mobile"), ("we", "pt")

@@ -86,7 +86,7 @@ def cleanup_mobile(records: DataFrame) -> DataFrame:
     df = df.withColumn("original_content", F.col("content")).withColumn("__all", F.concat_ws("\n", before, P.without_noise(F.col("content"))))
     noisy = P.without_noise(F.col("content")) != F.trim(text(F.col("content")))
     df = df.withColumn("__noisy", noisy).withColumn("description", P.without_noise(F.col("description")))
-    slug = F.initcap(F.regexp_replace(url_slug(F.col("citation_url")), "[-_]+", " "))
+    slug = title_from_url()
     for name in ("title", "plan_name", "service_name"):
         df = df.withColumn(name, F.when((text(F.col(name)) != "") & P.is_noise(text(F.col(name))), slug).otherwise(F.col(name)))
     df = df.withColumn("__codes", P.mobile_codes(F.col("__all")))
@@ -106,17 +106,38 @@ def cleanup_mobile(records: DataFrame) -> DataFrame:
     return mobile_ids(score_cleanup(df)).drop("__all", "__noisy", "__codes", "__partial")
 
 
+def title_from_url() -> Column:
+    """The words of the address' last part, each with a capital; where it names nothing, the description's start."""
+    slug = F.trim(F.translate(url_slug(F.col("citation_url")), "-_", "  "))
+    words = F.transform(F.split(slug, " +"), lambda w: F.when(w.isin(*L.UPPER_SLUGS), F.upper(w)).otherwise(F.initcap(w)))
+    stand_in = F.coalesce(F.nullif(F.substring(squeeze(F.col("description")), 1, 80), F.lit("")), F.lit("Mobile record"))
+    return F.when((slug == "") | slug.isin(*L.EMPTY_SLUGS), stand_in).otherwise(F.array_join(words, " "))
+
+
+def display_name() -> Column:
+    """The first of plan, service and title that is no noise line, else what the address says."""
+    names = [squeeze(F.col(n)) for n in ("plan_name", "service_name", "title")]
+    return F.coalesce(*[F.when((n != "") & ~P.is_noise(n), n) for n in names], title_from_url())
+
+
+def category_label(arabic: Column) -> Column:
+    """A mobile category's name in the record's language; others as they are."""
+    own = text(F.col("mobile_category"))
+    return F.coalesce(*[F.when(own == k, F.when(arabic, ar).otherwise(en)) for k, (en, ar) in L.MOBILE_LABELS.items()], F.nullif(own, F.lit("")), F.lit("Mobile"))
+
+
 def rebuilt_content() -> Column:
-    """Labelled lines of what the record knows, in its language; absent fields leave no line."""
-    ar = F.col("language") == "ar"
+    """Labelled lines of what the record knows, in its language; absent fields leave no line, and noise lines go."""
+    ar = F.coalesce(F.col("language") == "ar", F.lit(False))
     label = lambda a, e: F.when(ar, F.lit(a)).otherwise(F.lit(e))
     line = lambda a, e, v: F.when(text(v) != "", F.concat(label(a, e), F.lit(": "), v))
     items = lambda a, e, v: F.when(filled(v), F.concat(label(a, e), F.lit(":\n"), F.array_join(F.transform(v, lambda x: F.concat(F.lit("- "), x)), "\n")))
-    name = F.coalesce(some(F.col("plan_name")), some(F.col("service_name")), F.col("title"))
-    codes = F.array_join("ussd_codes", ", ")
+    name = display_name()
+    held = unique(F.concat(F.array("subscription_code"), F.coalesce("ussd_codes", F.array().cast(ARRAY))))
+    codes = F.array_join(held, ", ")
     kind = F.col("record_type").startswith("service")
     head = F.concat(F.when(ar, F.when(kind, "الخدمة").otherwise("الباقة")).otherwise(F.when(kind, "Service").otherwise("Plan")), F.lit(": "), name)
-    return F.concat_ws("\n", head, line("الفئة", "Category", F.col("mobile_category")), line("السعر", "Price", F.coalesce(some(F.col("monthly_fee")), F.col("price"))), line("الوحدات", "Units", F.concat(F.format_number("kix_units", 0), F.lit(" Kix"))), line("السعة", "Quota", F.col("quota")), line("الصلاحية", "Validity", F.col("validity")), line("الأكواد", "Codes", codes), line("كود الاشتراك", "Subscription code", F.col("subscription_code")), line("الوصف", "Description", F.col("description")), items("المميزات", "Benefits", F.slice(unique(F.concat(F.col("benefits"), F.col("features"))), 1, 20)), items("قواعد الاستخدام", "Usage rules", F.col("consumption_rules")), items("الشروط والأحكام", "Terms and conditions", F.slice("terms_and_conditions", 1, 30)))
+    return P.without_noise(F.concat_ws("\n", head, line("الفئة", "Category", category_label(ar)), line("السعر", "Price", F.coalesce(some(F.col("monthly_fee")), F.col("price"))), line("الوحدات", "Units", F.concat(F.format_number("kix_units", 0), F.lit(" Kix"))), line("السعة", "Quota", F.col("quota")), line("الصلاحية", "Validity", F.col("validity")), line("الأكواد", "Codes", codes), line("كود الاشتراك", "Subscription code", F.col("subscription_code")), line("الوصف", "Description", F.col("description")), items("المميزات", "Benefits", F.slice(unique(F.concat(F.col("benefits"), F.col("features"))), 1, 20)), items("قواعد الاستخدام", "Usage rules", F.col("consumption_rules")), items("الشروط والأحكام", "Terms and conditions", F.slice("terms_and_conditions", 1, 30))))
 
 
 def score_cleanup(df: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.upsert(v.filter("doc % 3 <> 0"), v.filter("doc % 3 = 0 OR doc % 2 = 0").withColumn("rev", F.col("rev") + 1000)).select("doc", "rev")
 
 
-@query("SELECT 64 AS dimension, count(*) AS n FROM embeddings")
+@query("SELECT len(embedding) AS dimension, count(*) AS n FROM embeddings GROUP BY 1")
 def vector_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.same_dimension(t(spark, sf_dir, "embeddings"))
 
