@@ -148,20 +148,26 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: bytes, shingle: int, words: int = CHECKED) -> np.ndarray:
-    """Majority bits of the distinct shingles' hashes and of further mixes of them; zeros without words.
-
-    Where as many hashes have a bit as not, the smallest hash decides: short texts would else look alike.
-    """
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted: the whole text's if it has fewer words, none without words."""
     import xxhash
 
     tokens = text.translate(LOWER).split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in tokens])
     spans = zip([0, *ends[:-shingle].tolist()], (ends[shingle - 1 :] - 1).tolist(), strict=True) if len(tokens) > shingle else [(0, len(joined))]
-    hashes = np.unique(np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64))
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = CHECKED) -> np.ndarray:
+    """Majority bits of the distinct shingles' hashes and of further mixes of them; zeros without words.
+
+    Where as many hashes have a bit as not, the smallest hash decides: short texts would else look alike.
+    """
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
     twice, first = np.zeros((words, 64), np.int64), None
     for at in range(0, len(hashes), WIDE_CHUNK):
         mixed = np.empty((words, len(hashes[at : at + WIDE_CHUNK])), np.uint64)
@@ -188,33 +194,64 @@ def tables_for(n: int, similarity: float, words: int = WIDE) -> list[list[int]]:
     return [sorted(rng.choice(64 * words, width, replace=False).tolist()) for _ in range(many)]
 
 
+def shingle_sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(rep, size, held): the sorted shingle hashes of the text that `one` (doc_id, text_key) names, for each row (rep, one)."""
+    own = wanted.select("rep", F.col("one.doc_id").alias("__id"), F.col("one.text_key").alias("__key"))
+    texts = keyed.join(own, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["text_key"] == F.col("__key"))).select("rep", "text")
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("size", T.LongType()), T.StructField("held", T.ArrayType(T.LongType(), False))])
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            sets = [shingle_hashes(t, shingle).view(np.int64) for t in utf8(batch.column(1))]
+            yield {"rep": batch.column(0), "size": [len(x) for x in sets], "held": pa.array(sets, pa.list_(pa.field("element", pa.int64(), False)))}
+
+        return step
+
+    return over_batches(texts, make, schema).dropDuplicates(["rep"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least this Jaccard similarity; sets whose sizes rule it out are not compared."""
+    sizes = sets.select("rep", "size")
+    fit = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("size").alias("nb")), "b")
+    fit = fit.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    both = fit.join(sets.select(F.col("rep").alias("a"), F.col("held").alias("ha")), "a").join(sets.select(F.col("rep").alias("b"), F.col("held").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return both.filter(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id of its group), text_key.
 
-    Texts are linked when their wide fingerprints differ in no more bits than texts at this Jaccard similarity of word shingles
-    would, two standard deviations allowed.  This estimates the similarity: some pairs just below it are linked and a few
-    just above it are not (see the README for how many).  Tables of sampled bits bring such pairs together; inside a bucket
-    fingerprints are compared bit-sliced on their first word and survivors on WIDE words; what is found is held against each
-    other on CHECKED words in rounds (see candidates), so that a refused pair never stands for another.  Nulls, empty texts,
-    repeated rows and null ids are treated as by `near_duplicates`.
+    Texts are linked when the Jaccard similarity of their sets of word shingles is that high; sets of 64-bit hashes are compared
+    whole.  Fingerprints only propose: tables of sampled bits bring texts together whose wide fingerprints differ in few bits; inside
+    a bucket fingerprints are compared bit-sliced on their first word and survivors on WIDE words; what is left within the expected
+    distance on CHECKED words, three standard deviations allowed, is verified in rounds (see candidates), so that a refused pair
+    never stands for another.  So no link is wrong, and few are missed (see the README for how many).  Sets are worked out again for
+    texts with a candidate alone, and texts of equal sets are one class.  Nulls, empty texts, repeated rows and null ids are
+    treated as by `near_duplicates`.
     """
     names = [f"w{i}" for i in range(CHECKED)]
     keyed = columns_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), *[T.StructField(n, T.LongType()) for n in names]])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "text_key", "set_key", *names)])
 
     def make():
+        import xxhash
+
         def step(batch: pa.RecordBatch):
-            wide = np.stack([wide_fingerprint(t or b"", shingle) for t in utf8(batch.column(1))]).view(np.int64)
-            yield {"doc_id": batch.column(0), "text_key": batch.column(2)} | {n: pa.array(np.ascontiguousarray(wide[:, i])) for i, n in enumerate(names)}
+            sets = [shingle_hashes(t or b"", shingle) for t in utf8(batch.column(1))]
+            wide = np.stack([wide_fingerprint(x) for x in sets]).view(np.int64)
+            own = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield {"doc_id": batch.column(0), "text_key": batch.column(2), "set_key": pa.array(own)} | {n: pa.array(np.ascontiguousarray(wide[:, i])) for i, n in enumerate(names)}
 
         return step
 
     rows = stored(over_batches(keyed, make, schema), "similar-rows")
-    classes = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id())
+    classes = rows.groupBy("set_key", *names).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key")).alias("one")).withColumn("rep", F.monotonically_increasing_id())
     classes = stored(classes, "similar-classes")
     tables = tables_for(classes.count(), similarity)
     share = differing(similarity)
-    slack = lambda bits: int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    slack = lambda bits, deviations=2: int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
     dealt_schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("key", T.IntegerType()), T.StructField("rep", T.LongType()), *[T.StructField(n, T.LongType()) for n in names[:WIDE]]])
 
     def deal():
@@ -241,14 +278,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     both = stored(dealt.mapInArrow(run, found_schema(names[:WIDE])).distinct(), "similar-pairs")
     side = lambda c: classes.select(F.col("rep").alias(c), F.array(*names).alias(f"f{c}"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    checked = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED)).select("a", "b")
+    likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED, 3)).select("a", "b")
+    asked = both.select(F.col("a").alias("rep")).union(both.filter("b IS NOT NULL").select("b")).distinct()
+    sets = stored(shingle_sets(keyed, classes.join(asked, "rep", "left_semi").select("rep", "one"), shingle), "similar-sets")
+    checked = lambda pairs: alike(stored(likely(pairs), "similar-likely"), sets, similarity)
     group = lambda words: (np.arange(len(words[0])), near(np.stack(words).view(np.uint64), np.array([0]), np.array([len(words[0])])))
     links = links_in_rounds(both, names[:WIDE], checked, group)
     groups = connected_components(links)
     member = stored(classes.join(groups, classes["rep"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "rep"), "similar-members")
     smallest = stored(member.groupBy("component").agg(F.min("least").alias("component_id"), F.lit(1).alias("w")), "similar-groups")
-    named = stored(hot_join(member, smallest, ["component"], "w", "inner").select(*names, "component_id", "n"), "similar-names")
-    return hot_join(rows, named, names, "n", "inner").select("doc_id", "component_id", "text_key")
+    named = stored(hot_join(member, smallest, ["component"], "w", "inner").select("set_key", *names, "component_id", "n"), "similar-names")
+    return hot_join(rows, named, ["set_key", *names], "n", "inner").select("doc_id", "component_id", "text_key")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
