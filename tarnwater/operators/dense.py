@@ -31,16 +31,23 @@ def build_index(vectors: DataFrame, vid: str = "vec_id", vector: str = "embeddin
     return vectors.select(F.col(vid).alias("doc"), unit(F.col(vector)).alias("unit"), uuid5(F.col(vid).cast("string")).alias("point_id"))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding") -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", within: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, rank): the k nearest of all vectors for each query; ties by doc.
 
     A given set of queries is held against every vector once: the queries are the broadcast side (counted first),
-    and each task keeps its own best k for each query before the shuffle.
+    and each task keeps its own best k for each query before the shuffle.  within: (doc, group), with a column group in queries: a
+    query is held to the documents of its group, or to none if its group is null.
     """
-    ask = queries.select("qid", unit(F.col(vector)).alias("q")).filter("q IS NOT NULL")
+    held = ["qid", unit(F.col(vector)).alias("q"), *(["group"] if within is not None else [])]
+    ask = queries.select(*held).filter("q IS NOT NULL")
     if ask.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} query vectors: search in batches")
-    pairs = index.filter("unit IS NOT NULL").select("doc", "unit").join(F.broadcast(ask), F.lit(True), "inner")
+    rows = index.filter("unit IS NOT NULL").select("doc", "unit")
+    if within is None:
+        pairs = rows.join(F.broadcast(ask), F.lit(True), "inner")
+    else:
+        owned = rows.join(within.select("doc", F.col("group").alias("own")).distinct(), "doc", "left")
+        pairs = owned.join(F.broadcast(ask), F.col("group").isNull() | (F.col("own") == F.col("group")), "inner")
     scored = pairs.select("qid", "doc", dot(F.col("unit"), F.col("q")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

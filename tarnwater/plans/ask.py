@@ -51,27 +51,26 @@ def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None
 
 
 def _by_category(asked: DataFrame, corpus: Corpus, chunks: DataFrame, filtered: bool, query_vectors: DataFrame | None) -> list[tuple[str, DataFrame]]:
-    """Ranked lists of queries, each within its routed category.
+    """Ranked lists of queries, each within its routed category, from one search of the postings for all of them.
 
     A sparse list is empty only if no chunk passes the filter, since documents without a common term fill it; then the query
-    is searched again without the category.  So a category counts if the corpus has chunks of it: four names at most.
+    is searched without the category.  So a category counts if the corpus has chunks of it: four names at most.
     """
     known = sorted(r[0] for r in chunks.filter(F.col("category").isin(*CATEGORY_TERMS)).select("category").distinct().collect())
-    open_ = asked.filter(F.col("category_filter").isNull() | ~F.col("category_filter").isin(*known)) if known else asked
-    lists = _side(open_, corpus, chunks if filtered else None, query_vectors, "")
-    for name in known:
-        own = _side(asked.filter(F.col("category_filter") == name), corpus, chunks.filter(F.col("category") == name), query_vectors, "")
-        lists = [(label, a.unionByName(b)) for (label, a), (_, b) in zip(lists, own, strict=True)]
-    return lists
+    if not known:
+        return _side(asked, corpus, chunks if filtered else None, query_vectors, "")
+    grouped = asked.withColumn("group", F.when(F.col("category_filter").isin(*known), F.col("category_filter")))
+    return _side(grouped, corpus, chunks if filtered else None, query_vectors, "", chunks.select(F.col("chunk_id").alias("doc"), F.col("category").alias("group")))
 
 
-def _side(asked: DataFrame, corpus: Corpus, chunks: DataFrame | None, query_vectors: DataFrame | None, name: str) -> list[tuple[str, DataFrame]]:
+def _side(asked: DataFrame, corpus: Corpus, chunks: DataFrame | None, query_vectors: DataFrame | None, name: str, within: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
     """Ranked lists of one side: vectors first where there are any, then words."""
     allowed = None if chunks is None else chunks.select(F.col("chunk_id").alias("doc"))
-    lists = [(f"{name}bm25", fusion.cut(sparse.search(corpus.sparse, asked, MOST, allowed), asked, "bm25_top_k", MOST))]
+    lists = [(f"{name}bm25", fusion.cut(sparse.search(corpus.sparse, asked, MOST, allowed, within), asked, "bm25_top_k", MOST))]
     if corpus.vectors is not None and query_vectors is not None:
         vectors = corpus.vectors if allowed is None else corpus.vectors.join(allowed, "doc", "left_semi")
-        near = dense.search(vectors, query_vectors.join(asked.select("qid"), "qid", "left_semi"), MOST)
+        own = query_vectors.join(asked.select("qid", *(["group"] if within is not None else [])), "qid")
+        near = dense.search(vectors, own, MOST, within=within)
         lists.insert(0, (f"{name}dense", fusion.cut(near, asked, "dense_top_k", MOST)))
     return lists
 

@@ -131,3 +131,40 @@ def test_terms_in_most_documents_of_a_session(spark):
     asked = spark.createDataFrame([("a", 1, "x")], "session string, qid long, query string")
     plain = sparse.search(sparse.build_index(docs), spark.createDataFrame([(1, "x")], "qid long, query string"), 5)
     assert ranked(session_index.search(index, asked, 5), "doc", "score", "rank") == ranked(plain, "doc", "score", "rank")
+
+
+# --- Groups in one search ---------------------------------------------------------------------------------------------------
+
+
+def test_groups_are_searched_in_one_pass(spark, texts):
+    whole = sparse.build_index(texts)
+    within = texts.filter("doc_id % 4 < 3").select(F.col("doc_id").alias("doc"), F.concat(F.lit("g"), F.col("doc_id") % 4).alias("group"))
+    asked = [(i, q, g) for i, (q, g) in enumerate([("word1 word2", "g0"), ("word399", "g1"), ("word5 word0", None), ("nothing", "g2"), ("word7", "g9"), ("nothing", None)])]
+    queries = spark.createDataFrame(asked, "qid long, query string, group string")
+    got = sparse.search(whole, queries, 6, within=within)
+    for i, _, g in asked:
+        allowed = None if g is None else within.filter(F.col("group") == g)
+        alone = sparse.search(whole, queries.filter(F.col("qid") == i).drop("group"), 6, allowed)
+        assert ranked(got.filter(F.col("qid") == i), "doc", "score", "rank") == ranked(alone, "doc", "score", "rank")
+
+
+def test_groups_of_terms_in_most_documents(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["x y", "x z", "x", "x w", "v", "u"])], "doc_id long, text string")
+    whole = sparse.build_index(docs)
+    within = docs.select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 2).cast("string").alias("group"))
+    queries = spark.createDataFrame([(1, "x", "0"), (2, "v", None), (3, "x", None)], "qid long, query string, group string")
+    got = sparse.search(whole, queries, 6, within=within)
+    for i, g in ((1, "0"), (2, None), (3, None)):
+        alone = sparse.search(whole, queries.filter(F.col("qid") == i).drop("group"), 6, None if g is None else within.filter(F.col("group") == g))
+        assert ranked(got.filter(F.col("qid") == i), "doc", "score", "rank") == ranked(alone, "doc", "score", "rank")
+
+
+def test_groups_of_vectors(spark, vectors):
+    index = dense.build_index(vectors)
+    within = vectors.select(F.col("vec_id").alias("doc"), (F.col("vec_id") % 3).cast("string").alias("group"))
+    asked = vectors.filter("vec_id < 6").select(F.col("vec_id").alias("qid"), "embedding", F.when(F.col("vec_id") % 2 == 0, (F.col("vec_id") % 3).cast("string")).alias("group"))
+    got = dense.search(index, asked, 4, within=within)
+    free = dense.search(index, asked.filter("group IS NULL").drop("group"), 4)
+    assert ranked(got.filter("qid % 2 = 1"), "qid", "doc", "score", "rank") == ranked(free, "qid", "doc", "score", "rank")
+    own = dense.search(index.filter("doc % 3 = 1"), asked.filter("qid = 4").drop("group"), 4)
+    assert ranked(got.filter("qid = 4"), "doc", "score", "rank") == ranked(own, "doc", "score", "rank")
