@@ -227,4 +227,43 @@ SUMMARIES = (
 )
 SUMMARIES_SQL = f"SELECT kind, part, name, (each * n + besides)::BIGINT AS n FROM (VALUES {', '.join(map(str, SUMMARIES))}) AS t(kind, part, name, each, besides), (SELECT count(*) AS n FROM part)"
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((catalogue_page_parts, PARTS_SQL), (catalogue_mobile_records, MOBILE_SQL), (catalogue_business_records, BUSINESS_SQL), (catalogue_section_records, SECTION_SQL), (catalogue_public_records, PUBLIC_SQL), (catalogue_record_scores, SCORES_SQL), (catalogue_cleanup_summary, CLEANUP_SQL), (catalogue_summaries, SUMMARIES_SQL))}
+def catalogue_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [html.table_rows(catalogue(spark, sf_dir, kind), kind) for kind in ("mobile", "business")]
+    return both[0].unionByName(both[1]).select("page_id", F.col("table_index").cast("long").alias("table_index"), F.col("row_index").cast("long").alias("row_index"), F.to_json("data").alias("data"), "row_text")
+
+
+TABLES_SQL = values(
+    "page_id, table_index, row_index, data, row_text",
+    (1, 0, 1, '{"Name":"@name@ 20","Price":"20 EGP"}', "@name@ 20 | 20 EGP"),
+    (1, 0, 2, '{"column_1":"@name@ 40","column_2":"40 EGP","column_3":"new"}', "@name@ 40 | 40 EGP | new"),
+    (2, 0, 1, '{"Plan":"Basic","Fee":"@size@ EGP"}', "Basic | @size@ EGP"),
+)
+
+
+def catalogue_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = [html.cards(catalogue(spark, sf_dir, kind), kind) for kind in ("mobile", "business", "section")]
+    return every[0].unionByName(every[1]).unionByName(every[2]).withColumn("card_no", F.col("card_no").cast("long"))
+
+
+CARDS_SQL = values(
+    "page_id, card_no, card_title, card_text",
+    (1, 0, "@name@ extra", "@name@ extra\nAdds 5 GB to your @name@ plan when you dial *111# today"),
+    (2, 0, "Mail", "\n".join(_BOX)),
+    (3, 0, "Prize", "Prize\nWe won an award for our network in spring"),
+)
+
+
+def catalogue_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.people(catalogue(spark, sf_dir, "section"))
+
+
+PEOPLE_SQL = values("page_id, name, role", (3, "Dr Jane Roe", "Chairman"), (3, "Chairman", "Annual report"))
+
+
+def catalogue_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.downloads(catalogue(spark, sf_dir, "section"))
+
+
+DOWNLOADS_SQL = values("page_id, url, link_text, kind", (3, "https://h.example/files/report.pdf", "Annual report", "report"), (3, "https://h.example/files/iso.pdf", "ISO certificate", "certificate"))
+
+QUERIES = {f.__name__: (f, sql) for f, sql in ((catalogue_page_parts, PARTS_SQL), (catalogue_mobile_records, MOBILE_SQL), (catalogue_business_records, BUSINESS_SQL), (catalogue_section_records, SECTION_SQL), (catalogue_public_records, PUBLIC_SQL), (catalogue_record_scores, SCORES_SQL), (catalogue_cleanup_summary, CLEANUP_SQL), (catalogue_summaries, SUMMARIES_SQL), (catalogue_tables, TABLES_SQL), (catalogue_cards, CARDS_SQL), (catalogue_people, PEOPLE_SQL), (catalogue_downloads, DOWNLOADS_SQL))}
