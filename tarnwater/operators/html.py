@@ -8,7 +8,7 @@ next sibling, and an unmatched end tag is ignored.  Each text run is a line; cel
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from html.parser import HTMLParser
@@ -266,23 +266,30 @@ def is_useful(least: int = 200) -> Column:
     return F.length(F.array_join("lines", "\n")) >= least
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, wherever f names it, lambdas included."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def row_structs(kind: str = "mobile") -> Column:
     """array<struct<table_index, row_index, data map, row_text, first>>: rows of two cells or more, named by a first header
     row that has as many cells, else column_1, column_2 and so on.  Of equal names the last cell counts."""
     quiet = KINDS[kind].quiet_cells
     cells = lambda r: F.filter(F.transform(r["cells"], clean_line), lambda c: (c != "") & (~P.is_noise(c, KINDS[kind].noise) if quiet else F.lit(True)))
     rows = F.filter(F.transform("page.rows", lambda r: F.struct(r["table_index"].alias("t"), r["row_index"].alias("i"), r["header"].alias("h"), cells(r).alias("c"))), lambda r: F.size(r["c"]) >= 2)
-    heads = lambda r: F.get(F.filter(rows, lambda x: (x["t"] == r["t"]) & (x["i"] == 0) & x["h"]), F.lit(0))["c"]
 
-    def named(r: Column) -> Column:
-        names = F.when(F.size(heads(r)) == F.size(r["c"]), heads(r)).otherwise(F.transform(F.sequence(F.lit(1), F.size(r["c"])), lambda i: F.concat(F.lit("column_"), i.cast("string"))))
+    def made(r: Column, names: Column) -> Column:
         last = F.filter(F.sequence(F.lit(0), F.size(names) - 1), lambda i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.get(names, i)))
-        data = F.map_from_arrays(F.transform(last, lambda i: F.get(names, i)), F.transform(last, lambda i: F.get(r["c"], i)))
+        data = bound(last, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(names, i)), F.transform(at, lambda i: F.get(r["c"], i))))
         # The first value is that of the first name, wherever the name stands last.
-        first = F.element_at(data, F.get(names, F.lit(0)))
-        return F.struct(r["t"].alias("table_index"), r["i"].alias("row_index"), data.alias("data"), F.array_join(r["c"], " | ").alias("row_text"), first.alias("first"))
+        return bound(data, lambda d: F.struct(r["t"].alias("table_index"), r["i"].alias("row_index"), d.alias("data"), F.array_join(r["c"], " | ").alias("row_text"), F.element_at(d, F.get(names, F.lit(0))).alias("first")))
+
+    def named(rs: Column, r: Column) -> Column:
+        head = F.get(F.filter(rs, lambda x: (x["t"] == r["t"]) & (x["i"] == 0) & x["h"]), F.lit(0))["c"]
+        plain = F.transform(F.sequence(F.lit(1), F.size(r["c"])), lambda i: F.concat(F.lit("column_"), i.cast("string")))
+        return bound(bound(head, lambda h: F.when(F.size(h) == F.size(r["c"]), h).otherwise(plain)), lambda names: made(r, names))
 
-    return F.transform(F.filter(rows, lambda r: ~((r["i"] == 0) & r["h"])), named)
+    return bound(rows, lambda rs: F.transform(F.filter(rs, lambda r: ~((r["i"] == 0) & r["h"])), lambda r: named(rs, r)))
 
 
 def table_rows(df: DataFrame, kind: str = "mobile") -> DataFrame:
@@ -294,11 +301,12 @@ def card_structs(kind: str = "mobile") -> Column:
     """array<struct<card_no, title, lines, text>>: blocks of a fitting length that hold what the kind asks for, once each."""
     how = KINDS[kind]
     cards = F.transform("page.cards", lambda c, i: F.struct(i.alias("card_no"), squeeze(c["title"]).alias("title"), shown_lines(c["lines"], kind, how.card_lines).alias("lines")))
-    cards = F.transform(cards, lambda c: F.struct(c["card_no"].alias("card_no"), c["title"].alias("title"), c["lines"].alias("lines"), F.array_join(c["lines"], "\n").alias("text")))
+    cards = F.transform(cards, lambda c: bound(c["lines"], lambda ls: F.struct(c["card_no"].alias("card_no"), c["title"].alias("title"), ls.alias("lines"), F.array_join(ls, "\n").alias("text"))))
     price, quota = (L.MOBILE_PRICE, L.MOBILE_QUOTA) if how.card_gate == "facts" else (L.BUSINESS_PRICE, L.BUSINESS_QUOTA)
     gate = {"facts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | c["text"].rlike(L.USSD), "amounts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | (F.size(c["lines"]) >= 4), "": lambda c: F.lit(True)}[how.card_gate]
     fitting = F.filter(cards, lambda c: F.length(c["text"]).between(*how.card_chars) & gate(c))
-    once = F.filter(fitting, lambda c: ~F.exists(fitting, lambda o: (o["card_no"] < c["card_no"]) & (key(o["text"]) == key(c["text"]))))
+    keyed = F.transform(fitting, lambda c: F.struct(c["card_no"].alias("card_no"), c["title"].alias("title"), c["lines"].alias("lines"), c["text"].alias("text"), key(c["text"]).alias("key")))
+    once = bound(keyed, lambda cs: F.filter(cs, lambda c: ~F.exists(cs, lambda o: (o["card_no"] < c["card_no"]) & (o["key"] == c["key"]))))
     titled = F.transform(once, lambda c: F.struct(c["card_no"].alias("card_no"), F.coalesce(F.nullif(c["title"], F.lit("")), F.get(c["lines"], F.lit(0))).alias("title"), c["lines"].alias("lines"), c["text"].alias("text")))
     return F.slice(titled, 1, how.card_limit)
 
