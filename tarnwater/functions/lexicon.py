@@ -27,7 +27,8 @@ BOTH_FINAL, BOTH_SIDE = 8, 5
 
 # --- Fixed values: entities in queries --------------------------------------------------------------------
 IGNORED_CAPITALS = (
-    "Tell", "Can", "Please", "Explain", "What", "How", "Why", "When", "Where", "Is", "Are", "Do", "Does", "Show", "Give", "Help", "Did", "Was", "Were", "Has", "Had", "Have", "Could", "Would", "Should", "Which", "May", "Might", "Shall", "Must", "Will",
+    "Tell", "Can", "Please", "Explain", "What", "How", "Why", "When", "Where", "Is", "Are", "Do", "Does", "Show", "Give", "Help", "Did", "Was", "Were", "Has",
+        "Had", "Have", "Could", "Would", "Should", "Which", "May", "Might", "Shall", "Must", "Will",
     "About", "Also", "And", "Any", "But", "For", "From", "Get", "Got", "Its", "Not", "Okay", "The", "This", "That", "With", "Who", "Whom", "Your", "Our", "His", "Her", "They", "Them", "Some", "Each", "All", "Both", "Such", "Than", "Then",
 )
 DEVICE_NAMES = ("DEX", "Cordless", "D1005", "VN020", "ZXHN", "Huawei", "ZTE", "TP-Link")
@@ -57,20 +58,35 @@ CATEGORY_METADATA = {
     "we_home": ("pillar", "product_family", "tier", "package_name", "normalized_package_name", "quota", "quota_gb", "quota_tb", "speed", "download_speed", "upload_speed", "monthly_fee", "monthly_fee_egp", "yearly_fee", "yearly_fee_egp", "price", "price_egp", "currency", "billing_cycle", "validity", "renewal_type", "price_includes_vat", "vat_note", "payment_channels", "search_aliases", "features", "benefits", "terms_and_conditions"),
 }
 INDEX_LABELS = {
-    "question": "Question", "answer": "Answer", "faq_number": "FAQ number", "product_name": "Product", "normalized_product_name": "Normalized product", "brand": "Brand", "manufacturer": "Manufacturer", "device_category": "Device category", "model": "Model", "availability": "Availability", "specifications": "Specifications", "warranty": "Warranty",
-    "service_name": "Service", "normalized_service_name": "Normalized service", "service_category": "Service category", "service_category_display": "Service category display", "subscription_code": "Code", "ussd_codes": "USSD codes", "sms_number": "SMS number", "sms_format": "SMS format", "fee": "Fee", "fee_notes": "Fee notes", "minimum_payment": "Minimum payment", "maximum_payment": "Maximum payment", "service_channel": "Service channel", "requirements": "Requirements", "eligibility": "Eligibility", "steps": "Steps",
-    "pillar": "Pillar", "product_family": "Product family", "tier": "Tier", "package_name": "Package", "normalized_package_name": "Normalized package", "quota": "Quota", "quota_gb": "Quota GB", "quota_tb": "Quota TB", "speed": "Speed", "download_speed": "Download speed", "upload_speed": "Upload speed", "monthly_fee": "Monthly fee", "monthly_fee_egp": "Monthly fee", "yearly_fee": "Yearly fee", "yearly_fee_egp": "Yearly fee", "price": "Price", "price_numeric": "Price numeric", "price_egp": "Price", "currency": "Currency",
-    "billing_cycle": "Billing cycle", "validity": "Validity", "renewal_type": "Renewal type", "price_includes_vat": "Price includes VAT", "vat_note": "VAT note", "payment_channels": "Payment channels", "search_aliases": "Aliases", "features": "Features", "benefits": "Benefits", "terms_and_conditions": "Terms and conditions",
+    "question": "Question", "answer": "Answer", "faq_number": "FAQ number", "product_name": "Product", "normalized_product_name": "Normalized product",
+        "brand": "Brand", "manufacturer": "Manufacturer", "device_category": "Device category", "model": "Model", "availability": "Availability",
+        "specifications": "Specifications", "warranty": "Warranty",
+    "service_name": "Service", "normalized_service_name": "Normalized service", "service_category": "Service category",
+        "service_category_display": "Service category display", "subscription_code": "Code", "ussd_codes": "USSD codes", "sms_number": "SMS number",
+        "sms_format": "SMS format", "fee": "Fee", "fee_notes": "Fee notes", "minimum_payment": "Minimum payment", "maximum_payment": "Maximum payment",
+        "service_channel": "Service channel", "requirements": "Requirements", "eligibility": "Eligibility", "steps": "Steps",
+    "pillar": "Pillar", "product_family": "Product family", "tier": "Tier", "package_name": "Package", "normalized_package_name": "Normalized package",
+        "quota": "Quota", "quota_gb": "Quota GB", "quota_tb": "Quota TB", "speed": "Speed", "download_speed": "Download speed", "upload_speed": "Upload speed",
+        "monthly_fee": "Monthly fee", "monthly_fee_egp": "Monthly fee", "yearly_fee": "Yearly fee", "yearly_fee_egp": "Yearly fee", "price": "Price",
+        "price_numeric": "Price numeric", "price_egp": "Price", "currency": "Currency",
+    "billing_cycle": "Billing cycle", "validity": "Validity", "renewal_type": "Renewal type", "price_includes_vat": "Price includes VAT",
+        "vat_note": "VAT note", "payment_channels": "Payment channels", "search_aliases": "Aliases", "features": "Features", "benefits": "Benefits",
+        "terms_and_conditions": "Terms and conditions",
 }
-CHUNK_INDEX_FIELDS = ("service_name", "product_name", "package_name", "brand", "product_family", "tier", "quota", "quota_gb", "quota_tb", "speed", "download_speed", "upload_speed", "subscription_code", "ussd_codes", "price", "price_numeric", "price_egp", "monthly_fee", "monthly_fee_egp", "yearly_fee", "yearly_fee_egp", "fee", "fee_notes", "search_aliases")
+CHUNK_INDEX_FIELDS = ("service_name", "product_name", "package_name", "brand", "product_family", "tier", "quota", "quota_gb", "quota_tb", "speed",
+    "download_speed", "upload_speed", "subscription_code", "ussd_codes", "price", "price_numeric", "price_egp", "monthly_fee", "monthly_fee_egp", "yearly_fee",
+    "yearly_fee_egp", "fee", "fee_notes", "search_aliases")
 ATOMIC_TYPES = ("faq", "product", "service_code", "service_fee", "package", "package_tier", "package_price", "yearly_package", "add_on", "payment_channels", "salefny_rule", "renewal_rule", "early_renewal_rule", "hardware", "table_row")
 MOBILE_CATEGORIES = ("prepaid", "control_plans", "postpaid", "mobile_internet", "value_added_services")
 MOBILE_TYPES = ("plan", "package", "add_on", "service_code", "service_detail", "service_fee", "terms", "benefit", "faq_like", "detail")
 
 # --- Fixed values: noise ------------------------------------------------------------------------------------
 NOISE_PHRASES = (
-    "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "return to top", "mobile services details page", "personal", "home", "menu", "close", "next", "previous", "back", "add", "add products", "add product", "add another product", "clear all", "recharge now", "mobile", "control", "bundle services", "choose your plan", "recommended", "recommanded", "visit", "sorry. there are no products to compare",
-    "حذف", "حذف الكل", "أضف للمقارنة", "اضف للمقارنة", "إضافة للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى", "الرجوع الي الأعلي", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "رجوع", "أضف منتج", "أضف منتج آخر", "المقارنة",
+    "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "return to top", "mobile services details page",
+        "personal", "home", "menu", "close", "next", "previous", "back", "add", "add products", "add product", "add another product", "clear all", "recharge now",
+        "mobile", "control", "bundle services", "choose your plan", "recommended", "recommanded", "visit", "sorry. there are no products to compare",
+    "حذف", "حذف الكل", "أضف للمقارنة", "اضف للمقارنة", "إضافة للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى",
+        "الرجوع الي الأعلي", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "رجوع", "أضف منتج", "أضف منتج آخر", "المقارنة",
 )
 #: Lines that are navigation on pages of each section, and in cleaned content of mobile records.
 MOBILE_NOISE = ("home", "personal", "business", "about us", "contact us", "search", "login", "my account", "back to top", "facebook", "twitter", "instagram", "youtube", "english", "العربية")
@@ -81,7 +97,8 @@ BUSINESS_NOISE = (
     "العربية", "حذف", "أضف للمقارنة", "اضف للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "الرئيسية",
 )
 SECTION_NOISE = (
-    "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "business", "personal", "menu", "close", "next", "previous", "home", "products comparison", "compare products", "all rights reserved", "login", "search", "english",
+    "remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "business", "personal", "menu", "close", "next",
+        "previous", "home", "products comparison", "compare products", "all rights reserved", "login", "search", "english",
     "العربية", "حذف", "أضف للمقارنة", "اضف للمقارنة", "اشترك الان", "اشترك الآن", "تفاصيل اكتر", "تفاصيل أكثر", "الرجوع الى الأعلى", "القائمة", "اغلاق", "إغلاق", "التالي", "السابق", "الرئيسية", "مقارنة المنتجات", "جميع الحقوق محفوظة",
 )
 GENERIC_NOISE = ("remove", "add to compare", "compare", "details", "more details", "subscribe now", "back to top", "business", "personal", "menu", "close", "next", "previous", "home")
@@ -89,7 +106,8 @@ NAVIGATION_HINTS = ("home", "personal", "business", "contact us", "login", "my a
 LABEL_PREFIXES = ("title:", "category:", "record type:", "language:", "source:", "content:", "metadata:", "source type:", "source_name:", "retriever:")
 TYPE_WORDS = ("service_detail", "eligibility", "service_fee", "subscription_method")
 NOT_FOUND_SIGNALS = (
-    "لم أجد", "لم يتم العثور", "لم أتمكن من العثور", "غير متوفر", "لا تتوفر", "لا توجد معلومات", "i could not find", "could not find this information", "not found in the", "no information", "is not available in", "not mentioned in", "does not contain", "no relevant information",
+    "لم أجد", "لم يتم العثور", "لم أتمكن من العثور", "غير متوفر", "لا تتوفر", "لا توجد معلومات", "i could not find", "could not find this information",
+        "not found in the", "no information", "is not available in", "not mentioned in", "does not contain", "no relevant information",
 )
 
 # --- Fixed values: amounts ----------------------------------------------------------------------------------
@@ -127,25 +145,35 @@ BUSINESS_PAGES = {
 BUSINESS_DEFAULT = ("business", "WE Business")
 #: Labels of built content: Arabic, English.
 LABELS = {
-    "plan": ("الخدمة/الباقة", "Plan or service"), "service": ("الخدمة", "Service"), "category": ("الفئة", "Category"), "description": ("الوصف", "Description"), "price": ("السعر", "Price"), "quota": ("السعة", "Quota"), "allowance": ("السعة", "Quota or allowance"), "codes": ("الأكواد", "Codes"),
-    "benefits": ("المميزات", "Benefits"), "features": ("المميزات", "Features"), "terms": ("الشروط والأحكام", "Terms and conditions"), "details": ("التفاصيل", "Details"), "section": ("القسم", "Section"), "topic": ("الموضوع", "Topic"), "title": ("العنوان", "Title"),
+    "plan": ("الخدمة/الباقة", "Plan or service"), "service": ("الخدمة", "Service"), "category": ("الفئة", "Category"), "description": ("الوصف", "Description"),
+        "price": ("السعر", "Price"), "quota": ("السعة", "Quota"), "allowance": ("السعة", "Quota or allowance"), "codes": ("الأكواد", "Codes"),
+    "benefits": ("المميزات", "Benefits"), "features": ("المميزات", "Features"), "terms": ("الشروط والأحكام", "Terms and conditions"),
+        "details": ("التفاصيل", "Details"), "section": ("القسم", "Section"), "topic": ("الموضوع", "Topic"), "title": ("العنوان", "Title"),
 }
 #: Topics of section pages: the first whose words stand in title or address.
 SUSTAINABILITY = "corporate_sustainability"
 ABOUT = "about_te"
 SUSTAINABILITY_TOPICS = ((("climate",), "Climate Change"), (("quality", "iso", "esms"), "Corporate Quality"), (("sustainability",), "Sustainability"))
 SUSTAINABILITY_TOPIC = "Corporate Sustainability"
-ABOUT_TOPICS = ((("board",), "Board of Directors"), (("management",), "Management Team"), (("museum",), "TE Museum"), (("history",), "History"), (("award",), "Awards"), (("strategy",), "Corporate Strategy"), (("press",), "Press Releases"), (("tv",), "TV Ads"), (("career", "training"), "Careers and Training"), (("contact",), "Contact Information"))
+ABOUT_TOPICS = ((("board",), "Board of Directors"), (("management",), "Management Team"), (("museum",), "TE Museum"), (("history",), "History"),
+    (("award",), "Awards"), (("strategy",), "Corporate Strategy"), (("press",), "Press Releases"), (("tv",), "TV Ads"),
+    (("career", "training"), "Careers and Training"), (("contact",), "Contact Information"))
 ABOUT_TOPIC = "About TE"
 SPECIAL_CARDS = ("history_milestone", "award", "press_release", "tv_ad")
 #: Categories of public pages: the first whose words stand in the address.
-PUBLIC_CATEGORIES = ((("/business",), "business"), (("/support", "/help"), "support"), (("/offer",), "offers"), (("/branch", "stores"), "branches"), (("/mobile",), "mobile"), (("/devices", "/w/"), "public_site"), (("/personal",), "personal"))
+PUBLIC_CATEGORIES = ((("/business",), "business"), (("/support", "/help"), "support"), (("/offer",), "offers"), (("/branch", "stores"), "branches"),
+    (("/mobile",), "mobile"), (("/devices", "/w/"), "public_site"), (("/personal",), "personal"))
 PUBLIC_CATEGORY, PUBLIC_UNTITLED = "public_site", "Untitled public page"
 #: What a business record's title adds to its aliases.
 BUSINESS_ALIASES = (
-    (("business value",), ("WE Business Value", "business value plan", "corporate value plan")), (("we business",), ("WE Business", "business mobile plan", "corporate mobile plan", "business control plan")), (("sms",), ("WE Business SMS", "business bulk SMS", "corporate SMS package")),
-    (("data hub",), ("WE Data Hub", "shared corporate data pool", "corporate shared data SIMs")), (("air", "fwa"), ("WE Air Business", "Business FWA", "Fixed Wireless Access business")), (("sip",), ("SIP Trunk",)), (("pri",), ("PRI Circuit",)), (("toll free",), ("Toll Free Numbers",)), (("0900",), ("0900 service",)),
-    (("hosting",), ("Shared Hosting", "Linux cPanel hosting", "Windows Plesk hosting")), (("vps", "virtual private"), ("VPS", "IaaS", "virtual server")), (("ddos",), ("DDoS Protection",)), (("invoice",), ("E-Invoice", "Egyptian Tax Authority e-invoice")),
+    (("business value",), ("WE Business Value", "business value plan", "corporate value plan")),
+        (("we business",), ("WE Business", "business mobile plan", "corporate mobile plan", "business control plan")),
+        (("sms",), ("WE Business SMS", "business bulk SMS", "corporate SMS package")),
+    (("data hub",), ("WE Data Hub", "shared corporate data pool", "corporate shared data SIMs")),
+        (("air", "fwa"), ("WE Air Business", "Business FWA", "Fixed Wireless Access business")), (("sip",), ("SIP Trunk",)), (("pri",), ("PRI Circuit",)),
+        (("toll free",), ("Toll Free Numbers",)), (("0900",), ("0900 service",)),
+    (("hosting",), ("Shared Hosting", "Linux cPanel hosting", "Windows Plesk hosting")), (("vps", "virtual private"), ("VPS", "IaaS", "virtual server")),
+        (("ddos",), ("DDoS Protection",)), (("invoice",), ("E-Invoice", "Egyptian Tax Authority e-invoice")),
 )
 #: What a mobile record's name adds to its aliases; {} is the number behind the name, with a space before it, if there is one.
 MOBILE_ALIASES = (
@@ -157,7 +185,8 @@ MOBILE_ALIASES = (
     ("we gold", r"(?i)we\s*gold\s*(\p{Nd}+)", ("WE Gold{}", "وي جولد{}")),
 )
 #: Sources of the knowledge base where no registry names others.
-DEFAULT_SOURCES = (("faq", "data/processed/faq/faq_post_processed.jsonl"), ("devices", "data/processed/devices/devices_post_processed_v2.jsonl"), ("services", "data/processed/services/services_post_processed_v3.jsonl"), ("we_home", "data/processed/we_home/we_home.jsonl"))
+DEFAULT_SOURCES = (("faq", "data/processed/faq/faq_post_processed.jsonl"), ("devices", "data/processed/devices/devices_post_processed_v2.jsonl"),
+    ("services", "data/processed/services/services_post_processed_v3.jsonl"), ("we_home", "data/processed/we_home/we_home.jsonl"))
 
 # --- Fixed values: sentences of deterministic answers, Arabic and English -------------------------------------
 ANSWER_TEXTS = {

@@ -255,7 +255,8 @@ def citation_ids(c: Column) -> Column:
 
 def visible_text(c: Column) -> Column:
     """What a reader should see: no label or type lines, no inline labels, squeezed."""
-    kept = F.filter(F.transform(F.split(text(c), r"[\r\n]+"), lambda x: F.trim(F.translate(x, "﻿", ""))), lambda x: (x != "") & ~F.lower(x).isin(*L.TYPE_WORDS) & ~reduce(lambda a, b: a | b, [F.lower(x).startswith(p) for p in L.LABEL_PREFIXES]))
+    kept = F.filter(F.transform(F.split(text(c), r"[\r\n]+"), lambda x: F.trim(F.translate(x, "﻿", ""))),
+        lambda x: (x != "") & ~F.lower(x).isin(*L.TYPE_WORDS) & ~reduce(lambda a, b: a | b, [F.lower(x).startswith(p) for p in L.LABEL_PREFIXES]))
     joined = F.array_join(F.transform(kept, lambda x: squeeze(F.regexp_replace(x, r"^\*\s+(\*[0-9][^ ]*#?)", "$1"))), " ")
     plain = F.regexp_replace(joined, r"(?i)\b(?:Title|Category|Record type|Language|Source|Content|Metadata|Source type)\s*:\s*", "")
     plain = F.regexp_replace(plain, r"\b(service_detail|eligibility|service_fee|subscription_method)\b", "")

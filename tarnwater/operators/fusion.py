@@ -22,7 +22,8 @@ def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K, key: str = "doc") -
     """
     parts = [df.select("qid", key, "rank", "score", F.lit(i).alias("list")) for i, (_, df) in enumerate(lists)]
     both = reduce(DataFrame.unionByName, parts)
-    fused = both.groupBy("qid", key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf_score"), F.min(F.struct("list", "rank")).alias("first"), *[F.max(F.when(F.col("list") == i, F.col("score"))).alias(f"{name}_score") for i, (name, _) in enumerate(lists)])
+    fused = both.groupBy("qid", key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf_score"), F.min(F.struct("list", "rank")).alias("first"),
+        *[F.max(F.when(F.col("list") == i, F.col("score"))).alias(f"{name}_score") for i, (name, _) in enumerate(lists)])
     order = Window.partitionBy("qid").orderBy(F.desc("rrf_score"), "first", key)
     return fused.withColumn("rank", F.row_number().over(order)).drop("first")
 
@@ -61,13 +62,21 @@ def boost_score(query: Column) -> Column:
     entity = F.when(some, _sum(F.least(F.lit(0.18), 0.05 * matched), _if(titled == F.size(entities), 0.12), _if(category == "devices", 0.08))).otherwise(F.lit(0.0))
     tokens = F.filter(F.regexp_extract_all(q, F.lit(r"[\p{L}\p{N}_\x{600}-\x{6ff}-]+"), F.lit(0)), lambda t: F.length(t) > 2)
     upload = F.when(F.col("source_type") == "user_upload", _sum(_if(F.exists(tokens, lambda t: F.contains(body, t)), 0.06), _if(F.exists(tokens, lambda t: t.rlike(r"\p{Nd}") & F.contains(body, t)), 0.04))).otherwise(F.lit(0.0))
-    code = F.when(any_of(q, L.CODE_QUERY_TERMS), _sum(_if(any_of(kind, L.CODE_RECORD_TYPES), 0.05), _if(truthy(meta("subscription_code")).isNotNull() | truthy(meta("ussd_codes")).isNotNull(), 0.04), _if(body.contains("*") | body.contains("#"), 0.03))).otherwise(F.lit(0.0))
+    code = F.when(any_of(q, L.CODE_QUERY_TERMS),
+        _sum(_if(any_of(kind, L.CODE_RECORD_TYPES), 0.05), _if(truthy(meta("subscription_code")).isNotNull() | truthy(meta("ussd_codes")).isNotNull(), 0.04), _if(body.contains("*") | body.contains("#"), 0.03))).otherwise(F.lit(0.0))
     asks_price = any_of(q, L.PRICE_BOOST_TERMS)
-    price = F.when(asks_price, _sum(_if(F.coalesce(*[F.col("metadata")[n] for n in ("price_egp", "price_numeric", "monthly_fee_egp", "yearly_fee_egp", "fee")]).isNotNull(), 0.05), _if(any_of(body, L.PRICE_UNITS), 0.03))).otherwise(F.lit(0.0))
+    price = F.when(asks_price,
+        _sum(_if(F.coalesce(*[F.col("metadata")[n] for n in ("price_egp", "price_numeric", "monthly_fee_egp", "yearly_fee_egp", "fee")]).isNotNull(), 0.05), _if(any_of(body, L.PRICE_UNITS), 0.03))).otherwise(F.lit(0.0))
     tier = F.lower(text(meta("tier")))
-    home = F.when(any_of(q, L.HOME_QUERY_TERMS), _sum(_if(category == "we_home", 0.04), _if(kind.isin(*L.PACKAGE_TYPES), 0.04), _if(truthy(meta("product_family")).isNotNull(), 0.02), _if((tier != "") & F.contains(q, tier), 0.04), _if((q.contains("gb") | q.contains("جيجا")) & (truthy(meta("quota")).isNotNull() | truthy(meta("quota_gb")).isNotNull()), 0.03), _if(q.contains("speed") & truthy(meta("speed")).isNotNull(), 0.02))).otherwise(F.lit(0.0))
+    home = F.when(any_of(q, L.HOME_QUERY_TERMS),
+        _sum(_if(category == "we_home", 0.04), _if(kind.isin(*L.PACKAGE_TYPES), 0.04), _if(truthy(meta("product_family")).isNotNull(), 0.02),
+            _if((tier != "") & F.contains(q, tier), 0.04),
+            _if((q.contains("gb") | q.contains("جيجا")) & (truthy(meta("quota")).isNotNull() | truthy(meta("quota_gb")).isNotNull()), 0.03),
+            _if(q.contains("speed") & truthy(meta("speed")).isNotNull(), 0.02))).otherwise(F.lit(0.0))
     named = [matching(meta(n)) for n in ("brand", "product_name")]
-    device = F.when(any_of(q, L.DEVICE_QUERY_TERMS), _sum(_if(category == "devices", 0.05), *[_if((v != "") & F.contains(q, v), 0.04) for v in named], _if(truthy(meta("device_category")).isNotNull(), 0.02), _if(asks_price & F.col("metadata")["price_numeric"].isNotNull(), 0.03))).otherwise(F.lit(0.0))
+    device = F.when(any_of(q, L.DEVICE_QUERY_TERMS),
+        _sum(_if(category == "devices", 0.05), *[_if((v != "") & F.contains(q, v), 0.04) for v in named],
+            _if(truthy(meta("device_category")).isNotNull(), 0.02), _if(asks_price & F.col("metadata")["price_numeric"].isNotNull(), 0.03))).otherwise(F.lit(0.0))
     hotline = F.when(any_of(q, L.HOTLINE_TERMS), _sum(_if(body.contains("111"), 0.08), _if(category == "faq", 0.02))).otherwise(F.lit(0.0))
     arabic, language = q.rlike(ARABIC), F.lower(text(F.col("language")))
     tongue = _if((arabic & (language == "ar")) | (~arabic & q.rlike("[a-z]") & (language == "en")), 0.01)
@@ -83,7 +92,12 @@ def boost(fused: DataFrame, query: str = "query") -> DataFrame:
 def candidate_text(m: Callable[[str], Column] = meta) -> Column:
     """The labelled text that a reranker reads; absent fields leave no line."""
     first = lambda *names: F.coalesce(*[truthy(m(n)) for n in names])
-    fields = [("Title", F.col("title")), ("Category", F.col("category")), ("Record type", F.col("record_type")), ("Language", F.col("language")), ("Product family", m("product_family")), ("Tier", m("tier")), ("Package", first("package_name", "normalized_package_name")), ("Quota", first("quota", "quota_gb")), ("Speed", m("speed")), ("Price/Fee", first("price", "price_egp", "price_numeric", "monthly_fee", "monthly_fee_egp", "yearly_fee", "yearly_fee_egp", "fee")), ("Service", F.coalesce(truthy(m("service_name")), F.col("title"))), ("Code", first("subscription_code", "ussd_codes")), ("Brand/Product", first("brand", "product_name", "device_name"))]
+    fields = [("Title", F.col("title")), ("Category", F.col("category")), ("Record type", F.col("record_type")), ("Language", F.col("language")),
+        ("Product family", m("product_family")), ("Tier", m("tier")), ("Package", first("package_name", "normalized_package_name")),
+        ("Quota", first("quota", "quota_gb")), ("Speed", m("speed")),
+        ("Price/Fee", first("price", "price_egp", "price_numeric", "monthly_fee", "monthly_fee_egp", "yearly_fee", "yearly_fee_egp", "fee")),
+        ("Service", F.coalesce(truthy(m("service_name")), F.col("title"))), ("Code", first("subscription_code", "ussd_codes")),
+        ("Brand/Product", first("brand", "product_name", "device_name"))]
     lines = [F.when(text(c) != "", F.concat(F.lit(f"{label}: "), c)) for label, c in fields]
     return F.concat_ws("\n", *lines, F.lit("Content:"), F.coalesce(truthy(F.col("content")), truthy(F.col("index_text")), F.lit("")))
 

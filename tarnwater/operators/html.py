@@ -303,7 +303,8 @@ def card_structs(kind: str = "mobile") -> Column:
     cards = F.transform("page.cards", lambda c, i: F.struct(i.alias("card_no"), squeeze(c["title"]).alias("title"), shown_lines(c["lines"], kind, how.card_lines).alias("lines")))
     cards = F.transform(cards, lambda c: bound(c["lines"], lambda ls: F.struct(c["card_no"].alias("card_no"), c["title"].alias("title"), ls.alias("lines"), F.array_join(ls, "\n").alias("text"))))
     price, quota = (L.MOBILE_PRICE, L.MOBILE_QUOTA) if how.card_gate == "facts" else (L.BUSINESS_PRICE, L.BUSINESS_QUOTA)
-    gate = {"facts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | c["text"].rlike(L.USSD), "amounts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | (F.size(c["lines"]) >= 4), "": lambda c: F.lit(True)}[how.card_gate]
+    gate = {"facts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | c["text"].rlike(L.USSD),
+        "amounts": lambda c: c["text"].rlike(price) | c["text"].rlike(quota) | (F.size(c["lines"]) >= 4), "": lambda c: F.lit(True)}[how.card_gate]
     fitting = F.filter(cards, lambda c: F.length(c["text"]).between(*how.card_chars) & gate(c))
     keyed = F.transform(fitting, lambda c: F.struct(c["card_no"].alias("card_no"), c["title"].alias("title"), c["lines"].alias("lines"), c["text"].alias("text"), key(c["text"]).alias("key")))
     once = bound(keyed, lambda cs: F.filter(cs, lambda c: ~F.exists(cs, lambda o: (o["card_no"] < c["card_no"]) & (o["key"] == c["key"]))))
@@ -340,7 +341,8 @@ def download_structs() -> Column:
     path = lambda x: F.lower(F.regexp_replace(x["url"], r"[?#].*$", ""))
     files = F.filter(link_structs(True), lambda x: reduce(lambda a, b: a | b, [path(x).endswith(e) for e in DOWNLOADS]) | x["text"].rlike("(?i)report|certificate|download|pdf|تقرير|شهادة|تحميل"))
     both = lambda x: F.concat_ws(" ", x["text"], x["url"])
-    return F.transform(files, lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"), F.when(both(x).rlike("(?i)certificate|iso|شهادة"), "certificate").when(both(x).rlike("(?i)report|تقرير"), "report").otherwise("other").alias("kind")))
+    return F.transform(files,
+        lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"), F.when(both(x).rlike("(?i)certificate|iso|شهادة"), "certificate").when(both(x).rlike("(?i)report|تقرير"), "report").otherwise("other").alias("kind")))
 
 
 def downloads(df: DataFrame) -> DataFrame:

@@ -68,10 +68,14 @@ def normalize(raw: DataFrame, kb_version: str = "kb_v1") -> DataFrame:
     df = df.withColumn("citation_url", F.coalesce(*[_own(n) for n in L.CITATION_FIELDS]))
     df = df.withColumn("title", F.coalesce(*[_own(n) for n in L.TITLE_FIELDS], F.lit(L.UNTITLED)))
     bad = F.col("error").isNotNull()
-    reason = F.when(bad, F.concat(F.lit("malformed_json_line_"), F.col("line_number").cast("string"), F.lit(": "), F.col("error"))).when(F.col("content") == "", "empty_content").when(F.col("citation_url").isNull(), "missing_citation_url").when(F.col("category") == "", "missing_category").when(F.col("title") == L.UNTITLED, "missing_title")
+    reason = F.when(bad, F.concat(F.lit("malformed_json_line_"), F.col("line_number").cast("string"), F.lit(": "), F.col("error"))).when(F.col("content") == "",
+        "empty_content").when(F.col("citation_url").isNull(), "missing_citation_url").when(F.col("category") == "",
+        "missing_category").when(F.col("title") == L.UNTITLED, "missing_title")
     df = df.withColumn("rejection_reason", reason)
     both = _own("question").isNotNull() & _own("answer").isNotNull()
-    guessed = F.when(both, "faq").when(_own("product_name").isNotNull(), "product").when(_own("service_name").isNotNull(), "service_detail").when(_field("package_name").isNotNull(), F.when(_field("yearly_fee_egp").isNotNull(), "yearly_package").otherwise("package")).otherwise("unknown")
+    guessed = F.when(both, "faq").when(_own("product_name").isNotNull(), "product").when(_own("service_name").isNotNull(),
+        "service_detail").when(_field("package_name").isNotNull(),
+        F.when(_field("yearly_fee_egp").isNotNull(), "yearly_package").otherwise("package")).otherwise("unknown")
     df = df.withColumn("record_type", F.coalesce(_own("record_type"), guessed)).withColumn("warnings", F.when(_own("record_type").isNull(), F.array(F.lit("missing_record_type"))).otherwise(F.array().cast("array<string>")))
     # Metadata: the common fields and those of the row's category, in order, without absent ones.
     listed = F.create_map(*[x for c, names in L.CATEGORY_METADATA.items() for x in (F.lit(c), _names(names))])
@@ -109,9 +113,14 @@ def distributions(rows: DataFrame) -> DataFrame:
 def manifest(rows: DataFrame) -> DataFrame:
     """(source_file, input, accepted, rejected, missing_citation, empty_content, unknown_type); a null source_file is the total."""
     reason = F.col("rejection_reason")
-    return rows.rollup("source_file").agg(F.count(F.lit(1)).alias("input"), F.count_if(reason.isNull()).alias("accepted"), F.count_if(reason.isNotNull()).alias("rejected"), F.count_if(reason == "missing_citation_url").alias("missing_citation"), F.count_if(reason == "empty_content").alias("empty_content"), F.count_if(reason.isNull() & (F.col("record_type") == "unknown")).alias("unknown_type"))
+    return rows.rollup("source_file").agg(F.count(F.lit(1)).alias("input"), F.count_if(reason.isNull()).alias("accepted"),
+        F.count_if(reason.isNotNull()).alias("rejected"), F.count_if(reason == "missing_citation_url").alias("missing_citation"),
+        F.count_if(reason == "empty_content").alias("empty_content"), F.count_if(reason.isNull() & (F.col("record_type") == "unknown")).alias("unknown_type"))
 
 
 def report(rows: DataFrame) -> DataFrame:
     """One flat row for each input row, lists joined by semicolons."""
-    return rows.select("source_file", "record_id", F.when(F.col("rejection_reason").isNull(), "accepted").otherwise("rejected").alias("status"), "category", "record_type", "language", "title", F.length("content").alias("content_length"), "citation_url", "quality_score", text(F.col("rejection_reason")).alias("rejection_reason"), F.concat_ws(";", "warnings").alias("warnings"), F.array_join(F.array_sort(F.map_keys("metadata")), ";").alias("metadata_keys"))
+    return rows.select("source_file", "record_id", F.when(F.col("rejection_reason").isNull(), "accepted").otherwise("rejected").alias("status"), "category",
+        "record_type", "language", "title", F.length("content").alias("content_length"), "citation_url", "quality_score",
+        text(F.col("rejection_reason")).alias("rejection_reason"), F.concat_ws(";", "warnings").alias("warnings"),
+        F.array_join(F.array_sort(F.map_keys("metadata")), ";").alias("metadata_keys"))

@@ -20,7 +20,10 @@ def issues(title: Column, content: Column, citation: Column, language: Column, m
     """The names of a record's issues, in order; a malformed row has that one alone."""
     t, c = F.trim(text(title)), F.trim(text(content))
     low = F.lower(text(content))
-    tests = [(t == "", "missing_title"), (F.lower(t).isin(*NAVIGATION_TITLES), "navigation_title"), (c == "", "missing_content"), ((c != "") & (F.length(c) < 80), "short_content"), (F.trim(text(citation)) == "", "missing_citation_url"), (~text(language).isin(*LANGUAGES), "unexpected_language"), ((occurrences(low, "login") > 3) | (occurrences(low, "my account") > 3), "possible_navigation_noise")]
+    tests = [(t == "", "missing_title"), (F.lower(t).isin(*NAVIGATION_TITLES), "navigation_title"), (c == "", "missing_content"),
+        ((c != "") & (F.length(c) < 80), "short_content"), (F.trim(text(citation)) == "", "missing_citation_url"),
+        (~text(language).isin(*LANGUAGES), "unexpected_language"),
+        ((occurrences(low, "login") > 3) | (occurrences(low, "my account") > 3), "possible_navigation_noise")]
     found = F.filter(F.array(*[F.when(test, name) for test, name in tests]), lambda x: x.isNotNull())
     return found if malformed is None else F.when(malformed, F.array(F.lit("malformed_json"))).otherwise(found)
 
@@ -43,7 +46,8 @@ def top_flags(rows: DataFrame, n: int = 20, column: str = "quality_flags") -> Da
 def summary(rows: DataFrame, missing: tuple[str, ...] = ("price_egp", "quota", "ussd_codes")) -> DataFrame:
     """One row: totals, acceptance, mean score (0 without rows), records that lack each of the fields."""
     lacking = [F.count_if(F.col(c).isNull() | F.col(c).cast("string").isin("", "[]")).alias(f"missing_{c}") for c in missing]
-    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_accepted").alias("accepted"), F.count_if(~F.col("is_accepted")).alias("rejected"), F.coalesce(F.round(F.avg("quality_score"), 3), F.lit(0.0)).alias("average_score"), F.count_if(F.length("content") < 80).alias("short_content"), *lacking)
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_accepted").alias("accepted"), F.count_if(~F.col("is_accepted")).alias("rejected"),
+        F.coalesce(F.round(F.avg("quality_score"), 3), F.lit(0.0)).alias("average_score"), F.count_if(F.length("content") < 80).alias("short_content"), *lacking)
 
 
 def report(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,7 +59,8 @@ def report(rows: DataFrame, columns: list[str]) -> DataFrame:
 def cleanup_summary(rows: DataFrame) -> DataFrame:
     """What the cleanup pass did: one count for each of its flags, and records with an issue left."""
     names = ("ui_noise_removed", "kix_units_extracted", "partial_code_replaced", "quota_from_consumption_rule_removed")
-    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_accepted").alias("accepted"), *[F.count_if(F.array_contains("quality_flags", n)).alias(n) for n in names], F.count_if(text(F.col("possible_issue")) != "").alias("possible_issues"))
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_accepted").alias("accepted"),
+        *[F.count_if(F.array_contains("quality_flags", n)).alias(n) for n in names], F.count_if(text(F.col("possible_issue")) != "").alias("possible_issues"))
 
 
 #: What a section's summary counts: its category column, the most frequent flags shown, and what records may lack.

@@ -23,8 +23,12 @@ def with_defaults(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 RECORD = {
-    "title": "string", "description": "string", "content": "string", "citation_url": "string", "language": "string", "expected_language": "string", "record_type": "string", "mobile_category": "string", "business_category": "string", "section": "string", "topic": "string", "plan_name": "string", "service_name": "string",
-    "price": "string", "price_egp": "double", "monthly_fee": "string", "monthly_fee_egp": "double", "annual_fee_egp": "double", "installation_fee_egp": "double", "implementation_fee_egp": "double", "quota": "string", "quota_mb": "double", "quota_gb": "double", "validity": "string", "validity_days": "int", "units": "int", "minutes": "int", "sms": "int",
+    "title": "string", "description": "string", "content": "string", "citation_url": "string", "language": "string", "expected_language": "string",
+        "record_type": "string", "mobile_category": "string", "business_category": "string", "section": "string", "topic": "string", "plan_name": "string",
+        "service_name": "string",
+    "price": "string", "price_egp": "double", "monthly_fee": "string", "monthly_fee_egp": "double", "annual_fee_egp": "double",
+        "installation_fee_egp": "double", "implementation_fee_egp": "double", "quota": "string", "quota_mb": "double", "quota_gb": "double", "validity": "string",
+        "validity_days": "int", "units": "int", "minutes": "int", "sms": "int",
     "ussd_codes": ARRAY, "benefits": ARRAY, "features": ARRAY, "terms_and_conditions": ARRAY, "search_aliases": ARRAY, "quality_flags": ARRAY, "subscription_code": "string", "dial_code": "string",
 }
 
@@ -53,10 +57,17 @@ def normalize_mobile(records: DataFrame) -> DataFrame:
     df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "content": F.array_join(P.unique_lines(F.col("content"), kind="navigation"), "\n")})
     body = F.concat_ws("\n", "title", "description", "content")
     df = df.withColumn("__p", P.price_mobile(body)).withColumn("__q", P.quota_mobile(body)).withColumn("__v", P.validity(body))
-    df = df.withColumns({"record_type": F.coalesce(F.nullif(F.replace(key(F.col("record_type")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("detail")), "mobile_category": F.replace(key(F.col("mobile_category")), F.lit(" "), F.lit("_")), "ussd_codes": unique(F.concat(F.coalesce("ussd_codes", F.array().cast(ARRAY)), P.ussd_codes(body))), "price": F.coalesce(some(F.col("price")), F.col("__p.text")), "price_egp": F.coalesce("price_egp", "__p.value"), "quota": F.coalesce(some(F.col("quota")), F.col("__q.text")), "quota_mb": F.coalesce("quota_mb", "__q.mb"), "quota_gb": F.coalesce("quota_gb", "__q.gb"), "validity": F.coalesce(some(F.col("validity")), F.col("__v.text")), "validity_days": F.coalesce("validity_days", "__v.days")}).drop("__p", "__q", "__v")
+    df = df.withColumns({"record_type": F.coalesce(F.nullif(F.replace(key(F.col("record_type")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("detail")), "mobile_category": F.replace(key(F.col("mobile_category")), F.lit(" "), F.lit("_")), "ussd_codes": unique(F.concat(F.coalesce("ussd_codes", F.array().cast(ARRAY)), P.ussd_codes(body))), "price": F.coalesce(some(F.col("price")), F.col("__p.text")), "price_egp": F.coalesce("price_egp", "__p.value"), "quota": F.coalesce(some(F.col("quota")), F.col("__q.text")), "quota_mb": F.coalesce("quota_mb", "__q.mb"), "quota_gb": F.coalesce("quota_gb", "__q.gb"), "validity": F.coalesce(some(F.col("validity")), F.col("__v.text")), "validity_days": F.coalesce("validity_days", "__v.days")}).drop("__p",
+        "__q", "__v")
     plan = F.col("record_type").isin("plan", "package", "add_on")
-    df = df.withColumns({"plan_name": F.coalesce(F.nullif(squeeze(F.col("plan_name")), F.lit("")), F.when(plan, F.col("title"))), "monthly_fee": F.coalesce(some(F.col("monthly_fee")), F.when(F.col("record_type") == "plan", F.col("price"))), "monthly_fee_egp": F.coalesce("monthly_fee_egp", F.when(F.col("record_type") == "plan", F.col("price_egp"))), "dial_code": F.coalesce(some(F.col("dial_code")), F.get("ussd_codes", F.lit(0))), "subscription_code": F.coalesce(some(F.col("subscription_code")), F.get("ussd_codes", F.lit(0))), "benefits": unique(F.col("benefits")), "terms_and_conditions": unique(F.col("terms_and_conditions"))})
-    df = df.withColumn("features", unique(F.concat(F.coalesce("features", F.array().cast(ARRAY)), F.col("benefits")))).withColumn("search_aliases", unique(F.concat(F.array("title", "plan_name", "service_name"), F.coalesce("search_aliases", F.array().cast(ARRAY)))))
+    df = df.withColumns({"plan_name": F.coalesce(F.nullif(squeeze(F.col("plan_name")), F.lit("")), F.when(plan, F.col("title"))),
+        "monthly_fee": F.coalesce(some(F.col("monthly_fee")), F.when(F.col("record_type") == "plan", F.col("price"))),
+        "monthly_fee_egp": F.coalesce("monthly_fee_egp", F.when(F.col("record_type") == "plan", F.col("price_egp"))),
+        "dial_code": F.coalesce(some(F.col("dial_code")), F.get("ussd_codes", F.lit(0))),
+        "subscription_code": F.coalesce(some(F.col("subscription_code")), F.get("ussd_codes", F.lit(0))), "benefits": unique(F.col("benefits")),
+        "terms_and_conditions": unique(F.col("terms_and_conditions"))})
+    df = df.withColumn("features", unique(F.concat(F.coalesce("features", F.array().cast(ARRAY)), F.col("benefits")))).withColumn("search_aliases",
+        unique(F.concat(F.array("title", "plan_name", "service_name"), F.coalesce("search_aliases", F.array().cast(ARRAY)))))
     df = df.withColumn("short_summary", F.coalesce(some(F.col("description")), F.substring("content", 1, 240))).withColumn("normalized_title", key(F.col("title")))
     return mobile_ids(score_mobile(df))
 
@@ -70,12 +81,17 @@ def score_mobile(df: DataFrame) -> DataFrame:
     """quality_score, quality_flags, rejection_reason, is_accepted: from .45 points without a reason to reject."""
     size = F.length("content")
     known = F.col("record_type").isin(*L.MOBILE_TYPES)
-    score = points((F.col("title") != "", 0.18), (some(F.col("citation_url")).isNotNull(), 0.12), (size >= 120, 0.28), (size.between(50, 119), 0.12), (F.col("price_egp").isNotNull(), 0.1), (F.col("quota_mb").isNotNull() | F.col("quota_gb").isNotNull(), 0.1), (filled(F.col("ussd_codes")), 0.12), (filled(F.col("benefits")) | filled(F.col("features")), 0.08), (filled(F.col("terms_and_conditions")), 0.08), (some(F.col("description")).isNotNull(), 0.06))
+    score = points((F.col("title") != "", 0.18), (some(F.col("citation_url")).isNotNull(), 0.12), (size >= 120, 0.28), (size.between(50, 119), 0.12),
+        (F.col("price_egp").isNotNull(), 0.1), (F.col("quota_mb").isNotNull() | F.col("quota_gb").isNotNull(), 0.1), (filled(F.col("ussd_codes")), 0.12),
+        (filled(F.col("benefits")) | filled(F.col("features")), 0.08), (filled(F.col("terms_and_conditions")), 0.08), (some(F.col("description")).isNotNull(), 0.06))
     fact = F.col("price_egp").isNotNull() | F.col("quota_mb").isNotNull() | filled(F.col("ussd_codes")) | filled(F.col("benefits")) | filled(F.col("terms_and_conditions")) | some(F.col("description")).isNotNull()
     lacking = (F.col("title") == "") | some(F.col("citation_url")).isNull() | ~fact
     reason = F.when(~F.col("mobile_category").isin(*L.MOBILE_CATEGORIES), "wrong category").when(lacking, "missing required useful fields").when(F.length(key(F.col("content"))) < 40, "empty or navigation-only content").otherwise("")
     df = df.withColumn("__s", score).withColumn("rejection_reason", reason).withColumn("is_accepted", (F.col("rejection_reason") == "") & (F.col("__s") >= 0.45))
-    df = df.withColumn("quality_flags", flags(F.col("quality_flags"), (~F.col("mobile_category").isin(*L.MOBILE_CATEGORIES), "wrong_category"), (~known, "unknown_record_type"), (F.col("title") == "", "missing_title"), (some(F.col("citation_url")).isNull(), "missing_citation_url"), (size < 50, "thin_content"), (~F.col("is_accepted"), "rejected_low_quality")))
+    df = df.withColumn("quality_flags",
+        flags(F.col("quality_flags"), (~F.col("mobile_category").isin(*L.MOBILE_CATEGORIES), "wrong_category"), (~known, "unknown_record_type"),
+            (F.col("title") == "", "missing_title"), (some(F.col("citation_url")).isNull(), "missing_citation_url"), (size < 50, "thin_content"),
+            (~F.col("is_accepted"), "rejected_low_quality")))
     return df.withColumn("record_type", F.when(known, F.col("record_type")).otherwise("detail")).withColumn("quality_score", F.round(F.least("__s", F.lit(1.0)), 2)).drop("__s")
 
 
@@ -96,13 +112,21 @@ def cleanup_mobile(records: DataFrame) -> DataFrame:
     reset = kix & (text(F.col("quota")).rlike(r"(?i)\b1\s*MBs?\b|1\s*ميجا") | filled(F.col("consumption_rules")))
     had = F.coalesce(F.col("quota"), F.col("quota_mb").cast("string"), F.col("quota_gb").cast("string")).isNotNull()
     found = filled(F.col("__codes"))
-    df = df.withColumn("quality_flags", flags(F.col("quality_flags"), (F.col("__noisy"), "ui_noise_removed"), (found & (F.col("__codes") != F.coalesce("ussd_codes", F.array().cast(ARRAY))), "subscription_code_normalized"), (found & F.col("__partial"), "partial_code_replaced"), (found, "subscription_code_extracted"), (F.col("kix_units").isNotNull(), "kix_units_extracted"), (filled(F.col("consumption_rules")), "consumption_rules_extracted"), (reset & had, "quota_from_consumption_rule_removed")))
+    df = df.withColumn("quality_flags",
+        flags(F.col("quality_flags"), (F.col("__noisy"), "ui_noise_removed"),
+            (found & (F.col("__codes") != F.coalesce("ussd_codes", F.array().cast(ARRAY))), "subscription_code_normalized"),
+            (found & F.col("__partial"), "partial_code_replaced"), (found, "subscription_code_extracted"), (F.col("kix_units").isNotNull(), "kix_units_extracted"),
+            (filled(F.col("consumption_rules")), "consumption_rules_extracted"), (reset & had, "quota_from_consumption_rule_removed")))
     for name in ("quota", "quota_mb", "quota_gb"):
         df = df.withColumn(f"__{name}", F.when(~F.coalesce(reset, F.lit(False)), F.col(name)))
     df = df.drop("quota", "quota_mb", "quota_gb").withColumnsRenamed({"__quota": "quota", "__quota_mb": "quota_mb", "__quota_gb": "quota_gb"})
-    df = df.withColumns({"ussd_codes": F.when(found, F.col("__codes")).otherwise(F.col("ussd_codes")), "subscription_code": F.when(found, F.get("__codes", F.lit(0))).otherwise(F.col("subscription_code")), "dial_code": F.when(found, F.get("__codes", F.lit(0))).otherwise(F.col("dial_code"))})
+    df = df.withColumns({"ussd_codes": F.when(found, F.col("__codes")).otherwise(F.col("ussd_codes")),
+        "subscription_code": F.when(found, F.get("__codes", F.lit(0))).otherwise(F.col("subscription_code")),
+        "dial_code": F.when(found, F.get("__codes", F.lit(0))).otherwise(F.col("dial_code"))})
     df = df.withColumn("search_aliases", mobile_aliases())
-    df = df.withColumn("content", rebuilt_content()).withColumn("index_text", F.concat_ws("\n", "title", "plan_name", "service_name", F.array_join("search_aliases", "\n"), "content", "subscription_code", F.array_join("ussd_codes", " "), "price", "monthly_fee", F.concat(F.col("kix_units").cast("string"), F.lit(" Kix"))))
+    df = df.withColumn("content", rebuilt_content()).withColumn("index_text",
+        F.concat_ws("\n", "title", "plan_name", "service_name", F.array_join("search_aliases", "\n"), "content", "subscription_code",
+            F.array_join("ussd_codes", " "), "price", "monthly_fee", F.concat(F.col("kix_units").cast("string"), F.lit(" Kix"))))
     return mobile_ids(score_cleanup(df)).drop("__all", "__noisy", "__codes", "__partial")
 
 
@@ -137,7 +161,13 @@ def rebuilt_content() -> Column:
     codes = F.array_join(held, ", ")
     kind = F.col("record_type").startswith("service")
     head = F.concat(F.when(ar, F.when(kind, "الخدمة").otherwise("الباقة")).otherwise(F.when(kind, "Service").otherwise("Plan")), F.lit(": "), name)
-    return P.without_noise(F.concat_ws("\n", head, line("الفئة", "Category", category_label(ar)), line("السعر", "Price", F.coalesce(some(F.col("monthly_fee")), F.col("price"))), line("الوحدات", "Units", F.concat(F.format_number("kix_units", 0), F.lit(" Kix"))), line("السعة", "Quota", F.col("quota")), line("الصلاحية", "Validity", F.col("validity")), line("الأكواد", "Codes", codes), line("كود الاشتراك", "Subscription code", F.col("subscription_code")), line("الوصف", "Description", F.col("description")), items("المميزات", "Benefits", F.slice(unique(F.concat(F.col("benefits"), F.col("features"))), 1, 20)), items("قواعد الاستخدام", "Usage rules", F.col("consumption_rules")), items("الشروط والأحكام", "Terms and conditions", F.slice("terms_and_conditions", 1, 30))))
+    return P.without_noise(F.concat_ws("\n", head, line("الفئة", "Category", category_label(ar)),
+        line("السعر", "Price", F.coalesce(some(F.col("monthly_fee")), F.col("price"))),
+        line("الوحدات", "Units", F.concat(F.format_number("kix_units", 0), F.lit(" Kix"))), line("السعة", "Quota", F.col("quota")),
+        line("الصلاحية", "Validity", F.col("validity")), line("الأكواد", "Codes", codes), line("كود الاشتراك", "Subscription code", F.col("subscription_code")),
+        line("الوصف", "Description", F.col("description")), items("المميزات", "Benefits", F.slice(unique(F.concat(F.col("benefits"), F.col("features"))), 1, 20)),
+        items("قواعد الاستخدام", "Usage rules", F.col("consumption_rules")),
+        items("الشروط والأحكام", "Terms and conditions", F.slice("terms_and_conditions", 1, 30))))
 
 
 def score_cleanup(df: DataFrame) -> DataFrame:
@@ -148,7 +178,11 @@ def score_cleanup(df: DataFrame) -> DataFrame:
     score = F.lit(0.55) + points((cited, 0.1), (some(F.col("title")).isNotNull(), 0.1), (size >= 160, 0.08), (fact, 0.12), (~noise, 0.05), (issue != "", -0.08))
     df = df.withColumn("possible_issue", issue)
     bad = (F.col("possible_issue") != "") & (size < 100)
-    return df.withColumns({"quality_score": F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(0.98))), 2), "rejection_reason": F.when(bad, F.col("possible_issue")).otherwise(""), "is_accepted": ~bad, "quality_flags": flags(F.col("quality_flags"), (~cited, "no_citation_url"), (~F.col("language").eqNullSafe(F.col("expected_language")), "language_mismatch"), (noise, "possible_ui_noise_remaining"), (F.exists("ussd_codes", lambda c: c.rlike(r"^[#*][0-9]{2,3}$")), "possible_partial_code"), (bad, "rejected_low_quality"))})
+    return df.withColumns({"quality_score": F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(0.98))), 2),
+        "rejection_reason": F.when(bad, F.col("possible_issue")).otherwise(""), "is_accepted": ~bad,
+        "quality_flags": flags(F.col("quality_flags"), (~cited, "no_citation_url"),
+            (~F.col("language").eqNullSafe(F.col("expected_language")), "language_mismatch"), (noise, "possible_ui_noise_remaining"),
+            (F.exists("ussd_codes", lambda c: c.rlike(r"^[#*][0-9]{2,3}$")), "possible_partial_code"), (bad, "rejected_low_quality"))})
 
 
 def business_aliases(title_key: Column) -> Column:
@@ -172,21 +206,33 @@ def normalize_business(records: DataFrame, categories: tuple[str, ...] = ()) ->
     """As for mobile records, with thousands commas, allowances and the four fees; accepted unless there is a reason."""
     df = with_defaults(records, RECORD)
     cleaned = F.array_join(P.unique_lines(F.col("content"), kind="business"), "\n")
-    df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "__noise": cleaned != text(F.col("content")), "content": cleaned, "record_type": F.coalesce(F.nullif(F.replace(key(F.col("record_type")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("detail")), "business_category": F.coalesce(F.nullif(F.replace(key(F.col("business_category")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("business"))})
+    df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "__noise": cleaned != text(F.col("content")),
+        "content": cleaned, "record_type": F.coalesce(F.nullif(F.replace(key(F.col("record_type")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("detail")),
+        "business_category": F.coalesce(F.nullif(F.replace(key(F.col("business_category")), F.lit(" "), F.lit("_")), F.lit("")), F.lit("business"))})
     body = F.concat_ws("\n", "title", "description", "content")
     df = df.withColumn("__p", P.price_business(body)).withColumns({"price": F.coalesce(some(F.col("price")), F.col("__p.text")), "price_egp": F.coalesce("price_egp", "__p.value")}).drop("__p")
     fee = lambda n, pattern: F.coalesce(F.col(n), P.fee_if(body, pattern, F.col("price_egp")))
-    df = df.withColumns({"monthly_fee_egp": fee("monthly_fee_egp", "month|شهر"), "annual_fee_egp": fee("annual_fee_egp", "annual|year|سنو"), "installation_fee_egp": fee("installation_fee_egp", "install|تركيب"), "implementation_fee_egp": fee("implementation_fee_egp", "implementation|setup"), "quota": F.coalesce(some(F.col("quota")), P.quota_business(body)), "units": F.coalesce("units", P.allowance(body, "units?")), "minutes": F.coalesce("minutes", P.allowance(body, "minutes?")), "sms": F.coalesce("sms", P.allowance(body, "SMS"))})
+    df = df.withColumns({"monthly_fee_egp": fee("monthly_fee_egp", "month|شهر"), "annual_fee_egp": fee("annual_fee_egp", "annual|year|سنو"),
+        "installation_fee_egp": fee("installation_fee_egp", "install|تركيب"), "implementation_fee_egp": fee("implementation_fee_egp", "implementation|setup"),
+        "quota": F.coalesce(some(F.col("quota")), P.quota_business(body)), "units": F.coalesce("units", P.allowance(body, "units?")),
+        "minutes": F.coalesce("minutes", P.allowance(body, "minutes?")), "sms": F.coalesce("sms", P.allowance(body, "SMS"))})
     k = key(F.col("title"))
     df = df.withColumn("search_aliases", business_aliases(k))
-    df = df.withColumn("index_text", F.concat_ws("\n", some(F.col("title")), some(F.col("service_name")), some(F.col("plan_name")), F.array_join("search_aliases", "\n"), "price", "quota", F.col("units").cast("string"), F.col("minutes").cast("string"), F.col("sms").cast("string"), "content"))
-    size, useful = F.length("content"), some(F.col("price")).isNotNull() | F.col("price_egp").isNotNull() | some(F.col("quota")).isNotNull() | F.coalesce("units", "minutes", "sms").isNotNull() | filled(F.col("features")) | filled(F.col("benefits")) | filled(F.col("terms_and_conditions")) | some(F.col("description")).isNotNull()
+    df = df.withColumn("index_text",
+        F.concat_ws("\n", some(F.col("title")), some(F.col("service_name")), some(F.col("plan_name")), F.array_join("search_aliases", "\n"), "price", "quota",
+            F.col("units").cast("string"), F.col("minutes").cast("string"), F.col("sms").cast("string"), "content"))
+    size, useful = F.length("content"), some(F.col("price")).isNotNull() | F.col("price_egp").isNotNull() | some(F.col("quota")).isNotNull() | F.coalesce("units",
+        "minutes",
+        "sms").isNotNull() | filled(F.col("features")) | filled(F.col("benefits")) | filled(F.col("terms_and_conditions")) | some(F.col("description")).isNotNull()
     score = points((F.col("title") != "", 0.18), (some(F.col("citation_url")).isNotNull(), 0.12), (size >= 160, 0.28), (size.between(70, 159), 0.14), (useful, 0.24), (filled(F.col("search_aliases")), 0.05))
     wrong = ~F.col("business_category").isin(*categories) if categories else F.lit(False)
     empty = key(F.col("content")).isin("") | (key(F.col("content")) == key(F.col("title")))
     reason = F.when(wrong, "wrong category").when(~F.coalesce(useful, F.lit(False)), "missing useful text").when(empty, "empty or navigation-only content").otherwise("")
     df = df.withColumn("__s", score).withColumn("__r", reason).withColumn("rejection_reason", F.when((F.col("__r") == "") & (F.col("__s") >= 0.45), "").otherwise(F.col("__r"))).withColumn("is_accepted", F.col("rejection_reason") == "")
-    df = df.withColumn("quality_flags", flags(F.col("quality_flags"), (F.col("__noise"), "ui_noise_removed"), (wrong, "wrong_category"), (F.col("title") == "", "missing_title"), (some(F.col("citation_url")).isNull(), "missing_citation_url"), (size < 70, "thin_content"), (F.col("__r") == "missing useful text", "missing_useful_fact"), ((F.col("__r") != "") | (F.col("__s") < 0.45), "rejected_low_quality")))
+    df = df.withColumn("quality_flags",
+        flags(F.col("quality_flags"), (F.col("__noise"), "ui_noise_removed"), (wrong, "wrong_category"), (F.col("title") == "", "missing_title"),
+            (some(F.col("citation_url")).isNull(), "missing_citation_url"), (size < 70, "thin_content"), (F.col("__r") == "missing useful text", "missing_useful_fact"),
+            ((F.col("__r") != "") | (F.col("__s") < 0.45), "rejected_low_quality")))
     doc = joined_hash(F.col("business_category"), F.col("record_type"), F.col("citation_url"), k)
     return df.withColumn("quality_score", F.round(F.least("__s", F.lit(1.0)), 2)).withColumn("doc_id", doc).withColumn("record_id", F.sha2(F.concat_ws("|", "doc_id", F.sha2("content", 256)), 256)).drop("__s", "__r", "__noise")
 
@@ -195,7 +241,8 @@ def normalize_section(records: DataFrame, least: int = 80) -> DataFrame:
     """Section pages: a score of 1 less what is missing."""
     df = with_defaults(records, RECORD | {"people": ARRAY, "dates": ARRAY, "report_links": ARRAY, "download_links": ARRAY, "certificate_links": ARRAY})
     cleaned = F.array_join(P.unique_lines(F.col("content"), kind=""), "\n")
-    df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "__noise": cleaned != text(F.col("content")), "content": cleaned, "dates": F.when(filled(F.col("dates")), F.col("dates")).otherwise(P.dates(F.col("content")))})
+    df = df.withColumns({"title": squeeze(F.col("title")), "description": squeeze(F.col("description")), "__noise": cleaned != text(F.col("content")),
+        "content": cleaned, "dates": F.when(filled(F.col("dates")), F.col("dates")).otherwise(P.dates(F.col("content")))})
     df = df.withColumn("search_aliases", unique(F.concat(F.array("title", "section", "topic"), F.coalesce("search_aliases", F.array().cast(ARRAY)))))
     df = df.withColumn("index_text", F.concat_ws("\n", *[some(F.col(n)) for n in ("title", "section", "topic", "record_type")], F.array_join("search_aliases", " "), F.array_join("dates", " "), F.array_join("people", " "), "content"))
     cited, size = some(F.col("citation_url")).isNotNull(), F.length("content")
@@ -204,9 +251,16 @@ def normalize_section(records: DataFrame, least: int = 80) -> DataFrame:
     score = F.lit(1.0) + points((~cited, -0.35), (F.col("title") == "", -0.2), (size < least, -0.35), (tongue, -0.1), (nav, -0.35))
     reason = F.when(~cited, "missing citation_url").when(size < least, "short content").when(nav, "navigation-only content").otherwise("")
     df = df.withColumn("__s", score).withColumn("rejection_reason", reason).withColumn("is_accepted", F.col("rejection_reason") == "")
-    df = df.withColumn("quality_flags", flags(F.col("quality_flags"), (F.col("__noise"), "ui_noise_removed"), (~cited, "missing_citation"), (F.col("title") == "", "missing_title"), (size < least, "short_content"), (tongue, "language_missing"), (F.col("language") == "ar", "arabic_detected"), (F.col("language") == "en", "english_detected"), (F.col("language") == "mixed", "mixed_language"), (filled(F.col("report_links")), "report_links_found"), (filled(F.col("download_links")) | filled(F.col("certificate_links")), "download_links_found"), (filled(F.col("people")), "people_cards_found"), (filled(F.col("dates")), "timeline_found"), (nav, "navigation_noise_detected"), ((F.col("__s") < 0.45) | (F.col("rejection_reason") != ""), "rejected_low_quality")))
+    df = df.withColumn("quality_flags",
+        flags(F.col("quality_flags"), (F.col("__noise"), "ui_noise_removed"), (~cited, "missing_citation"), (F.col("title") == "", "missing_title"),
+            (size < least, "short_content"), (tongue, "language_missing"), (F.col("language") == "ar", "arabic_detected"), (F.col("language") == "en", "english_detected"),
+            (F.col("language") == "mixed", "mixed_language"), (filled(F.col("report_links")), "report_links_found"),
+            (filled(F.col("download_links")) | filled(F.col("certificate_links")), "download_links_found"), (filled(F.col("people")), "people_cards_found"),
+            (filled(F.col("dates")), "timeline_found"), (nav, "navigation_noise_detected"),
+            ((F.col("__s") < 0.45) | (F.col("rejection_reason") != ""), "rejected_low_quality")))
     doc = joined_hash(F.col("section"), F.col("citation_url"), F.col("topic"))
-    return df.withColumn("quality_score", F.round(F.greatest(F.lit(0.0), F.least("__s", F.lit(1.0))), 2)).withColumn("doc_id", doc).withColumn("record_id", joined_hash(F.col("doc_id"), F.col("record_type"), F.col("title"), F.sha2("content", 256))).drop("__s", "__noise")
+    return df.withColumn("quality_score", F.round(F.greatest(F.lit(0.0), F.least("__s", F.lit(1.0))), 2)).withColumn("doc_id", doc).withColumn("record_id",
+        joined_hash(F.col("doc_id"), F.col("record_type"), F.col("title"), F.sha2("content", 256))).drop("__s", "__noise")
 
 
 def score_public(title: Column, description: Column, content: Column, details: Column) -> Column:
@@ -222,7 +276,11 @@ def business_type(category: Column, title: Column, body: Column, table_row: Colu
     """The record type a business category implies."""
     low, priced = F.lower(F.concat_ws(" ", title, body)), body.rlike(L.BUSINESS_PRICE)
     plan = table_row | priced
-    return F.when(category.contains("hosting"), F.when(plan, "business_hosting_plan").otherwise("business_service")).when(category.contains("voice"), F.when(table_row | low.contains("plan"), "business_voice_plan").otherwise("business_service")).when(category.contains("connectivity"), "business_connectivity_service").when(category.contains("mobile"), F.when(plan, "business_plan").when(low.rlike("m2m|fleet|smart"), "business_solution").otherwise("business_service")).when(category.contains("digital"), F.when(plan, "business_package").otherwise("business_solution")).when(category.contains("wholesale"), "business_service").otherwise("detail")
+    return F.when(category.contains("hosting"), F.when(plan, "business_hosting_plan").otherwise("business_service")).when(category.contains("voice"),
+        F.when(table_row | low.contains("plan"), "business_voice_plan").otherwise("business_service")).when(category.contains("connectivity"),
+        "business_connectivity_service").when(category.contains("mobile"),
+        F.when(plan, "business_plan").when(low.rlike("m2m|fleet|smart"), "business_solution").otherwise("business_service")).when(category.contains("digital"),
+        F.when(plan, "business_package").otherwise("business_solution")).when(category.contains("wholesale"), "business_service").otherwise("detail")
 
 
 def mobile_type(category: Column, title: Column, body: Column, table_row: Column) -> Column:

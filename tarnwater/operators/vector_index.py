@@ -112,7 +112,8 @@ def build(vectors: DataFrame, path: str, vid: str = "vec_id", vector: str = "emb
 def open_index(spark: SparkSession, path: str, doc: T.DataType | None = None) -> VectorIndex:
     """An index that `build` has stored; doc is the id's type, for an index that may hold no vector."""
     about = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("doc", doc or T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("norm", T.DoubleType()), T.StructField("shelf", T.IntegerType())])
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("doc", doc or T.LongType()),
+        T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("norm", T.DoubleType()), T.StructField("shelf", T.IntegerType())])
     vectors = spark.read.schema(schema).parquet(f"{path}/vectors") if doc is not None else spark.read.parquet(f"{path}/vectors")
     return VectorIndex(vectors, np.array([r.centre for r in about]), np.array([r.reach for r in about]), np.array([r.shelf for r in about]))
 

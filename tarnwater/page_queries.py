@@ -26,7 +26,9 @@ SECTION = """<html><body><main><h1>News</h1><p>We meet for @name@</p><p>Dr Jane
 PUBLIC = """<html><body><main><h1>Spring offer @name@</h1><p>Buy a line for @size@ EGP and get 3 GB for the whole family</p><p>Valid in all our shops and online until the end of May, while stocks last</p></main></body></html>"""
 GENERIC = "<html><body><ul><li>One</li><li>Two</li></ul><p>Menu</p><p>Some text on @name@</p></body></html>"
 #: (kind, page_id, url, html)
-PAGES = (("mobile", 1, "https://h.example/en/mobile/prepaid-@key@", MOBILE), ("business", 2, "https://h.example/web/shared-hosting", BUSINESS), ("section", 3, "https://h.example/en/about/news", SECTION), ("public", 4, "https://h.example/en/offers/one", PUBLIC), ("generic", 5, "https://h.example/x/@key@", GENERIC))
+PAGES = (("mobile", 1, "https://h.example/en/mobile/prepaid-@key@", MOBILE), ("business", 2, "https://h.example/web/shared-hosting", BUSINESS),
+    ("section", 3, "https://h.example/en/about/news", SECTION), ("public", 4, "https://h.example/en/offers/one", PUBLIC),
+    ("generic", 5, "https://h.example/x/@key@", GENERIC))
 
 
 def filled(column: F.Column) -> F.Column:
@@ -71,7 +73,11 @@ def catalogue_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, *_ in PAGES:
         page = catalogue(spark, sf_dir, kind)
         joined = lambda c, f: F.array_join(F.transform(c, f), "|")
-        out.append(page.select("page_id", "title", "description", "language", F.size("lines").cast("long").alias("n_lines"), joined(html.row_structs(kind), lambda r: F.to_json(r["data"])).alias("tables"), joined(html.card_structs(kind), lambda c: c["title"]).alias("cards"), F.array_join(html.term_lines(kind), "|").alias("terms"), joined(html.people_structs(), lambda p: F.concat_ws(": ", p["name"], p["title"])).alias("people"), joined(html.download_structs(), lambda d: F.concat_ws(" ", d["kind"], d["url"])).alias("downloads"), F.size(html.link_structs()).cast("long").alias("n_links")))
+        out.append(page.select("page_id", "title", "description", "language", F.size("lines").cast("long").alias("n_lines"),
+            joined(html.row_structs(kind), lambda r: F.to_json(r["data"])).alias("tables"), joined(html.card_structs(kind), lambda c: c["title"]).alias("cards"),
+            F.array_join(html.term_lines(kind), "|").alias("terms"), joined(html.people_structs(), lambda p: F.concat_ws(": ", p["name"], p["title"])).alias("people"),
+            joined(html.download_structs(), lambda d: F.concat_ws(" ", d["kind"], d["url"])).alias("downloads"),
+            F.size(html.link_structs()).cast("long").alias("n_links")))
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
@@ -137,8 +143,10 @@ SECTION_SQL = values(
 
 def catalogue_public_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public and generic pages: one record each."""
-    one = pages.public(catalogue(spark, sf_dir, "public")).select("page_id", "title", "category", "record_type", "language", "content", "quality_score", "is_accepted", F.array_join("quality_flags", ";").alias("flags"), F.concat_ws(";", F.array_join("prices", ","), F.array_join("quotas", ",")).alias("amounts"))
-    other = pages.post_process_generic(pages.generic(catalogue(spark, sf_dir, "generic"), "shops")).select("page_id", "title", "category", "record_type", "language", "content", "quality_score", "is_accepted", F.array_join("quality_flags", ";").alias("flags"), F.lit("").alias("amounts"))
+    one = pages.public(catalogue(spark, sf_dir, "public")).select("page_id", "title", "category", "record_type", "language", "content", "quality_score",
+        "is_accepted", F.array_join("quality_flags", ";").alias("flags"), F.concat_ws(";", F.array_join("prices", ","), F.array_join("quotas", ",")).alias("amounts"))
+    other = pages.post_process_generic(pages.generic(catalogue(spark, sf_dir, "generic"), "shops")).select("page_id", "title", "category", "record_type",
+        "language", "content", "quality_score", "is_accepted", F.array_join("quality_flags", ";").alias("flags"), F.lit("").alias("amounts"))
     return one.unionByName(other)
 
 
@@ -151,7 +159,8 @@ PUBLIC_SQL = values(
 _GREAT = "Great plan at @size@ EGP with 10 GB valid for 30 days, dial *111# to join and enjoy all of it every single month of the year now"
 #: (kind, id, title, content, citation_url, category, record_type)
 RECORDS = (
-    ("mobile", 1, "Plan", _GREAT, "u", "prepaid", "plan"), ("mobile", 2, "", "short", None, "other", "odd"), ("mobile", 3, "Super Kix 25", "Each plan costs ٢٥ جنيه and holds 2,500 Kix\nhome\n1 Kix = 1 MB for every site you may like", "u", "control_plans", "plan"),
+    ("mobile", 1, "Plan", _GREAT, "u", "prepaid", "plan"), ("mobile", 2, "", "short", None, "other", "odd"),
+        ("mobile", 3, "Super Kix 25", "Each plan costs ٢٥ جنيه and holds 2,500 Kix\nhome\n1 Kix = 1 MB for every site you may like", "u", "control_plans", "plan"),
     ("business", 4, "Business Value", "Fee of @size@ EGP monthly for 300 minutes", "u", "business_mobile_services", "business_plan"), ("business", 5, "Empty", "Nothing here", "u", "business", "detail"),
     ("section", 6, "History", "Our house was founded on 3 May 1854 and moved in 1926 to the place where it stands to this day, by the river", "u", None, "history_milestone"), ("section", 7, "Short", "Too short", "u", None, "award"),
 )
@@ -173,7 +182,10 @@ def catalogue_record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = records.normalize_section(raw.filter("kind = 'section'").withColumns({"section": F.lit("about"), "topic": F.lit("us")}))
     cleaned = records.cleanup_mobile(mobile.filter("id % 10 = 3").withColumn("expected_language", F.lit("en"))).withColumn("kind", F.lit("cleanup"))
     pick = lambda df, fact: df.select("kind", "id", "record_type", "quality_score", "is_accepted", "rejection_reason", fact.cast("string").alias("fact"), F.array_join("search_aliases", "|").alias("aliases"))
-    parts = [pick(mobile, F.concat_ws(",", F.col("price_egp").cast("string"), F.col("quota_gb").cast("string"), F.col("validity_days").cast("string"), F.array_join("ussd_codes", " "))), pick(business, F.concat_ws(",", F.col("price_egp").cast("string"), F.col("monthly_fee_egp").cast("string"), F.col("minutes").cast("string"))), pick(section, F.array_join("dates", ",")), pick(cleaned, F.concat_ws(",", F.col("kix_units").cast("string"), F.array_join("consumption_rules", ";"), F.array_join("quality_flags", ";")))]
+    parts = [pick(mobile, F.concat_ws(",", F.col("price_egp").cast("string"), F.col("quota_gb").cast("string"), F.col("validity_days").cast("string"), F.array_join("ussd_codes", " "))),
+        pick(business, F.concat_ws(",", F.col("price_egp").cast("string"), F.col("monthly_fee_egp").cast("string"), F.col("minutes").cast("string"))),
+        pick(section, F.array_join("dates", ",")),
+        pick(cleaned, F.concat_ws(",", F.col("kix_units").cast("string"), F.array_join("consumption_rules", ";"), F.array_join("quality_flags", ";")))]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -220,7 +232,8 @@ def catalogue_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARIES = (
     ("mobile", "total", "records", 3, 0), ("mobile", "total", "accepted", 2, 0), ("mobile", "total", "rejected", 1, 0), ("mobile", "total", "pages_fetched", 0, 5), ("mobile", "total", "failed_urls", 0, 1),
     ("mobile", "missing", "price", 1, 0), ("mobile", "missing", "quota", 1, 0), ("mobile", "missing", "code", 2, 0),
-    ("mobile", "language", "en", 3, 0), ("mobile", "mobile_category", "prepaid", 1, 0), ("mobile", "mobile_category", "other", 1, 0), ("mobile", "mobile_category", "control_plans", 1, 0), ("mobile", "record_type", "plan", 2, 0), ("mobile", "record_type", "detail", 1, 0),
+    ("mobile", "language", "en", 3, 0), ("mobile", "mobile_category", "prepaid", 1, 0), ("mobile", "mobile_category", "other", 1, 0),
+        ("mobile", "mobile_category", "control_plans", 1, 0), ("mobile", "record_type", "plan", 2, 0), ("mobile", "record_type", "detail", 1, 0),
     ("business", "total", "records", 2, 0), ("business", "total", "accepted", 1, 0), ("business", "total", "rejected", 1, 0), ("business", "total", "pages_fetched", 0, 5), ("business", "total", "failed_urls", 0, 1),
     ("business", "missing", "price", 1, 0), ("business", "missing", "quota", 1, 0), ("business", "missing", "terms", 2, 0),
     ("business", "business_category", "business_mobile_services", 1, 0), ("business", "business_category", "business", 1, 0), ("business", "record_type", "business_plan", 1, 0), ("business", "record_type", "detail", 1, 0),
@@ -266,4 +279,8 @@ def catalogue_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOWNLOADS_SQL = values("page_id, url, link_text, kind", (3, "https://h.example/files/report.pdf", "Annual report", "report"), (3, "https://h.example/files/iso.pdf", "ISO certificate", "certificate"))
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((catalogue_page_parts, PARTS_SQL), (catalogue_mobile_records, MOBILE_SQL), (catalogue_business_records, BUSINESS_SQL), (catalogue_section_records, SECTION_SQL), (catalogue_public_records, PUBLIC_SQL), (catalogue_record_scores, SCORES_SQL), (catalogue_cleanup_summary, CLEANUP_SQL), (catalogue_summaries, SUMMARIES_SQL), (catalogue_tables, TABLES_SQL), (catalogue_cards, CARDS_SQL), (catalogue_people, PEOPLE_SQL), (catalogue_downloads, DOWNLOADS_SQL))}
+QUERIES = {f.__name__: (f, sql) for f,
+    sql in ((catalogue_page_parts, PARTS_SQL), (catalogue_mobile_records, MOBILE_SQL), (catalogue_business_records, BUSINESS_SQL),
+        (catalogue_section_records, SECTION_SQL), (catalogue_public_records, PUBLIC_SQL), (catalogue_record_scores, SCORES_SQL),
+        (catalogue_cleanup_summary, CLEANUP_SQL), (catalogue_summaries, SUMMARIES_SQL), (catalogue_tables, TABLES_SQL), (catalogue_cards, CARDS_SQL),
+        (catalogue_people, PEOPLE_SQL), (catalogue_downloads, DOWNLOADS_SQL))}

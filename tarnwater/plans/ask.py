@@ -26,7 +26,8 @@ class Corpus:
     vectors: DataFrame | None = None
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None = None, filters: dict[str, object] | None = None, scorer: Callable[[Column, Column], Column] | None = None, mode: str | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, corpus: Corpus, query_vectors: DataFrame | None = None, filters: dict[str, object] | None = None,
+    scorer: Callable[[Column, Column], Column] | None = None, mode: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(routed, ranked): all queries with their route; the final rows of those that are to be answered.
 
     Rejected and ambiguous queries leave before any index is read.  Official and upload queries search their own side;

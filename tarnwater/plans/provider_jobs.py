@@ -68,7 +68,8 @@ def asked(rows: DataFrame, provider: Callable[[], Callable[[list[str]], Sequence
         for part in batches:
             got = patiently(call, [s or "" for s in part.column(1).to_pylist()], retries, delay, batch)
             checked = [(r, e or check(r), n) for r, e, n in got]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if e else r for r, e, _ in checked], arrow.field("result").type), pa.array([e for _, e, _ in checked], pa.string()), pa.array([n for *_, n in checked], pa.int32())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if e else r for r, e, _ in checked], arrow.field("result").type), pa.array([e for _, e, _ in checked], pa.string()), pa.array([n for *_, n in checked], pa.int32())],
+                schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -90,7 +91,9 @@ def opened(table: KeyedTable, schema: T.StructType, key: str, buckets: int) -> K
     return table
 
 
-def embed(rows: DataFrame, provider: Callable[[], Callable[[list[str]], Sequence]], folder: str, dimension: int, key: str = "chunk_id", text: str = "index_text", batch: int = 16, retries: int = 3, delay: float = 0.5, rounds: int = 1, expires: str | None = None, again: bool = False, buckets: int = 64) -> DataFrame:
+def embed(rows: DataFrame, provider: Callable[[], Callable[[list[str]], Sequence]], folder: str, dimension: int, key: str = "chunk_id",
+    text: str = "index_text", batch: int = 16, retries: int = 3, delay: float = 0.5, rounds: int = 1, expires: str | None = None, again: bool = False,
+    buckets: int = 64) -> DataFrame:
     """(key, embedding, error): a vector for each row, or why there is none.
 
     Two keyed tables lie in the folder.  The memo holds a vector for each text's SHA-256: equal texts are asked once, and texts of an
@@ -126,7 +129,8 @@ def embed(rows: DataFrame, provider: Callable[[], Callable[[list[str]], Sequence
     return rows.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest")).join(known.unionByName(failed), "digest", "left").select("key", "embedding", "error")
 
 
-def rerank(rows: DataFrame, provider: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], candidate: Column, query: str = "query", key: str = "chunk_id", batch: int = 16, retries: int = 0, delay: float = 0.5, top_k: int | None = None) -> DataFrame:
+def rerank(rows: DataFrame, provider: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], candidate: Column, query: str = "query",
+    key: str = "chunk_id", batch: int = 16, retries: int = 0, delay: float = 0.5, top_k: int | None = None) -> DataFrame:
     """rows (qid, key, query, rank, final_score ...) by a model's scores: reranker_score, rerank_error, pre_rerank_rank, pre_rerank_score, and a new rank.
 
     The model gets batches of (query, candidate text) pairs.  A pair that keeps failing, or whose score is no number, passes
@@ -160,11 +164,13 @@ def generate(questions: DataFrame, providers: dict[str, Callable[[], Callable[[l
     """
     left = stored(questions, "generate-open")
     longest = left.agg(F.max(F.size(tiers))).first()[0] or 0
-    schema = T.StructType([T.StructField("qid", left.schema["qid"].dataType), T.StructField("place", T.IntegerType()), T.StructField("model_tier", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("outcome", T.StringType())])
+    schema = T.StructType([T.StructField("qid", left.schema["qid"].dataType), T.StructField("place", T.IntegerType()),
+        T.StructField("model_tier", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("outcome", T.StringType())])
     every = left.sparkSession.createDataFrame([], schema)
     for place in range(longest):
         now = left.withColumn("model_tier", F.get(tiers, F.lit(place))).filter("model_tier IS NOT NULL")
-        parts = [asked(now.filter(F.col("model_tier") == tier).select("qid", "prompt"), provider, T.StringType(), lambda r: None if r else "empty answer", retries, delay, batch).withColumn("t", F.lit(tier)) for tier, provider in sorted(providers.items())]
+        parts = [asked(now.filter(F.col("model_tier") == tier).select("qid", "prompt"), provider, T.StringType(), lambda r: None if r else "empty answer", retries, delay, batch).withColumn("t", F.lit(tier)) for tier,
+            provider in sorted(providers.items())]
         got = now.filter(~F.col("model_tier").isin(*providers)).select(F.col("qid").alias("key"), F.lit(None).cast("string").alias("result"), F.lit("no provider").alias("error"), F.lit(0).alias("attempts"), F.col("model_tier").alias("t"))
         for part in parts:
             got = got.unionByName(part)

@@ -192,7 +192,8 @@ def adaptive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN length({squeeze('text')}) <= 120 THEN {squeeze('text')} ELSE rtrim(substr({squeeze('text')}, 1, 117)) || '...' END AS snippet FROM documents""")
 def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(X.squeeze(c), 256).alias("squeezed"), F.sha2(X.key(c), 256).alias("keyed"), F.sha2(X.source_key(c), 256).alias("source_key"), F.sha2(X.matching(c), 256).alias("matching"), X.snippet(c, 120).alias("snippet"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(X.squeeze(c), 256).alias("squeezed"), F.sha2(X.key(c), 256).alias("keyed"),
+        F.sha2(X.source_key(c), 256).alias("source_key"), F.sha2(X.matching(c), 256).alias("matching"), X.snippet(c, 120).alias("snippet"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{600}-\\x{6ff}]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[\\x{600}-\\x{6ff}]') THEN 'ar' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' END AS any_letter,
@@ -205,14 +206,17 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
   nullif(regexp_extract(text, {lit(L.MOBILE_QUOTA)}), '') AS quota, nullif(regexp_extract(lower(text), {lit(L.VALID_DAYS)}), '') AS valid_days, len(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{M}}\\p{{N}}_-]+(?:\\.[\\p{{L}}\\p{{M}}\\p{{N}}_-]+)+')))::INT AS n_emails FROM documents""")
 def extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return t(spark, sf_dir, "documents").select("doc_id", P.price_business(c)["text"].alias("price"), P.price_business(c)["value"].alias("price_egp"), P.quota_mobile(c)["text"].alias("quota"), P.found(F.lower(c), L.VALID_DAYS).alias("valid_days"), F.size(P.emails(c)).alias("n_emails"))
+    return t(spark, sf_dir, "documents").select("doc_id", P.price_business(c)["text"].alias("price"), P.price_business(c)["value"].alias("price_egp"),
+        P.quota_mobile(c)["text"].alias("quota"), P.found(F.lower(c), L.VALID_DAYS).alias("valid_days"), F.size(P.emails(c)).alias("n_emails"))
 
 
 @query()
 def extract_codes_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-around patterns, which the other engine lacks; tests hold them against plain Python."""
     c = F.col("text")
-    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(P.ussd_codes(c), ",").alias("ussd"), F.array_join(P.mobile_codes(c), ",").alias("mobile"), F.size(X.query_entities(c)).alias("n_entities"), F.size(P.value_signature(c)).alias("n_values"), P.validity(c)["days"].alias("validity_days"), F.array_join(P.dates(c), ",").alias("dates"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(P.ussd_codes(c), ",").alias("ussd"),
+        F.array_join(P.mobile_codes(c), ",").alias("mobile"), F.size(X.query_entities(c)).alias("n_entities"), F.size(P.value_signature(c)).alias("n_values"),
+        P.validity(c)["days"].alias("validity_days"), F.array_join(P.dates(c), ",").alias("dates"))
 
 
 @query(f"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(coalesce(url, '')), '[?#].*$', ''), '/+$', '') AS u FROM pages),
@@ -294,7 +298,10 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_records(docs: DataFrame) -> DataFrame:
     """Documents in the shape of accepted records."""
     empty = F.create_map().cast("map<string,string>")
-    return docs.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("record_id"), F.substring(F.get(F.split(X.text(F.col("text")), "\n"), F.lit(0)), 1, 80).alias("title"), X.text(F.col("text")).alias("content"), F.lit("document").alias("record_type"), F.col("source").alias("category"), F.col("lang").alias("language"), F.concat(F.lit("https://example.com/"), F.col("doc_id")).alias("citation_url"), F.lit("official_website").alias("source_type"), empty.alias("metadata"))
+    return docs.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("record_id"),
+        F.substring(F.get(F.split(X.text(F.col("text")), "\n"), F.lit(0)), 1, 80).alias("title"), X.text(F.col("text")).alias("content"),
+        F.lit("document").alias("record_type"), F.col("source").alias("category"), F.col("lang").alias("language"),
+        F.concat(F.lit("https://example.com/"), F.col("doc_id")).alias("citation_url"), F.lit("official_website").alias("source_type"), empty.alias("metadata"))
 
 
 @query()
@@ -313,9 +320,12 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_records(docs: DataFrame) -> DataFrame:
     """Documents as raw JSON: some without text, title, address or type, to be told apart by the build."""
     i = F.col("doc_id")
-    fields = F.struct(F.when(i % 7 != 3, F.col("text")).alias("content"), F.when(i % 11 != 5, F.concat(F.lit("Title "), i)).alias("title"), F.when(i % 13 != 7, F.concat(F.lit("https://example.com/"), i)).alias("source_url"), F.when(i % 3 != 0, F.lit("service_detail")).alias("record_type"), F.col("source").alias("category"), F.col("lang").alias("language"))
+    fields = F.struct(F.when(i % 7 != 3, F.col("text")).alias("content"), F.when(i % 11 != 5, F.concat(F.lit("Title "), i)).alias("title"),
+        F.when(i % 13 != 7, F.concat(F.lit("https://example.com/"), i)).alias("source_url"), F.when(i % 3 != 0, F.lit("service_detail")).alias("record_type"),
+        F.col("source").alias("category"), F.col("lang").alias("language"))
     bad = i % 17 == 9
-    return docs.select("doc_id", F.when(bad, F.lit("{broken")).otherwise(F.to_json(fields)).alias("raw"), F.lit("web").alias("category_hint"), F.concat(F.lit("part-"), i % 3).alias("source_file"), F.when(bad, "invalid JSON").alias("error"), i.alias("line_number"))
+    return docs.select("doc_id", F.when(bad, F.lit("{broken")).otherwise(F.to_json(fields)).alias("raw"), F.lit("web").alias("category_hint"),
+        F.concat(F.lit("part-"), i % 3).alias("source_file"), F.when(bad, "invalid JSON").alias("error"), i.alias("line_number"))
 
 
 _BLANK = f"{squeeze('text')} = ''"
@@ -404,7 +414,9 @@ def top_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three record normalisers over documents, with scores, flags and acceptance."""
     docs = t(spark, sf_dir, "documents")
-    base = docs.select(F.get(F.split(X.text(F.col("text")), "\n"), F.lit(0)).alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://example.com/"), F.col("doc_id")).alias("citation_url"), F.col("lang").alias("language"), F.lit("prepaid").alias("mobile_category"), F.lit("plan").alias("record_type"), F.lit("about").alias("section"), F.col("doc_id").alias("src_ord"))
+    base = docs.select(F.get(F.split(X.text(F.col("text")), "\n"), F.lit(0)).alias("title"), F.col("text").alias("content"),
+        F.concat(F.lit("https://example.com/"), F.col("doc_id")).alias("citation_url"), F.col("lang").alias("language"), F.lit("prepaid").alias("mobile_category"),
+        F.lit("plan").alias("record_type"), F.lit("about").alias("section"), F.col("doc_id").alias("src_ord"))
     parts = [("mobile", records.normalize_mobile(base)), ("business", records.normalize_business(base)), ("section", records.normalize_section(base)), ("cleanup", records.cleanup_mobile(records.normalize_mobile(base)))]
     rows = [df.select("src_ord", F.lit(kind).alias("kind"), "quality_score", "is_accepted", F.concat_ws(";", "quality_flags").alias("flags"), "record_id") for kind, df in parts]
     return dedupe.union_sources(*rows)
@@ -440,7 +452,8 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> ask.Corpus:
-    chunks = as_records(t(spark, sf_dir, "documents")).withColumnRenamed("record_id", "chunk_id").withColumn("index_text", F.concat_ws("\n", "title", "content")).withColumns({"document_id": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
+    chunks = as_records(t(spark, sf_dir, "documents")).withColumnRenamed("record_id", "chunk_id").withColumn("index_text",
+        F.concat_ws("\n", "title", "content")).withColumns({"document_id": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
     return ask.Corpus(chunks, indexed(spark, sf_dir, chunks, "chunk_id", "index_text"))
 
 
@@ -465,7 +478,9 @@ c AS (SELECT *, list_filter(ls, lambda x: len(list_filter(kw, lambda w: contains
 w AS (SELECT item_id, trim('Title: T' || chr(10) || 'Category: C' || chr(10) || 'Record type: R' || chr(10) || array_to_string(CASE WHEN len(chosen) > 0 THEN chosen ELSE list_slice(ls, 1, 8) END, chr(10))) AS w FROM c)
 SELECT item_id, CASE WHEN length(w) <= 1200 THEN w ELSE rtrim(substr(w, 1, 1197)) || '...' END AS compressed FROM w""")
 def compress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = t(spark, sf_dir, "benchmark").withColumnRenamed("text", "query").join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id").withColumns({"title": F.lit("T"), "category": F.lit("C"), "record_type": F.lit("R")})
+    pairs = t(spark, sf_dir, "benchmark").withColumnRenamed("text",
+        "query").join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"),
+        "item_id").withColumns({"title": F.lit("T"), "category": F.lit("C"), "record_type": F.lit("R")})
     return pairs.select("item_id", answers.compress(F.col("query"), F.col("text")).alias("compressed"))
 
 
@@ -488,7 +503,9 @@ s AS (SELECT qid, expected_route, CASE WHEN expected_route = 'rejection' THEN 1
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
     i = F.col("item_id")
-    golden = bench.select(i.alias("qid"), F.col("text").alias("query"), F.when(i % 5 == 0, "rejection").alias("expected_route"), F.lit("retrieval").alias("actual_route"), F.when(i % 3 == 0, "src0").alias("expected_category"), F.array(F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0)).alias("expected_contains_any"), F.lit(None).cast("string").alias("expected_citation_contains"))
+    golden = bench.select(i.alias("qid"), F.col("text").alias("query"), F.when(i % 5 == 0, "rejection").alias("expected_route"),
+        F.lit("retrieval").alias("actual_route"), F.when(i % 3 == 0, "src0").alias("expected_category"),
+        F.array(F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0)).alias("expected_contains_any"), F.lit(None).cast("string").alias("expected_citation_contains"))
     found = sparse.search(indexed(spark, sf_dir, docs), items(spark, sf_dir), 5).join(docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("category"), F.col("text").alias("content")), "doc")
     return evaluate.score_retrieval(golden, found.withColumns({"title": F.lit(""), "index_text": F.lit(""), "citation_url": F.lit("")}))
 
@@ -553,7 +570,8 @@ def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection, difference and subset of small sets."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     few = F.array(*map(F.lit, ("the", "of", "and", "in", "to")))
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_intersect(words, few)), ",").alias("common"), F.size(F.array_except(words, few)).alias("others"), dedupe.subset(words, few).alias("within"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_intersect(words, few)), ",").alias("common"),
+        F.size(F.array_except(words, few)).alias("others"), dedupe.subset(words, few).alias("within"))
 
 
 @query("""WITH b AS (SELECT conv_id, turn, '[' || turn || '] ' || role || chr(10) || text AS block FROM conversations),
@@ -577,7 +595,9 @@ def drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id AS doc FROM embeddings WHERE NOT (vec_id % 2 = 0 AND label % 3 = 1)")
 def delete_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All but one session's uploads."""
-    rows = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.when(F.col("vec_id") % 2 == 0, "user_upload").otherwise("official_website").alias("source_type"), (F.col("label") % 3).cast("string").alias("upload_session_id"))
+    rows = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"),
+        F.when(F.col("vec_id") % 2 == 0, "user_upload").otherwise("official_website").alias("source_type"),
+        (F.col("label") % 3).cast("string").alias("upload_session_id"))
     return dense.delete_session(rows, "1").select("doc")
 
 
@@ -587,7 +607,8 @@ SELECT 'conv-' || conv_id AS document_id, turn::INT AS page_number, count(*) AS
 def upload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as uploaded documents of one page a turn: chunks a page, the index running on across pages."""
     words = F.filter(F.split(X.squeeze(F.col("text")), " "), lambda w: w != "")
-    rows = t(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("document_id"), F.col("turn").cast("int").alias("page_number"), F.explode(chunking.word_windows(F.array_join(words, " "), 40)).alias("chunk"))
+    rows = t(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), F.col("conv_id")).alias("document_id"),
+        F.col("turn").cast("int").alias("page_number"), F.explode(chunking.word_windows(F.array_join(words, " "), 40)).alias("chunk"))
     return rows.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -630,7 +651,8 @@ def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "chunk_id", "rank", "source_type", F.round("final_score", 6).alias("final_score"))
 
 
-_TYPES = ("faq", "product", "service_detail", "service_code", "service_fee", "subscription_method", "package", "package_tier", "package_price", "yearly_package", "add_on", "payment_channels", "salefny_rule", "renewal_rule", "early_renewal_rule", "hardware", "table_row")
+_TYPES = ("faq", "product", "service_detail", "service_code", "service_fee", "subscription_method", "package", "package_tier", "package_price",
+    "yearly_package", "add_on", "payment_channels", "salefny_rule", "renewal_rule", "early_renewal_rule", "hardware", "table_row")
 
 
 @query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_\\x{600}-\\x{6ff}]+|[*#][\\p{L}\\p{N}_*#]+|[\\p{L}\\p{N}_*]+#')) <= 100 OR doc_id % 17 NOT IN (2, 5) AS atomic FROM documents""")
@@ -653,8 +675,11 @@ def value_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalized_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as rows of a ranked list, in the shape that all retrievers share."""
     meta = F.create_map(F.lit("file_name"), F.lit("talk.txt"))
-    rows = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.col("turn").cast("double").alias("score"), F.col("role").alias("title"), F.col("text").alias("content"), F.lit("").alias("file_name"), F.when(F.col("turn") % 2 == 0, "Talk").otherwise("").alias("citation_label"), meta.alias("metadata"))
-    return results.normalize(rows, "bm25").select("qid", "rank", "chunk_id", "title", "content", "citation_url", "file_name", "citation_label", "source_type", "source_name", "chunk_index", "total_chunks", "retriever", "bm25_score", "dense_score", "final_score")
+    rows = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.col("turn").cast("double").alias("score"),
+        F.col("role").alias("title"), F.col("text").alias("content"), F.lit("").alias("file_name"),
+        F.when(F.col("turn") % 2 == 0, "Talk").otherwise("").alias("citation_label"), meta.alias("metadata"))
+    return results.normalize(rows, "bm25").select("qid", "rank", "chunk_id", "title", "content", "citation_url", "file_name", "citation_label", "source_type",
+        "source_name", "chunk_index", "total_chunks", "retriever", "bm25_score", "dense_score", "final_score")
 
 
 @query("""WITH g AS (SELECT item_id AS qid, regexp_extract(lower(text), '[a-z]{6,}') AS word FROM benchmark), a AS (SELECT doc_id AS qid, coalesce(text, '') AS answer FROM documents),
@@ -665,7 +690,9 @@ def eval_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     golden = t(spark, sf_dir, "benchmark").select(i.alias("qid"), F.array(F.regexp_extract(F.lower("text"), "[a-z]{6,}", 0)).alias("expected_contains_any"), F.when(i % 5 == 0, "example.com").alias("expected_citation_contains"))
     d = F.col("doc_id")
-    made = t(spark, sf_dir, "documents").select(d.alias("qid"), F.coalesce("text", F.lit("")).alias("answer"), F.when(d % 3 == 0, "fallback").otherwise("generated").alias("status"), (d % 2 == 0).alias("valid"), F.when(d % 3 == 0, "Sources: https://example.com").otherwise("").alias("answer_with_sources"))
+    made = t(spark, sf_dir, "documents").select(d.alias("qid"), F.coalesce("text", F.lit("")).alias("answer"),
+        F.when(d % 3 == 0, "fallback").otherwise("generated").alias("status"), (d % 2 == 0).alias("valid"),
+        F.when(d % 3 == 0, "Sources: https://example.com").otherwise("").alias("answer_with_sources"))
     return evaluate.generation_metrics(evaluate.score_generation(golden, made))
 
 
@@ -787,7 +814,8 @@ def tiered_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items put to model tiers in turn: a tier that fails, or whose answer cites nothing, hands on to the next."""
     source = F.array(F.struct(F.lit(1).alias("source_id"), *[F.lit("").alias(n) for n in ("title", "content", "snippet", "aliases")]))
     every = F.array(*map(F.lit, ("small", "medium", "large")))
-    asked_ = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit("").alias("query"), F.coalesce("text", F.lit("")).alias("prompt"), F.slice(every, (F.col("item_id") % 3 + 1).cast("int"), 3).alias("tiers"), source.alias("sources"))
+    asked_ = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit("").alias("query"), F.coalesce("text", F.lit("")).alias("prompt"),
+        F.slice(every, (F.col("item_id") % 3 + 1).cast("int"), 3).alias("tiers"), source.alias("sources"))
     tiers = {"small": tier_provider(2, 5), "medium": tier_provider(3, 7), "large": tier_provider(1009, 11)}
     given, attempts = provider_jobs.generate(asked_, tiers, retries=0, delay=0.0)
     return asked_.select("qid").join(given, "qid", "left").join(attempts.groupBy("qid").agg(F.count(F.lit(1)).alias("n_attempts")), "qid")

@@ -15,7 +15,9 @@ from ..sources.keyed import KeyedTable
 
 #: Shards of one event type: a type that holds most rows is counted by so many tasks, and readers add them up.
 SHARDS = 16
-OUT = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType()), T.StructField("idle", T.BooleanType())])
+OUT = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("n", T.LongType()),
+    T.StructField("total", T.DoubleType()), T.StructField("ts", T.TimestampType()), T.StructField("value", T.DoubleType()),
+    T.StructField("idle", T.BooleanType())])
 STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("ts", T.LongType()), T.StructField("value", T.DoubleType())])
 
 

@@ -74,7 +74,8 @@ def ranked(spark, rows):
     return spark.createDataFrame(rows, names)
 
 
-ROW = ("q", "price of the ZTE router", 1, 0.03, 0.03, "c1", "ZTE router", "The ZTE router costs 900 EGP.\nOther", "", "u1", "devices", "product", "en", "official_website", None, None, {"price_numeric": "900", "brand": "ZTE", "product_name": "ZTE router", "price": "900 EGP"})
+ROW = ("q", "price of the ZTE router", 1, 0.03, 0.03, "c1", "ZTE router", "The ZTE router costs 900 EGP.\nOther", "", "u1", "devices", "product", "en",
+    "official_website", None, None, {"price_numeric": "900", "brand": "ZTE", "product_name": "ZTE router", "price": "900 EGP"})
 
 
 def test_boosts(spark):
@@ -84,7 +85,8 @@ def test_boosts(spark):
 
 
 def test_answers(spark):
-    routed = spark.createDataFrame([("q", ROW[1], "retrieval", "official", "simple"), ("r", "hack", "rejection", "official", "simple"), ("n", "nothing there", "retrieval", "official", "medium"), ("u", "my file", "retrieval", "uploads", "medium")], "qid string, query string, route string, source_mode string, complexity string")
+    routed = spark.createDataFrame([("q", ROW[1], "retrieval", "official", "simple"), ("r", "hack", "rejection", "official", "simple"), ("n", "nothing there", "retrieval", "official", "medium"), ("u", "my file", "retrieval", "uploads", "medium")],
+        "qid string, query string, route string, source_mode string, complexity string")
     rows = ranked(spark, [ROW, (*ROW[:2], 2, *ROW[3:5], "c9", *ROW[6:])])
     got = {r.qid: r for r in answers.answer(routed, rows, threshold=0.0).collect()}
     assert got["q"].status == "fallback" and got["q"].n_sources == 1 and got["q"].valid
@@ -100,7 +102,8 @@ def test_answers(spark):
 
 @pytest.mark.parametrize(("answer", "query", "reason"), [("yes [1]", "the ZTE", "ok"), ("yes", "x", "no citations"), ("yes [1][4]", "x", "unknown citation ids"), ("yes [1]", "the Nokia", "entity mismatch")])
 def test_grounding(spark, answer, query, reason):
-    df = spark.createDataFrame([(query, answer)], "query string, answer string").withColumn("sources", F.array(F.struct(F.lit(1).alias("source_id"), F.lit("ZTE router").alias("title"), *[F.lit("").alias(n) for n in ("content", "snippet", "aliases")])))
+    df = spark.createDataFrame([(query, answer)], "query string, answer string").withColumn("sources",
+        F.array(F.struct(F.lit(1).alias("source_id"), F.lit("ZTE router").alias("title"), *[F.lit("").alias(n) for n in ("content", "snippet", "aliases")])))
     assert answers.validate(df).first().reason == reason
 
 
@@ -144,11 +147,13 @@ def test_chunks_by_definition():
 
 
 def test_chunk_records(spark):
-    df = spark.createDataFrame([("r1", "t", "word " * 1200, "note", "x", "en", {}), ("r2", "t", "word " * 1200, "product", "x", "en", {"price": "5"}), ("r3", "t", "", "note", "x", None, {})], "record_id string, title string, content string, record_type string, category string, language string, metadata map<string,string>")
+    df = spark.createDataFrame([("r1", "t", "word " * 1200, "note", "x", "en", {}), ("r2", "t", "word " * 1200, "product", "x", "en", {"price": "5"}), ("r3", "t", "", "note", "x", None, {})],
+        "record_id string, title string, content string, record_type string, category string, language string, metadata map<string,string>")
     got = chunking.chunk_records(df).groupBy("record_id").agg(F.count("*").alias("n"), F.max("total_chunks").alias("m"), F.max("index_text").alias("t")).collect()
     by = {r.record_id: r for r in got}
     assert by["r1"].n == by["r1"].m == 3 and by["r2"].n == 1 and by["r3"].n == 1 and "price: 5" in by["r2"].t
-    docs = spark.createDataFrame([("d", "T", "f.pdf", "pdf", "ignored", [(1, "page one"), (2, "page two")]), ("e", "T", "g.txt", "txt", "whole", [])], "document_id string, title string, file_name string, file_type string, text string, pages array<struct<page_number:int,text:string>>")
+    docs = spark.createDataFrame([("d", "T", "f.pdf", "pdf", "ignored", [(1, "page one"), (2, "page two")]), ("e", "T", "g.txt", "txt", "whole", [])],
+        "document_id string, title string, file_name string, file_type string, text string, pages array<struct<page_number:int,text:string>>")
     up = chunking.chunk_uploads(docs).orderBy("document_id", "chunk_index").collect()
     assert [(r.document_id, r.chunk_index, r.total_chunks, r.content) for r in up] == [("d", 0, 2, "page one"), ("d", 1, 2, "page two"), ("e", 0, 1, "whole")] and up[1].citation_label.endswith("f.pdf, page 2")
 
@@ -186,7 +191,10 @@ def test_registry(tmp_path):
 def test_queries_search_their_category_or_all(spark):
     """A category with chunks narrows the search; one without is searched unfiltered."""
     rows = [("c1", "router price", "devices"), ("c2", "router price", "shop"), ("c3", "balance code price", "shop")]
-    chunks = spark.createDataFrame(rows, "chunk_id string, content string, category string").withColumns({"title": F.col("content"), "index_text": F.col("content"), "citation_url": F.lit("u"), "record_type": F.lit("note"), "language": F.lit("en"), "source_type": F.lit("official_website"), "metadata": F.create_map().cast("map<string,string>"), "document_id": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
+    chunks = spark.createDataFrame(rows,
+        "chunk_id string, content string, category string").withColumns({"title": F.col("content"), "index_text": F.col("content"), "citation_url": F.lit("u"),
+            "record_type": F.lit("note"), "language": F.lit("en"), "source_type": F.lit("official_website"), "metadata": F.create_map().cast("map<string,string>"),
+            "document_id": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
     corpus = ask.Corpus(chunks, sparse.build_index(chunks, "chunk_id", "index_text"))
     queries = spark.createDataFrame([(1, "router price please"), (2, "code of my balance")], "qid long, query string")
     _, found = ask.retrieve(queries, corpus)
@@ -229,7 +237,8 @@ def test_record_scores(spark):
 
 
 def test_evaluation(spark):
-    golden = spark.createDataFrame([(1, "a", "c", ["x"], None, None, "retrieval"), (2, "b", None, None, None, "rejection", "rejection"), (3, "c", "d", ["q"], None, None, "retrieval")], "qid int, query string, expected_category string, expected_contains_any array<string>, expected_citation_contains string, expected_route string, actual_route string")
+    golden = spark.createDataFrame([(1, "a", "c", ["x"], None, None, "retrieval"), (2, "b", None, None, None, "rejection", "rejection"), (3, "c", "d", ["q"], None, None, "retrieval")],
+        "qid int, query string, expected_category string, expected_contains_any array<string>, expected_citation_contains string, expected_route string, actual_route string")
     found = spark.createDataFrame([(1, 1, "z", "x", "", "", ""), (1, 2, "c", "x", "", "", "")], "qid int, rank int, category string, content string, title string, index_text string, citation_url string")
     got = {r.qid: r for r in evaluate.score_retrieval(golden, found).collect()}
     assert (got[1].first_hit_rank, got[1].reciprocal_rank, got[2].first_hit_rank, got[3].first_hit_rank) == (2, 0.5, 1, None)
@@ -280,7 +289,9 @@ def test_streams(spark, tmp_path):
 
 def test_question_path(spark):
     rows = spark.createDataFrame([("c1", "ZTE router", "The ZTE router costs 900 EGP"), ("c2", "Sim swap", "Swap your sim at a store for 20 EGP")], "chunk_id string, title string, content string")
-    chunks = rows.withColumns({"index_text": F.col("content"), "citation_url": F.lit("u"), "category": F.lit("shop"), "record_type": F.lit("note"), "language": F.lit("en"), "source_type": F.lit("official_website"), "metadata": F.create_map().cast("map<string,string>"), "document_id": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
+    chunks = rows.withColumns({"index_text": F.col("content"), "citation_url": F.lit("u"), "category": F.lit("shop"), "record_type": F.lit("note"),
+        "language": F.lit("en"), "source_type": F.lit("official_website"), "metadata": F.create_map().cast("map<string,string>"),
+        "document_id": F.lit(None).cast("string"), "page_number": F.lit(None).cast("int")})
     corpus = ask.Corpus(chunks, sparse.build_index(chunks, "chunk_id", "index_text"))
     queries = spark.createDataFrame([(1, "price of ZTE router"), (2, "hack it please")], "qid long, query string")
     got = {r.qid: r for r in ask.answers(queries, corpus, threshold=0.0).collect()}

@@ -159,7 +159,8 @@ def test_tiers_take_over_from_each_other(spark):
         return call
 
     large = lambda: lambda prompts: ["yes [7]" if "odd" in p else "yes [1]" for p in prompts]
-    rows = [(1, "easy", ["small", "medium", "large"]), (2, "plain", ["small", "medium", "large"]), (3, "hard", ["small", "medium", "large"]), (4, "hard odd", ["medium", "large"]), (5, "easy", ["huge", "small"]), (6, "hard", ["medium"]), (7, "x", [])]
+    rows = [(1, "easy", ["small", "medium", "large"]), (2, "plain", ["small", "medium", "large"]), (3, "hard", ["small", "medium", "large"]),
+        (4, "hard odd", ["medium", "large"]), (5, "easy", ["huge", "small"]), (6, "hard", ["medium"]), (7, "x", [])]
     questions = spark.createDataFrame(rows, "qid long, prompt string, tiers array<string>").withColumns({"query": F.lit("what"), "sources": source})
     answers, attempts = provider_jobs.generate(questions, {"small": small, "medium": medium, "large": large}, retries=0, delay=0.0, batch=4)
     assert {r.qid: (r.model_tier, r.answer) for r in answers.collect()} == {1: ("small", "easy [1]"), 2: ("medium", "plain [1]"), 3: ("large", "yes [1]"), 5: ("small", "easy [1]")}

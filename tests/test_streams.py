@@ -25,7 +25,8 @@ def run(spark, folder, batches, **how):
 
 
 def test_gauges_equal_those_of_the_whole_table(spark):
-    batches = [[row(i, (i * 37) % 500, "abc"[i % 3 if i % 2 else 0], float(i % 17)) for i in range(300)], [row(1000, 900, "a", 5.0), row(1001, 900, "a", 7.0), row(1002, 3, "b", 99.0), row(1003, None, "b", 1.0), row(1004, 1, "new", None), row(1005, 901, "c", None)]]
+    batches = [[row(i, (i * 37) % 500, "abc"[i % 3 if i % 2 else 0], float(i % 17)) for i in range(300)],
+        [row(1000, 900, "a", 5.0), row(1001, 900, "a", 7.0), row(1002, 3, "b", 99.0), row(1003, None, "b", 1.0), row(1004, 1, "new", None), row(1005, 901, "c", None)]]
     got = run(spark, shared_dir(spark, "gauges"), batches)
     whole = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
     want = {r.event_type: r.value for r in observe.gauges(whole.filter("ts IS NOT NULL")).collect()}
@@ -43,7 +44,9 @@ def test_late_rows_are_dropped_and_idle_types_told(spark):
 
 
 def test_sketches_merge_upward(spark):
-    events = spark.range(40_000).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"), F.when(F.col("id") % 3 == 0, "rare").otherwise("often").alias("event_type"), (F.col("id") % 5000).alias("user_id"), (F.col("id") % 1000).cast("double").alias("value"))
+    events = spark.range(40_000).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"),
+        F.when(F.col("id") % 3 == 0, "rare").otherwise("often").alias("event_type"), (F.col("id") % 5000).alias("user_id"),
+        (F.col("id") % 1000).cast("double").alias("value"))
     hours = observe.sketches(events)
     assert hours.count() == 2 * 78
     exact = {r.event_type: r for r in events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("d"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.99).alias("p99")).collect()}

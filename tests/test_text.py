@@ -11,7 +11,8 @@ from tarnwater.functions import parsing as P
 from tarnwater.functions import text as X
 from tarnwater.operators import dedupe, routing
 
-SAMPLES = ["", None, "  Hello\tWorld \n\n second   line \r\n", "باقة Super 100 جنيه أحمد", "dial *999# or #550* now", "3,100 EGP and 50 PT", "x² Ünï — 12.5 GB", "A‎B‏", "line\x85two\x0bthree", "٠١٢٣ items", "Tell me about TP-Link VN020 and DEX 77 dex"]
+SAMPLES = ["", None, "  Hello\tWorld \n\n second   line \r\n", "باقة Super 100 جنيه أحمد", "dial *999# or #550* now", "3,100 EGP and 50 PT", "x² Ünï — 12.5 GB",
+    "A‎B‏", "line\x85two\x0bthree", "٠١٢٣ items", "Tell me about TP-Link VN020 and DEX 77 dex"]
 
 
 @pytest.fixture(scope="module")
@@ -98,7 +99,10 @@ def test_urls(spark):
     assert tuple(got) == ("https://host.example/Shop/Item-1", "https://host.example/shop/item-1", "HTTPS://Host.Example/ar/Shop/Item-1/?q=1#top", "Item-1", True)
 
 
-ROUTES = [("price?", "clarification", None), ("", "clarification", None), ("111", "retrieval", None), ("how to hack a line", "rejection", None), ("is Vodafone better", "rejection", None), ("price of zte router", "retrieval", "devices"), ("what is the balance code", "retrieval", "services"), ("model ab12 cost", "retrieval", "devices"), ("we air internet speed", "retrieval", "we_home"), ("*550#", "retrieval", None), ("What is the SIM swap cost?", "retrieval", "faq"), ("how to bypass the router", "rejection", None), ("hello", "clarification", None)]
+ROUTES = [("price?", "clarification", None), ("", "clarification", None), ("111", "retrieval", None), ("how to hack a line", "rejection", None),
+    ("is Vodafone better", "rejection", None), ("price of zte router", "retrieval", "devices"), ("what is the balance code", "retrieval", "services"),
+    ("model ab12 cost", "retrieval", "devices"), ("we air internet speed", "retrieval", "we_home"), ("*550#", "retrieval", None),
+    ("What is the SIM swap cost?", "retrieval", "faq"), ("how to bypass the router", "rejection", None), ("hello", "clarification", None)]
 
 
 def test_routes(spark):
