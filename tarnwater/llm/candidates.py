@@ -86,10 +86,13 @@ def bucket_candidates(pairs: Pairs, ids: np.ndarray, columns: list[np.ndarray],
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()), pa.array(np.full(len(own), name)), *[pa.array(c[own].astype(np.int64, copy=False)) for c in columns]], names=schema)
 
 
-def links_in_rounds(both: DataFrame, names: list[str], verified: Callable[[DataFrame], DataFrame], pairs: Callable[[list[np.ndarray]], tuple[np.ndarray, Pairs]]) -> DataFrame:
+def links_in_rounds(
+    both: DataFrame, names: list[str], verified: Callable[[DataFrame], DataFrame], pairs: Callable[[list[np.ndarray]], tuple[np.ndarray, Pairs]], more: DataFrame | None = None
+) -> DataFrame:
     """Links (a, b) that span the connected groups of all candidates (both: found_schema) that `verified` accepts.
 
-    pairs gets the columns of a dense group and returns an order of its members and the candidate pairs in that order.
+    pairs gets the columns of a dense group and returns an order of its members and the candidate pairs in that order.  more: further
+    columns of the members (by a), with which it can tell more pairs apart before they become rows.
     """
     trees = stored(both.filter("tree").select("a", "b").distinct(), "link-trees")
     groups = stored(connected_components(stored(verified(trees), "links-1")), "link-groups")
@@ -99,7 +102,7 @@ def links_in_rounds(both: DataFrame, names: list[str], verified: Callable[[DataF
 
     def run(table: pa.Table) -> pa.Table:
         ids, own = table["a"].to_numpy(), table["component"].to_numpy()
-        order, found = pairs([table[c].to_numpy() for c in names])
+        order, found = pairs([table[c].to_numpy() for c in held])
         ids, own, out = ids[order], own[order], [np.empty((2, 0), np.int64)]
         for i, j, _ in found:
             i, j = i[own[i] != own[j]], j[own[i] != own[j]]
@@ -109,7 +112,11 @@ def links_in_rounds(both: DataFrame, names: list[str], verified: Callable[[DataF
 
     members = label(both.filter("g IS NOT NULL"), "a", "component")
     mixed = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-    dense = members.join(mixed, "g", "left_semi").select("g", "a", *names, "component").groupBy("g").applyInArrow(run, EDGES)
+    dense = members.join(mixed, "g", "left_semi").select("g", "a", *names, "component")
+    held = list(names)
+    if more is not None:
+        dense, held = dense.join(more, "a"), [*names, *[c for c in more.columns if c != "a"]]
+    dense = dense.select("g", "a", *held, "component").groupBy("g").applyInArrow(run, EDGES)
     rest = label(label(both.filter("NOT tree").select("a", "b").distinct(), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
     left = rest.union(dense).distinct().join(trees, ["a", "b"], "left_anti")
     second = stored(verified(left), "links-2")

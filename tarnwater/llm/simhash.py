@@ -226,7 +226,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Texts are linked when the Jaccard similarity of their sets of word shingles is that high; sets of 64-bit hashes are compared
     whole.  Fingerprints only propose: tables of sampled bits bring texts together whose wide fingerprints differ in few bits; inside
     a bucket fingerprints are compared bit-sliced on their first word and survivors on WIDE words; what is left within the expected
-    distance on CHECKED words, three standard deviations allowed, is verified in rounds (see candidates), so that a refused pair
+    distance on CHECKED words, two standard deviations allowed, is verified in rounds (see candidates), so that a refused pair
     never stands for another.  So no link is wrong, and few are missed (see the README for how many).  Sets are worked out again for
     texts with a candidate alone, and texts of equal sets are one class.  Nulls, empty texts, repeated rows and null ids are
     treated as by `near_duplicates`.
@@ -251,7 +251,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     classes = stored(classes, "similar-classes")
     tables = tables_for(classes.count(), similarity)
     share = differing(similarity)
-    slack = lambda bits, deviations=2: int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+    slack = lambda bits: int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
     dealt_schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("key", T.IntegerType()), T.StructField("rep", T.LongType()), *[T.StructField(n, T.LongType()) for n in names[:WIDE]]])
 
     def deal():
@@ -278,12 +278,22 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     both = stored(dealt.mapInArrow(run, found_schema(names[:WIDE])).distinct(), "similar-pairs")
     side = lambda c: classes.select(F.col("rep").alias(c), F.array(*names).alias(f"f{c}"))
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED, 3)).select("a", "b")
+    likely = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= slack(64 * CHECKED)).select("a", "b")
     asked = both.select(F.col("a").alias("rep")).union(both.filter("b IS NOT NULL").select("b")).distinct()
     sets = stored(shingle_sets(keyed, classes.join(asked, "rep", "left_semi").select("rep", "one"), shingle), "similar-sets")
     checked = lambda pairs: alike(stored(likely(pairs), "similar-likely"), sets, similarity)
-    group = lambda words: (np.arange(len(words[0])), near(np.stack(words).view(np.uint64), np.array([0]), np.array([len(words[0])])))
-    links = links_in_rounds(both, names[:WIDE], checked, group)
+
+    def group(words: list[np.ndarray]):
+        every = np.stack(words).view(np.uint64)
+
+        def likely_ones():
+            for i, j, bits in near(every[:WIDE], np.array([0]), np.array([every.shape[1]])):
+                close = np.bitwise_count(every[:, i] ^ every[:, j]).sum(axis=0, dtype=np.int64) <= slack(64 * CHECKED)
+                yield i[close], j[close], bits[close]
+
+        return np.arange(every.shape[1]), likely_ones()
+
+    links = links_in_rounds(both, names[:WIDE], checked, group, classes.select(F.col("rep").alias("a"), *names[WIDE:]))
     groups = connected_components(links)
     member = stored(classes.join(groups, classes["rep"] == groups["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "rep"), "similar-members")
     smallest = stored(member.groupBy("component").agg(F.min("least").alias("component_id"), F.lit(1).alias("w")), "similar-groups")

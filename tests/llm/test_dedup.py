@@ -446,7 +446,7 @@ def test_near_pairs_meet_in_tables_of_any_corpus_size(n):
             pairs.append([simhash.wide_fingerprint(simhash.shingle_hashes(" ".join(w).encode(), 5)) for w in (words, copy)])
     apart = np.array([a ^ b for a, b in pairs])
     passed = np.ones(len(pairs), bool)
-    for words, deviations in ((1, 2), (simhash.WIDE, 2), (simhash.CHECKED, 3)):
+    for words, deviations in ((1, 2), (simhash.WIDE, 2), (simhash.CHECKED, 2)):
         bits = 64 * words
         passed &= np.bitwise_count(apart[:, :words]).sum(axis=1) <= bits * share + deviations * np.sqrt(bits * share * (1 - share))
     differ = np.unpackbits(np.ascontiguousarray(apart[:, : simhash.WIDE]).view(np.uint8), axis=1, bitorder="little")

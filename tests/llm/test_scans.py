@@ -272,7 +272,7 @@ def test_registered_queries_and_pipeline(spark):
     import corpus_pipeline
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rest = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -282,6 +282,24 @@ def test_registered_queries_and_pipeline(spark):
     assert "copies" in corpus_pipeline.run(spark, SF).columns
 
 
+def test_pipeline_stages_keep_one_of_each(table, spark):
+    """Of exact copies the largest id, of near copies the smallest, no passage of the benchmark; all else stays, with its columns."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text), key=len)
+    texts = [prose(200) for _ in range(10)]
+    words = texts[1].split()
+    far = [*words[:60], *prose(80).split(), *words[140:]]  # half of its shingles are others: no near copy
+    rows = [*enumerate(texts), (20, texts[0]), (21, " ".join([*words[:90], "edited", *words[91:]])), (22, " ".join(far)), (23, f"{prose(30)} {item} {prose(30)}")]
+    stages, rest = dict(corpus_pipeline.STAGES), table(rows)
+    columns, want = rest.columns, {*range(10), 20, 21, 22, 23}
+    for name, gone in (("exact", {0}), ("near", {21}), ("benchmark", {23})):
+        rest, want = stages[name](spark, rest, SF), want - gone
+        assert {r.doc_id for r in rest.collect()} == want and rest.columns == columns, name
+
+
 def test_pipeline_stages_survive_odd_rows(table, spark):
     import corpus_pipeline
 
