@@ -11,6 +11,15 @@ from tarnwater.sources.shared import shared_dir
 SF = "/root/testdata/sf0.001"
 
 
+def test_titles_keep_references_that_no_semicolon_ends(spark):
+    """A title cut off in the middle of a reference is text from there on, as the SQL beside document_source has it."""
+    from tarnwater.operators.html import document_title
+
+    cases = {"a &amp;&amp;&amp": "a &&&amp", "b &amp;lt; &lt;c&gt;": "b &lt; <c>", "d &ampx; & &#65;": "d &ampx; & A", "e &quot;x&quot": 'e "x&quot'}
+    rows = spark.createDataFrame([(f"<title>{k}</title><p>x",) for k in cases], "html string")
+    assert [r[0] for r in rows.select(document_title(F.col("html"))).collect()] == list(cases.values())
+
+
 def test_html_documents(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "one.html").write_text("<html><head><title> One &amp; all </title><script>x()</script></head><body><p> a </p>\n<p>b<br>c</p></body></html>", encoding="utf-8")
