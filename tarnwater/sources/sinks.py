@@ -35,14 +35,14 @@ def table(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite")
 
 def sparse_index(index: SparseIndex, path: str) -> None:
     """An index' four tables under one folder."""
-    for name in ("postings", "docs", "terms", "totals"):
+    for name in ("bags", "docs", "terms", "totals"):
         table(getattr(index, name), f"{path}/{name}")
 
 
 def load_sparse_index(spark: SparkSession, path: str) -> SparseIndex:
     from ..operators.sparse import SparseIndex
 
-    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "totals")])
+    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("bags", "docs", "terms", "totals")])
 
 
 def events(df: DataFrame, path: str) -> None:

@@ -168,3 +168,20 @@ def test_groups_of_vectors(spark, vectors):
     assert ranked(got.filter("qid % 2 = 1"), "qid", "doc", "score", "rank") == ranked(free, "qid", "doc", "score", "rank")
     own = dense.search(index.filter("doc % 3 = 1"), asked.filter("qid = 4").drop("group"), 4)
     assert ranked(got.filter("qid = 4"), "doc", "score", "rank") == ranked(own, "doc", "score", "rank")
+
+
+def test_a_search_shuffles_only_the_best_of_each_task(spark):
+    """Counts and scores are made in the row of their document: no exchange of tokens or of (query, document) pairs."""
+    docs = spark.range(0, 300, 1, 3).selectExpr("id AS doc_id", "concat('common word', id % 7, ' x', id) AS text")
+    index = sparse.build_index(docs)
+    assert index.bags.count() == 300
+    queries = spark.createDataFrame([(1, "common word3 zebra"), (2, "common x17")], "qid long, query string")
+    plan = sparse.search(index, queries, 4)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below[: below.index("FileScan")]
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    index = sparse.build_index(spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (1, "aa"), (2, ""), (3, "dd")], "doc_id long, text string"))
+    assert sorted(map(tuple, index.postings.collect())) == [(1, 1, "aa", 1), (1, 2, "aa", 2), (1, 2, "bb", 1), (1, 2, "cc", 1), (3, 1, "dd", 1)]
+    assert sorted(map(tuple, index.docs.collect())) == [(1, 1), (1, 2), (2, 0), (3, 1)] and index.bags.count() == 3
