@@ -185,3 +185,20 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
     index = sparse.build_index(spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (1, "aa"), (2, ""), (3, "dd")], "doc_id long, text string"))
     assert sorted(map(tuple, index.postings.collect())) == [(1, 1, "aa", 1), (1, 2, "aa", 2), (1, 2, "bb", 1), (1, 2, "cc", 1), (3, 1, "dd", 1)]
     assert sorted(map(tuple, index.docs.collect())) == [(1, 1), (1, 2), (2, 0), (3, 1)] and index.bags.count() == 3
+
+
+def test_dense_search_sorts_no_pairs_and_takes_passes(spark, monkeypatch):
+    """Equal vectors rank by id, more queries than one pass holds take several, and only each task's best are exchanged."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 8)).astype(np.float32)
+    vectors[40:70] = vectors[7]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    index, asked = dense.build_index(rows), rows.filter("vec_id % 3 = 1").select(F.col("vec_id").alias("qid"), "embedding")
+    pairs = index.select("doc", "unit").crossJoin(asked.select("qid", dense.unit(F.col("embedding")).alias("q"))).select("qid", "doc", dense.dot(F.col("unit"), F.col("q")).alias("score")).collect()
+    want = {q: [(r.doc, r.score) for r in sorted((p for p in pairs if p.qid == q), key=lambda p: (-p.score, p.doc))[:6]] for q in {p.qid for p in pairs}}
+    monkeypatch.setattr(dense, "MOST_QUERIES", 11)
+    found = dense.search(index, asked, 6)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.qid, r.rank)):
+        got.setdefault(r.qid, []).append((r.doc, r.score))
+    assert got == want and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
