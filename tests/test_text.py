@@ -1,6 +1,7 @@
 """Text, parsing and routing expressions against plain Python."""
 
 import hashlib
+import random
 import re
 import uuid
 
@@ -136,3 +137,15 @@ def test_any_key_dedupe_is_greedy(spark):
     df = spark.createDataFrame([("q", r, k) for r, k in data], "qid string, rank int, keys array<string>")
     got = sorted(r["rank"] for r in dedupe.any_key_dedupe(df, F.col("keys")).collect())
     assert got == greedy(data)
+
+
+def test_squeeze_lines_and_key_are_those_of_the_plain_patterns(spark):
+    """The patterns that pass over plain ASCII give what the stated ones give, and leave single spaces unmatched."""
+    rng = random.Random(5)
+    letters = "a bZ9\t-\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000\u0663\u0634é😀"
+    rows = spark.createDataFrame([("".join(rng.choice(letters) for _ in range(rng.randint(0, 12))),) for _ in range(4000)] + [("plain words only",)], "s string")
+    c = F.col("s")
+    plain = F.regexp_replace(F.regexp_replace(c, X.SPACE + "+", " "), "^ | $", "")
+    keyed = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\x{600}-\x{6ff}]+", " "))
+    assert rows.filter((X.squeeze(c) != plain) | (X.lines(c) != F.split(c, X.LINE_END)) | (X.key(c) != keyed)).count() == 0
+    assert rows.filter("s = 'plain words only'").filter(c.rlike(X.TO_SQUEEZE) | c.rlike(X.TO_KEY)).count() == 0
