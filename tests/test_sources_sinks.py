@@ -153,3 +153,14 @@ def test_recursive_split_of_odd_texts():
     for _ in range(400):
         s = "".join(r.choice(["a", "bc", " ", "\n", "\n\n", ". ", "? ", "! ", "؟ ", "*1#", "ل"]) for _ in range(r.randrange(60)))
         assert chunking.split_recursive(s, 4, 0) == ([x for x in plain_pieces(s.strip(), 4) if x] if s.strip() else [])
+
+
+def test_python_holds_few_rows_of_a_batch(spark):
+    import pyarrow as pa
+
+    from tarnwater.sources.shared import few_rows
+
+    parts = list(few_rows(pa.array(range(150)), pa.array(range(150))))
+    assert [len(a) for a, _ in parts] == [64, 64, 22] and [len(a) for (a,) in few_rows(pa.array([], pa.int64()))] == [0]
+    rows = spark.range(0, 300, 1, 1).select("id", F.concat(F.lit("row "), "id").alias("text"))
+    assert rows.select("id", chunking.recursive(F.col("text"))[0].alias("x")).filter("x <> concat('row ', id) OR x IS NULL").count() == 0
