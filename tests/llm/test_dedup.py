@@ -452,3 +452,13 @@ def test_near_pairs_meet_in_tables_of_any_corpus_size(n):
     differ = np.unpackbits(np.ascontiguousarray(apart[:, : simhash.WIDE]).view(np.uint8), axis=1, bitorder="little")
     met = np.any([~differ[:, picked].any(axis=1) for picked in simhash.tables_for(n, 0.8)], axis=0)
     assert (met & passed).mean() >= 0.95
+
+
+def test_line_keys_do_not_depend_on_how_many_are_crowded(spark, monkeypatch):
+    """More crowded keys than a broadcast holds change the join, not which keys are paired."""
+    rows = [(i, i, i, 20, [i % 3, 100 + i % 2, 1000 + i]) for i in range(120)]
+    lines = spark.createDataFrame(rows, "line_id long, f0 long, f1 long, size int, keys array<long>")
+    want = sorted(map(tuple, line_dedup.dealt_lines(lines, 30, 1).collect()))
+    assert len({k for k, *_ in want if k >= 1000 and k < 2000}) == 120
+    monkeypatch.setattr(line_dedup, "CROWDED", 1)
+    assert sorted(map(tuple, line_dedup.dealt_lines(lines, 30, 1).collect())) == want
