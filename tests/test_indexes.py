@@ -202,3 +202,13 @@ def test_dense_search_sorts_no_pairs_and_takes_passes(spark, monkeypatch):
     for r in sorted(found.collect(), key=lambda r: (r.qid, r.rank)):
         got.setdefault(r.qid, []).append((r.doc, r.score))
     assert got == want and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_gathered_before_they_are_joined(spark):
+    """Only blocks meet their terms' idf, and the largest weight of a block is that of its postings."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(9) if i % (j + 3) == 0) + " own" * (i % 3) + f" d{i}") for i in range(60)], "doc_id long, text string")
+    blocks = block_index.gathered(sparse.build_index(docs), 4, 5.0)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("collect_list") and plan.count("Generate") >= 1
+    rows = blocks.collect()
+    assert len(rows) > 60 and all(abs(r.most - max(p.weight for p in r.held)) < 1e-12 for r in rows)
