@@ -1,9 +1,11 @@
 """Exact dedup, SimHash, similar documents, substring and line dedup, against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -462,3 +464,74 @@ def test_line_keys_do_not_depend_on_how_many_are_crowded(spark, monkeypatch):
     assert len({k for k, *_ in want if k >= 1000 and k < 2000}) == 120
     monkeypatch.setattr(line_dedup, "CROWDED", 1)
     assert sorted(map(tuple, line_dedup.dealt_lines(lines, 30, 1).collect())) == want
+
+
+@pytest.mark.parametrize("lanes", [0, 10**6], ids=["side by side", "one at a time"])
+def test_edit_distances_of_long_texts(monkeypatch, lanes):
+    """Pairs about their limits, over many words of 64 rows: giving hopeless ones up changes no answer."""
+    monkeypatch.setattr(edits, "LANES", lanes)
+    rng, a, b, limits, want = random.Random(31), [], [], [], []
+    for n, share in itertools.product((150, 330, 700, 1100), (0.1, 0.2, 0.5, 2)):
+        x = "".join(rng.choice("abcdefgh é漢") for _ in range(n))
+        y = list(x)
+        for _ in range(int(share * n)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", "\U0001f600"])
+        y = "".join(y)
+        apart = levenshtein(x, y)
+        for limit in (apart - 1, apart, apart // 2, apart + 9):
+            a.append(x)
+            b.append(y)
+            limits.append(limit)
+            want.append(apart <= limit)
+        assert edits.letters_apart([(x, y)])[0] <= apart
+    assert edits.within_many(a, b, limits).tolist() == want and 20 < sum(want) < len(want)
+    assert [edits.within_columns(*sorted((x, y), key=len), k) for x, y, k in zip(a, b, limits, strict=True)] == want
+
+
+def test_hopeless_pairs_are_given_up_early(monkeypatch):
+    seen, whole = [], edits.column_least
+    monkeypatch.setattr(edits, "column_least", lambda *args: seen.append(args) or whole(*args))
+    rng = random.Random(32)
+    a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(3000)) for _ in range(2))
+    assert not edits.within_columns(a, b, 600) and len(seen) < 3000 // edits.CHECKED // 2
+
+
+@pytest.mark.parametrize("part", [candidates.SETTLED, 50], ids=["one part", "parts"])
+def test_pairs_of_dense_groups_never_become_rows(table, monkeypatch, part):
+    """Lines over one template, most of them unlike in edits: the rows verified grow with the lines, and every link is found."""
+    monkeypatch.setattr(candidates, "SETTLED", part)
+    seen, whole = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *args: seen.append(pairs.count()) or whole(pairs, *args))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    template, lines = [word() for _ in range(14)], []
+    for _ in range(150):
+        words = template + [word() for _ in range(6)]
+        lines += [" ".join(words), " ".join([*words[:-1], word()])]
+    rng.shuffle(lines)
+    close = lambda a, b: edits.within_edits(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9))
+    want = brute_components(list(range(len(lines))), close)
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(table(list(enumerate(lines)))).collect()}
+    assert got == {i: int(want[i] != i) for i in range(len(lines))}
+    assert len(seen) == 2 and sum(seen) < 20 * len(lines)
+
+
+@pytest.mark.parametrize("part", [candidates.SETTLED, 9], ids=["one part", "parts"])
+def test_a_pair_of_two_dense_groups_is_settled_in_one(spark, monkeypatch, part):
+    """Members of several groups and parts: each pair that shares a group is settled by exactly one task."""
+    monkeypatch.setattr(candidates, "SETTLED", part)
+    sets = {7: range(30), -3: range(10, 50), 12: range(25, 60)}
+    rows = [(g, a, len(m)) for g, m in sets.items() for a in m]
+    dealt = candidates.in_parts(spark.createDataFrame(rows, "g long, a long, n long")).toArrow()
+    tasks = {}
+    for row in dealt.to_pylist():
+        tasks.setdefault((row["g"], row["p"], row["q"]), []).append(row)
+    met = []
+    for held in tasks.values():
+        group = pa.Table.from_pylist(held, schema=dealt.schema)
+        i, j = np.triu_indices(len(held), 1)
+        here = candidates.settled_here(group, np.arange(len(held)))(i, j)
+        ids = group["a"].to_numpy()
+        met += [tuple(sorted((int(ids[x]), int(ids[y])))) for x, y in zip(i[here], j[here], strict=True)]
+    assert sorted(met) == sorted({(x, y) for m in sets.values() for x in m for y in m if x < y})
