@@ -149,3 +149,25 @@ def test_squeeze_lines_and_key_are_those_of_the_plain_patterns(spark):
     keyed = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\x{600}-\x{6ff}]+", " "))
     assert rows.filter((X.squeeze(c) != plain) | (X.lines(c) != F.split(c, X.LINE_END)) | (X.key(c) != keyed)).count() == 0
     assert rows.filter("s = 'plain words only'").filter(c.rlike(X.TO_SQUEEZE) | c.rlike(X.TO_KEY)).count() == 0
+
+
+def test_lines_get_one_key_each(spark):
+    """A line's key, the dearest step of the record normalisers, is made once, and a whole text's only where its start does not tell."""
+    one = spark.createDataFrame([("a",)], "t string")
+    for c in (P.without_noise(F.col("t")), F.array_join(P.unique_lines(F.col("t"), kind="business"), "|")):
+        assert one.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count(X.TO_KEY) == 1
+    odd = ["", None, " - ", "a", "Home", "x\nHome\nX\n\ny", "a b\nA  B\nc\na-b", "word " * 40, "--" * 90 + "word" * 20, "İ" * 60, "عربي " * 30, "a\r\nb\n\rc", "a\x0b b  c  d  e"]
+    rows = spark.createDataFrame([(t, other) for t in odd for other in odd], "t string, other string")
+    key, other = X.key(F.col("t")), X.key(F.col("other"))
+    checks = [X.key_under(F.col("t"), 40) == (F.length(key) < 40), X.key_adds_nothing(F.col("t"), F.col("other")) == ((key == "") | (key == other))]
+    checks += [X.lines(F.col("t")) == F.split(X.text(F.col("t")), X.LINE_END), X.squeeze(F.col("t")) == F.trim(F.regexp_replace(X.text(F.col("t")), X.SPACE + "+", " "))]
+    assert [rows.filter(~x).count() for x in checks] == [0] * 4 and rows.filter(checks[1]).count() == rows.count()
+
+
+def test_what_aliases_compare_is_worked_out_once(spark):
+    """The title's key is a column, not an expression in each of the alias lists' comparisons."""
+    from tarnwater.operators import records
+
+    base = spark.createDataFrame([("Static IP plan", "text", "u")], "title string, content string, citation_url string")
+    plan = records.normalize_business(base).select("search_aliases")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(title") <= 3
