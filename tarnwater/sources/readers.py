@@ -106,10 +106,11 @@ def html_documents(spark: SparkSession, path: str, most: int = 64 << 20, ending:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").rlike(ending))
     stem = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"\.[^.]*$", "")
-    small = files.filter(F.col("length") <= most).withColumn("html", F.make_valid_utf8(F.col("content").cast("string")))
+    # By the listing's sizes, so that each file is planned in one of the two scans.
+    small = files.filter(F.col("_metadata.file_size") <= most).withColumn("html", F.make_valid_utf8(F.col("content").cast("string")))
     odd = F.when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
     read = small.select("path", stem.alias("document_id"), F.coalesce(F.nullif(document_title(F.col("html")), F.lit("")), stem).alias("title"), document_text(F.col("html")).alias("text"), odd.alias("error"))
-    large = files.filter(F.col("length") > most).select("path", stem.alias("document_id"), stem.alias("title"), F.lit("").alias("text"), F.concat(F.lit("file of "), F.col("length"), F.lit(" bytes")).alias("error"))
+    large = files.filter(F.col("_metadata.file_size") > most).select("path", stem.alias("document_id"), stem.alias("title"), F.lit("").alias("text"), F.concat(F.lit("file of "), F.col("length"), F.lit(" bytes")).alias("error"))
     return read.unionByName(large)
 
 

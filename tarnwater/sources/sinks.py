@@ -7,6 +7,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 if TYPE_CHECKING:
     from ..operators.sparse import SparseIndex
 
@@ -103,3 +105,37 @@ def copy(spark: SparkSession, source: str, target: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
     jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+def text_files(rows: DataFrame, folder: str, name: str = "name", body: str = "value", tag: str = "") -> None:
+    """Each row as a file of its own, `<name>.<task>-<place>-<tag>.txt` in a folder for each task; a line end follows the body.
+
+    Tasks write side by side and at once to their final places, without a commit in the driver for each file: a task that runs again
+    writes the same files.  A store that pyarrow does not know is written by Spark, in a folder `<name>` for each row's file.
+    """
+    import pyarrow as pa
+    from pyarrow import fs
+
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        named = rows.select(F.col(body).alias("value"), F.regexp_extract(name, "=(.*)$", 1).alias("__id"), F.regexp_extract(name, "^[^=]*", 0).alias("__kind"))
+        for kind in [r[0] for r in named.select("__kind").distinct().collect()]:
+            named.filter(F.col("__kind") == kind).select("value", F.col("__id").alias(kind)).write.mode("append").partitionBy(kind).option("compression", "none").format("text").save(folder)
+        return
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        where, path = fs.FileSystem.from_uri(uri)
+        task, at = TaskContext.get().partitionId(), 0
+        where.create_dir(f"{path}/{task}", recursive=True)
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with where.open_output_stream(f"{path}/{task}/{own}.{task}-{at}-{tag}.txt", compression=None) as out:
+                    out.write((text or "").encode() + b"\n")
+                at += 1
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], names=["n"])
+
+    spread(rows.select(name, body)).mapInArrow(run, "n long").agg(F.sum("n")).collect()

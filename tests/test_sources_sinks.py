@@ -164,3 +164,16 @@ def test_python_holds_few_rows_of_a_batch(spark):
     assert [len(a) for a, _ in parts] == [64, 64, 22] and [len(a) for (a,) in few_rows(pa.array([], pa.int64()))] == [0]
     rows = spark.range(0, 300, 1, 1).select("id", F.concat(F.lit("row "), "id").alias("text"))
     assert rows.select("id", chunking.recursive(F.col("text"))[0].alias("x")).filter("x <> concat('row ', id) OR x IS NULL").count() == 0
+
+
+def test_rows_become_files_side_by_side_and_each_is_read_once(spark):
+    """A file for each row, without a folder of its own for each, planned in one of the scans for small and for large files."""
+    folder = shared_dir(spark, "pages-as-files")
+    rows = spark.createDataFrame([(f"page_id={i}", f"<title>t{i}</title>" if i % 3 else "") for i in range(30)] + [("page_id=7", "<title>again</title>")], "name string, value string").repartition(3)
+    sinks.text_files(rows, folder, tag="x")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    assert sorted(bytes(r.content).decode() for r in files.select("content").collect()) == sorted(f"{r.value}\n" for r in rows.collect())
+    assert len({r.path.rsplit("/", 1)[0] for r in files.select("path").collect()}) <= 3
+    found = readers.html_documents(spark, folder, ending=r"\.txt$")
+    assert found.rdd.getNumPartitions() == files.rdd.getNumPartitions() and found.count() == 31
+    assert {r.title for r in found.filter("title NOT LIKE 'page%'").collect()} == {f"t{i}" for i in range(30) if i % 3} | {"again"}
